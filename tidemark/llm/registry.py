@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .secret_scan import op4_secret_scan
+from .source_mix import op7_source_mix
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op7_source_mix": op7_source_mix,
 }
 
 SQL: dict[str, str] = {}
