@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .quote_link import op10_quote_link
 from .secret_scan import op4_secret_scan
 from .source_mix import op7_source_mix
+from .url_rules import op5_url_rules
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op5_url_rules": op5_url_rules,
     "op7_source_mix": op7_source_mix,
+    "op10_quote_link": op10_quote_link,
 }
 
 SQL: dict[str, str] = {}
