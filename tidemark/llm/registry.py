@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .imatch import op2_imatch
 from .quote_link import op10_quote_link
 from .secret_scan import op4_secret_scan
 from .source_mix import op7_source_mix
 from .url_rules import op5_url_rules
 
 QUERIES = {
+    "op2_imatch": op2_imatch,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_rules": op5_url_rules,
     "op7_source_mix": op7_source_mix,
