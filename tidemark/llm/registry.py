@@ -7,11 +7,13 @@ from .quote_link import op10_quote_link
 from .secret_scan import op4_secret_scan
 from .source_mix import op7_source_mix
 from .token_shards import op1_token_shards
+from .toxicity import op3_toxicity
 from .url_rules import op5_url_rules
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_imatch": op2_imatch,
+    "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_rules": op5_url_rules,
     "op7_source_mix": op7_source_mix,
