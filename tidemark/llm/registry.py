@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
 from .imatch import op2_imatch
 from .quote_link import op10_quote_link
 from .secret_scan import op4_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_url_rules": op5_url_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_decontaminate": op8_decontaminate,
     "op10_quote_link": op10_quote_link,
 }
 
