@@ -164,6 +164,18 @@ class Index:
         return out
 
 
+def slices(batch, column: int, chars: int = 4_000_000):
+    """Parts of an Arrow batch of about so many characters: one numpy pass each, in bounded memory."""
+    low = size = 0
+    for i, t in enumerate(batch.column(column)):
+        size += len(t.as_py() or "")
+        if size >= chars:
+            yield batch.slice(low, i + 1 - low)
+            low, size = i + 1, 0
+    if low < batch.num_rows:
+        yield batch.slice(low)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", max_items: int = 100_000, tolerance: float = TOLERANCE) -> DataFrame:
     """Per input row: id, items (array of leaked passages, ascending), edits (fewest of each)."""
     spark = docs.sparkSession
@@ -177,8 +189,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
 
         index = Index(items.value, tolerance)
         for batch in batches:
-            for low in range(0, batch.num_rows, 400):
-                part = batch.slice(low, 400)
+            for part in slices(batch, 1):
                 found = index.scan([t or "" for t in part.column(1).to_pylist()])
                 keys = [sorted(d, key=lambda k: (k is None, k or 0)) for d in found]
                 yield pa.RecordBatch.from_arrays(
@@ -198,8 +209,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
     def keep(batches):
         index = Index(items.value, how.get("tolerance", TOLERANCE))
         for batch in batches:
-            for low in range(0, batch.num_rows, 400):
-                part = batch.slice(low, 400)
+            for part in slices(batch, at):
                 found = index.scan([t or "" for t in part.column(at).to_pylist()])
                 good = [i for i, d in enumerate(found) if not d]
                 if good:
