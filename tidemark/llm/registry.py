@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bagminhash import op9_bagminhash
 from .decontaminate import op8_decontaminate
 from .imatch import op2_imatch
 from .quote_link import op10_quote_link
 from .secret_scan import op4_secret_scan
+from .site_quality import op6_site_quality
 from .source_mix import op7_source_mix
 from .token_shards import op1_token_shards
 from .toxicity import op3_toxicity
@@ -17,8 +19,10 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_rules": op5_url_rules,
+    "op6_site_quality": op6_site_quality,
     "op7_source_mix": op7_source_mix,
     "op8_decontaminate": op8_decontaminate,
+    "op9_bagminhash": op9_bagminhash,
     "op10_quote_link": op10_quote_link,
 }
 

@@ -130,52 +130,78 @@ def fit(sample, epochs: int = 120, rate: float = 0.3, l2: float = 3e-4) -> tuple
     return dict(zip(buckets[big].tolist(), w[big].tolist(), strict=True)), b
 
 
+def scorer(weights: dict[int, float], bias: float):
+    """Text to (score, score of the worst sentence, its first code point, the one after its last)."""
+
+    class Words(dict):
+        """Buckets of a word that have weight."""
+
+        def __missing__(self, word: str) -> tuple[int, ...]:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = v = tuple(x for x in word_features(word) if x in weights)
+            return v
+
+    words, none = Words(), ()
+    log_quiet = float(np.log1p(-1 / (1 + np.exp(-bias))))
+    base = float(1 / (1 + np.exp(-bias)))
+
+    def score(text: str | None):
+        raw = text or ""
+        low = raw.lower()
+        if len(low) != len(raw):  # letters whose lower case is longer stay, so that positions hold
+            low = "".join(c if len(c.lower()) > 1 else c.lower() for c in raw)
+        quiet, worst, at, upto = 0.0, 0.0, None, None
+        for m in SENTENCE.finditer(low):
+            found = WORD.findall(m.group())
+            if not found:
+                continue
+            hits = {x for v in map(words.__getitem__, found) if v is not none for x in v}
+            if hits:
+                z = min(30.0, max(-30.0, bias + sum(map(weights.__getitem__, sorted(hits)))))
+                p = float(1 / (1 + np.exp(-z)))
+                quiet += float(np.log1p(-min(p, 1 - 1e-12)))
+            else:
+                p = base
+                quiet += log_quiet
+            if p > worst:
+                worst, at, upto = p, m.start(), m.end()
+        return float(-np.expm1(quiet)), worst, at, upto
+
+    return score
+
+
 def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: id, score, worst (score of the worst sentence), at and upto (its code points)."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((weights, bias))  # at most BUCKETS weights
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # at most BUCKETS weights
 
-    def score(batches):
+    def run(batches):
         import pyarrow as pa
 
-        w, b = model.value
+        score = scorer(*model.value)
+        for batch in batches:
+            out = [score(t.as_py()) for t in batch.column(1)]
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "score", "worst", "at", "upto"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return pick(docs, id=id_col, t=text_col).mapInArrow(run, f"id {kind}, score double, worst double, at bigint, upto bigint")
 
-        class Words(dict):
-            """Buckets of a word that have weight."""
 
-            def __missing__(self, word):
-                if len(self) >= 400_000:
-                    self.clear()
-                self[word] = v = tuple(x for x in word_features(word) if x in w)
-                return v
+def drop_toxic(docs: DataFrame, weights: dict[int, float], bias: float, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold; columns as given."""
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    at = docs.columns.index(text_col)
 
-        words = Words()
+    def run(batches):
+        score = scorer(*model.value)
         for batch in batches:
-            ids, out = batch.column(0), []
-            for text in batch.column(1):
-                # lower-casing letter by letter keeps positions where a letter's lower case is longer
-                raw = text.as_py() or ""
-                low = raw.lower()
-                if len(low) != len(raw):
-                    low = "".join(c if len(c.lower()) > 1 else c.lower() for c in raw)
-                quiet, worst, at, upto = 0.0, 0.0, None, None
-                for m in SENTENCE.finditer(low):
-                    hits = set(WORD.findall(m.group()))
-                    if not hits:
-                        continue
-                    z = b + sum(w[x] for x in {x for h in hits for x in words[h]})
-                    p = 1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) if z > -8 else np.exp(max(z, -30.0))
-                    quiet += np.log1p(-min(p, 1 - 1e-12))
-                    if p > worst:
-                        worst, at, upto = float(p), m.start(), m.end()
-                out.append((float(-np.expm1(quiet)), worst, at, upto))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["id", "score", "worst", "at", "upto"]
-            )
+            good = [i for i, t in enumerate(batch.column(at)) if score(t.as_py())[0] < threshold]
+            if good:
+                yield batch.take(good)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id=id_col, t=text_col).mapInArrow(score, f"id {kind}, score double, worst double, at bigint, upto bigint")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", learn=None, max_per_class: int = 4000) -> tuple[dict[int, float], float]:
