@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidemark.plans import content, logs
+
+QUERIES = {**logs.QUERIES, **content.QUERIES}
+SQL = {**logs.SQL, **content.SQL}
