@@ -11,7 +11,8 @@ distinct shingles, not their weights.
 Equal texts are one node. Nodes that share a band of five registers are candidates; each candidate pair is
 verified on its shingle multisets, and classes are the connected components of the pairs at or above the
 threshold. Buckets are first tested against hub members, then, where a bucket still spans several classes,
-pair by pair across classes; so no link between bucket mates is lost, and copies are never multiplied out.
+all against all across classes inside tasks of bounded size, which report only links that join classes; so
+no link between bucket mates is lost, and neither copies nor pairs are multiplied out.
 
 Null text reads as empty; texts without words are linked only if equal; repeated rows share a class; null ids
 take part and are named last; an empty table gives no rows; further columns are ignored.
@@ -224,6 +225,82 @@ def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a binary, b binary")
 
 
+#: Texts of a bucket that one task compares with as many others.
+BLOCK = 1500
+
+
+def joining(bags, root: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Row pairs at or above the threshold that join different classes: a forest, from exact overlaps.
+
+    ``side``: two values compare across only, one compares all. The k-th copy of a shingle counts as an
+    element of its own, so overlaps are inner products of 0/1 rows, summed over slices of the elements that
+    two rows at least have. Rows of the largest class need no comparison among themselves.
+    """
+    classes, number = np.unique(root, return_inverse=True)
+    if len(classes) < 2:
+        return []
+    main = np.bincount(number).argmax()
+    u = np.flatnonzero(number != main)
+    keys, rows = [], []
+    for i, (k, c) in enumerate(bags):
+        copies = np.repeat(k, c) + times_gold(1) * (np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64)
+        keys.append(copies)
+        rows.append(np.full(len(copies), i))
+    size = np.array([len(k) for k in keys])
+    _, col, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    row = np.concatenate(rows)
+    shared = n[col] > 1
+    col, row = np.unique(col[shared], return_inverse=True)[1], row[shared]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    both = np.zeros((len(u), len(bags)), np.float32)
+    for low in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, [low, low + 4096])
+        part = np.zeros((len(bags), 4096), np.float32)
+        part[row[a:b], col[a:b] - low] = 1
+        both += part[u] @ part.T
+    near = both >= threshold * (size[u][:, None] + size[None, :] - both) - 1e-6
+    near &= (size[u] > 0)[:, None] & (number[u][:, None] != number[None, :])
+    if len(np.unique(side)) > 1:
+        near &= side[u][:, None] != side[None, :]
+    up = np.arange(len(classes))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(near):
+        p, q = find(number[u[i]]), find(number[j])
+        if p != q:
+            up[p] = q
+            out.append((int(u[i]), int(j)))
+    return out
+
+
+def links_across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) links between texts of one bucket (bk, th, root, n) that belong to different classes.
+
+    A bucket of n texts is cut into blocks of about BLOCK, and each task compares two blocks.
+    """
+    import pandas as pd
+
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = members.withColumn("own", F.pmod(F.xxhash64("th"), parts).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    cut = cut.select("bk", "th", "root", "own", other.alias("o")).select("bk", "th", "root", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        bags = shingle_bags(pdf["t"].tolist(), _Words())
+        root = np.array([r.hex() for r in pdf["root"]])
+        th = pdf["th"].tolist()
+        pairs = joining(bags, root, pdf["own"].to_numpy(), threshold)
+        return pd.DataFrame({"a": [max(th[i], th[j]) for i, j in pairs], "b": [min(th[i], th[j]) for i, j in pairs]}, dtype=object)
+
+    return cut.join(texts, "th").groupBy("bk", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): least vertex of each component, for the vertices of ``edges`` (a, b).
 
@@ -245,7 +322,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per input row: id, th, class_id (least id of the class), n_links (verified links of the text)."""
+    """One row per input row: id, th, class_id (least id of the class)."""
     rows = materialize(signatures(docs, id_col, text_col), "bag-signatures")
     node = rows.groupBy("th").agg(F.min("id").alias("id"), F.max("weight").alias("weight"), F.max("sig").alias("sig"), F.max("bands").alias("bands"))
     node = materialize(node, "bag-nodes")
@@ -264,24 +341,17 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = materialize(verified(alike(pairs, node, near), texts, threshold), "bag-links")
     label = components(links)
 
-    placed = member.select("bk", "th", "weight").join(label.withColumnRenamed("v", "th"), "th", "left").select("bk", "th", "weight", F.coalesce("root", "th").alias("root"))
+    placed = member.select("bk", "th").join(label.withColumnRenamed("v", "th"), "th", "left").select("bk", "th", F.coalesce("root", "th").alias("root"))
     placed = materialize(placed, "bag-placed")
-    open_ = placed.groupBy("bk").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bk")
-    rest = placed.join(open_, "bk")
-    x, y = rest.alias("x"), rest.alias("y")
-    fit = (F.col("x.bk") == F.col("y.bk")) & (F.col("x.root") < F.col("y.root")) & (F.least("x.weight", "y.weight") >= threshold * F.greatest("x.weight", "y.weight"))
-    across = x.join(y, fit).select(F.greatest("x.th", "y.th").alias("a"), F.least("x.th", "y.th").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialize(verified(alike(across, node, near), texts, threshold), "bag-more")
+    open_ = placed.groupBy("bk").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("bk", "n")
+    more = materialize(links_across(placed.join(open_, "bk"), texts, threshold), "bag-more")
     if not more.isEmpty():
-        links = links.unionAll(more)
-        label = components(links)
+        label = components(links.select("a", "b").unionAll(more))
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("th")).groupBy("th").agg(F.count(F.lit(1)).alias("n_links"))
-    named = node.select("th", "id").join(label.withColumnRenamed("v", "th"), "th", "left").join(degree, "th", "left")
-    named = named.select("th", "id", F.coalesce("root", "th").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = node.select("th", "id").join(label.withColumnRenamed("v", "th"), "th", "left").select("th", "id", F.coalesce("root", "th").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(least, "root").select("th", "class_id", "n_links")
-    return rows.select("id", "th").join(named, "th").select("id", "th", "class_id", "n_links")
+    named = named.join(least, "root").select("th", "class_id")
+    return rows.select("id", "th").join(named, "th").select("id", "th", "class_id")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -296,4 +366,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_bagminhash(spark, sf_dir: str) -> DataFrame:
     out = duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    return out.select(F.col("id").alias("doc_id"), "class_id")
