@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import content, logs
+from tidemark.plans import content, logs, pages
 
-QUERIES = {**logs.QUERIES, **content.QUERIES}
-SQL = {**logs.SQL, **content.SQL}
+QUERIES = {**logs.QUERIES, **content.QUERIES, **pages.QUERIES}
+SQL = {**logs.SQL, **content.SQL, **pages.SQL}

@@ -211,8 +211,8 @@ def cl1(spark, d):
 WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 s AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - least(3, len(ws)) + 2), lambda i: array_to_string(ws[i : i + least(3, len(ws)) - 1], ' '))) AS g FROM w WHERE len(ws) > 0),
 h AS (SELECT g, {FNV.format(x="g")} AS h FROM (SELECT DISTINCT g FROM s) x),
-v AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1::uhugeint = 1 THEN 1 ELSE -1 END) AS votes FROM s JOIN h USING (g), (SELECT unnest(range(0, 64))::integer AS b) bits GROUP BY 1, 2),
-r AS (SELECT doc_id, sum(CASE WHEN votes > 0 THEN (1::uhugeint << b) ELSE 0::uhugeint END) AS x FROM v GROUP BY 1)
+v AS (SELECT doc_id, b, sum(CASE WHEN (h::hugeint >> b) & 1::hugeint = 1 THEN 1 ELSE -1 END) AS votes FROM s JOIN h USING (g), (SELECT unnest(range(0, 64))::integer AS b) bits GROUP BY 1, 2),
+r AS (SELECT doc_id, sum(CASE WHEN votes > 0 THEN (1::hugeint << b) ELSE 0::hugeint END)::uhugeint AS x FROM v GROUP BY 1)
 SELECT d.doc_id, coalesce({SIGNED.format(x="r.x")}, 0) AS simhash FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""")
 def dup1(spark, d):
     return read(spark, d, "documents").select("doc_id", H.simhash64("text").alias("simhash"))
