@@ -148,11 +148,11 @@ class Index:
             return out
         get, gap = self.vocab.get, [0] * self.widest
         flat: list[int] = []
-        ends = []
+        ends = []  # of each text's words: a window that starts in a gap reaches the next text only
         for t in texts:
             flat.extend(map(get, WORD.findall(t.lower()), repeat(0)))
-            flat.extend(gap)
             ends.append(len(flat))
+            flat.extend(gap)
         text, bounds = np.array(flat, np.int64), np.array(ends)
         for n, pairs in self.candidates(text).items():
             edits = self.verify(text, n, pairs)
@@ -176,13 +176,17 @@ def slices(batch, column: int, chars: int = 4_000_000):
         yield batch.slice(low)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", max_items: int = 100_000, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per input row: id, items (array of leaked passages, ascending), edits (fewest of each)."""
-    spark = docs.sparkSession
+def passages(benchmark: DataFrame, item_id: str, item_text: str, max_items: int):
+    """Broadcast (id, text) of the benchmark, a stated query set: more than ``max_items`` is an error."""
     rows = benchmark.select(benchmark[item_id], benchmark[item_text]).limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} passages: give the benchmark in parts")
-    items = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    return benchmark.sparkSession.sparkContext.broadcast(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", max_items: int = 100_000, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per input row: id, items (array of leaked passages, ascending), edits (fewest of each)."""
+    items = passages(benchmark, item_id, item_text, max_items)
 
     def scan(batches):
         import pyarrow as pa
@@ -200,14 +204,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     return pick(docs, id=id_col, t=text_col).mapInArrow(scan, f"id {kind}, items array<bigint>, edits array<bigint>")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id="item_id", item_text="text", max_items: int = 100_000, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents without those that hold a benchmark passage; columns as given."""
-    spark = docs.sparkSession
-    items = spark.sparkContext.broadcast([(r[0], r[1]) for r in benchmark.select(benchmark["item_id"], benchmark["text"]).collect()])
+    items = passages(benchmark, item_id, item_text, max_items)
     at = docs.columns.index(text_col)
 
     def keep(batches):
-        index = Index(items.value, how.get("tolerance", TOLERANCE))
+        index = Index(items.value, tolerance)
         for batch in batches:
             for part in slices(batch, at):
                 found = index.scan([t or "" for t in part.column(at).to_pylist()])
