@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, small_batches, tidy, trim
 from .decontaminate import slices
 
 WORD = re.compile(r"\w+")
@@ -51,7 +51,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -177,9 +177,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "th", "weight", "sig", "bands"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = pick(docs, id=id_col, t=text_col).select("id", F.unhex(F.md5(F.coalesce("t", F.lit("")))).alias("th"), "t")
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(sign, f"id {kind}, th binary, weight bigint, sig binary, bands array<bigint>")
+    return rows.mapInArrow(tidy(sign), f"id {kind}, th binary, weight bigint, sig binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -202,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("th").alias("a"), F.col("t").alias("ta")), "a")
     both = one.join(texts.select(F.col("th").alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(test, "a binary, b binary, sim double")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(test), "a binary, b binary, sim double")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -222,7 +223,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
     one = pairs.join(nodes.select(F.col("th").alias("a"), F.col("sig").alias("sa")), "a")
     both = one.join(nodes.select(F.col("th").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a binary, b binary")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(test), "a binary, b binary")
 
 
 #: Texts of a bucket that one task compares with as many others.
@@ -296,6 +297,9 @@ def links_across(members: DataFrame, texts: DataFrame, threshold: float) -> Data
         root = np.array([r.hex() for r in pdf["root"]])
         th = pdf["th"].tolist()
         pairs = joining(bags, root, pdf["own"].to_numpy(), threshold)
+        if len(th) > 500:
+            del bags
+            trim()
         return pd.DataFrame({"a": [max(th[i], th[j]) for i, j in pairs], "b": [min(th[i], th[j]) for i, j in pairs]}, dtype=object)
 
     return cut.join(texts, "th").groupBy("bk", "i", "j").applyInPandas(compare, "a binary, b binary")

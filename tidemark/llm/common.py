@@ -48,6 +48,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: Python workers live on from task to task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def tidy(run):
+    """A function over Arrow or pandas batches that trims when its task is done."""
+
+    def inner(batches):
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
+#: Session settings for batches of whole texts, and the defaults that they replace.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to a batch, as texts can be long, unless the session has its own setting.
+
+    Spark reads it when the job runs, after the operator has returned its DataFrame, so it stays set.
+    """
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the wanted columns, under inner names, so further columns of any name cannot clash."""
     return df.select(*[df[c].alias(a) for a, c in cols.items()])

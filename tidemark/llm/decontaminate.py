@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small_batches, tidy
 
 WORD = re.compile(r"\w+")
 TOLERANCE = 0.2
@@ -200,8 +200,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
                     [part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([[d[k] for k in ks] for d, ks in zip(found, keys, strict=True)], pa.list_(pa.int64()))], names=["id", "items", "edits"]
                 )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id=id_col, t=text_col).mapInArrow(scan, f"id {kind}, items array<bigint>, edits array<bigint>")
+    return pick(docs, id=id_col, t=text_col).mapInArrow(tidy(scan), f"id {kind}, items array<bigint>, edits array<bigint>")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id="item_id", item_text="text", max_items: int = 100_000, tolerance: float = TOLERANCE) -> DataFrame:
@@ -218,7 +219,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 if good:
                     yield part.take(good)
 
-    return docs.mapInArrow(keep, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sstable
-from .common import materialize, pick, scratch
+from .common import materialize, pick, scratch, tidy
 
 END_ID = 0
 MANIFEST = "path string, first_key binary, last_key binary, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -63,7 +63,7 @@ def write_shards(docs: DataFrame, root: str, vocabulary: str, id_col: str = "doc
     was = spark.conf.get(key)
     spark.conf.set(key, "500")  # texts can be long
     try:
-        return materialize(rows.mapInArrow(write, MANIFEST), "shard-manifest")
+        return materialize(rows.mapInArrow(tidy(write), MANIFEST), "shard-manifest")
     finally:
         spark.conf.set(key, was)
 
@@ -106,7 +106,7 @@ def read_shards(manifest: DataFrame, blocks_per_task: int = 64) -> DataFrame:
 
     tasks = placed.mapInArrow(list_blocks, "path string, shard bigint, start bigint, n_bytes bigint, low bigint, high bigint")
     tasks = tasks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return tasks.mapInArrow(read, ENTRIES)
+    return tasks.mapInArrow(tidy(read), ENTRIES)
 
 
 def default_vocabulary() -> str:

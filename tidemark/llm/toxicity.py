@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small_batches, tidy
 
 BUCKETS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -36,7 +36,7 @@ def word_features(word: str) -> list[int]:
 
 class _Memo(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = v = tuple(word_features(word))
         return v
@@ -69,7 +69,8 @@ def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             ends = [np.cumsum([len(x) for x in b], dtype=np.int32) for b in bags]
             yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "f": [x.tobytes() for x in flat], "e": [x.tobytes() for x in ends]})
 
-    got = rows.mapInPandas(features, "k long, y int, f binary, e binary").toPandas().sort_values("k")
+    small_batches(docs.sparkSession)
+    got = rows.mapInPandas(tidy(features), "k long, y int, f binary, e binary").toPandas().sort_values("k")
     return got
 
 
@@ -84,9 +85,11 @@ def fit(sample, epochs: int = 120, rate: float = 0.3, l2: float = 3e-4) -> tuple
         return {}, -30.0
     feats = [np.frombuffer(b, np.int32) for b in sample["f"]]
     ends = [np.frombuffer(b, np.int32) for b in sample["e"]]
-    per_doc = [np.unique(f) for f in feats]
-    df = np.bincount(np.concatenate(per_doc), minlength=BUCKETS)
-    pos = np.bincount(np.concatenate([f for f, v in zip(per_doc, y, strict=True) if v]), minlength=BUCKETS)
+    df, pos = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for f, v in zip(feats, y, strict=True):
+        own = np.unique(f)
+        df[own] += 1
+        pos[own] += v == 1
     base = y.mean()
     share = pos / np.maximum(df, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -137,7 +140,7 @@ def scorer(weights: dict[int, float], bias: float):
         """Buckets of a word that have weight."""
 
         def __missing__(self, word: str) -> tuple[int, ...]:
-            if len(self) >= 400_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = v = tuple(x for x in word_features(word) if x in weights)
             return v
@@ -185,8 +188,9 @@ def score_documents(docs: DataFrame, weights: dict[int, float], bias: float, id_
             kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "score", "worst", "at", "upto"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id=id_col, t=text_col).mapInArrow(run, f"id {kind}, score double, worst double, at bigint, upto bigint")
+    return pick(docs, id=id_col, t=text_col).mapInArrow(tidy(run), f"id {kind}, score double, worst double, at bigint, upto bigint")
 
 
 def drop_toxic(docs: DataFrame, weights: dict[int, float], bias: float, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -201,7 +205,8 @@ def drop_toxic(docs: DataFrame, weights: dict[int, float], bias: float, text_col
             if good:
                 yield batch.take(good)
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", learn=None, max_per_class: int = 4000) -> tuple[dict[int, float], float]:
