@@ -376,6 +376,18 @@ def test_duplicate_classes(spark):
     assert bag.duplicate_classes(table(spark, [])).count() == 0
 
 
+def test_unlike_texts_share_no_class(spark, monkeypatch):
+    rng = random.Random(12)
+    one, two, three, four = (" ".join(rng.choices([f"w{i}" for i in range(800)], k=100)) for _ in range(4))
+    docs = table(spark, [(None, one, "a"), (None, two, "a"), (None, one, "b"), (5, three, "a"), (5, four, "a"), (5, three, "a")])
+    left = sorted((r.doc_id or 0, r.text) for r in bag.drop_copies(docs).collect())
+    assert left == sorted([(0, one), (0, two), (5, three), (5, four)])
+    monkeypatch.setattr(bag, "duplicate_classes", lambda _, f=bag.duplicate_classes: f(docs))
+    got = [(r.doc_id, r.class_id, r.class_key) for r in bag.op9_bagminhash(spark, SF).collect()]
+    key = {t: hashlib.md5(t.encode()).hexdigest() for t in (one, two, three, four)}
+    assert sorted(got, key=str) == sorted([(None, None, key[one])] * 2 + [(None, None, key[two])] + [(5, 5, key[three])] * 2 + [(5, 5, key[four])], key=str)
+
+
 # 10 ---------------------------------------------------------------------------------------------------------
 
 

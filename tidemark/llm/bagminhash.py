@@ -326,7 +326,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per input row: id, th, class_id (least id of the class)."""
+    """One row per input row: id, th, root, class_id.
+
+    ``root``, the least digest of the class, is its key; ``class_id`` is its least id, which classes share
+    whose ids are null or repeat.
+    """
     rows = materialize(signatures(docs, id_col, text_col), "bag-signatures")
     node = rows.groupBy("th").agg(F.min("id").alias("id"), F.max("weight").alias("weight"), F.max("sig").alias("sig"), F.max("bands").alias("bands"))
     node = materialize(node, "bag-nodes")
@@ -354,14 +358,14 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     named = node.select("th", "id").join(label.withColumnRenamed("v", "th"), "th", "left").select("th", "id", F.coalesce("root", "th").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(least, "root").select("th", "class_id")
-    return rows.select("id", "th").join(named, "th").select("id", "th", "class_id")
+    named = named.join(least, "root").select("th", "root", "class_id")
+    return rows.select("id", "th").join(named, "th").select("id", "th", "root", "class_id")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row of each class: its least id (of rows that repeat that id in the class, the least text, once)."""
     classes = duplicate_classes(docs, id_col, text_col, threshold)
-    kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
     digest = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit(""))))
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_i"), digest.alias("_t"))
     out = tagged.join(kept, tagged["_i"].eqNullSafe(kept["_id"]) & (tagged["_t"] == kept["_th"]))
@@ -370,4 +374,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_bagminhash(spark, sf_dir: str) -> DataFrame:
     out = duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "class_id")
+    return out.select(F.col("id").alias("doc_id"), "class_id", F.lower(F.hex("root")).alias("class_key"))
