@@ -88,6 +88,22 @@ def test_leaders_are_not_transitive(spark):
     assert got == {0: None, 1: 0, 2: None}
 
 
+def test_leaders_of_copies_equal_brute_force(spark):
+    import random
+
+    random.seed(6)
+    base = [random.getrandbits(63) for _ in range(3)]
+    hs = [b ^ sum(1 << random.randrange(8) for _ in range(random.randint(0, 3))) for b in base for _ in range(30)]
+    random.shuffle(hs)
+    for hashes in ([0b1111, 0b111, 0b111, 0b111, 0, 0], hs):
+        df = spark.createDataFrame(list(enumerate(hashes, 1)), "id bigint, simhash bigint")
+        want: dict = {}
+        for i, h in enumerate(hashes, 1):
+            want[i] = next((j for j in want if want[j] is None and h and hashes[j - 1] and (h ^ hashes[j - 1]).bit_count() <= 3), None)
+        rows = dedup.leaders(df, dedup.near_pairs(df)).collect()
+        assert len(rows) == len(hashes) and {r.id: r.duplicate_of for r in rows} == want
+
+
 def test_integrity(spark):
     long = " ".join(f"word{'abcdefghij'[i % 10]} and thing{i}" for i in range(60))
     rows = [(1, long), (2, "short"), (3, long + " ..."), (4, "spam now " * 120), (5, None)]

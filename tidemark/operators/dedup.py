@@ -29,17 +29,19 @@ def near_pairs(prints: DataFrame, key: str = "id", hash_col: str = "simhash", bi
     return near.filter(F.col("distance") <= bits).distinct().unionAll(same)
 
 
-def leaders(prints: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
+def leaders(prints: DataFrame, pairs: DataFrame, key: str = "id", hash_col: str = "simhash") -> DataFrame:
     """(key, duplicate_of): in key order, a row joins the first leader within reach, else leads itself.
 
     Decided by rounds over the pair table: a row leads when no undecided or leading row before it is near; a
     row near a leader is decided once all its earlier neighbours are. Rounds are as many as the longest chain.
+    They run over the least key of each hash: a copy never leads, and its first leader is that key's, or that key.
     """
     spark = prints.sparkSession
-    state = prints.select(F.col(key).alias("k")).distinct()
-    e = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).persist()
+    rows = prints.select(F.col(key).alias("k"), F.col(hash_col).alias("h")).distinct()
+    state = rows.filter("h <> 0").groupBy("h").agg(F.min("k").alias("k")).persist()
+    e = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).join(state.select(F.col("k").alias("b")), "b", "left_semi").persist()
     touched = e.select(F.col("b").alias("k")).distinct()
-    lead = state.join(touched, "k", "left_anti").select("k", F.lit(None).cast("bigint").alias("duplicate_of"))
+    lead = state.select("k").join(touched, "k", "left_anti").select("k", F.lit(None).cast("bigint").alias("duplicate_of"))
     open_ = touched
     rounds = 0
     while not open_.isEmpty():
@@ -53,7 +55,9 @@ def leaders(prints: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
         lead = lead.unionByName(ready)
         open_ = open_.join(ready.select("k"), "k", "left_anti")
         open_ = open_.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else open_.persist()
-    return lead.withColumnRenamed("k", key)
+    first = state.join(lead, "k").select("h", F.col("k").alias("first"), "duplicate_of")
+    own = F.when(F.col("k") != F.col("first"), F.coalesce("duplicate_of", "first")).otherwise(F.col("duplicate_of"))
+    return rows.join(first, "h", "left").select(F.col("k").alias(key), own.alias("duplicate_of"))
 
 
 def blocks(docs: DataFrame, key: str, site: str, text: str, least_bytes: int, sep: str = "\n") -> DataFrame:
