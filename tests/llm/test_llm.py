@@ -317,6 +317,13 @@ def test_leaks_edges(spark):
     assert cgk.find_leaks(table(spark, ODD), bench.limit(0)).filter("size(items) > 0").count() == 0
 
 
+def test_leaks_of_one_and_two_words(spark):
+    bench = spark.createDataFrame([(1, "Tab"), (2, "gamma delta"), (3, "alpha delta"), (4, "alpha beta gamma delta epsilon zeta"), (5, "tab")], "item_id bigint, text string")
+    got = {(r.id, tuple(r["items"]), tuple(r["edits"])) for r in cgk.find_leaks(table(spark, ODD), bench).collect()}
+    assert got == {(1, (2, 4), (0, 0)), (-5, (1, 5), (0, 0)), (None, (), ()), (2, (), ()), (3, (), ()), (4, (), ())}
+    assert sorted(r.doc_id or 0 for r in cgk.drop_leaks(table(spark, ODD), bench).collect()) == [0, 2, 3, 4]
+
+
 # 9 ----------------------------------------------------------------------------------------------------------
 
 

@@ -8,8 +8,8 @@ embedding are the keys of the hash tables, repeated over walks and samples until
 ``tests`` measure is reached; windows that meet a passage are verified by alignment.
 
 Words are runs of letters, digits and underscores, lower-cased. Null and empty texts hold nothing; passages
-without words are skipped; repeated rows are judged alike; an empty benchmark finds nothing; further columns
-are ignored. The benchmark is a stated query set and is broadcast: at most ``max_items`` passages.
+of fewer than 1 / ``tolerance`` words match exactly and those without words are skipped; repeated rows are
+judged alike; an empty benchmark finds nothing; further columns are ignored. The benchmark is a stated query set and is broadcast: at most ``max_items`` passages.
 """
 
 from __future__ import annotations
@@ -57,9 +57,10 @@ class Index:
             rare = np.zeros(len(self.vocab) + 1, bool)
             for _, a in own:  # of its spare + 1 least usual words one at least survives
                 rare[a[np.lexsort((-size[a], shared[a]))[: spare + 1]]] = True
-            steps = 3 * n
+            steps, most = 3 * n, min(keys, 3 * n * 2 // 3)
+            tables = (walks, samples) if n > 1 else (1, 1)  # any table finds every window of one word
             bits = rng.integers(0, 2, (walks, steps, len(self.vocab) + 1), dtype=np.int8)
-            picks = np.sort(np.array([[rng.choice(steps * 2 // 3, keys, replace=False) for _ in range(samples)] for _ in range(walks)]), axis=2)
+            picks = np.sort(np.array([[rng.choice(steps * 2 // 3, most, replace=False) for _ in range(tables[1])] for _ in range(tables[0])]), axis=2)
             x = {"ids": [i for i, _ in own], "a": np.stack([a for _, a in own]), "spare": spare, "rare": rare, "bits": bits, "picks": picks}
             self.lengths[n] = x
             x["tables"] = []
@@ -74,7 +75,7 @@ class Index:
         n, length = windows.shape
         padded = np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1)
         rows = np.arange(n)
-        for w in range(self.walks):
+        for w in range(len(x["picks"])):
             last = int(x["picks"][w].max())
             written = np.empty((last + 1, n), np.int64)
             at = np.zeros(n, np.int64)
@@ -83,7 +84,7 @@ class Index:
                 over = at >= length
                 written[j] = np.where(over, END, word)
                 at = np.where(over, at, at + x["bits"][w, j][word])
-            for s in range(self.samples):
+            for s in range(len(x["picks"][w])):
                 key = np.full(n, w * 64 + s, np.uint64)
                 for j in x["picks"][w, s]:
                     key = _mix(key ^ written[j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
