@@ -122,6 +122,24 @@ def test_toxicity_learns_and_locates(spark):
             assert re.search("vile|gross", rows[i][1][r["at"] : r.upto])
 
 
+def test_toxicity_is_not_length():
+    import pandas as pd
+
+    rng, memo = random.Random(5), toxicity._Memo()
+    plain = [f"w{i}" for i in range(300)]
+    sentence = lambda: " ".join(rng.choices(plain, k=8))
+    texts = [". ".join([sentence() for _ in range(rng.randint(1, 12))] + ["so vile"] * (i % 5 == 0)) for i in range(600)]
+    bags = [toxicity.featurise(t, memo) for t in texts]
+    sample = pd.DataFrame({"y": [int(i % 5 == 0) for i in range(600)], "f": [np.concatenate(b).tobytes() for b in bags], "e": [np.cumsum([len(x) for x in b], dtype=np.int32).tobytes() for b in bags]})
+    weights, bias = toxicity.fit(sample)
+    score = toxicity.scorer(weights, bias)
+    clean = "calm words here. " * 50_000
+    assert score(clean) == (0.0, 0.0, None, None)
+    assert score(". ".join(sentence() for _ in range(50_000)))[0] < 0.7
+    assert score(clean + "so vile")[0] >= 0.7 and score(clean + "so vile")[2] == len(clean) - 1
+    assert np.mean([(score(t)[0] >= 0.7) == (i % 5 == 0) for i, t in enumerate(texts)]) > 0.99
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     weights, bias = toxicity.train(table(spark, ODD), labels)

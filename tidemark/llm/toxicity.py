@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are their noisy-or.
 
 A document is toxic if any sentence is: P = 1 - prod(1 - p_s), p_s = sigmoid(bias + sum of the weights of the
-distinct features of s). Only documents carry labels; the weights maximise the penalised likelihood of those.
+distinct features of s); sentences without any weighted feature count 0, so that length alone is no evidence.
+Only documents carry labels; the weights maximise the penalised likelihood of those.
 Features are words and word beginnings, hashed. Training is on a bounded sample of labelled rows (at most
 ``max_per_class`` of either label, the least in a hash order of the ids), featurised on the executors;
 every row is scored in full, and the highest sentence is located.
@@ -98,14 +99,17 @@ def fit(sample, epochs: int = 120, rate: float = 0.3, l2: float = 3e-4) -> tuple
     number = np.cumsum(keep) - 1
     idx, sent, doc, n_sent = [], [], [], 0
     for d, (f, e) in enumerate(zip(feats, ends, strict=True)):
-        if not len(e):
-            continue
         s = np.repeat(np.arange(len(e)), np.diff(e, prepend=0))
         m = keep[f]
+        if not m.any():
+            continue
+        own, s = np.unique(s[m], return_inverse=True)  # the other sentences count nothing
         idx.append(number[f[m]])
-        sent.append(s[m] + n_sent)
-        doc.append(np.full(len(e), d))
-        n_sent += len(e)
+        sent.append(s + n_sent)
+        doc.append(np.full(len(own), d))
+        n_sent += len(own)
+    if not idx:
+        return {}, -30.0
     idx, sent, doc = np.concatenate(idx), np.concatenate(sent), np.concatenate(doc)
     n = int(keep.sum())
     w, b = np.zeros(n), -9.0
@@ -146,8 +150,6 @@ def scorer(weights: dict[int, float], bias: float):
             return v
 
     words, none = Words(), ()
-    log_quiet = float(np.log1p(-1 / (1 + np.exp(-bias))))
-    base = float(1 / (1 + np.exp(-bias)))
 
     def score(text: str | None):
         raw = text or ""
@@ -160,13 +162,11 @@ def scorer(weights: dict[int, float], bias: float):
             if not found:
                 continue
             hits = {x for v in map(words.__getitem__, found) if v is not none for x in v}
-            if hits:
-                z = min(30.0, max(-30.0, bias + sum(map(weights.__getitem__, sorted(hits)))))
-                p = float(1 / (1 + np.exp(-z)))
-                quiet += float(np.log1p(-min(p, 1 - 1e-12)))
-            else:
-                p = base
-                quiet += log_quiet
+            if not hits:
+                continue
+            z = min(30.0, max(-30.0, bias + sum(map(weights.__getitem__, sorted(hits)))))
+            p = float(1 / (1 + np.exp(-z)))
+            quiet += float(np.log1p(-min(p, 1 - 1e-12)))
             if p > worst:
                 worst, at, upto = p, m.start(), m.end()
         return float(-np.expm1(quiet)), worst, at, upto
