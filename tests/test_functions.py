@@ -5,7 +5,11 @@ from tidemark.functions import hashing as H
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import dedup, export, quality, retrieval
+from tidemark.plans import pages
 from tidemark.sources import feeds, html
+from tidemark.streaming import events
+
+from .conftest import SF
 
 
 def one(spark, column, **values):
@@ -104,6 +108,28 @@ def test_leaders_of_copies_equal_brute_force(spark):
         assert len(rows) == len(hashes) and {r.id: r.duplicate_of for r in rows} == want
 
 
+@pytest.mark.parametrize("name, plan", [("st_tumbling_stream", events.tumbling), ("st_sliding_stream", events.sliding), ("st_session_stream", events.sessions)])
+def test_streams_equal_batch(spark, name, plan):
+    batch = spark.read.parquet(f"{SF}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    want, got = plan(batch), pages.QUERIES[name](spark, SF)
+    assert got.columns == want.columns and want.count() > 0
+    key = [c for c in want.columns if c != "total"]
+    rows, same = ({tuple(r[c] for c in key): r for r in df.collect()} for df in (got, want))
+    assert len(rows) == got.count() and set(rows) == set(same)
+    if "total" in got.columns:
+        assert all(abs(r.total - same[k].total) < 1e-3 for k, r in rows.items())
+
+
+def test_streams_keep_the_last_complete_result(spark, tmp_path):
+    one = spark.read.parquet(f"{SF}/events.parquet")
+    for k in range(3):
+        one.filter(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    rows = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    got = events.drain(events.sliding(rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "10 minutes")), "complete")
+    want = events.sliding(one.withColumn("at", F.col("ts").cast("timestamp")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_integrity(spark):
     long = " ".join(f"word{'abcdefghij'[i % 10]} and thing{i}" for i in range(60))
     rows = [(1, long), (2, "short"), (3, long + " ..."), (4, "spam now " * 120), (5, None)]

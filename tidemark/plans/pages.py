@@ -122,17 +122,17 @@ def st_batch(spark, d):
 
 @query("st_tumbling_stream")
 def st_tumbling(spark, d):
-    return S.drain(S.tumbling(S.stream(spark, d)))
+    return S.drain(S.tumbling(S.stream(spark, d)), "complete")
 
 
 @query("st_sliding_stream")
 def st_sliding(spark, d):
-    return S.drain(S.sliding(S.stream(spark, d)))
+    return S.drain(S.sliding(S.stream(spark, d)), "complete")
 
 
 @query("st_session_stream")
 def st_sessions(spark, d):
-    return S.drain(S.sessions(S.stream(spark, d)))
+    return S.drain(S.sessions(S.stream(spark, d)), "complete")
 
 
 @query("set3_stream_dedup", "SELECT event_id, user_id FROM events")

@@ -19,17 +19,24 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return the sink's rows; sink and offsets in the shared folder."""
+    """Run a stream over what is there and return the sink's rows; sink and offsets in the shared folder.
+
+    In complete mode each epoch holds the whole result, windows still open included, and the last one counts.
+    """
     spark = df.sparkSession
     root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-streams").rstrip("/")
     path = f"{root}/stream-{uuid.uuid4().hex}"
+    last = "*"
 
     def put(batch: DataFrame, epoch: int) -> None:
+        nonlocal last
+        last = str(epoch)
         batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows").select(*df.columns)
+    rows = f"{path}/rows/epoch={last}" if mode == "complete" else f"{path}/rows"
+    return spark.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(rows).select(*df.columns)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
