@@ -185,6 +185,19 @@ def test_secret_scan_adds_and_suppresses(spark):
     assert got == {1: 1, 2: 0, 3: 0, 4: 0}
 
 
+def test_secret_scan_adds_secrets_of_every_class(spark):
+    rng = random.Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [digits, digits + "ABCDEF", lower, upper, lower + upper, lower + upper + digits, secret_scan.ALPHABET]
+    rows = [(k * 1000 + i, f"see {''.join(rng.choices(kind, k=30))} here", "a") for k, kind in enumerate(kinds) for i in range(200)]
+    words = ["Unabhaengigkeitserklaerungen", "internationalisationprocesses", "getElementsByClassNameAndIndex", "CONSTITUTIONALREPRESENTATIVES", "01234567890123456789"]
+    rows += [(-k, f"see {w} here", "a") for k, w in enumerate(words, 1)]
+    found = {r.id: len(r.added) for r in secret_scan.secret_spans(table(spark, rows)).collect()}
+    share = [np.mean([found[k * 1000 + i] for i in range(200)]) for k in range(len(kinds))]
+    assert min(share) >= 0.9, share
+    assert not any(found[-k] for k in range(1, len(words) + 1))
+
+
 # 5 ----------------------------------------------------------------------------------------------------------
 
 
