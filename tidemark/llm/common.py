@@ -13,9 +13,12 @@ _SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Unset means a local test: make one."""
+    """The folder all executors share (``spark.checkpoint.dir``). Unset in a local session: make one; elsewhere an
+    error, as a folder of one machine loses what the others write."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -89,21 +92,63 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[c].alias(a) for a, c in cols.items()])
 
 
-def quantile_bounds(df: DataFrame, col: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ascending cut points of an integer column (one small row to the driver)."""
+def quantile_bounds(df: DataFrame, col: str, parts: int) -> tuple[list[int], list[int]]:
+    """(at most ``parts - 1`` ascending cut points of an integer column, values that fill a whole part or more).
+
+    One small row comes to the driver.
+    """
     if parts < 2:
-        return []
+        return [], []
     q = [i / parts for i in range(1, parts)]
     row = df.agg(F.percentile_approx(col, q, 10_000).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    cuts = row["q"] or []
+    return sorted(set(cuts)), sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
 
 
 def range_bucket(col: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the value: contiguous ranges numbered in order; null is range -1."""
+    """Number of bounds at or below the value, by binary search: contiguous ranges in order; null is range -1."""
     if not bounds:
         return F.when(col.isNull(), -1).otherwise(0)
-    arr = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.when(col.isNull(), -1).otherwise(F.size(F.filter(arr, lambda b: b <= col)))
+    arr = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        open_, here = acc["low"] < acc["high"], F.get(arr, mid) <= col
+        return F.struct(F.when(open_ & here, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~here, mid).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    return F.when(col.isNull(), -1).otherwise(F.aggregate(steps, start, halve, lambda a: a["low"]))
+
+
+def ordered_bucket(value: Column, bounds: list[int], hot: list[int], tie: Column) -> Column:
+    """A bucket monotone in (value, tie), nulls first. Rows of null and of each value in ``hot`` are dealt to 64 buckets
+    by the top bits of ``tie``, a hash; a hot value is a bound, so its rows come first in its range."""
+    fine = (F.shiftright(tie, 58) + 32).cast("long")
+    crowded = value.isNull() | value.isin(hot) if hot else value.isNull()
+    return (range_bucket(value, bounds).cast("long") + 1) * 65 + F.when(crowded, fine).otherwise(F.lit(64).cast("long"))
+
+
+#: A key is hot if it has more rows than this and than a quarter of a task's even share.
+HOT_ROWS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, tie: str, how: str = "inner", spread: int = 32) -> DataFrame:
+    """``left.join(right, key, how)`` where ``right`` has one row a key and ``left`` may hold one key very often.
+
+    Hot keys number at most four times the shuffle partitions, so the list of them is broadcast; their rows on the
+    left are dealt to ``spread`` tasks by a hash of ``tie``, and on the right are copied to each of those.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(HOT_ROWS, left.count() // (4 * parts))
+    hot = materialize(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    a = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(tie), F.lit(spread)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
 def exclusive_prefix(df: DataFrame, value: str, out: str, keys: list[str], bucket: str, order: list[Column]) -> DataFrame:

@@ -1,15 +1,17 @@
 """I-Match document fingerprints with randomised lexicon subsets. Native.
 
-The lexicon holds the terms whose inverse document frequency lies in a chosen band. The band's upper end
-bounds it: terms in at least N/e^idf_high of N documents number at most e^idf_high times the mean count of
-distinct terms of a document, whatever N is, so it may be broadcast. The lexicon is dealt at random into
-disjoint subsets of three densities; a text's fingerprint is one hash of all its lexicon terms and one of
-its terms in each subset. A set is hashed by the exclusive or of its members' hashes, which is the hash of
-the sorted distinct terms without the sort.
+The lexicon holds the terms whose inverse document frequency lies in a chosen band. Each of ``N_SUBSETS``
+randomised lexicons keeps every term of it independently with a fixed chance, drawn by a hash of term and
+lexicon number. A text's fingerprint is one hash of its sorted distinct lexicon terms and one of those in each
+randomised lexicon. Dense lexicons tell near copies from the rest, sparse ones grade looser likeness.
+
+The band's upper end bounds the lexicon: terms in at least N/e^idf_high of N documents number at most e^idf_high
+times the mean count of distinct terms of a document, whatever N is. Up to ``BROADCAST_TERMS`` it is broadcast,
+beyond that the terms join it by shuffle.
 
 Null text reads as empty. A text without lexicon terms is hashed over all its terms, and one without terms over
-its characters. Rows are ordered by id (null first), ties by text; the last row is followed by the first, a
-single row by itself. Repeated rows each count; an empty table gives no rows; further columns are ignored.
+its characters. Rows are ordered by id (null first), ties by a hash of the text; the last row is followed by the
+first, a single row by itself. Repeated rows each count; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, pick, quantile_bounds, range_bucket
+from .common import materialize, ordered_bucket, pick, quantile_bounds
 
-#: (subsets, slots of 128 that each takes), slots given out in this order.
-SUBSETS = [(4, 16), (4, 4), (24, 1)]
-N_SUBSETS = sum(n for n, _ in SUBSETS)
+#: (lexicons, terms of 256 that each keeps on average).
+SUBSETS = [(2, 128), (2, 32), (4, 8), (24, 1)]
+WIDTHS = [width for n, width in SUBSETS for _ in range(n)]
+N_SUBSETS = len(WIDTHS)
+#: A lexicon of at most so many terms (16 bytes each) is broadcast.
+BROADCAST_TERMS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -33,51 +38,47 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def subset_of(term: Column) -> Column:
-    """Number of the subset that holds the term, or null: slots beyond the subsets belong to none."""
-    slot = F.pmod(F.shiftright(term, 17), F.lit(128))
-    out, first, base = None, 0, 0
-    for n, width in SUBSETS:
-        here = (slot >= first) & (slot < first + n * width)
-        value = F.lit(base) + F.floor((slot - first) / width)
-        out = F.when(here, value) if out is None else out.when(here, value)
-        first, base = first + n * width, base + n
-    return out.cast("int")
+def kept_by(term: Column) -> Column:
+    """Bit k is set if randomised lexicon k keeps the term."""
+    out = F.lit(0).cast("bigint")
+    for k, width in enumerate(WIDTHS):
+        kept = F.pmod(F.xxhash64(term, F.lit(k)), F.lit(256)) < width
+        out = out.bitwiseOR(F.when(kept, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint"))
+    return out
 
 
 def band_lexicon(docs: DataFrame, text_col: str, idf_low: float, idf_high: float) -> DataFrame:
-    """(term, subset) of the terms of the band, counted over all documents."""
+    """(term, kept) of the terms of the band, counted over all documents."""
     n_docs = docs.count()
     least, most = max(2.0 if n_docs > 1 else 1.0, n_docs * math.exp(-idf_high)), n_docs * math.exp(-idf_low)
     df = docs.select(F.explode(terms(F.coalesce(docs[text_col], F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lexicon = df.filter(F.col("df").between(least, most)).select("term", subset_of(F.col("term")).alias("subset"))
-    return materialize(lexicon, "imatch-lexicon")
+    return materialize(df.filter(F.col("df").between(least, most)).select("term", kept_by(F.col("term")).alias("kept")), "imatch-lexicon")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, pos, id, t, next_t, last): each row with the text that follows it in id order.
 
-    Ids are cut into contiguous ranges; a range's last row gets the first text of the next range that has rows.
+    Ids are cut into contiguous ranges, each sorted by itself. The first row of a range (and those equal to it)
+    also goes to the range before it, behind that one's rows; it is all that crosses ranges.
     """
-    spark = docs.sparkSession
-    rows = pick(docs, id=id_col, t=text_col).withColumn("t", F.coalesce("t", F.lit("")))
-    bounds = quantile_bounds(docs, id_col, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("bucket", range_bucket(F.col("id"), bounds)).withColumn("h", F.xxhash64("t"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pick(docs, id=id_col, t=text_col).withColumn("t", F.coalesce("t", F.lit(""))).withColumn("h", F.xxhash64("t"))
+    rows = rows.withColumn("bucket", ordered_bucket(F.col("id"), *quantile_bounds(docs, id_col, 4 * parts), F.col("h")))
     first = rows.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("f")).select("bucket", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"))
-    a, b = rows.alias("a"), F.broadcast(first).alias("b")  # as many rows as ranges
-    starts = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & F.col("a.id").eqNullSafe(F.col("b.fid")) & (F.col("a.h") == F.col("b.fh")))
-    head = starts.groupBy(F.col("a.bucket").alias("bucket")).agg(F.min("a.t").alias("head"))
-    order = Window.orderBy("bucket")
-    ends = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = head.withColumn("after", F.coalesce(F.lead("head").over(order), F.first("head").over(ends))).select("bucket", "after")
-    w = Window.partitionBy("bucket").orderBy("id", "h", "t")
-    rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("lead_t", F.lead("t").over(w))
-    rows = rows.join(F.broadcast(head), "bucket")  # a row a range: as many as four times the partitions
-    return rows.select("bucket", "pos", "id", "t", F.coalesce("lead_t", "after").alias("next_t"), F.col("lead_t").isNull().alias("last"))
+    order = Window.orderBy("bucket")  # a row a range: some times the partitions
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = materialize(first.withColumn("before", F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(whole))), "imatch-ranges")
+    leads = F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh"))
+    rows = rows.join(F.broadcast(first), "bucket")
+    places = F.array(F.struct("bucket", F.lit(False).alias("tail")), F.when(leads, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail"))))
+    rows = rows.select("id", "t", "h", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")).select("p.bucket", "p.tail", "id", "h", "t")
+    w = Window.partitionBy("bucket").orderBy("tail", "id", "h", "t")
+    rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("next_t", F.lead("t").over(w)).withColumn("last", F.lead("tail").over(w))
+    return rows.filter("not tail").select("bucket", "pos", "id", "t", "next_t", "last")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing subsets among those where either text has terms; 1 if the whole hashes agree."""
+    """Share of agreeing lexicons among those where either text has terms; 1 if the whole hashes agree."""
     pairs = F.arrays_zip(a["subsets"].alias("x"), b["subsets"].alias("y"))
     used = F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull())
     same = F.size(F.filter(used, lambda p: p["x"] == p["y"]))
@@ -85,20 +86,42 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(print_: Column) -> Column:
-    """16 hex digits for all terms, then 8 for each subset (dashes: no term)."""
+    """16 hex digits for all terms, then 8 for each randomised lexicon (dashes: no term)."""
     def digits(x: Column) -> Column:
         return F.coalesce(F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8)), F.lit("-" * 8))
 
     return F.lower(F.concat(F.lpad(F.hex(print_["whole"]), 16, "0"), F.array_join(F.transform(print_["subsets"], digits), "")))
 
 
+def print_of(listed: Column, chars: Column) -> Column:
+    """struct<whole,subsets> of a text's distinct terms, array<struct<term,kept>> (kept null: not in the lexicon)."""
+    def hashed(xs: Column) -> Column:
+        return F.xxhash64(F.transform(xs, lambda x: x["term"]))
+
+    def thinned(xs: Column, k: int) -> Column:
+        mine = F.filter(xs, lambda x: x["kept"].bitwiseAND(F.lit(1 << k)) != 0)
+        return F.get(F.transform(F.filter(F.array(mine), lambda m: F.size(m) > 0), hashed), F.lit(0))  # null if none
+
+    def of(v: Column) -> Column:
+        subsets = [thinned(v["few"] if width < 32 else v["band"], k) for k, width in enumerate(WIDTHS)]
+        whole = F.when(F.size(v["band"]) > 0, hashed(v["band"])).when(F.size(v["all"]) > 0, hashed(v["all"])).otherwise(chars)
+        return F.struct(whole.alias("whole"), F.array(*subsets).alias("subsets"))
+
+    sparse = sum(1 << k for k, width in enumerate(WIDTHS) if width < 32)
+    every = F.array_sort(listed)
+    step1 = F.transform(F.array(every), lambda xs: F.struct(xs.alias("all"), F.filter(xs, lambda x: x["kept"].isNotNull()).alias("band")))
+    step2 = F.transform(step1, lambda v: F.struct(v["all"].alias("all"), v["band"].alias("band"), F.filter(v["band"], lambda x: x["kept"].bitwiseAND(F.lit(sparse)) != 0).alias("few")))
+    return F.get(F.transform(step2, of), F.lit(0))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf_low: float = 1.6, idf_high: float = 6.9) -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, own, edited and next fingerprints (structs).
 
-    Texts move once, to stand beside their successor; the terms then meet the broadcast lexicon and are
-    folded per text where they are, since the ranges already keep a text's terms together.
+    Texts move once, to stand beside their successor; the terms then meet the lexicon and are gathered per text.
     """
     lexicon = band_lexicon(docs, text_col, idf_low, idf_high)
+    if lexicon.count() <= BROADCAST_TERMS:
+        lexicon = F.broadcast(lexicon)
     rows = with_next(docs, id_col, text_col)
     n = F.length("t")
     half = F.floor(n / 2).cast("int")
@@ -108,21 +131,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the next row's print is this range's next print, except at the end of a range
     by_role = (F.col("t"), F.col("edited"), F.when(F.col("last"), F.col("next_t")))
     texts = F.array(*[F.struct(F.lit(r).alias("role"), x.alias("x")) for r, x in enumerate(by_role)])
-    per = rows.select("bucket", "pos", "id", "n_chars", "sha", F.explode(F.filter(texts, lambda s: s["x"].isNotNull())).alias("s"))
-    per = per.select("bucket", "pos", "id", "n_chars", "sha", F.col("s.role").alias("role"), F.xxhash64("s.x").alias("chars"), F.explode_outer(terms(F.col("s.x"))).alias("term"))
-    hit = per.join(F.broadcast(lexicon.withColumn("known", F.lit(True))), "term", "left")
-    keys = ["bucket", "pos", "id", "n_chars", "sha", "role", "chars"]
-    salted = F.xxhash64(F.col("term"), F.lit(7))
-    folds = [F.bit_xor(F.when(F.col("subset") == k, salted)).alias(f"s{k}") for k in range(N_SUBSETS)]
-    folded = hit.groupBy(*keys).agg(F.bit_xor(F.when(F.col("known"), salted)).alias("band"), F.bit_xor(salted).alias("all"), *folds)
-    whole = F.coalesce("band", "all", "chars")
-    folded = folded.select("bucket", "pos", "id", "n_chars", "sha", "role", F.struct(whole.alias("whole"), F.array(*[F.col(f"s{k}") for k in range(N_SUBSETS)]).alias("subsets")).alias("p"))
-    out = folded.groupBy("bucket", "pos", "id", "n_chars", "sha").agg(*[F.max(F.when(F.col("role") == r, F.col("p"))).alias(a) for r, a in ((0, "own"), (1, "edited"), (2, "end"))])
+    row = F.struct("id", "n_chars", "sha").alias("row")
+    per = rows.select("bucket", "pos", row, F.explode(F.filter(texts, lambda s: s["x"].isNotNull())).alias("s"))
+    per = per.select("bucket", "pos", "row", F.col("s.role").alias("role"), F.xxhash64("s.x").alias("chars"), F.explode_outer(terms(F.col("s.x"))).alias("term"))
+    hit = per.join(lexicon, "term", "left")
+    term = F.when(F.col("term").isNotNull(), F.struct("term", "kept"))
+    folded = hit.groupBy("bucket", "pos", "role").agg(F.first("row").alias("row"), F.first("chars").alias("chars"), F.collect_list(term).alias("listed"))
+    folded = folded.select("bucket", "pos", "role", "row", print_of(F.col("listed"), F.col("chars")).alias("p"))
+    out = folded.groupBy("bucket", "pos").agg(F.first("row").alias("row"), *[F.max(F.when(F.col("role") == r, F.col("p"))).alias(a) for r, a in ((0, "own"), (1, "edited"), (2, "end"))])
     w = Window.partitionBy("bucket").orderBy("pos")
-    return out.withColumn("next", F.coalesce("end", F.lead("own").over(w))).select("id", "n_chars", F.col("sha").alias("edited_sha256"), "own", "edited", "next")
+    out = out.withColumn("next", F.coalesce("end", F.lead("own").over(w)))
+    return out.select("row.id", "row.n_chars", F.col("row.sha").alias("edited_sha256"), "own", "edited", "next")
 
 
 def op2_imatch(spark, sf_dir: str) -> DataFrame:
+    """All documents through :func:`fingerprints`; null text is empty, repeated rows each count, an empty table gives
+    no rows."""
     p = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     own, edited, after = F.col("own"), F.col("edited"), F.col("next")
     return p.select(

@@ -9,7 +9,7 @@ File layout (little-endian): data blocks, block index, Bloom filter, 64-byte foo
 * footer: index offset and length, filter offset and length, entries, ids (u64 each), 8 spare, magic.
 
 A key is 0x00 for a null id, else 0x01 and the id as big-endian with the sign bit turned, so bytes sort as ids
-do, null first. Equal ids may repeat, and stand in the order of their texts. A value is the ids as u32.
+do, null first. Equal ids may repeat, and stand in the order in which they were added. A value is the ids as u32.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import zstandard
 
 MAGIC = b"TMSST\x00\x01\n"
@@ -57,20 +58,24 @@ def _read_varint(buf, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def _hash_pair(key: bytes) -> tuple[int, int]:
+    return struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+
+
 def _probes(key: bytes, bits: int, hashes: int) -> Iterator[int]:
-    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
-    return ((a + i * b) % bits for i in range(hashes))
+    a, b = _hash_pair(key)
+    return (((a + i * b) & (1 << 64) - 1) % bits for i in range(hashes))
 
 
 class Writer:
-    """Keys must arrive in ascending order. Holds one block, the index and eight bytes or so a key."""
+    """Keys must arrive in ascending order. Holds one block, the index and 16 bytes a key (its hashes for the filter)."""
 
     def __init__(self, sink, block_bytes: int = 1 << 18):
         self.sink, self.block_bytes = sink, block_bytes
         self.at = self.docs = self.ids = self.before = 0
         self.zip = zstandard.ZstdCompressor(level=1)
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.hashes = array.array("Q")
         self.first = self.last = None
         self._clear()
 
@@ -94,7 +99,7 @@ class Writer:
             self.block_first = key
         self.n, self.prev, self.last = self.n + 1, key, key
         self.first = key if self.first is None else self.first
-        self.keys.append(key)
+        self.hashes.extend(_hash_pair(key))
         self.docs, self.ids = self.docs + 1, self.ids + len(value) // 4
         if self.size >= self.block_bytes:
             self._flush()
@@ -112,13 +117,13 @@ class Writer:
     def close(self) -> None:
         self._flush()
         index = b"".join(self.index)
-        bits = max(64, BLOOM_BITS * len(self.keys))
-        bloom = bytearray((bits + 7) // 8)
-        for k in self.keys:
-            for p in _probes(k, len(bloom) * 8, BLOOM_HASHES):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bloom = np.zeros((max(64, BLOOM_BITS * self.docs) + 7) // 8, np.uint8)
+        pairs = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+        for i in range(BLOOM_HASHES):
+            at = (pairs[:, 0] + np.uint64(i) * pairs[:, 1]) % np.uint64(len(bloom) * 8)
+            np.bitwise_or.at(bloom, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         self.sink.write(index)
-        self.sink.write(struct.pack("<I", BLOOM_HASHES) + bytes(bloom))
+        self.sink.write(struct.pack("<I", BLOOM_HASHES) + bloom.tobytes())
         self.sink.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom) + 4, self.docs, self.ids, MAGIC))
 
 
@@ -140,12 +145,17 @@ class Reader:
             self.blocks.append((key, *struct.unpack_from("<QIIQ", raw, at)))
             at += 24
 
-    def block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
+    def _load(self, i: int) -> tuple[bytes, list[int], int]:
+        """(data, restart offsets, end of the entries) of a block."""
         _, offset, length, _, _ = self.blocks[i]
         self.source.seek(offset)
         data = zstandard.ZstdDecompressor().decompress(self.source.read(length))
-        (restarts,) = struct.unpack_from("<I", data, len(data) - 4)
-        end, at, key = len(data) - 4 * (restarts + 1), 0, b""
+        (n,) = struct.unpack_from("<I", data, len(data) - 4)
+        end = len(data) - 4 * (n + 1)
+        return data, list(struct.unpack_from(f"<{n}I", data, end)), end
+
+    def _entries(self, data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
+        key = b""
         while at < end:
             shared, at = _read_varint(data, at)
             own, at = _read_varint(data, at)
@@ -155,6 +165,25 @@ class Reader:
             yield key, data[at : at + n]
             at += n
 
+    def block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
+        data, _, end = self._load(i)
+        return self._entries(data, 0, end)
+
+    def find(self, i: int, key: bytes) -> list[bytes]:
+        """Values of a key in a block: binary search of the restarts, then the entries from there."""
+        data, restarts, end = self._load(i)
+        low, high = 0, len(restarts)
+        while low < high:  # first restart at or after the key
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if next(self._entries(data, restarts[mid], end))[0] < key else (low, mid)
+        out = []
+        for k, v in self._entries(data, restarts[max(0, low - 1)], end):
+            if k > key:
+                break
+            if k == key:
+                out.append(v)
+        return out
+
     def may_hold(self, key: bytes) -> bool:
         if self._bloom is None:
             self.source.seek(self._bloom_at)
@@ -175,7 +204,7 @@ class Reader:
         for i in range(max(0, low - 1), len(self.blocks)):
             if self.blocks[i][0] > key:
                 break
-            out += [v for k, v in self.block(i) if k == key]
+            out += self.find(i, key)
         return out
 
 
@@ -197,7 +226,7 @@ class Encoder:
 
     Merges never cross the vocabulary's pre-split, and that never joins what a single space separates, so
     a text is cut at spaces, a new piece is pre-split, and the model encodes each part once. Texts whose
-    white space is irregular go through the library whole.
+    white space is irregular, and those that hold a special token's own spelling, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -206,7 +235,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         split, tokenize, table = regex.compile(public_tokenizers.PATTERN).findall, tok.model.tokenize, byte_alphabet()
 
         class Parts(dict):
@@ -225,13 +253,15 @@ class Encoder:
                 self[piece] = ids
                 return ids
 
+        special = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([IRREGULAR.pattern, *special])).search
         self.tok, self.split = tok, split
         self.parts = parts = Parts()
         self.pieces = Pieces()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian u32."""
-        if IRREGULAR.search(text):
+        if self.whole(text):
             return array.array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         head, *rest = text.split(" ")
         return b"".join(map(self.parts.__getitem__, self.split(head))) + b"".join(map(self.pieces.__getitem__, rest))

@@ -1,11 +1,12 @@
 """Token-id output: documents encoded, sorted by id and written as sorted-string-table shards, then read back.
 
-Rows are range-partitioned on the id, sorted within partitions, and each partition streams into one shard in
-the shared folder through the file system that its address names. A shard becomes part of the output only when
+Rows are range-partitioned on the id and, for repeated ids, a hash of the text, sorted within partitions, and each
+partition streams into one shard in the shared folder through the file system that its address names. A shard becomes part of the output only when
 its manifest row is committed, so a lost or repeated task leaves at most an unnamed file. Reading back lists
 the blocks of all shards and deals them out, so a large shard is not one task.
 
-Null text encodes as empty and still ends with the end id; a null id sorts first; repeated rows are all kept;
+Null text encodes as empty and still ends with the end id; a null id sorts first; repeated rows are all kept, those of
+one id in the order of a hash of their text; very long texts are values of their own;
 an empty table writes an empty manifest; further columns are ignored.
 """
 
@@ -58,7 +59,8 @@ def write_shards(docs: DataFrame, root: str, vocabulary: str, id_col: str = "doc
             row = [[f"{root}/{path.rsplit('/', 1)[1]}"], [writer.first], [writer.last], [writer.docs], [writer.ids], [size]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["path", "first_key", "last_key", "n_docs", "n_ids", "n_bytes"])
 
-    rows = pick(docs, id=id_col, t=text_col).repartitionByRange("id").sortWithinPartitions("id", "t")
+    rows = pick(docs, id=id_col, t=text_col).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "t").select("id", "t")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(key)
     spark.conf.set(key, "500")  # texts can be long
@@ -109,6 +111,37 @@ def read_shards(manifest: DataFrame, blocks_per_task: int = 64) -> DataFrame:
     return tasks.mapInArrow(tidy(read), ENTRIES)
 
 
+def lookup(manifest: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32) of each stored document whose id is among ``ids``, found in the shards by filter,
+    sparse index and restarts. Wanted ids meet the shards whose key range holds them; no shard is read whole."""
+    wanted = ids.select(ids[id_col].alias("id")).distinct()
+    shards = manifest.select("path", "n_bytes", "first_key", "last_key")
+    key = F.when(F.col("id").isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))))
+    asked = wanted.withColumn("key", key).join(F.broadcast(shards), F.col("key").between(F.col("first_key"), F.col("last_key")))  # a row a shard
+
+    def find(batches):
+        import pyarrow as pa
+
+        path = reader = source = None
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                if x["path"] != path:
+                    if source is not None:
+                        source.close()
+                    system, at = filesystem(x["path"])
+                    path, source = x["path"], system.open_input_file(at)
+                    reader = sstable.Reader(source, x["n_bytes"])
+                out += [(x["id"], len(v) // 4, sstable.crc(v)) for v in reader.get(x["id"])]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "n_tokens", "ids_crc32"])
+        if source is not None:
+            source.close()
+
+    asked = asked.repartition("path").sortWithinPartitions("path", "id").select("id", "path", "n_bytes")
+    return asked.mapInArrow(tidy(find), "doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -123,4 +156,6 @@ def token_table(docs: DataFrame, vocabulary: str | None = None, root: str | None
 
 
 def op1_token_shards(spark, sf_dir: str) -> DataFrame:
+    """All documents through :func:`token_table`; null text is the end id alone, null ids come first, an empty table
+    gives no rows."""
     return token_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
