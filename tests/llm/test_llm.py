@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -24,6 +25,12 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", "y", 1) for i, t, s in rows], DOCS)
 
 
+def DOCS_OF(spark, cache={}):  # noqa: B006, N802
+    if not cache:
+        cache["rows"] = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    return cache["rows"]
+
+
 ODD = [(1, "alpha beta gamma delta epsilon zeta", "a"), (None, "alpha beta", None), (2, None, "a"), (3, "", "b"), (1, "alpha beta gamma delta epsilon zeta", "a"), (4, "word " * 40_000, "a"), (-5, "ñandú  \n tab\t😀 end ", "b")]
 
 
@@ -33,9 +40,7 @@ ODD = [(1, "alpha beta gamma delta epsilon zeta", "a"), (None, "alpha beta", Non
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(token_shards.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(token_shards.default_vocabulary())
 
 
 def test_encoder_is_the_library():
@@ -44,6 +49,8 @@ def test_encoder_is_the_library():
     for _ in range(3000):
         x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16)))
         assert enc(x) == array.array("I", tok.encode(x, add_special_tokens=False).ids).tobytes(), repr(x)
+    special = "a <|endoftext|> b"
+    assert enc(special) == array.array("I", tok.encode(special, add_special_tokens=False).ids).tobytes()
 
 
 def test_sstable_round_trip_and_lookup():
@@ -56,6 +63,7 @@ def test_sstable_round_trip_and_lookup():
     r = sstable.Reader(sink, sink.tell())
     got = [(sstable.id_of(k), len(v) // 4) for b in range(len(r.blocks)) for k, v in r.block(b)]
     assert got == [(k, i % 9) for i, k in enumerate(keys)] and len(r.blocks) > 5
+    assert all(len(r.get(k)) == keys.count(k) for k in keys)
     assert len(r.get(40)) == 2 and len(r.get(None)) == 1 and r.get(43) == [] and r.get(10**9) == []
     with pytest.raises(ValueError):
         w.add(sstable.key_of(None), b"")
@@ -73,11 +81,20 @@ def test_token_table(spark, rows):
     assert [tuple(r) for r in got] == want
 
 
+def test_token_lookup(spark):
+    docs = table(spark, [*ODD, (5, "a <|endoftext|> b", "a")])
+    manifest = token_shards.write_shards(docs, token_shards.scratch(spark, "t"), token_shards.default_vocabulary(), block_bytes=16)
+    ids = spark.createDataFrame([(1,), (None,), (5,), (77,), (-5,)], "doc_id bigint")
+    got = token_shards.lookup(manifest, ids).collect()
+    want = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_shards.read_shards(manifest).collect() if r.doc_id in (1, None, 5, -5)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) == 5
+
+
 # 2 ----------------------------------------------------------------------------------------------------------
 
 
 def test_imatch_order_and_edits(spark):
-    rows = [(i, t, s) for i, t, s in ODD if i != 4]
+    rows = ODD
     got = sorted(imatch.fingerprints(table(spark, rows)).collect(), key=lambda r: (r.id is not None, r.id or 0))
     texts = [t or "" for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
     for r, a, b in zip(got, texts, texts[1:] + texts[:1], strict=True):
@@ -86,6 +103,40 @@ def test_imatch_order_and_edits(spark):
     same = [r.own for r in got if r.id == 1]
     assert same[0] == same[1]
     assert imatch.fingerprints(table(spark, [])).count() == 0
+    one = imatch.fingerprints(table(spark, ODD[:1])).first()
+    assert one.edited_sha256 == hashlib.sha256((ODD[0][1][:18] + ODD[0][1][:18]).encode()).hexdigest() and one.next == one.own
+
+
+def test_imatch_prints_equal_brute_force(spark):
+    """Band, thinned lexicons and the order of terms, recomputed term by term; only the hash itself is Spark's."""
+    docs = spark.createDataFrame(spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(120).collect())
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    hashes = {w: None for t in text.values() for w in re.findall(r"[^\W_]+", t.lower())}
+    for r in spark.createDataFrame([(w,) for w in hashes], "w string").select("w", F.xxhash64("w").alias("h"), imatch.kept_by(F.xxhash64("w")).alias("k")).collect():
+        hashes[r.w] = (r.h, r.k)
+    sets = {i: {hashes[w] for w in re.findall(r"[^\W_]+", t.lower())} for i, t in text.items()}
+    df = {}
+    for s in sets.values():
+        for x in s:
+            df[x] = df.get(x, 0) + 1
+    n = len(text)
+    band = {x for x, k in df.items() if max(2, n * math.exp(-6.9)) <= k <= n * math.exp(-1.6)}
+    lists = []
+    for i, s in sets.items():
+        own = sorted(s & band)
+        lists.append((i, [h for h, _ in own] or [h for h, _ in sorted(s)], [[h for h, k in own if k >> j & 1] for j in range(imatch.N_SUBSETS)]))
+    want = spark.createDataFrame(lists, "id bigint, w array<bigint>, s array<array<bigint>>")
+    want = {r.id: (r.w, r.s) for r in want.select("id", F.xxhash64("w").alias("w"), F.transform("s", lambda x: F.when(F.size(x) > 0, F.xxhash64(x))).alias("s")).collect()}
+    got = imatch.fingerprints(docs).collect()
+    for r in got:
+        if sets[r.id]:
+            assert (r.own.whole, r.own.subsets) == want[r.id]
+    widths = [sum(k >> j & 1 for _, k in hashes.values()) / len(hashes) for j in range(imatch.N_SUBSETS)]
+    assert all(abs(x - w / 256) < 4 * math.sqrt(w / 256 / len(hashes)) for x, w in zip(widths, imatch.WIDTHS, strict=True))
+    by = {r.id: r for r in got}
+    ids = sorted(by)
+    for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
+        assert by[a].next == by[b].own
 
 
 def test_imatch_likeness(spark):
@@ -122,16 +173,13 @@ def test_toxicity_learns_and_locates(spark):
             assert re.search("vile|gross", rows[i][1][r["at"] : r.upto])
 
 
-def test_toxicity_is_not_length():
-    import pandas as pd
-
-    rng, memo = random.Random(5), toxicity._Memo()
+def test_toxicity_is_not_length(spark):
+    rng = random.Random(5)
     plain = [f"w{i}" for i in range(300)]
     sentence = lambda: " ".join(rng.choices(plain, k=8))
     texts = [". ".join([sentence() for _ in range(rng.randint(1, 12))] + ["so vile"] * (i % 5 == 0)) for i in range(600)]
-    bags = [toxicity.featurise(t, memo) for t in texts]
-    sample = pd.DataFrame({"y": [int(i % 5 == 0) for i in range(600)], "f": [np.concatenate(b).tobytes() for b in bags], "e": [np.cumsum([len(x) for x in b], dtype=np.int32).tobytes() for b in bags]})
-    weights, bias = toxicity.fit(sample)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    weights, bias = toxicity.train(table(spark, [(i, t, "a") for i, t in enumerate(texts)]), labels)
     score = toxicity.scorer(weights, bias)
     clean = "calm words here. " * 50_000
     assert score(clean) == (0.0, 0.0, None, None)
@@ -140,6 +188,32 @@ def test_toxicity_is_not_length():
     assert np.mean([(score(t)[0] >= 0.7) == (i % 5 == 0) for i, t in enumerate(texts)]) > 0.99
 
 
+def test_toxicity_counts_and_scores_equal_brute_force(spark):
+    rng = random.Random(15)
+    rows = [(i, ". ".join(" ".join(rng.choices(["calm", "blue", "vile", "grim", "sea"], k=3)) for _ in range(rng.randint(1, 4))), "a") for i in range(300)]
+    toxic = {i: int("vile" in t) for i, t, _ in rows}
+    docs, labels = table(spark, rows), spark.createDataFrame(list(toxic.items()), "doc_id bigint, toxic int")
+    sample = toxicity.sample_bags(docs, labels, "doc_id", "text", "toxic", lambda k: F.lit(True), 4000)
+    df, pos, base = {}, {}, np.mean(list(toxic.values()))
+    for i, t, _ in rows:
+        for x in {x for w in re.findall(r"\w+", t) for x in toxicity.word_features(w)}:
+            df[x], pos[x] = df.get(x, 0) + 1, pos.get(x, 0) + toxic[i]
+
+    def gain(x):
+        q = pos[x] / df[x]
+        return df[x] * ((q * math.log(q / base) if q else 0) + ((1 - q) * math.log((1 - q) / (1 - base)) if q < 1 else 0))
+
+    bar = math.log(max(2, sum(n > 2 for n in df.values()))) - 1
+    assert toxicity.telling(sample) == sorted(x for x in df if pos[x] / df[x] > base and gain(x) > bar)
+    weights, bias = toxicity.train(docs, labels)
+    for r in toxicity.score_documents(docs, weights, bias).collect():
+        quiet = 1.0
+        for s in rows[r.id][1].split("."):
+            hits = {x for w in re.findall(r"\w+", s) for x in toxicity.word_features(w) if x in weights}
+            quiet *= 1 - (1 / (1 + math.exp(-bias - sum(weights[x] for x in hits))) if hits else 0)
+        assert abs(r.score - (1 - quiet)) < 1e-9
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     weights, bias = toxicity.train(table(spark, ODD), labels)
@@ -166,6 +240,33 @@ def test_secret_scan_base_equals_brute_force(spark):
         assert [(x.start, x.rank, x.end) for x in r.base] == want, text
 
 
+def test_secret_spans_are_linear_and_whole(spark):
+    rng = random.Random(21)
+    many = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000))
+    mess = "".join(rng.choice(["é ", "x", "0123456789abcdef" * 2 + " ", "AKIA" + "Q7" * 8 + "\n", "token=abcdefgh9 "]) for _ in range(3000))
+    rows = [(1, many, "a"), (2, mess, "a"), (2, mess, "a"), (3, "", "a")]
+    began = time.perf_counter()
+    got = secret_scan.secret_spans(table(spark, rows)).collect()
+    assert time.perf_counter() - began < 60
+    for r in got:
+        text = {1: many, 2: mess, 3: ""}[r.id]
+        want = sorted((m.start(), k, m.end()) for k, (_, p, n, g) in enumerate(PATTERNS) for m in p.finditer(text) if len(m[g]) >= n)
+        assert [(x.start, x.rank, x.end) for x in r.base] == want
+    assert len(got) == 4 and secret_scan.secret_spans(table(spark, [])).count() == 0
+
+
+def test_secret_digest_columns(spark):
+    for r in secret_scan.op4_secret_scan(spark, SF).collect():
+        text = next(d.text for d in DOCS_OF(spark) if d.doc_id == r.doc_id) or ""
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, n, g) in enumerate(PATTERNS) for m in p.finditer(text) if len(m[g]) >= n)
+        base = [f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in spans]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        every = r.spans.split(",") if r.spans else []
+        assert [x for x in every if not x.startswith("entropy")] == base and len(every) - len(base) == r.n_entropy
+        starts = [int(x.split(":")[1]) for x in every]
+        assert starts == sorted(starts) and [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+
+
 def entropy(window):
     n = len(window)
     return -sum(window.count(c) / n * math.log2(window.count(c) / n) for c in set(window))

@@ -10,9 +10,10 @@ distinct shingles, not their weights.
 
 Equal texts are one node. Nodes that share a band of five registers are candidates; each candidate pair is
 verified on its shingle multisets, and classes are the connected components of the pairs at or above the
-threshold. Buckets are first tested against hub members, then, where a bucket still spans several classes,
-all against all across classes inside tasks of bounded size, which report only links that join classes; so
-no link between bucket mates is lost, and neither copies nor pairs are multiplied out.
+threshold. Buckets are first tested against hub members. Where a bucket still spans several classes, its texts
+outside its largest class are compared with all others inside tasks of bounded size, which report only links that
+join classes; so no link between bucket mates is lost, and neither copies nor pairs are multiplied out. Hubs, roots
+and other keys that many rows share are dealt to several tasks (``join_hot``).
 
 Null text reads as empty; texts without words are linked only if equal; repeated rows share a class; null ids
 take part and are named last; an empty table gives no rows; further columns are ignored.
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, small_batches, tidy, trim
+from .common import join_hot, materialize, pick, small_batches, tidy, trim
 from .decontaminate import slices
 
 WORD = re.compile(r"\w+")
@@ -184,7 +185,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) of the pairs (a, b: digests) whose bags overlap enough. Texts travel to their pairs."""
+    """(a, b, sim) of the pairs (a, b: digests, b often a hub) whose bags overlap enough. Texts travel to their pairs."""
 
     def test(batches):
         import pyarrow as pa
@@ -202,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64())]))
 
     one = pairs.join(texts.select(F.col("th").alias("a"), F.col("t").alias("ta")), "a")
-    both = one.join(texts.select(F.col("th").alias("b"), F.col("t").alias("tb")), "b")
+    both = join_hot(one, texts.select(F.col("th").alias("b"), F.col("t").alias("tb")), "b", "a", keys=pairs)
     return both.select("a", "b", "ta", "tb").mapInArrow(tidy(test), "a binary, b binary, sim double")
 
 
@@ -222,26 +223,25 @@ def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
     one = pairs.join(nodes.select(F.col("th").alias("a"), F.col("sig").alias("sa")), "a")
-    both = one.join(nodes.select(F.col("th").alias("b"), F.col("sig").alias("sb")), "b")
+    both = join_hot(one, nodes.select(F.col("th").alias("b"), F.col("sig").alias("sb")), "b", "a", keys=pairs)
     return both.select("a", "b", "sa", "sb").mapInArrow(tidy(test), "a binary, b binary")
 
 
-#: Texts of a bucket that one task compares with as many others.
-BLOCK = 1500
+#: Texts of a bucket, and their shingles, that one task compares with as many others.
+BLOCK, BLOCK_WEIGHT = 1500, 600_000
 
 
 def joining(bags, root: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Row pairs at or above the threshold that join different classes: a forest, from exact overlaps.
 
-    ``side``: two values compare across only, one compares all. The k-th copy of a shingle counts as an
-    element of its own, so overlaps are inner products of 0/1 rows, summed over slices of the elements that
-    two rows at least have. Rows of the largest class need no comparison among themselves.
+    Rows whose ``side`` is 1 are compared with all others, where none is 1 all rows are. The k-th copy of a shingle
+    counts as an element of its own, so overlaps are inner products of 0/1 rows, summed over slices of the elements
+    that two rows at least have. Rows of the largest class need no comparison among themselves.
     """
     classes, number = np.unique(root, return_inverse=True)
     if len(classes) < 2:
         return []
-    main = np.bincount(number).argmax()
-    u = np.flatnonzero(number != main)
+    u = np.flatnonzero(side == 1) if (side == 1).any() else np.flatnonzero(number != np.bincount(number).argmax())
     keys, rows = [], []
     for i, (k, c) in enumerate(bags):
         copies = np.repeat(k, c) + times_gold(1) * (np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64)
@@ -262,8 +262,6 @@ def joining(bags, root: np.ndarray, side: np.ndarray, threshold: float) -> list[
         both += part[u] @ part.T
     near = both >= threshold * (size[u][:, None] + size[None, :] - both) - 1e-6
     near &= (size[u] > 0)[:, None] & (number[u][:, None] != number[None, :])
-    if len(np.unique(side)) > 1:
-        near &= side[u][:, None] != side[None, :]
     up = np.arange(len(classes))
 
     def find(x: int) -> int:
@@ -281,22 +279,32 @@ def joining(bags, root: np.ndarray, side: np.ndarray, threshold: float) -> list[
 
 
 def links_across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) links between texts of one bucket (bk, th, root, n) that belong to different classes.
+    """(a, b) links between texts of one bucket (bk, th, weight, root) that belong to different classes.
 
-    A bucket of n texts is cut into blocks of about BLOCK, and each task compares two blocks.
+    The texts outside a bucket's largest class, in blocks, meet all its texts, in blocks; a task compares two blocks.
     """
     import pandas as pd
 
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = members.withColumn("own", F.pmod(F.xxhash64("th"), parts).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    cut = cut.select("bk", "th", "root", "own", other.alias("o")).select("bk", "th", "root", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    classes = members.groupBy("bk", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    big = F.max(F.struct("n", "w", "root"))
+    buckets = classes.groupBy("bk").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"), big.alias("m")).filter("k > 1")
+
+    def blocks(n, w):
+        return F.ceil(F.greatest(n / BLOCK, w / BLOCK_WEIGHT)).cast("int")
+
+    buckets = buckets.select("bk", F.col("m.root").alias("main"), blocks(F.col("n"), F.col("w")).alias("wide"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("narrow"))
+    cut = join_hot(members, materialize(buckets, "bag-open"), "bk", "th")
+    j, i = F.pmod(F.xxhash64("th"), "wide").cast("int"), F.pmod(F.xxhash64("th", F.lit(1)), "narrow").cast("int")
+    as_all = F.transform(F.sequence(F.lit(0), F.col("narrow") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(1).alias("side")))
+    placed = F.when(F.col("root") == F.col("main"), as_all).otherwise(F.concat(as_all, as_other))
+    cut = cut.select("bk", "th", "root", F.explode(placed).alias("p")).select("bk", "th", "root", "p.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         bags = shingle_bags(pdf["t"].tolist(), _Words())
         root = np.array([r.hex() for r in pdf["root"]])
         th = pdf["th"].tolist()
-        pairs = joining(bags, root, pdf["own"].to_numpy(), threshold)
+        pairs = joining(bags, root, pdf["side"].to_numpy(), threshold) if (pdf["side"] == 1).any() else []
         if len(th) > 500:
             del bags
             trim()
@@ -309,22 +317,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root): least vertex of each component, for the vertices of ``edges`` (a, b).
 
     Labels fall to the least among neighbours' and are then followed once; rounds grow with the logarithm
-    of a component's diameter in the usual case. Only counts reach the driver.
+    of a component's diameter in the usual case. Only counts reach the driver. A vertex of many edges, or a root of
+    many vertices, is no one task's work.
     """
     both = materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     label = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "cc-labels")
     while True:
-        low = both.join(label.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
+        low = join_hot(both, label.select(F.col("v").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
         new = label.join(low, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         new = materialize(new, "cc-step")
         up = new.select(F.col("v").alias("root"), F.col("root").alias("over"))
-        new = materialize(new.join(up, "root", "left").select("v", F.least("root", F.coalesce("over", "root")).alias("root"), "was"), "cc-labels")
+        new = materialize(join_hot(new, up, "root", "v", "left").select("v", F.least("root", F.coalesce("over", "root")).alias("root"), "was"), "cc-labels")
         changed = not new.filter("root <> was").isEmpty()
         label = new.select("v", "root")
         if not changed:
             return label
 
 
+def rooted(th: DataFrame, label: DataFrame) -> DataFrame:
+    """``th`` with the root of each digest: its own where it has no link."""
+    return th.join(label.withColumnRenamed("v", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+
+
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per input row: id, th, root, class_id.
 
@@ -336,30 +350,32 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     node = materialize(node, "bag-nodes")
     member = node.select("th", "weight", F.explode("bands").alias("bk"))
     shared = member.groupBy("bk").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("low"), F.max("th").alias("high")).filter("n > 1").select("bk", "low", "high")
-    member = materialize(member.join(shared, "bk"), "bag-members")
+    member = materialize(join_hot(member, shared, "bk", "th"), "bag-members")
 
     hubs = member.select("th", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).filter("th <> hub")
-    pairs = materialize(hubs.select(F.greatest("th", "hub").alias("a"), F.least("th", "hub").alias("b")).distinct(), "bag-pairs")
+    once = hubs.groupBy(F.greatest("th", "hub").alias("x"), F.least("th", "hub").alias("y")).agg(F.min("hub").alias("b"))
+    pairs = materialize(once.select(F.when(F.col("x") == F.col("b"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "bag-pairs")  # b: the hub
     # every text that a pair can need, once
     needed = member.select("th").distinct()
     t = pick(docs, t=text_col).select(F.coalesce("t", F.lit("")).alias("t"))
-    t = t.select(F.unhex(F.md5("t")).alias("th"), "t").join(needed, "th", "left_semi").dropDuplicates(["th"])
+    t = t.select(F.unhex(F.md5("t")).alias("th"), "t").dropDuplicates(["th"]).join(needed, "th", "left_semi")
     texts = materialize(t, "bag-texts")
     near = threshold - 0.2  # 128 registers stray by 0.2 once in a million pairs
-    links = materialize(verified(alike(pairs, node, near), texts, threshold), "bag-links")
+    links = materialize(verified(materialize(alike(pairs, node, near), "bag-alike"), texts, threshold), "bag-links")
     label = components(links)
 
-    placed = member.select("bk", "th").join(label.withColumnRenamed("v", "th"), "th", "left").select("bk", "th", F.coalesce("root", "th").alias("root"))
-    placed = materialize(placed, "bag-placed")
-    open_ = placed.groupBy("bk").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("bk", "n")
-    more = materialize(links_across(placed.join(open_, "bk"), texts, threshold), "bag-more")
-    if not more.isEmpty():
-        label = components(links.select("a", "b").unionAll(more))
+    placed = materialize(rooted(member.select("bk", "th", "weight"), label), "bag-placed")
+    more = materialize(links_across(placed, texts, threshold), "bag-more")
+    if not more.isEmpty():  # what is already one class is one vertex now
+        a, b = (rooted(more.select(F.col(c).alias("th"), F.monotonically_increasing_id().alias("e")), label).select("e", F.col("root").alias(c)) for c in ("a", "b"))
+        again = components(a.join(b, "e").select("a", "b").filter("a <> b")).select(F.col("v").alias("root"), F.col("root").alias("top"))
+        label = materialize(rooted(node.select("th"), label), "bag-roots")
+        label = join_hot(label, again, "root", "th", "left").select(F.col("th").alias("v"), F.coalesce("top", "root").alias("root"))
 
-    named = node.select("th", "id").join(label.withColumnRenamed("v", "th"), "th", "left").select("th", "id", F.coalesce("root", "th").alias("root"))
+    named = materialize(rooted(node.select("th", "id"), label), "bag-named")
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(least, "root").select("th", "root", "class_id")
-    return rows.select("id", "th").join(named, "th").select("id", "th", "root", "class_id")
+    named = join_hot(named, least, "root", "th").select("th", "root", "class_id")
+    return join_hot(rows.select("id", "th"), named, "th", "id").select("id", "th", "root", "class_id")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -373,5 +389,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_bagminhash(spark, sf_dir: str) -> DataFrame:
+    """All documents with their class: null text is empty, null ids take part, an empty table gives no rows."""
     out = duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "class_id", F.lower(F.hex("root")).alias("class_key"))

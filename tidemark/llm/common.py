@@ -121,27 +121,33 @@ def range_bucket(col: Column, bounds: list[int]) -> Column:
     return F.when(col.isNull(), -1).otherwise(F.aggregate(steps, start, halve, lambda a: a["low"]))
 
 
-def ordered_bucket(value: Column, bounds: list[int], hot: list[int], tie: Column) -> Column:
-    """A bucket monotone in (value, tie), nulls first. Rows of null and of each value in ``hot`` are dealt to 64 buckets
-    by the top bits of ``tie``, a hash; a hot value is a bound, so its rows come first in its range."""
-    fine = (F.shiftright(tie, 58) + 32).cast("long")
+def by_hash(tie: Column) -> Column:
+    """0 to 63 by the top bits of a hash, in its order."""
+    return (F.shiftright(tie, 58) + 32).cast("long")
+
+
+def ordered_bucket(value: Column, bounds: list[int], hot: list[int], fine: Column, n_fine: int = 64) -> Column:
+    """A bucket monotone in (value, fine), nulls first. Rows of null and of each value in ``hot`` are dealt to buckets by
+    ``fine`` (0 to ``n_fine`` - 1); a hot value is a bound, so its rows come first in its range."""
     crowded = value.isNull() | value.isin(hot) if hot else value.isNull()
-    return (range_bucket(value, bounds).cast("long") + 1) * 65 + F.when(crowded, fine).otherwise(F.lit(64).cast("long"))
+    return (range_bucket(value, bounds).cast("long") + 1) * (n_fine + 1) + F.when(crowded, fine.cast("long")).otherwise(F.lit(n_fine).cast("long"))
 
 
 #: A key is hot if it has more rows than this and than a quarter of a task's even share.
 HOT_ROWS = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, tie: str, how: str = "inner", spread: int = 32) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, tie: str, how: str = "inner", spread: int = 32, keys: DataFrame | None = None) -> DataFrame:
     """``left.join(right, key, how)`` where ``right`` has one row a key and ``left`` may hold one key very often.
+    ``keys``: a frame with the keys of ``left`` that is cheaper to read.
 
     Hot keys number at most four times the shuffle partitions, so the list of them is broadcast; their rows on the
     left are dealt to ``spread`` tasks by a hash of ``tie``, and on the right are copied to each of those.
     """
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = max(HOT_ROWS, left.count() // (4 * parts))
-    hot = materialize(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key), "hot-keys")
+    keys = left if keys is None else keys
+    least = max(HOT_ROWS, keys.count() // (4 * parts))
+    hot = materialize(keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key), "hot-keys")
     if hot.isEmpty():
         return left.join(right, key, how)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))

@@ -9,24 +9,30 @@ embedding are the keys of the hash tables, repeated over walks and samples until
 
 Words are runs of letters, digits and underscores, lower-cased. Null and empty texts hold nothing; passages
 of fewer than 1 / ``tolerance`` words match exactly and those without words are skipped; repeated rows are
-judged alike; an empty benchmark finds nothing; further columns are ignored. The benchmark is a stated query set and is broadcast: at most ``max_items`` passages.
+judged alike; an empty benchmark finds nothing; very long texts are scanned in parts; further columns are ignored.
+
+The benchmark is a stated query set. It is broadcast in blocks of at most ``max_items`` passages and about
+``max_bytes`` bytes, and all rows meet one block after the other, so its size is not limited by a task's memory.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, tidy
+from .common import materialize, pick, small_batches, tidy
 
 WORD = re.compile(r"\w+")
 TOLERANCE = 0.2
 WALKS, SAMPLES, KEYS = 4, 16, 3
 END = np.int64(1 << 40)
+#: Array cells of one pass over windows or alignments.
+CELLS = 1_500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +56,7 @@ class Index:
             shared[np.unique(a)] += 1
         size = np.array([0] + [len(w) for w in sorted(self.vocab)])
         rng = np.random.default_rng(seed)
+        self.hash = _mix(np.arange(len(self.vocab) + 1, dtype=np.uint64) + np.uint64(1 << 32))  # the words', for the walks' bits
         self.lengths: dict[int, dict] = {}
         for n in sorted({len(a) for _, a in self.items}):
             own = [(i, a) for i, a in self.items if len(a) == n]
@@ -59,9 +66,9 @@ class Index:
                 rare[a[np.lexsort((-size[a], shared[a]))[: spare + 1]]] = True
             steps, most = 3 * n, min(keys, 3 * n * 2 // 3)
             tables = (walks, samples) if n > 1 else (1, 1)  # any table finds every window of one word
-            bits = rng.integers(0, 2, (walks, steps, len(self.vocab) + 1), dtype=np.int8)
+            odd = rng.integers(0, 1 << 63, (walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             picks = np.sort(np.array([[rng.choice(steps * 2 // 3, most, replace=False) for _ in range(tables[1])] for _ in range(tables[0])]), axis=2)
-            x = {"ids": [i for i, _ in own], "a": np.stack([a for _, a in own]), "spare": spare, "rare": rare, "bits": bits, "picks": picks}
+            x = {"ids": [i for i, _ in own], "a": np.stack([a for _, a in own]), "spare": spare, "rare": rare, "odd": odd, "picks": picks}
             self.lengths[n] = x
             x["tables"] = []
             for w, s, key in self.hashes(x, x["a"]):
@@ -71,9 +78,11 @@ class Index:
 
     def hashes(self, x: dict, windows: np.ndarray):
         """(walk, sample, key of each window): the CGK walk writes the word under its pointer and moves on
-        by the bit that step and word decide; a key is the words written at sampled steps."""
+        by the bit that step and word decide (the top bit of the word's hash times an odd number of the step); a
+        key is the words written at sampled steps."""
         n, length = windows.shape
         padded = np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1)
+        hashed = self.hash[padded]
         rows = np.arange(n)
         for w in range(len(x["picks"])):
             last = int(x["picks"][w].max())
@@ -83,7 +92,7 @@ class Index:
                 word = padded[rows, at]
                 over = at >= length
                 written[j] = np.where(over, END, word)
-                at = np.where(over, at, at + x["bits"][w, j][word])
+                at = np.where(over, at, at + (hashed[rows, at] * x["odd"][w, j] >> np.uint64(63)).astype(np.int64))
             for s in range(len(x["picks"][w])):
                 key = np.full(n, w * 64 + s, np.uint64)
                 for j in x["picks"][w, s]:
@@ -106,9 +115,9 @@ class Index:
             if len(starts):
                 rare = np.concatenate([[0], np.cumsum(x["rare"][text], dtype=np.int32)])
                 starts = starts[rare[starts + n] > rare[starts]]
-            found = []
-            for low in range(0, len(starts), 20_000):
-                s = starts[low : low + 20_000]
+            found, rows = [], max(1, CELLS // (n + 1))
+            for low in range(0, len(starts), rows):
+                s = starts[low : low + rows]
                 win = text[s[:, None] + np.arange(n)]
                 for (_, _, key), (keys, order) in zip(self.hashes(x, win), x["tables"], strict=True):
                     a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
@@ -126,9 +135,9 @@ class Index:
         """Fewest edits from each passage to a stretch of the text around the window (free ends)."""
         x = self.lengths[n]
         k = x["spare"]
-        best = np.empty(len(pairs), np.int64)
-        for low in range(0, len(pairs), 20_000):
-            p = pairs[low : low + 20_000]
+        best, rows = np.empty(len(pairs), np.int64), max(1, CELLS // (n + 2 * k))
+        for low in range(0, len(pairs), rows):
+            p = pairs[low : low + rows]
             cols = p[:, :1] - k + np.arange(n + 2 * k)
             seg = np.where((cols >= 0) & (cols < len(text)), text[np.clip(cols, 0, len(text) - 1)], 0)
             item = x["a"][p[:, 1]]
@@ -139,7 +148,7 @@ class Index:
                 new[:, 0] = i + 1
                 new[:, 1:] = np.minimum(row[:, :-1] + (seg != item[:, i : i + 1]), row[:, 1:] + 1)
                 row = np.minimum.accumulate(new - step, axis=1) + step
-            best[low : low + 20_000] = row.min(axis=1)
+            best[low : low + rows] = row.min(axis=1)
         return best
 
     def scan(self, texts: list[str]) -> list[dict[int, int]]:
@@ -177,53 +186,93 @@ def slices(batch, column: int, chars: int = 4_000_000):
         yield batch.slice(low)
 
 
-def passages(benchmark: DataFrame, item_id: str, item_text: str, max_items: int):
-    """Broadcast (id, text) of the benchmark, a stated query set: more than ``max_items`` is an error."""
-    rows = benchmark.select(benchmark[item_id], benchmark[item_text]).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} passages: give the benchmark in parts")
-    return benchmark.sparkSession.sparkContext.broadcast(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+MAX_ITEMS, MAX_BYTES = 100_000, 32_000_000
+_built: dict[str, Index] = {}
+
+
+def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, max_items: int, max_bytes: int) -> list:
+    """Broadcasts (key, passages) of the benchmark in blocks of bounded rows and bytes; each block alone is collected."""
+    rows = benchmark.select(benchmark[item_id].alias("i"), benchmark[item_text].alias("t"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size["n"] * 5 // (4 * max_items)), -(-size["b"] * 5 // (4 * max_bytes)))  # a fifth to spare, as they are dealt by hash
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    out = []
+    for k in range(blocks):
+        got = rows.filter(block == k).collect() if blocks > 1 else rows.collect()
+        items = sorted(((r[0], r[1]) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        out.append(benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items)))
+    return out
+
+
+def index_of(block, tolerance: float) -> Index:
+    """The index of a block, built once in a Python worker; the worker keeps the last one only."""
+    key, items = block.value
+    name = f"{key}:{tolerance}"
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(items, tolerance)
+    return _built[name]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", max_items: int = 100_000, tolerance: float = TOLERANCE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", max_items: int = MAX_ITEMS, tolerance: float = TOLERANCE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per input row: id, items (array of leaked passages, ascending), edits (fewest of each)."""
-    items = passages(benchmark, item_id, item_text, max_items)
+    blocks = blocks_of(benchmark, item_id, item_text, max_items, max_bytes)
 
-    def scan(batches):
-        import pyarrow as pa
+    def scan_with(block):
+        def scan(batches):
+            import pyarrow as pa
 
-        index = Index(items.value, tolerance)
-        for batch in batches:
-            for part in slices(batch, 1):
-                found = index.scan([t or "" for t in part.column(1).to_pylist()])
-                keys = [sorted(d, key=lambda k: (k is None, k or 0)) for d in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([[d[k] for k in ks] for d, ks in zip(found, keys, strict=True)], pa.list_(pa.int64()))], names=["id", "items", "edits"]
-                )
+            index = index_of(block, tolerance)
+            for batch in batches:
+                for part in slices(batch, 1):
+                    found = index.scan([t or "" for t in part.column(1).to_pylist()])
+                    keys = [sorted(d, key=lambda k: (k is None, k or 0)) for d in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([[d[k] for k in ks] for d, ks in zip(found, keys, strict=True)], pa.list_(pa.int64()))], names=["id", "items", "edits"]
+                    )
+
+        return tidy(scan)
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id=id_col, t=text_col).mapInArrow(tidy(scan), f"id {kind}, items array<bigint>, edits array<bigint>")
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id="item_id", item_text="text", max_items: int = 100_000, tolerance: float = TOLERANCE) -> DataFrame:
+    if len(blocks) == 1:
+        return pick(docs, id=id_col, t=text_col).mapInArrow(scan_with(blocks[0]), f"id {kind}, items array<bigint>, edits array<bigint>")
+    rows = materialize(pick(docs, id=id_col, t=text_col).withColumn("r", F.monotonically_increasing_id()), "leak-rows")
+    hits = [materialize(rows.select("r", "t").mapInArrow(scan_with(b), "id bigint, items array<bigint>, edits array<bigint>").filter(F.size("items") > 0), "leak-hits") for b in blocks]
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    flat = every.select(F.col("id").alias("r"), F.explode(F.arrays_zip("items", "edits")).alias("h")).groupBy("r", F.col("h.items").alias("item")).agg(F.min("h.edits").alias("e"))
+    listed = flat.groupBy("r").agg(F.array_sort(F.collect_list(F.struct(F.col("item").isNull().alias("no"), "item", "e"))).alias("l"))
+    none = F.array().cast("array<bigint>")
+    return rows.drop("t").join(listed, "r", "left").select("id", F.coalesce(F.col("l.item"), none).alias("items"), F.coalesce(F.col("l.e"), none).alias("edits"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id="item_id", item_text="text", max_items: int = MAX_ITEMS, tolerance: float = TOLERANCE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents without those that hold a benchmark passage; columns as given."""
-    items = passages(benchmark, item_id, item_text, max_items)
     at = docs.columns.index(text_col)
 
-    def keep(batches):
-        index = Index(items.value, tolerance)
-        for batch in batches:
-            for part in slices(batch, at):
-                found = index.scan([t or "" for t in part.column(at).to_pylist()])
-                good = [i for i, d in enumerate(found) if not d]
-                if good:
-                    yield part.take(good)
+    def keep_with(block):
+        def keep(batches):
+            index = index_of(block, tolerance)
+            for batch in batches:
+                for part in slices(batch, at):
+                    found = index.scan([t or "" for t in part.column(at).to_pylist()])
+                    good = [i for i, d in enumerate(found) if not d]
+                    if good:
+                        yield part.take(good)
+
+        return tidy(keep)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(tidy(keep), docs.schema)
+    first, *more = blocks_of(benchmark, item_id, item_text, max_items, max_bytes)
+    out = docs.mapInArrow(keep_with(first), docs.schema)
+    for block in more:  # written between blocks, so that one index is in memory at a time
+        out = materialize(out, "leak-kept").mapInArrow(keep_with(block), docs.schema)
+    return out
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """All documents against the whole benchmark; null texts hold nothing, an empty table gives no rows."""
     out = find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select(F.col("id").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), "items", "edits")

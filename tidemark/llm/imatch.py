@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ordered_bucket, pick, quantile_bounds
+from .common import by_hash, materialize, ordered_bucket, pick, quantile_bounds
 
 #: (lexicons, terms of 256 that each keeps on average).
 SUBSETS = [(2, 128), (2, 32), (4, 8), (24, 1)]
@@ -63,7 +63,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, id=id_col, t=text_col).withColumn("t", F.coalesce("t", F.lit(""))).withColumn("h", F.xxhash64("t"))
-    rows = rows.withColumn("bucket", ordered_bucket(F.col("id"), *quantile_bounds(docs, id_col, 4 * parts), F.col("h")))
+    rows = rows.withColumn("bucket", ordered_bucket(F.col("id"), *quantile_bounds(docs, id_col, 4 * parts), by_hash(F.col("h"))))
     first = rows.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("f")).select("bucket", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"))
     order = Window.orderBy("bucket")  # a row a range: some times the partitions
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

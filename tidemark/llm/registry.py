@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quote_link
 from .bagminhash import op9_bagminhash
 from .decontaminate import op8_decontaminate
 from .imatch import op2_imatch
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quote_link": op10_quote_link,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_quote_link": quote_link.SQL}

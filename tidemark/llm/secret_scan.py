@@ -2,7 +2,8 @@
 
 Everything is one projection over the row: no shuffle, no Python, so a hot source or a repeated text
 costs what its own characters cost. Null text reads as empty; empty text has no spans; repeated rows are
-judged alike; extra columns are ignored.
+judged alike; null ids and extra columns are passed over; an empty table gives no rows. Work on a very long text
+grows with its characters, and with the number of matches to the power of 1.5.
 """
 
 from __future__ import annotations
@@ -39,30 +40,51 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: words: one case with at most one of j, q, x, z and six consonants at a stretch, or words joined by capitals.
 ALLOW = [
     r"(?i)example", r"(?i)abcdefgh", r"01234567", r"(?i)qwerty", r"(.)\1{7}", r"(?i)placeholder|your[_-]",
-    r"d41d8cd98f00b204e9800998ecf8427e", r"e3b0c44298fc1c149afbf4c8996fb924", r"^/|^[a-z]+(?:[-_/][a-z]+)+$",
+    r"d41d8cd98f00b204e9800998ecf8427e", r"e3b0c44298fc1c149afbf4c8996fb924", r"^/?(?:[A-Z]?[a-z]+|[0-9]{1,8})(?:[-_/]+(?:[A-Z]?[a-z]+|[0-9]{1,8}))+/?$",
     r"^(?=(?:[A-Z]?[a-z]+|[A-Z]+)$)(?i)(?![^jqxz]*[jqxz][^jqxz]*[jqxz])(?!.*[b-df-hj-np-tv-xz]{7})", r"^(?=[A-Za-z]+$)(?=.*[a-z][A-Z])(?!.*[A-Z][a-z]?[A-Z])",
 ]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start,end,hit>> of leftmost non-overlapping matches, in code points.
 
-    ``split`` and ``regexp_extract_all`` walk the text alike, so the k-th match starts where the first
-    k+1 pieces and k matches end.
+    ``split`` and ``regexp_extract_all`` walk the text alike, so the k-th match starts where the first k+1 pieces
+    and k matches end. These sums run over chunks of about the root of the number of pieces: first over the chunks'
+    totals, then within each chunk, so that no list of all matches is copied at each match.
     """
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
-    )
     kind = "array<struct<start:bigint,end:bigint,hit:string>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+    def width(x: Column) -> Column:
+        return (F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("bigint")
+
+    def chunked(xs: Column) -> Column:
+        step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / step).cast("int")), lambda j: F.slice(xs, j * step + 1, step))
+
+    def based(chunks: Column) -> Column:
+        """The chunks, each with the characters before it."""
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + width(x)))
+        sums = F.aggregate(totals, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.zip_with(chunks, F.slice(sums, F.lit(1), F.size(chunks)), lambda c, at: F.struct(c.alias("c"), at.alias("at")))
+
+    def walked(chunk: Column) -> Column:
+        zero = F.struct(chunk["at"].alias("at"), F.array().cast(kind).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["p"])
+            end = (start + F.length(x["m"])).cast("bigint")
+            hit = F.struct(start.cast("bigint").alias("start"), end.alias("end"), x["m"].alias("hit"))
+            return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = (start + F.length(x["m"])).cast("bigint")
-        hit = F.struct(start.cast("bigint").alias("start"), end.alias("end"), x["m"].alias("hit"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
+        return F.aggregate(chunk["c"], zero, step, lambda a: a["out"])
 
-    return F.aggregate(parts, zero, step, lambda a: a["out"])
+    return F.flatten(let(let(let(parts, chunked), based), lambda cs: F.transform(cs, walked)))
 
 
 def _g(n: Column) -> Column:
@@ -146,6 +168,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """All documents through :func:`secret_spans`; null text is empty, an empty table gives no rows."""
     found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def n_of(kind: str) -> Column:

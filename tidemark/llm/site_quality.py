@@ -5,9 +5,11 @@ host and by path; a host's rate is shrunk towards the global rate and a path's t
 strength that the spread between groups beyond chance gives (method of moments), so sites with few labels
 stay near their parents. The score adds the path's shift in log-odds to the document's.
 
-Null text reads as empty; null host and path are values of their own; rows with null labels are not learnt
+The document model learns from at most ``max_sample`` labelled rows, the least in a hash order of the ids; rates count
+all labels. Null text reads as empty; null host and path are values of their own; rows with null labels are not learnt
 from; sites without labels take their parent's rate; with labels of one kind only the document evidence is the
-global rate; an empty table gives no rows; further columns are ignored.
+global rate; repeated rows are judged alike and counted each; very long texts are statistics like others; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pick
 from .toxicity import held_out
+from .url_rules import url_host, url_path
 
 #: Site tables of at most so many rows are broadcast; larger ones join by shuffle.
 BROADCAST_SITES = 50_000
@@ -74,7 +77,8 @@ def shrunk(counts: DataFrame, parent: Column, out: str) -> DataFrame:
 
 
 def site_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host_col="source", path_col="lang", label_col="quality", learn=None, max_sample: int = 20_000) -> DataFrame:
-    """One row per input row: id, own (document evidence), host_rate, path_rate, score."""
+    """One row per input row: id, own (document evidence), host_rate, path_rate, score. ``max_sample`` bounds the rows
+    that the document model learns from."""
     y = labels.select(labels[id_col].alias("id"), (labels[label_col] > 0).cast("int").alias("y")).filter("y is not null and id is not null")
     y = y.filter((learn or (lambda k: F.lit(True)))(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     rows = pick(docs, id=id_col, t=text_col, host=host_col, path=path_col)
@@ -108,9 +112,21 @@ def site_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="t
     return out.select("s.id", "s.own", host_rate.alias("host_rate"), path_rate.alias("path_rate"), score.alias("score"))
 
 
+def with_sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds host and path of the page whose URL ends in the document's number: the least such URL, path its first
+    folder. Documents without a page have the source for host and the language for path."""
+    path = url_path(pages["url"])
+    number = F.try_to_number(F.regexp_extract(path, r"([0-9]{1,18})(?:\.[a-z]+)?/?$", 1), F.lit("9" * 18)).cast("long")
+    sites = pages.select(number.alias("_n"), F.struct(pages["url"].alias("url"), url_host(pages["url"]).alias("host"), F.regexp_extract(path, r"^/([^/]*)/", 1).alias("path")).alias("_p"))
+    sites = sites.filter("_n is not null").groupBy("_n").agg(F.min("_p").alias("_p"))
+    out = docs.join(sites, docs["doc_id"] == sites["_n"], "left")
+    return out.select(docs["doc_id"], docs["text"], F.coalesce("_p.host", docs["source"]).alias("host"), F.coalesce("_p.path", docs["lang"]).alias("path"))
+
+
 def op6_site_quality(spark, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out = site_scores(docs, labels, learn=lambda k: ~held_out(k))
+    """All documents by the site of their page; null texts are empty, an empty table gives no rows."""
+    docs, labels, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels", "pages"))
+    out = site_scores(with_sites(docs, pages), labels, host_col="host", path_col="path", learn=lambda k: ~held_out(k))
     return out.select(
         F.col("id").alias("doc_id"), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), F.round("own", 9).alias("doc_score"),
         "host_rate", "path_rate", "score", (F.col("score") >= 0.5).cast("int").alias("keep"),

@@ -4,11 +4,16 @@ Each source's words, documents in ``doc_id`` order, form one stream that is cut
 target becomes an exact quota of blocks. A binary tree over the output shards splits the vector of quotas:
 at each node the left half's share of every source is one multivariate-hypergeometric draw, so shards get
 equal block counts and sources keep exact quotas. Blocks then take a keyed random permutation of their
-source's index range (swap-or-not, a bijection on any range), and each shard owns a disjoint interval of the
-permuted order; a quota above one pass continues with a new permutation. ``order_key`` shuffles a shard locally.
+source's index range (swap-or-not, a bijection on any range), and each shard draws its leaf's count of them, a
+disjoint interval of the permuted order; a quota above one pass continues with a new permutation. Within its shard
+a block stands where a random key sorts it. The mix is written shard by shard in that order.
 
-Null text has size 0 and is never drawn; a null source is a source of its own, ordered last; repeated rows
-count each; an empty table gives an empty result; further columns are ignored.
+The number of shards follows the words of the mix (``SHARD_WORDS``), so a shard fits one task at any scale. Sources
+are a list that an operator weighs, ``MAX_SOURCES`` at most; more are an error.
+
+Null text has size 0: no block holds it, and only the form in whole documents keeps it, once. A null source is a
+source of its own, ordered last; repeated rows count each, ties by size; an empty table gives an empty result; very
+long texts are many blocks; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import exclusive_prefix, materialize, pick, quantile_bounds, range_bucket
+from .common import by_hash, exclusive_prefix, materialize, ordered_bucket, pick, quantile_bounds
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 20
 ATTEMPTS = 48
 MAX_REPEAT = 3
-#: Source tables of at most so many rows are broadcast; larger ones join by shuffle.
-BROADCAST_SOURCES = 20_000
+#: Sources at most; their table is broadcast and their quotas are one array per node of the tree.
+MAX_SOURCES = 10_000
+#: Words to a shard, about, and to a task's share of the blocks before they are cut.
+SHARD_WORDS = 4_000_000
+LEAST_SHARDS = 16
 
 
 def let(value: Column, body) -> Column:
@@ -126,7 +134,8 @@ def source_targets(sizes: DataFrame, weights: list[float], block: int) -> DataFr
     per = per.withColumn("level", level).withColumn("capped", F.col("level") > F.col("reach"))
     open_level = F.min(F.when(~F.col("capped"), F.struct("reach", "rank", "level"))).over(whole)["level"]
     per = per.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(open_level * F.col("w")))
-    b = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / 1024))).cast("long")
+    # 1,024 blocks of at most ``block`` words in a small source, a million of at most 64 times as many in a large one
+    b = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / 1024)), F.least(F.lit(64 * block), F.floor(F.col("source_size") / (1 << 20)))).cast("long")
     per = per.withColumn("block", b).withColumn("n_blocks", F.ceil(F.col("source_size") / b).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long")
     return per.withColumn("quota", quota).select("source", "rank", "source_size", "target", "block", "n_blocks", "quota")
@@ -161,32 +170,35 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), turn)
 
 
-def plan_mix(docs: DataFrame, weights: list[float], id_col="doc_id", text_col="text", source_col="source", block: int = 64, shards: int = 16, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def plan_mix(docs: DataFrame, weights: list[float], id_col="doc_id", text_col="text", source_col="source", block: int = 64, shards: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents, draws).
 
     documents: id, source, size, offset (words of the source's stream before it), source_size, target.
-    draws: one row per drawn block and document in it: source, offset, epoch, shard, words, first (the
-    document begins in this block), order_key. Counts per shard and source are exact.
+    draws: one row per drawn block and document in it: shard, order_key (the block's place in its shard), source,
+    offset, epoch, words, first (the document begins in this block). A shard's blocks of a source are as many as
+    its leaf of the tree says.
     """
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     inner = pick(docs, id=id_col, t=text_col, source=source_col)
-    sizes = inner.select("id", "source", F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = inner.select("id", "source", F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("t").alias("h"))
     sizes = materialize(sizes, "mix-sizes")
-    bounds = quantile_bounds(sizes, "id", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = exclusive_prefix(
-        sizes.withColumn("bucket", range_bucket(F.col("id"), bounds)), "size", "offset", ["source"], "bucket", [F.col("id"), F.col("size")]
-    )
-    per = source_targets(sizes, weights, block)
-    per = materialize(per, "mix-sources")
-    n_sources = per.count()
-    plan = per.join(shard_intervals(per, shards, seed), "rank")
-    small = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
+    bucket = ordered_bucket(F.col("id"), *quantile_bounds(sizes, "id", parts), by_hash(F.col("h")))
+    placed = exclusive_prefix(sizes.withColumn("bucket", bucket), "size", "offset", ["source"], "bucket", [F.col("id"), F.col("h"), F.col("size")])
+    per = materialize(source_targets(sizes, weights, block), "mix-sources")
+    of_all = per.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quota") * F.col("block")).alias("words")).first()
+    if of_all["n"] > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: weigh groups of them")
+    words = of_all["words"] or 0
+    shards = shards or max(LEAST_SHARDS, 1 << math.ceil(math.log2(max(1, words / SHARD_WORDS))))
+    plan = F.broadcast(per.join(shard_intervals(per, shards, seed), "rank"))  # MAX_SOURCES rows at most
     placed = materialize(
-        placed.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.id", "d.source", "d.size", "d.offset", "s.rank", "s.source_size", "s.target", "s.block", "s.n_blocks", "s.quota", "s.ends"),
+        placed.alias("d").join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        .select("d.id", "d.source", "d.size", "d.h", "d.offset", "s.rank", "s.source_size", "s.target", "s.block", "s.n_blocks", "s.quota", "s.ends"),
         "mix-docs",
     )
-    some = placed.filter((F.col("size") > 0) & (F.col("quota") > 0)).drop("id", "target", "source_size")
+    some = placed.filter((F.col("size") > 0) & (F.col("quota") > 0)).select("source", "rank", "size", "offset", "block", "n_blocks", "quota", "ends")
+    some = some.repartition(max(parts, words // SHARD_WORDS))  # cutting multiplies rows: not in as few tasks as their bytes need
     first, last = F.floor(F.col("offset") / F.col("block")), F.floor((F.col("offset") + F.col("size") - 1) / F.col("block"))
     cut = some.withColumn("b", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     begin, end = F.greatest("offset", F.col("b") * F.col("block")), F.least(F.col("offset") + F.col("size"), (F.col("b") + 1) * F.col("block"))
@@ -196,45 +208,63 @@ def plan_mix(docs: DataFrame, weights: list[float], id_col="doc_id", text_col="t
     at = F.col("epoch") * F.col("n_blocks") + permuted(F.col("b"), F.col("n_blocks"), F.lit(seed), F.col("rank"), F.col("epoch"))
     draws = cut.withColumn("at", at).filter(F.col("at") < F.col("quota"))
     shard = F.size(F.filter("ends", lambda e: e <= F.col("at")))
-    key = F.xxhash64(F.lit(seed), F.col("rank"), F.col("at"))
-    draws = draws.select("source", "offset", "epoch", shard.alias("shard"), "words", "first", key.alias("order_key"))
-    return placed.select("id", "source", "size", "offset", "source_size", "target"), draws
+    key = F.xxhash64(F.lit(seed), F.col("rank"), F.col("at"), F.lit(0))
+    draws = draws.select(shard.alias("shard"), key.alias("order_key"), "source", "offset", "epoch", "words", "first")
+    return placed.select("id", "h", "source", "size", "offset", "source_size", "target"), draws
+
+
+def mixed_blocks(draws: DataFrame) -> DataFrame:
+    """The mix itself: the draws, and ``pos``, the place of each in its shard. A shard is one bounded group."""
+    w = Window.partitionBy("shard").orderBy("order_key", "source", "offset", "epoch")
+    return draws.withColumn("pos", F.row_number().over(w).cast("long") - 1)
 
 
 def taken_words(docs: DataFrame, weights: list[float], **how) -> DataFrame:
-    """Per input row: id, size, source_size, target and the words that the mix takes of it."""
+    """Per input row: id, size, source_size, target, taken (words of it in all shards of the mix), shard_words (words
+    by shard, ``shard:words`` joined by commas), first_shard and first_pos (where the mix first takes of it)."""
     placed, draws = plan_mix(docs, weights, **how)
-    taken = draws.groupBy("source", "offset").agg(F.sum("words").alias("taken"))
+    mix = mixed_blocks(draws)
+    by_shard = mix.groupBy("source", "offset", "shard").agg(F.sum("words").alias("words"), F.min("pos").alias("pos"))
+    listed = F.array_sort(F.collect_list(F.struct("shard", "words")))
+    place = F.min(F.struct("shard", "pos"))
+    taken = by_shard.groupBy("source", "offset").agg(F.sum("words").alias("taken"), listed.alias("l"), place.alias("place"))
+    text = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["words"].cast("string"))), ",")
+    taken = taken.select("source", "offset", "taken", text.alias("shard_words"), F.col("place.shard").alias("first_shard"), F.col("place.pos").alias("first_pos"))
     p, t = placed.alias("p"), taken.alias("t")
     same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.offset") == F.col("t.offset")) & (F.col("p.size") > 0)
-    return p.join(t, same, "left").select("p.id", "p.size", "p.source_size", "p.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+    return p.join(t, same, "left").select(
+        "p.id", "p.size", "p.source_size", "p.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("t.shard_words", F.lit("")).alias("shard_words"), "t.first_shard", "t.first_pos",
+    )
 
 
 def mixed_documents(docs: DataFrame, weights: list[float], id_col="doc_id", text_col="text", source_col="source", seed: int = 7, **how) -> DataFrame:
-    """The mix in whole documents: each row as often as the block that it begins in is drawn.
+    """The mix in whole documents: each row as often as the block that it begins in is drawn, in that block's shard and
+    place, so that the result's partitions hold shards in their local order.
 
-    Rows without words take nothing of any quota and stay once. Columns are those of ``docs``. Rows are
-    matched by id and size, and repeated rows of one id and size share their copies in some order.
+    Rows without words take nothing of any quota and stay once, in shard 0. Columns are those of ``docs``. Rows are
+    matched by id, source and text hash; repeated rows of all three share their copies in some order.
     """
     placed, draws = plan_mix(docs, weights, id_col, text_col, source_col, seed=seed, **how)
-    times = draws.filter("first").groupBy("source", "offset").agg(F.count(F.lit(1)).alias("n"))
-    p, t = placed.alias("p"), times.alias("t")
+    places = draws.filter("first").groupBy("source", "offset").agg(F.collect_list(F.struct("shard", "order_key")).alias("at"))  # MAX_REPEAT at most
+    p, t = placed.alias("p"), places.alias("t")
     same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.offset") == F.col("t.offset")) & (F.col("p.size") > 0)
-    copies = F.when(F.col("p.size") == 0, 1).otherwise(F.coalesce("t.n", F.lit(0))).cast("int")
-    per = p.join(t, same, "left").select(F.col("p.id").alias("_k"), F.col("p.size").alias("_z"), F.col("p.source").alias("_s"), copies.alias("_n"))
-    w = Window.partitionBy("_k", "_z", "_s")
-    per = per.withColumn("_i", F.row_number().over(w.orderBy("_n")))
-    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_k"), size.alias("_z"), docs[source_col].alias("_s"))
-    whole = whole.withColumn("_i", F.row_number().over(w.orderBy(F.xxhash64(F.to_json("_row")))))
-    a, b = whole.alias("a"), per.filter("_n > 0").alias("b")
+    once = F.array(F.struct(F.lit(0).alias("shard"), F.xxhash64("p.id", "p.h").alias("order_key")))
+    per = p.join(t, same, "left").select(F.col("p.id").alias("_k"), F.col("p.h").alias("_h"), F.col("p.source").alias("_s"), F.col("p.offset").alias("_o"), F.when(F.col("p.size") == 0, once).otherwise(F.col("t.at")).alias("_at"))
+    w = Window.partitionBy("_k", "_h", "_s")
+    per = per.withColumn("_i", F.row_number().over(w.orderBy("_o"))).filter("_at is not null").drop("_o")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_k"), F.xxhash64(docs[text_col]).alias("_h"), docs[source_col].alias("_s"))
+    whole = whole.withColumn("_i", F.row_number().over(w.orderBy(F.xxhash64("_row"))))
+    a, b = whole.alias("a"), per.alias("b")
     cond = F.lit(True)
-    for c in ("_k", "_z", "_s", "_i"):
+    for c in ("_k", "_h", "_s", "_i"):
         cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    out = a.join(b, cond).select("a._row", F.explode(F.sequence(F.lit(1), F.col("b._n"))).alias("_c"))
+    out = a.join(b, cond).select("a._row", F.explode("b._at").alias("_p")).select("_row", "_p.shard", "_p.order_key")
+    out = out.repartition("shard").sortWithinPartitions("shard", "order_key", F.xxhash64("_row"))
     return out.select("_row.*")
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
+    """All documents, weights 1, 2, 3 by source; null text has size 0, an empty table gives no rows."""
     out = taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1, 2, 3])
     return out.withColumnRenamed("id", "doc_id")

@@ -4,15 +4,18 @@ A document is toxic if any sentence is: P = 1 - prod(1 - p_s), p_s = sigmoid(bia
 distinct features of s); sentences without any weighted feature count 0, so that length alone is no evidence.
 Only documents carry labels; the weights maximise the penalised likelihood of those.
 Features are words and word beginnings, hashed. Training is on a bounded sample of labelled rows (at most
-``max_per_class`` of either label, the least in a hash order of the ids), featurised on the executors;
-every row is scored in full, and the highest sentence is located.
+``max_per_class`` of either label, the least in a hash order of the ids). Spark featurises it, counts the documents
+of each feature and drops the features that tell nothing; the driver fits the weights of those left.
+Every row is scored in full, and the highest sentence is located.
 
 Null and empty text has no sentence and scores 0. Rows with a null label are not learnt from; with no rows of
-either label the score is 0 everywhere. Repeated rows are scored alike; further columns are ignored.
+either label the score is 0 everywhere. Repeated rows are scored alike; an empty table gives no rows; the length of a
+text is no evidence; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, tidy
+from .common import materialize, pick, small_batches, tidy
 
 BUCKETS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -53,8 +56,9 @@ def featurise(text: str, memo: _Memo) -> list[np.ndarray]:
     return out
 
 
-def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, max_per_class: int):
-    """(sentence lists, labels) of the training sample; the bound is on documents of each label."""
+def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, max_per_class: int) -> DataFrame:
+    """(k, y, f, e) of the training sample: features of all sentences in a row, and where each sentence ends. The bound
+    is on documents of each label."""
     y = labels.select(labels[id_col].alias("k"), labels[label_col].cast("int").alias("y")).filter("y is not null and k is not null")
     y = y.filter(learn(F.col("k"))).groupBy("k").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("k"))
     chosen = y.filter("y = 1").orderBy("h", "k").limit(max_per_class).unionAll(y.filter("y = 0").orderBy("h", "k").limit(max_per_class))
@@ -68,50 +72,67 @@ def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             bags = [featurise(t or "", memo) for t in pdf["t"]]
             flat = [np.concatenate(b) if b else np.empty(0, np.int32) for b in bags]
             ends = [np.cumsum([len(x) for x in b], dtype=np.int32) for b in bags]
-            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "f": [x.tobytes() for x in flat], "e": [x.tobytes() for x in ends]})
+            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "f": flat, "e": ends})
 
     small_batches(docs.sparkSession)
-    got = rows.mapInPandas(tidy(features), "k long, y int, f binary, e binary").toPandas().sort_values("k")
-    return got
+    return materialize(rows.mapInPandas(tidy(features), "k long, y int, f array<int>, e array<int>"), "toxic-sample")
 
 
-def fit(sample, epochs: int = 120, rate: float = 0.3, l2: float = 3e-4) -> tuple[dict[int, float], float]:
-    """Weights by bucket and the bias: Adam on the noisy-or likelihood, full batches of the sample.
+def telling(sample: DataFrame) -> list[int]:
+    """Buckets whose share of toxic documents is above the base rate by more than chance finds among so many buckets
+    (binomial large-deviation bound), so words of a few documents teach nothing. Fewer than ``BUCKETS``."""
+    whole = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
+    if not whole["n"] or whole["pos"] in (0, whole["n"]):
+        return []
+    base = whole["pos"] / whole["n"]
+    per = sample.select("y", F.explode(F.array_distinct("f")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("y").cast("double").alias("pos"))
+    per = materialize(per, "toxic-buckets")
+    bar = math.log(max(2, per.filter("df > 2").count())) - 1
+    share = F.col("pos") / F.col("df")
+    toxic = F.when(F.col("pos") > 0, share * F.log(share / base)).otherwise(0)
+    clean = F.when(F.col("pos") < F.col("df"), (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0)
+    return sorted(r["bucket"] for r in per.filter((share > base) & (F.col("df") * (toxic + clean) > bar)).select("bucket").collect())
 
-    Only buckets take part whose share of toxic documents is above the base rate by more than chance finds
-    among so many buckets (binomial large-deviation bound), so words of a few documents teach nothing.
-    """
+
+def pruned(sample: DataFrame, buckets: list[int]):
+    """The sample on the driver, telling features only: y, f (numbers into ``buckets``) and s (their sentences)."""
+    known = sample.sparkSession.sparkContext.broadcast(np.array(buckets, np.int32))
+
+    def run(batches):
+        import pandas as pd
+
+        keep = known.value
+        for pdf in batches:
+            out = []
+            for f, e in zip(pdf["f"], pdf["e"], strict=True):
+                f, e = np.asarray(f, np.int32), np.asarray(e, np.int64)
+                m = np.isin(f, keep)
+                out.append((np.searchsorted(keep, f[m]).astype(np.int32), np.repeat(np.arange(len(e)), np.diff(e, prepend=0))[m].astype(np.int32)))
+            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "f": [x.tobytes() for x, _ in out], "s": [x.tobytes() for _, x in out]})
+
+    return sample.mapInPandas(tidy(run), "k long, y int, f binary, s binary").toPandas().sort_values("k")
+
+
+def fit(sample, buckets: list[int], epochs: int = 120, rate: float = 0.3, l2: float = 3e-4) -> tuple[dict[int, float], float]:
+    """Weights by bucket and the bias: Adam on the noisy-or likelihood, full batches of the sample."""
     y = sample["y"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
         return {}, -30.0
-    feats = [np.frombuffer(b, np.int32) for b in sample["f"]]
-    ends = [np.frombuffer(b, np.int32) for b in sample["e"]]
-    df, pos = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for f, v in zip(feats, y, strict=True):
-        own = np.unique(f)
-        df[own] += 1
-        pos[own] += v == 1
     base = y.mean()
-    share = pos / np.maximum(df, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = df * (np.where(pos > 0, share * np.log(share / base), 0) + np.where(pos < df, (1 - share) * np.log((1 - share) / (1 - base)), 0))
-    keep = (share > base) & (gain > np.log(max(2, int((df > 2).sum()))) - 1)
-    number = np.cumsum(keep) - 1
     idx, sent, doc, n_sent = [], [], [], 0
-    for d, (f, e) in enumerate(zip(feats, ends, strict=True)):
-        s = np.repeat(np.arange(len(e)), np.diff(e, prepend=0))
-        m = keep[f]
-        if not m.any():
+    for d, (f, s) in enumerate(zip(sample["f"], sample["s"], strict=True)):
+        f, s = np.frombuffer(f, np.int32), np.frombuffer(s, np.int32)
+        if not len(f):
             continue
-        own, s = np.unique(s[m], return_inverse=True)  # the other sentences count nothing
-        idx.append(number[f[m]])
+        own, s = np.unique(s, return_inverse=True)  # the other sentences count nothing
+        idx.append(f)
         sent.append(s + n_sent)
         doc.append(np.full(len(own), d))
         n_sent += len(own)
     if not idx:
         return {}, -30.0
     idx, sent, doc = np.concatenate(idx), np.concatenate(sent), np.concatenate(doc)
-    n = int(keep.sum())
+    n = len(buckets)
     w, b = np.zeros(n), -9.0
     m1, m2, bm1, bm2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(base, 1e-9), 0.5 / max(1 - base, 1e-9))
@@ -132,9 +153,8 @@ def fit(sample, epochs: int = 120, rate: float = 0.3, l2: float = 3e-4) -> tuple
         b += rate * (bm1 / c1) / (np.sqrt(bm2 / c2) + 1e-6)
         w = np.clip(w, -6, 14)
         b = float(np.clip(b, -14, -9))
-    buckets = np.flatnonzero(keep)
     big = np.abs(w) > 0.05
-    return dict(zip(buckets[big].tolist(), w[big].tolist(), strict=True)), b
+    return dict(zip(np.array(buckets)[big].tolist(), w[big].tolist(), strict=True)), b
 
 
 def scorer(weights: dict[int, float], bias: float):
@@ -169,7 +189,7 @@ def scorer(weights: dict[int, float], bias: float):
             quiet += float(np.log1p(-min(p, 1 - 1e-12)))
             if p > worst:
                 worst, at, upto = p, m.start(), m.end()
-        return float(-np.expm1(quiet)), worst, at, upto
+        return float(-np.expm1(quiet)) + 0.0, worst, at, upto
 
     return score
 
@@ -210,7 +230,10 @@ def drop_toxic(docs: DataFrame, weights: dict[int, float], bias: float, text_col
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", learn=None, max_per_class: int = 4000) -> tuple[dict[int, float], float]:
-    return fit(sample_bags(docs, labels, id_col, text_col, label_col, learn or (lambda k: F.lit(True)), max_per_class))
+    """Weights and bias, learnt from at most ``max_per_class`` labelled documents of either label whose id ``learn`` takes."""
+    sample = sample_bags(docs, labels, id_col, text_col, label_col, learn or (lambda k: F.lit(True)), max_per_class)
+    buckets = telling(sample)
+    return fit(pruned(sample, buckets), buckets) if buckets else ({}, -30.0)
 
 
 def held_out(doc_id):
@@ -219,6 +242,8 @@ def held_out(doc_id):
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """All documents, scored by weights of the labels that are not held out; empty and null texts score 0, null ids
+    count as not held out, an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights, bias = train(docs, labels, learn=lambda k: ~held_out(k))

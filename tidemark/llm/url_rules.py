@@ -5,7 +5,8 @@ and pass the support, confidence and lift floors, and that no shorter rule alrea
 index from token to rule. A URL is bad if all tokens of a rule are among its own.
 
 A null URL, or one without ``://``, has empty host and path, no tokens, and is allowed unless a rule says
-otherwise. Judging depends on the URL alone, so repeated URLs are judged once and a hot host is no hot key.
+otherwise. Judging depends on the URL alone, so repeated URLs are judged once, null URLs take no part in the join
+back, and a hot host or URL is no hot key.
 Labels that are null count as good; pages without a label take no part in mining; an empty table, or one
 without labels, mines no rule. Further columns are ignored.
 """
@@ -16,12 +17,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import join_hot, materialize, pick
 
 #: Fixed values: (verdict, host, start of path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 BAD = "label=bad"
-#: Index rows up to this many are broadcast (a rule has at most MAX_TOKENS of them); more join by shuffle.
+#: Index rows up to this many are broadcast; more join by shuffle.
 BROADCAST_INDEX = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,8 +95,11 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col="page_
         index = F.broadcast(index)
     tokens = rows.select("url").filter("url is not null").distinct().select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
     hit = tokens.join(index, "token").groupBy("url", "rule", "n").agg(F.count(F.lit(1)).alias("m")).filter("m = n")
-    bad = hit.select("url").distinct().withColumn("mined", F.lit(True))
-    out = rows.join(bad, "url", "left").withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
+    bad = materialize(hit.select("url").distinct().withColumn("mined", F.lit(True)), "url-bad")
+    rows = rows.withColumn("_i", F.monotonically_increasing_id())
+    judged = join_hot(materialize(rows.filter("url is not null"), "url-rows"), bad, "url", "_i", "left").select("id", "url", "mined")
+    out = judged.unionByName(rows.filter("url is null").select("id", "url", F.lit(None).cast("boolean").alias("mined")))
+    out = out.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     said = rule_of(F.col("host"), F.col("path"), rules)
     mined_bad = F.coalesce("mined", F.lit(False))
     return out.select(
@@ -112,6 +116,8 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_url_rules(spark, sf_dir: str) -> DataFrame:
+    """All pages through :func:`judge_urls`, mined from the labels of the documents that URLs name; an empty table gives
+    no rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge_urls(pages, labelled_urls(pages, labels)).withColumnRenamed("id", "page_id")
