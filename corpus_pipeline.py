@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the
 next stage's docs. All but the last return the columns of ``documents``.
+
+Null and empty texts pass the first three stages unless equal to one another, and stay once in the mix. Null ids pass
+like others; of repeated rows one stays; an empty table passes all stages; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ def _own_scratch(stage):
     """When a stage begins, its predecessor's result has been written: its scratch tables can go."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _left:
-            common.delete_path(spark, path)
+        while _left:
+            common.delete_path(spark, _left.pop())
         had = set(common._SCRATCH)
         out = stage(spark, docs, sf_dir)
         _left[:] = [p for p in common._SCRATCH if p not in had]
         common._SCRATCH[:] = [p for p in common._SCRATCH if p in had]
         return out
 
+    run.__doc__ = stage.__doc__
     return run
 
 
@@ -59,9 +63,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs, WEIGHTS)
 
 
-@_own_scratch
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sorted-string-table shards; a row for each stored document, read back from them."""
+    """Token ids in sorted-string-table shards; a row for each stored document, read back from them.
+
+    The shards are the product, and the returned rows are read from them when asked for: they stay.
+    """
+    while _left:
+        common.delete_path(spark, _left.pop())
     return token_table(docs)
 
 

@@ -104,7 +104,7 @@ def test_imatch_order_and_edits(spark):
     assert same[0] == same[1]
     assert imatch.fingerprints(table(spark, [])).count() == 0
     one = imatch.fingerprints(table(spark, ODD[:1])).first()
-    assert one.edited_sha256 == hashlib.sha256((ODD[0][1][:18] + ODD[0][1][:18]).encode()).hexdigest() and one.next == one.own
+    assert one.edited_sha256 == hashlib.sha256((ODD[0][1][:18] + ODD[0][1][:17]).encode()).hexdigest() and one.next == one.own
 
 
 def test_imatch_prints_equal_brute_force(spark):
@@ -321,9 +321,78 @@ def test_mined_rules(spark):
     assert {r.id: r.verdict for r in url_rules.judge_urls(pages, df, rules=[("allow", "zzz", "/")]).collect()} == {1: "block", 2: "allow"}
 
 
+def test_mined_rules_equal_counted_itemsets(spark):
+    from itertools import combinations
+
+    rng = random.Random(25)
+    rows = []
+    for _ in range(400):
+        site, page = rng.choice(["a.net", "b.net", "b.org"]), rng.choice(["x", "y", "z"])
+        rows.append((f"http://{site}/{page}?k=1", rng.random() < (0.9 if (site, page) in {("b.net", "x"), ("a.net", "y")} else 0.2)))
+    tokens = {u: [f"h:{x}" for x in u.split("/")[2].split(".")] + [f"p:{u.split('/')[3][0]}", "q:k"] for u, _ in rows}
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    counts = {}
+    for u, b in rows:
+        for k in range(1, 5):
+            for c in combinations(sorted(tokens[u]), k):
+                t = counts.setdefault(c, [0, 0])
+                t[0], t[1] = t[0] + 1, t[1] + b
+    keep = {}
+    for c, (m, bad) in counts.items():
+        conf = bad / m
+        if bad / n >= 0.002 and conf >= 0.5 and conf / base >= 1.2 and conf - 2 * math.sqrt(conf * (1 - conf) / m) - 1 / m > base:
+            keep[c] = conf
+    want = {c for c in keep if not any(set(d) < set(c) and keep[d] >= keep[c] - 1e-12 for d in keep)}
+    got = {tuple(r.tokens) for r in url_rules.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert got == want and got
+
+
+def test_urls_repeat_and_empty(spark):
+    none = spark.createDataFrame([], "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/"), (2, None), (3, "")], "page_id bigint, url string")
+    assert url_rules.judge_urls(pages, none).count() == 4 and url_rules.judge_urls(pages.limit(0), none).count() == 0
+
+
 # 6 ----------------------------------------------------------------------------------------------------------
 
 
+def shrunk(counts, parents):
+    n = np.array([c[0] for c in counts], float)
+    g, m = np.array([c[1] for c in counts], float), np.array(parents, float)
+    spread = (n * ((g / n - m) ** 2 - m * (1 - m) / n)).sum() / n.sum()
+    k = max((n * m * (1 - m)).sum() / n.sum() / max(spread, 1e-4) - 1, 1.0)
+    return (g + k * m) / (n + k)
+
+
+def test_site_posteriors_equal_brute_force(spark):
+    rng = random.Random(26)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y"])) for i in range(300)]
+    y = {i: int(rng.random() < {"a": 0.9, "b": 0.5}.get(h, 0.2) + (0.1 if p == "x" else 0)) for i, h, p in rows}
+    docs = spark.createDataFrame([(i, f"text of {i}", h, p) for i, h, p in rows], "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame(list(y.items()), "doc_id bigint, quality int")
+    rate = np.mean(list(y.values()))
+    hosts, paths = sorted({h for _, h, _ in rows}, key=str), sorted({(h, p) for _, h, p in rows}, key=str)
+    count = lambda f: (sum(map(f, rows)), sum(y[r[0]] for r in rows if f(r)))
+    of_host = dict(zip(hosts, shrunk([count(lambda r, h=h: r[1] == h) for h in hosts], [rate] * len(hosts)), strict=True))
+    of_path = dict(zip(paths, shrunk([count(lambda r, k=k: r[1:] == k) for k in paths], [of_host[h] for h, _ in paths]), strict=True))
+    logit = lambda p: math.log(p / (1 - p))
+    where = {i: (h, p) for i, h, p in rows}
+    for r in site_quality.site_scores(docs, labels).collect():
+        h, p = where[r.id]
+        assert abs(r.host_rate - of_host[h]) < 1e-9 and abs(r.path_rate - of_path[h, p]) < 1e-9
+        own = min(max(r.own, 1e-6), 1 - 1e-6)
+        assert abs(r.score - 1 / (1 + math.exp(-(logit(own) + logit(r.path_rate) - logit(rate))))) < 1e-9
+
+
+def test_sites_of_pages(spark):
+    docs = table(spark, [(7, "x", "src"), (8, "y", "src"), (None, None, None), (9, "word " * 30_000, "src")])
+    pages = spark.createDataFrame([("http://b.org/en/7",), ("http://a.org/de/7.html",), ("no url",), (None,)], "url string")
+    got = {r.doc_id: (r.host, r.path) for r in site_quality.with_sites(docs, pages).collect()}
+    assert got == {7: ("a.org", "de"), 8: ("src", "en"), None: (None, "en"), 9: ("src", "en")}
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert site_quality.site_scores(docs.limit(0), labels).count() == 0
+
+
 def test_site_rates_shrink(spark):
     docs = spark.createDataFrame([(i, "a fine text of words", "p", f"h{i % 2}" if i < 400 else "new", 0) for i in range(401)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     labels = spark.createDataFrame([(i, int(i % 2 == 0 or i % 5 == 0)) for i in range(400)], "doc_id bigint, quality int")
@@ -389,6 +458,56 @@ def test_shards_hold_equal_exact_quotas(spark):
     assert len(n) == 8 and max(r.n for r in n) - min(r.n for r in n) <= 1
 
 
+def test_mix_is_drawn_by_the_leaves_of_the_tree(spark):
+    rng = random.Random(27)
+    rows = [(i, "w " * rng.randint(1, 90), f"s{i % 3}") for i in range(300)] + [(1000, "w " * 30_000, "s0"), (1001, None, "s1"), (None, "w w", None)]
+    docs = table(spark, rows)
+    placed, draws = source_mix.plan_mix(docs, [1, 2, 3], shards=8)
+    per = source_mix.source_targets(placed.select("source", "size"), [1, 2, 3], 64)
+    ends = {r["rank"]: r.ends for r in source_mix.shard_intervals(per, 8, 7).collect()}
+    rank = {r.source: (r["rank"], r.quota) for r in per.collect()}
+    leaf = {(s, k): ends[a][k] - (ends[a][k - 1] if k else 0) for s, (a, _) in rank.items() for k in range(8)}
+    assert all(ends[a][-1] == q for a, q in rank.values())
+    blocks = draws.groupBy("source", "shard").agg(F.count_distinct("order_key").alias("n")).collect()
+    assert {(r.source, r.shard): r.n for r in blocks} == {k: n for k, n in leaf.items() if n}
+    mix = source_mix.mixed_blocks(draws).collect()
+    by_shard = {}
+    for r in mix:
+        by_shard.setdefault(r.shard, []).append((r.pos, r.order_key, r.source, r.words))
+    for v in by_shard.values():
+        v.sort()
+        assert [p for p, *_ in v] == list(range(len(v))) and [k for _, k, *_ in v] == sorted(k for _, k, *_ in v)
+        assert len({s for *_, s, _ in v[: len(v) // 2]}) > 1  # sources stand mixed
+    words = {}
+    for r in mix:
+        words[r.source, r.shard] = words.get((r.source, r.shard), 0) + r.words
+    got = source_mix.taken_words(docs, [1, 2, 3], shards=8).collect()
+    of, sums = {i: s for i, _, s in rows}, {}
+    for r in got:
+        shares = [tuple(map(int, x.split(":"))) for x in r.shard_words.split(",") if x]
+        assert sum(n for _, n in shares) == r.taken <= 3 * r.size
+        for k, n in shares:
+            sums[of[r.id], k] = sums.get((of[r.id], k), 0) + n
+    assert sums == words
+
+
+def test_mixed_documents_stand_in_shard_order(spark):
+    rows = [(i, "w " * (30 + i % 40), f"s{i % 3}") for i in range(400)]
+    docs = table(spark, rows)
+    placed, draws = source_mix.plan_mix(docs, [1, 2, 3], shards=8)
+    key = {(r.source, r.offset): r.id for r in placed.collect()}
+    want = {}
+    for r in draws.filter("first").collect():
+        want.setdefault(r.shard, []).append((r.order_key, key[r.source, r.offset]))
+    got = source_mix.mixed_documents(docs, [1, 2, 3], shards=8).select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    runs = [[i for _, i in sorted(v)] for v in want.values()]
+    seen = {}
+    for r in got:
+        seen.setdefault(r.p, []).append(r.doc_id)
+    flat = [",".join(map(str, v)) for v in seen.values()]
+    assert sum(map(len, seen.values())) == sum(map(len, runs)) and all(any(",".join(map(str, r)) in f for f in flat) for r in runs)
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 97, 1000):
         got = spark.range(n).select(source_mix.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p")).collect()
@@ -456,6 +575,35 @@ def test_leaks_of_one_and_two_words(spark):
     assert sorted(r.doc_id or 0 for r in cgk.drop_leaks(table(spark, ODD), bench).collect()) == [0, 2, 3, 4]
 
 
+def test_leaks_in_blocks_of_the_benchmark(spark):
+    rng = random.Random(28)
+    vocab = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocab, k=12))) for i in range(30)] + [(None, None)]
+    texts = [" ".join(rng.choices(vocab, k=9)) + " " + items[i % 40][1] if i % 40 < 30 else " ".join(rng.choices(vocab, k=50)) for i in range(80)]
+    docs, bench = table(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(None, None, None), (500, "v1 " * 40_000, "a")]), spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(cgk.find_leaks(docs, bench, max_items=7)) == rows(cgk.find_leaks(docs, bench))
+    assert rows(cgk.drop_leaks(docs, bench, max_bytes=300)) == rows(cgk.drop_leaks(docs, bench))
+    assert len(cgk.blocks_of(bench, "item_id", "text", 7, 10**9)) == 6
+
+
+def test_leaks_equal_all_windows(spark):
+    """Every passage within the bound of some stretch, by alignment with every text."""
+    rng = random.Random(29)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(6, 15)))) for i in range(25)]
+    texts = []
+    for k in range(100):
+        w = items[k % 25][1].split()
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts.append(" ".join(rng.choices(vocab, k=15) + w + rng.choices(vocab, k=15)))
+    found = cgk.Index(items).scan(texts)
+    want = [{i for i, p in items if fit_distance(p.split(), t.split()) <= int(0.2 * len(p.split()))} for t in texts]
+    assert all(set(f) <= w for f, w in zip(found, want, strict=True))
+    assert sum(len(f) for f in found) >= 0.95 * sum(len(w) for w in want) > 50
+
+
 # 9 ----------------------------------------------------------------------------------------------------------
 
 
@@ -515,6 +663,58 @@ def test_duplicate_classes(spark):
     assert bag.duplicate_classes(table(spark, [])).count() == 0
 
 
+def test_classes_equal_brute_force(spark):
+    """Groups of near copies from two to many, against all pairs of exact overlaps."""
+    rng = random.Random(30)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (2, 3, 5, 40):
+        for _ in range(6 if size < 40 else 1):
+            base = rng.choices(words, k=rng.randint(40, 150))
+            for _ in range(size):
+                w = base[:]
+                for _ in range(rng.randint(0, len(w) // 30)):
+                    w[rng.randrange(len(w))] = rng.choice(words)
+                texts.append(" ".join(w))
+    texts += [" ".join(rng.choices(words, k=60)) for _ in range(60)] + [" ".join(["same line again"] * k) for k in (5, 6, 7, 50_000)] + texts[:3]
+    bags = bag.shingle_bags(texts, bag._Words())
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or bag.overlap(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    got = {r.id: r.class_id for r in bag.duplicate_classes(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_band_recall_at_the_threshold():
+    rng = random.Random(31)
+    words, hit, n = [f"w{i}" for i in range(5000)], 0, 0
+    while n < 300:
+        base = rng.choices(words, k=120)
+        other = base[:]
+        for p in rng.sample(range(120), 3):
+            other[p] = "new"
+        bags = bag.shingle_bags([" ".join(base), " ".join(other)], bag._Words())
+        if 0.78 <= bag.overlap(*bags) <= 0.84:
+            keys = bag.band_keys(bag.registers(bags))
+            hit, n = hit + bool((keys[0] == keys[1]).any()), n + 1
+    assert hit / n >= 0.98
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(bag, "BLOCK", 7)
+    monkeypatch.setattr("tidemark.llm.common.HOT_ROWS", 5)
+    test_classes_equal_brute_force(spark)
+
+
 def test_unlike_texts_share_no_class(spark, monkeypatch):
     rng = random.Random(12)
     one, two, three, four = (" ".join(rng.choices([f"w{i}" for i in range(800)], k=100)) for _ in range(4))
@@ -542,9 +742,40 @@ def test_quotes_link_and_thread(spark):
     assert quote_link.link_quotes(m.limit(0)).count() == 0
 
 
+def test_conversations_in_reply_order(spark):
+    rows = [(1, t, "u", f"Turn {t} says word{t}." if t < 4 else f"> Turn {t - 4} says word{t - 4}.\nReply {t}.") for t in range(8)] + [(None, None, None, None), (2, 0, "u", "long " * 40_000), (2, 0, "u", "long " * 40_000)]
+    linked = quote_link.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = {(r.conv, r.part): [m.text for m in r.messages] for r in quote_link.conversations(linked, 3).collect()}
+    order = [x for t in range(4) for x in (f"Turn {t} says word{t}.", f"Reply {t + 4}.")]
+    assert got == {(1, 0): order[:3], (1, 1): order[3:6], (1, 2): order[6:], (None, 0): [""], (2, 0): [("long " * 40_000).strip()]}
+
+
 # Pipeline ---------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("rows", [[*ODD, (None, "alpha beta", None), (6, "alpha beta gamma delta epsilon zeta", "c")], []])
+def test_pipeline_stages_on_odd_rows(spark, rows):
+    import corpus_pipeline
+
+    docs = table(spark, rows)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert k == 4 or out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        if rows and name == "near_duplicates":
+            left = sorted((r.doc_id or 0, (r.text or "")[:12]) for r in docs.collect())
+            assert left == [(-5, "ñandú  \n tab"), (0, "alpha beta"), (1, "alpha beta g"), (2, ""), (4, "word word wo")]
+    assert bool(docs.count()) == bool(rows)
+
+
+def test_second_run_leaves_the_first_result(spark):
+    import corpus_pipeline
+
+    first = corpus_pipeline.run(spark, SF)
+    second = corpus_pipeline.run(spark, SF)
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect()))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
