@@ -127,6 +127,20 @@ def entropy_class(candidate: Column) -> Column:
     return out
 
 
+def reached(spans: Column, x: Column) -> Column:
+    """Whether one of ``spans``, ascending and disjoint, overlaps ``x``: the last that starts before its end, by halves."""
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        open_, here = acc["low"] < acc["high"], F.get(spans, mid)["start"] < x["end"]
+        return F.struct(F.when(open_ & here, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~here, mid).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    last = F.aggregate(steps, start, halve, lambda a: F.get(spans, a["low"] - 1)["end"])
+    return (F.size(spans) > 0) & F.coalesce(last > x["start"], F.lit(False))
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """One row per input row: ``id``, ``base`` and ``added`` spans as array<struct<start,rank,end,kind>>.
 
@@ -143,24 +157,26 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def long_enough(pattern: str, group: int, least: int):
         return lambda x: F.length(F.regexp_extract(x["hit"], pattern, group)) >= least
 
-    kinds = []
+    kinds, masks = [], []
     for rank, (kind, pattern, least, group) in enumerate(BASE):
         hits = located(F.col("t"), LONG.get(kind, pattern))
         if kind not in LONG:
             hits = F.filter(hits, long_enough(pattern, group, least))
         got = F.transform(hits, as_span(rank, kind)).cast(span)
-        kinds.append(F.when(F.col("t").rlike(GATE[kind]), got).otherwise(none))
-    out = out.select("id", F.array_sort(F.concat(*kinds)).alias("base"), F.when(F.col("t").rlike(CANDIDATE), located(F.col("t"), CANDIDATE)).alias("cand"))
+        kinds.append(F.when(F.col("t").rlike(GATE[kind]), got).otherwise(none).alias(kind))
+        masks.append(LONG.get(kind))
+    out = out.select("id", *kinds, F.when(F.col("t").rlike(CANDIDATE), located(F.col("t"), CANDIDATE)).alias("cand"))
 
     def wanted(x: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOW:
             allowed = allowed | x["hit"].rlike(pattern)
-        clear = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        # a candidate is a whole run of characters that hold every access and hex span; assign spans are sorted and apart
+        clear = ~x["hit"].rlike("|".join(m for m in masks if m)) & ~reached(F.col("assign"), x)
         return clear & ~allowed & (peak_entropy(x["hit"], window) >= entropy_class(x["hit"]))
 
     added = F.transform(F.filter("cand", wanted), as_span(len(BASE), "entropy")).cast(span)
-    return out.select("id", "base", F.coalesce(added, none).alias("added"))
+    return out.select("id", F.array_sort(F.concat(*[k for k, *_ in BASE])).alias("base"), F.coalesce(added, none).alias("added"))
 
 
 def _joined(spans: Column) -> Column:
