@@ -297,14 +297,15 @@ def links_across(members: DataFrame, texts: DataFrame, threshold: float) -> Data
     j, i = F.pmod(F.xxhash64("th"), "wide").cast("int"), F.pmod(F.xxhash64("th", F.lit(1)), "narrow").cast("int")
     as_all = F.transform(F.sequence(F.lit(0), F.col("narrow") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(0).alias("side")))
     as_other = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(1).alias("side")))
-    placed = F.when(F.col("root") == F.col("main"), as_all).otherwise(F.concat(as_all, as_other))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
+    placed = F.when((F.col("wide") == 1) & (F.col("narrow") == 1), alone).when(F.col("root") == F.col("main"), as_all).otherwise(F.concat(as_all, as_other))
     cut = cut.select("bk", "th", "root", F.explode(placed).alias("p")).select("bk", "th", "root", "p.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         bags = shingle_bags(pdf["t"].tolist(), _Words())
         root = np.array([r.hex() for r in pdf["root"]])
         th = pdf["th"].tolist()
-        pairs = joining(bags, root, pdf["side"].to_numpy(), threshold) if (pdf["side"] == 1).any() else []
+        pairs = joining(bags, root, pdf["side"].to_numpy(), threshold) if (pdf["side"] > 0).any() else []
         if len(th) > 500:
             del bags
             trim()
