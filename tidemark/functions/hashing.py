@@ -13,27 +13,29 @@ from pyspark.sql.types import LongType
 # The published FNV-1a 64 offset basis and prime.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 _SPLIT = re.compile(r"[^\W_]+")
-_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def fnv_many(items: list[bytes]) -> np.ndarray:
-    """FNV-1a 64 of each byte string, one vector step per byte position."""
-    lengths = np.fromiter(map(len, items), np.int64, len(items))
-    h = np.full(len(items), OFFSET, np.uint64)
-    if not len(items):
+def fnv_spans(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """FNV-1a 64 of byte spans of ``flat``, one vector step per byte position."""
+    h = np.full(len(starts), OFFSET, np.uint64)
+    if not len(starts):
         return h
     order = np.argsort(-lengths, kind="stable")
-    flat = np.frombuffer(b"".join(items), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
-    sizes, out = lengths[order], h
+    starts, sizes = starts[order], lengths[order]
     for i in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -i, "left"))  # strings longer than i
-        out[:n] = (out[:n] ^ flat[starts[:n] + i]) * np.uint64(PRIME)
-    back = np.empty_like(out)
-    back[order] = out
+        n = int(np.searchsorted(-sizes, -i, "left"))  # spans longer than i
+        h[:n] = (h[:n] ^ flat[starts[:n] + i]) * np.uint64(PRIME)
+    back = np.empty_like(h)
+    back[order] = h
     return back
 
 
+def fnv_many(items: list[bytes]) -> np.ndarray:
+    """FNV-1a 64 of each byte string."""
+    lengths = np.fromiter(map(len, items), np.int64, len(items))
+    return fnv_spans(np.frombuffer(b"".join(items), np.uint8), np.cumsum(lengths) - lengths, lengths)
+
+
 @F.pandas_udf(LongType())
 def fnv64(x: pd.Series) -> pd.Series:
     """FNV-1a 64 as a signed long; null stays null."""
@@ -41,21 +43,46 @@ def fnv64(x: pd.Series) -> pd.Series:
     return got.mask(x.isna())
 
 
-def simhash_one(text: str) -> int:
-    words = _SPLIT.findall(text.translate(_ASCII))
-    if not words:
-        return 0
-    k = min(3, len(words))
-    grams = [" ".join(words[i : i + k]).encode() for i in range(len(words) - k + 1)]
-    bits = np.unpackbits(fnv_many(grams).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = 2 * bits.sum(axis=0, dtype=np.int64) > len(grams)
-    return int(np.packbits(votes, bitorder="little").view(np.int64)[0])
+def simhash_many(texts: list[str]) -> np.ndarray:
+    """Simhashes of many texts. Words are laid out in one byte array with a space after each, so that a trigram is a
+    span of it; spans are hashed and their bits voted on for all texts at once."""
+    words = [_SPLIT.findall(t) for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    out = np.zeros(len(texts), np.int64)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    flat = np.frombuffer(b"".join((" ".join(w) + " ").encode() for w in words if w), np.uint8)
+    flat = flat + np.where((flat >= 65) & (flat <= 90), 32, 0).astype(np.uint8)
+    stops = np.flatnonzero(flat == 32)  # the end of each word
+    begins = np.concatenate([[0], stops[:-1] + 1])
+    n = counts[some]
+    k = np.minimum(3, n)
+    grams = n - k + 1
+    first = np.repeat(np.cumsum(n) - n, grams) + np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)
+    starts, ends = begins[first], stops[first + np.repeat(k, grams) - 1]
+    bits = np.unpackbits(fnv_spans(flat, starts, ends - starts).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    votes = np.add.reduceat(bits, np.cumsum(grams) - grams, axis=0, dtype=np.int32)
+    out[some] = np.packbits(2 * votes > grams[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+    return out
+
+
+#: Characters of text that one numpy pass takes.
+CHUNK = 2_000_000
 
 
 @F.pandas_udf(LongType())
 def simhash64(x: pd.Series) -> pd.Series:
     """64-bit simhash of word trigrams; 0 for a text without words."""
-    return pd.Series([simhash_one(t or "") for t in x], dtype="int64")
+    out, part, size = [], [], 0
+    for t in x:
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= CHUNK:
+            out.append(simhash_many(part))
+            part, size = [], 0
+    out.append(simhash_many(part))
+    return pd.Series(np.concatenate(out), dtype="int64")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -66,6 +93,13 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - hamming(a, b) / 64
 
 
+#: Six blocks of the 64 bits: (first bit, width).
+BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+
+
 def bands(h: Column) -> Column:
-    """The four 16-bit bands: hashes within 3 bits share one."""
-    return F.array(*[F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(4)])
+    """The 20 choices of three of six blocks, each a key of 31 to 33 bits: hashes within 3 bits share one."""
+    from itertools import combinations
+
+    block = [F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
+    return F.array(*[F.shiftleft(a, 22).bitwiseXOR(F.shiftleft(b, 11)).bitwiseXOR(c) for a, b, c in combinations(block, 3)])

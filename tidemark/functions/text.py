@@ -61,8 +61,8 @@ def parse_number(x: Column) -> Column:
 
 
 def cut_at_space(x: Column, n: int) -> Column:
-    """At most n characters, cut at the last space, with an ellipsis."""
-    return F.when(F.length(x) <= n, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, n), r"\s+\S*$", ""), F.lit("…")))
+    """At most n characters, cut before the last white space, which may end the cut, with an ellipsis."""
+    return F.when(F.length(x) <= n, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, n), r"\s+\S*\z", ""), F.lit("…")))
 
 
 def literal_terms(x: Column) -> Column:
@@ -97,3 +97,47 @@ def cache_ttl(header: Column, has_query: Column, default: int) -> Column:
     """Seconds to keep a page: none for no-store, max-age up to the default and a week, else 300 with a query."""
     age = F.regexp_extract(F.lower(header), r"max-age\s*=\s*(\d{1,9})", 1).try_cast("long")
     return F.when(F.contains(F.lower(header), F.lit("no-store")), F.lit(None)).when(age.isNotNull(), F.least(age, F.lit(default), F.lit(604_800))).when(has_query, F.least(F.lit(300), F.lit(default))).otherwise(F.lit(default)).cast("long")
+
+
+# Month names of HTTP dates.
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds to wait from a Retry-After header: whole seconds, or an HTTP date against ``now`` (not below 0); else null."""
+    shape = r"^\w{3}, (\d{2}) (\w{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) GMT$"
+    month = F.lpad(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(header, shape, 2)).cast("string"), 2, "0")
+    text = F.concat(F.regexp_extract(header, shape, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(header, shape, 1), F.lit(" "), F.regexp_extract(header, shape, 4))
+    at = F.unix_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+    return F.when(header.rlike("^[0-9]{1,9}$"), header.try_cast("long")).when(header.rlike(shape), F.greatest(at - now, F.lit(0)))
+
+
+def query_terms(x: Column, stop: list[str]) -> Column:
+    """Distinct folded words of two letters or more, or digits, without stop words, in order."""
+    ws = F.filter(F.split(fold(x), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) | w.rlike("^[0-9]$"))
+    return F.array_distinct(F.filter(ws, lambda w: ~w.isin(stop)))
+
+
+def off_topic(terms: Column, shown: Column) -> Column:
+    """A result shares too few query terms with its title, snippet and URL: none, or fewer than two of three or more."""
+    low = fold(shown)
+    hits = F.size(F.filter(terms, lambda t: F.contains(low, t)))
+    return hits < F.when(F.size(terms) <= 2, F.least(F.size(terms), F.lit(1))).otherwise(2)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared share of two sets; 0 if both are empty."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
+
+
+def page_cursor(block: Column, offset: Column, digest: Column) -> Column:
+    """Opaque place in a text: ``block.offset.digest`` as hex numbers."""
+    return F.concat_ws(".", F.lower(F.hex(block)), F.lower(F.hex(offset)), F.lower(F.hex(digest)))
+
+
+def read_cursor(x: Column) -> Column:
+    """struct<block,offset,digest> of a cursor; null if it is not exactly three hex numbers."""
+    parts = F.split(x, r"\.")
+    number = lambda i: F.conv(parts[i], 16, 10).try_cast("long")
+    return F.when(x.rlike(r"^[0-9a-f]{1,15}\.[0-9a-f]{1,15}\.[0-9a-f]{1,15}$"), F.struct(number(0).alias("block"), number(1).alias("offset"), number(2).alias("digest")))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.hashing import bands, hamming
+from tidemark.functions.hashing import bands, hamming, similarity
+from tidemark.scratch import written
 
 MAX_BITS = 3
 
@@ -14,7 +15,9 @@ MAX_BITS = 3
 def near_pairs(prints: DataFrame, key: str = "id", hash_col: str = "simhash", bits: int = MAX_BITS) -> DataFrame:
     """(left_id, right_id, distance) of keys whose simhashes differ in at most ``bits`` bits; 0 matches nothing.
 
-    Two hashes within three bits agree in one of four bands, so an equi-join on (band, value) loses none.
+    Of six blocks of a hash three are untouched by three bits, so an equi-join on (choice of blocks, value) loses none.
+    Keys have about 32 bits, so chance meetings stay rare among billions of hashes. ``prints`` is read more than once:
+    give a written table.
     Equal hashes are one vertex: copies are not multiplied out, each joins the least key of its hash.
     """
     if bits > MAX_BITS:
@@ -36,25 +39,22 @@ def leaders(prints: DataFrame, pairs: DataFrame, key: str = "id", hash_col: str
     row near a leader is decided once all its earlier neighbours are. Rounds are as many as the longest chain.
     They run over the least key of each hash: a copy never leads, and its first leader is that key's, or that key.
     """
-    spark = prints.sparkSession
     rows = prints.select(F.col(key).alias("k"), F.col(hash_col).alias("h")).distinct()
-    state = rows.filter("h <> 0").groupBy("h").agg(F.min("k").alias("k")).persist()
-    e = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).join(state.select(F.col("k").alias("b")), "b", "left_semi").persist()
+    state = written(rows.filter("h <> 0").groupBy("h").agg(F.min("k").alias("k")), "leaders-state")
+    e = written(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).join(state.select(F.col("k").alias("b")), "b", "left_semi"), "leaders-pairs")
     touched = e.select(F.col("b").alias("k")).distinct()
     lead = state.select("k").join(touched, "k", "left_anti").select("k", F.lit(None).cast("bigint").alias("duplicate_of"))
     open_ = touched
-    rounds = 0
     while not open_.isEmpty():
-        rounds += 1
         before = e.join(lead.select(F.col("k").alias("a"), F.col("duplicate_of").isNull().alias("leads")), "a", "left")
         status = before.join(open_.select(F.col("k").alias("b")), "b").groupBy("b").agg(
             F.min(F.when(F.col("leads"), F.col("a"))).alias("first"), F.min(F.when(F.col("leads").isNull(), F.col("a"))).alias("unknown")
         )
         ready = status.filter(F.col("unknown").isNull() | (F.col("first") < F.col("unknown"))).select(F.col("b").alias("k"), F.col("first").alias("duplicate_of"))
-        ready = ready.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else ready.persist()
-        lead = lead.unionByName(ready)
+        ready = written(ready, "leaders-ready")
+        lead = written(lead.unionByName(ready), "leaders-lead")
         open_ = open_.join(ready.select("k"), "k", "left_anti")
-        open_ = open_.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else open_.persist()
+        open_ = written(open_, "leaders-open")
     first = state.join(lead, "k").select("h", F.col("k").alias("first"), "duplicate_of")
     own = F.when(F.col("k") != F.col("first"), F.coalesce("duplicate_of", "first")).otherwise(F.col("duplicate_of"))
     return rows.join(first, "h", "left").select(F.col("k").alias(key), own.alias("duplicate_of"))
@@ -85,12 +85,16 @@ def strip_template(docs: DataFrame, template: DataFrame, key: str = "doc_id", si
     return out.select(key, F.when(whole, 0).otherwise(F.col("n")).cast("long").alias("removed_blocks"), F.when(whole, 0).otherwise(F.col("cut")).cast("long").alias("removed_bytes"), F.when(whole, F.col(text)).otherwise(F.col("kept")).alias(text))
 
 
-def changes(versions: DataFrame, key: str, order: str, digest: str) -> DataFrame:
-    """Adds ``change``: new for a key's first version, unchanged if the digest is the previous one's, else changed."""
+def changes(versions: DataFrame, key: str, order: str, digest: str, simhash: str | None = None) -> DataFrame:
+    """Adds ``change``: new for a key's first version, unchanged if the digest is the previous one's, else changed; with
+    ``simhash`` also ``similarity`` of what changed."""
     w = Window.partitionBy(key).orderBy(order)
     before = F.lag(digest).over(w)
     first = F.row_number().over(w) == 1
-    return versions.withColumn("change", F.when(first, "new").when(before.eqNullSafe(F.col(digest)), "unchanged").otherwise("changed"))
+    out = versions.withColumn("change", F.when(first, "new").when(before.eqNullSafe(F.col(digest)), "unchanged").otherwise("changed"))
+    if simhash:
+        out = out.withColumn("similarity", F.when(F.col("change") == "changed", similarity(F.col(simhash), F.lag(simhash).over(w))))
+    return out
 
 
 def plan(listed: DataFrame, known: DataFrame, key: str, modified: str, fetched: str) -> DataFrame:

@@ -47,12 +47,12 @@ def section(url: Column) -> Column:
     return F.when((first == "") | F.contains(first, F.lit(".")), "Pages").otherwise(F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, 2, 1000)))
 
 
-def llms_index(pages: DataFrame, site: str, url: str, title: str) -> DataFrame:
-    """(site, section, size, lines): a section's links in URL order."""
+def llms_index(pages: DataFrame, site: str, url: str, title: str, key: str) -> DataFrame:
+    """(site, section, size, lines): a section's links in the order of URL and key."""
     label = F.regexp_replace(F.col(title), r"([\[\]])", r"\\$1")
     line = F.concat(F.lit("- ["), label, F.lit("]("), F.col(url), F.lit(")"))
-    p = pages.select(F.col(site).alias("site"), section(F.col(url)).alias("section"), F.col(url).alias("u"), line.alias("line"))
-    return p.groupBy("site", "section").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    p = pages.select(F.col(site).alias("site"), section(F.col(url)).alias("section"), F.col(url).alias("u"), F.col(key).alias("k"), line.alias("line"))
+    return p.groupBy("site", "section").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "k", "line"))), lambda x: x["line"]), "\n").alias("lines"))
 
 
 def until_budget(docs: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:

@@ -9,37 +9,42 @@ from pyspark.sql.window import Window
 from tidemark.functions import text as T
 
 # Thresholds of the published heuristics.
-MIN_WORDS, MIN_CHARS, SAMPLE = 50, 300, 8000
+MIN_WORDS, MIN_CHARS = 50, 300
 WORD_LEN = (3.0, 10.0)
 MIN_ALPHA, MAX_SYMBOLS, MAX_BIGRAM = 0.8, 0.1, 0.2
 
 
 def top_bigram(ws: Column) -> Column:
-    """Share of words in the commonest adjacent pair; 0 under 100 words. Sorted pairs make runs to measure."""
-    pairs = F.array_sort(F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    """Share of words in the commonest adjacent pair; 0 under 100 words. Pairs are hashed,
+    and the sorted hashes make runs to measure."""
+    hashes = F.transform(ws, lambda w: F.xxhash64(w))
+    pairs = F.array_sort(F.zip_with(F.slice(hashes, 1, F.size(ws) - 1), F.slice(hashes, 2, F.size(ws) - 1), lambda a, b: F.xxhash64(a, b)))
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    def longest(hs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
-    best = F.aggregate(pairs, start, step, lambda a: a["best"])
-    return F.when(F.size(ws) < 2 * MIN_WORDS, 0.0).otherwise(best * 2.0 / F.size(ws))
+        def step(acc: Column, x: Column) -> Column:
+            run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
+            return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+        return F.aggregate(hs, start, step, lambda a: a["best"])
+
+    return F.when(F.size(ws) < 2 * MIN_WORDS, 0.0).otherwise(longest(pairs) * 2.0 / F.size(ws))
 
 
 def assess(docs: DataFrame, text: str = "text", html_bytes: str | None = None) -> DataFrame:
-    """Adds ``reasons`` and ``verdict`` (partial if cut off, full if nothing is wrong, else thin)."""
+    """Adds ``reasons`` and ``verdict`` (partial if cut off, full if nothing is wrong, else thin). Whole texts are judged."""
     body = F.trim(F.coalesce(F.col(text), F.lit("")))
-    df = docs.withColumn("_body", body).withColumn("_head", F.substring("_body", 1, SAMPLE)).withColumn("_w", T.spaced(F.col("_head")))
+    df = docs.withColumn("_body", body).withColumn("_w", T.spaced(F.col("_body")))
     n = F.size("_w")
     letters = F.length(F.array_join("_w", ""))
-    foreign = F.length(F.regexp_replace("_head", r"[^\p{L}]|[A-Za-z]", ""))
-    spaceless = (n * 20 < F.length("_head")) & (foreign * 2 > F.length("_head"))
+    foreign = F.length(F.regexp_replace("_body", r"[^\p{L}]|[A-Za-z]", ""))
+    spaceless = (n * 20 < F.length("_body")) & (foreign * 2 > F.length("_body"))
     floor = F.when(spaceless, MIN_CHARS // 3).otherwise(MIN_CHARS)
-    thin = (F.size(T.spaced(F.col("_body"))) < MIN_WORDS) & (F.length("_body") < floor)
+    thin = (n < MIN_WORDS) & (F.length("_body") < floor)
     mean = letters / F.greatest(n, F.lit(1))
     alpha = F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}"))) / F.greatest(n, F.lit(1))
-    marks = (F.length("_head") - F.length(F.regexp_replace("_head", "[#…]", ""))) + (F.length("_head") - F.length(F.regexp_replace("_head", r"\.\.\.", ""))) / 3
+    marks = (F.length("_body") - F.length(F.regexp_replace("_body", "[#…]", ""))) + (F.length("_body") - F.length(F.regexp_replace("_body", r"\.\.\.", ""))) / 3
     odd = (~spaceless & ~mean.between(*WORD_LEN)) | (alpha < MIN_ALPHA) | (marks / F.greatest(n, F.lit(1)) > MAX_SYMBOLS)
     cut = F.col("_body").endswith("…") | F.col("_body").endswith("...")
     found = [F.when(thin, "thin_text"), F.when((n > 0) & odd, "not_prose"), F.when(top_bigram(F.col("_w")) > MAX_BIGRAM, "repetitive"), F.when(cut, "truncated")]
@@ -47,7 +52,7 @@ def assess(docs: DataFrame, text: str = "text", html_bytes: str | None = None) -
         found.append(F.when((F.col(html_bytes) >= 20_000) & (F.octet_length("_body") / F.col(html_bytes) < 0.05), "low_text_ratio"))
     out = df.withColumn("reasons", F.array_compact(F.array(*found)))
     verdict = F.when(F.array_contains("reasons", "truncated"), "partial").when(F.size("reasons") == 0, "full").otherwise("thin")
-    return out.withColumn("verdict", verdict).drop("_body", "_head", "_w")
+    return out.withColumn("verdict", verdict).drop("_body", "_w")
 
 
 def optimisation(anchors: Column, affiliate: Column, headings: Column, echo: Column, n_words: Column) -> Column:

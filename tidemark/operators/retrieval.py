@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
+from tidemark.scratch import written
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -16,17 +17,20 @@ K1, B, RRF_K = 1.5, 0.75, 60
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
     """(group, key, score) of the rows with a positive score; statistics per group, or over all rows.
 
-    One pass computes length and term counts in the row; only rows that hold a term are scored.
+    One pass over the texts writes length and term counts of each row; statistics and scores read those few numbers.
     """
     groups = [group] if group else []
-    toks = docs.select(key, *groups, T.ascii_tokens(F.col(text)).alias("t"))
     wanted = sorted(set(terms))
+    low = T.ascii_lower(F.col(text))
+    hits = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9])(?:{'|'.join(wanted)})(?![a-z0-9])"), F.lit(0))  # few, and all that is listed
+    rows = docs.select(key, *groups, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("len"), hits.alias("hits"))
 
     def count(term: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == term))
+        return F.size(F.filter("hits", lambda x: x == term))
 
-    rows = toks.select(key, *groups, F.size("t").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    rows = written(rows.select(key, *groups, "len", *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)]), "bm25")
     stats = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
+    rows = rows.filter(" or ".join(f"tf{i} > 0" for i in range(len(wanted))))
     joined = rows.join(F.broadcast(stats), group) if group else rows.crossJoin(F.broadcast(stats))  # one row a group
     score = F.lit(0.0)
     for i, t in enumerate(wanted):
@@ -49,15 +53,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block: int = 256) -> DataFrame:
-    """(query, key, score, rank) of the k nearest rows by cosine, exact.
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block: int = 256, most: int = 50_000) -> DataFrame:
+    """(query, key, score, rank) of the k nearest rows by cosine, exact; ties go to the smaller key.
 
-    The query set is stated and sent to the tasks in blocks; each partition keeps its own k best of every
-    query, so what is shuffled is k rows a query and partition, never all pairs.
+    The query set is stated. It goes to the tasks in parts of at most ``most`` queries, a scan of the corpus each; a
+    partition keeps its own k best of every query, so what is shuffled is k rows a query and partition, never all pairs.
     """
-    qs = [(r[0], np.asarray(r[1], np.float64)) for r in queries.select(key, vec).filter(F.col(vec).isNotNull()).collect()]
-    names = [q for q, _ in qs]
-    mat = np.array([v / (np.linalg.norm(v) or 1.0) for _, v in qs]) if qs else np.zeros((0, 1))
+    wanted = queries.select(key, vec).filter(F.col(vec).isNotNull())
+    parts = max(1, -(-wanted.count() // most))
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    out = None
+    for p in range(parts):
+        some = _topk_part((wanted if parts == 1 else wanted.filter(part == p)).collect(), corpus, k, key, vec, block)
+        out = some if out is None else out.unionByName(some)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _topk_part(rows, corpus: DataFrame, k: int, key: str, vec: str, block: int) -> DataFrame:
+    names = [r[0] for r in rows]
+    mat = np.array([np.asarray(r[1], np.float64) / (np.linalg.norm(r[1]) or 1.0) for r in rows]) if rows else np.zeros((0, 1))
     sent = corpus.sparkSession.sparkContext.broadcast((names, mat))
 
     def best(batches):
@@ -73,14 +88,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_i
             for low in range(0, len(names), block):
                 sims = mat[low : low + block] @ x.T
                 for i, row in enumerate(sims):
-                    top = np.argpartition(-row, min(k, len(row) - 1))[: k + 1]
-                    q = low + i
-                    keep[q] = sorted(keep[q] + [(-round(float(row[j]), 9), int(ids[j])) for j in top if ids[j] != names[q]])[:k]
+                    row, q = np.round(row, 9), low + i
+                    least = np.partition(row, -min(k + 1, len(row)))[-min(k + 1, len(row))]
+                    top = np.flatnonzero(row >= least)  # with all that tie at the cut
+                    top = top[np.lexsort((ids[top], -row[top]))[: k + 1]]
+                    keep[q] = sorted(keep[q] + [(-float(row[j]), int(ids[j])) for j in top if ids[j] != names[q]])[:k]
         yield pd.DataFrame([(n, i, -s) for n, rows in zip(names, keep, strict=True) for s, i in rows], columns=["query", "key", "score"]).astype({"query": "int64", "key": "int64", "score": "float64"})
 
-    part = corpus.select(key, vec).mapInPandas(best, "query bigint, key bigint, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return corpus.select(key, vec).mapInPandas(best, "query bigint, key bigint, score double")
 
 
 def mmr(lists: DataFrame, query: str, order: str, key: str, vec: str, weight: float = 0.5) -> DataFrame:

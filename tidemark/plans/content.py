@@ -10,6 +10,7 @@ from tidemark.functions import hashing as H
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import dedup, quality, retrieval
+from tidemark.scratch import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -140,7 +141,7 @@ def str4(spark, d):
     return read(spark, d, "documents").select("doc_id", *[F.size(f(t)).cast("long").alias(n) for n, f in (("ascii_tokens", T.ascii_tokens), ("words", T.words), ("long_words", T.long_words), ("spaced", T.spaced))])
 
 
-@query("str10_truncate", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substring(text, 1, 200), '\\s+\\S*$', '') || '…' END AS label FROM documents")
+@query("str10_truncate", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substring(text, 1, 200), '\\s+\\S*\\z', '') || '…' END AS label FROM documents")
 def str10(spark, d):
     return read(spark, d, "documents").select("doc_id", T.cut_at_space(F.col("text"), 200).alias("label"))
 
@@ -169,11 +170,8 @@ def jsn2(spark, d):
 
 # Quality ----------------------------------------------------------------------------------------------------
 
-_SAMPLE = "list_filter(regexp_split_to_array(substring(trim(text), 1, 8000), '\\s+'), lambda w: w <> '')"
-
-
 @query("q1_integrity", f"""
-WITH a AS (SELECT doc_id, trim(text) AS body, substring(trim(text), 1, 8000) AS head FROM documents),
+WITH a AS (SELECT doc_id, trim(text) AS body, trim(text) AS head FROM documents),
 b AS (SELECT *, list_filter(regexp_split_to_array(head, '\\s+'), lambda w: w <> '') AS ws, list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> '') AS allw FROM a),
 c AS (SELECT *, len(ws) AS n, length(array_to_string(ws, '')) AS letters FROM b),
 g AS (SELECT doc_id, max(k) AS best FROM (SELECT doc_id, p, count(*) AS k FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS p FROM c) x GROUP BY 1, 2) y GROUP BY 1),
@@ -207,27 +205,44 @@ def cl1(spark, d):
 # Duplicates -------------------------------------------------------------------------------------------------
 
 
-@query("dup1_simhash", f"""
-WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
-s AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - least(3, len(ws)) + 2), lambda i: array_to_string(ws[i : i + least(3, len(ws)) - 1], ' '))) AS g FROM w WHERE len(ws) > 0),
+def simhash_sql(table: str, keys: str, text: str = "text") -> str:
+    """(keys, simhash) of a table in DuckDB; a row's words make runs of three, hashed and voted bit by bit."""
+    low = LOW.replace("text", text)
+    return f"""
+WITH w AS (SELECT {keys}, list_filter(regexp_split_to_array({low}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM {table}),
+s AS (SELECT {keys}, unnest(list_transform(range(1, len(ws) - least(3, len(ws)) + 2), lambda i: array_to_string(ws[i : i + least(3, len(ws)) - 1], ' '))) AS g FROM w WHERE len(ws) > 0),
 h AS (SELECT g, {FNV.format(x="g")} AS h FROM (SELECT DISTINCT g FROM s) x),
-v AS (SELECT doc_id, b, sum(CASE WHEN (h::hugeint >> b) & 1::hugeint = 1 THEN 1 ELSE -1 END) AS votes FROM s JOIN h USING (g), (SELECT unnest(range(0, 64))::integer AS b) bits GROUP BY 1, 2),
-r AS (SELECT doc_id, sum(CASE WHEN votes > 0 THEN (1::hugeint << b) ELSE 0::hugeint END)::uhugeint AS x FROM v GROUP BY 1)
-SELECT d.doc_id, coalesce({SIGNED.format(x="r.x")}, 0) AS simhash FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""")
+v AS (SELECT {keys}, b, sum(CASE WHEN (h::hugeint >> b) & 1::hugeint = 1 THEN 1 ELSE -1 END) AS votes FROM s JOIN h USING (g), (SELECT unnest(range(0, 64))::integer AS b) bits GROUP BY ALL),
+r AS (SELECT {keys}, sum(CASE WHEN votes > 0 THEN (1::hugeint << b) ELSE 0::hugeint END)::uhugeint AS x FROM v GROUP BY {keys})
+SELECT {", ".join("d." + k.strip() for k in keys.split(","))}, coalesce({SIGNED.format(x="r.x")}, 0) AS simhash FROM {table} d LEFT JOIN r USING ({keys})"""
+
+
+_PAIRS = f"""p AS ({simhash_sql("documents", "doc_id")}),
+one AS (SELECT simhash AS h, min(doc_id) AS k FROM p WHERE simhash <> 0 GROUP BY simhash),
+pairs AS (SELECT a.k AS left_id, b.k AS right_id, bit_count(xor(a.h, b.h))::integer AS distance FROM one a JOIN one b ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= 3
+ UNION ALL SELECT one.k, p.doc_id, 0 FROM p JOIN one ON one.h = p.simhash WHERE p.doc_id <> one.k)"""
+
+
+@query("dup1_simhash", simhash_sql("documents", "doc_id"))
 def dup1(spark, d):
     return read(spark, d, "documents").select("doc_id", H.simhash64("text").alias("simhash"))
 
 
 def prints(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), H.simhash64("text").alias("simhash"))
+    return written(read(spark, d, "documents").select(F.col("doc_id").alias("id"), H.simhash64("text").alias("simhash")), "simhash")
 
 
-@query("dup3_near_pairs")
+@query("dup3_near_pairs", f"WITH {_PAIRS} SELECT * FROM pairs")
 def dup3(spark, d):
     return dedup.near_pairs(prints(spark, d))
 
 
-@query("dup5_group_labels")
+@query("dup5_group_labels", f"""WITH RECURSIVE {_PAIRS},
+o AS (SELECT h, k, row_number() OVER (ORDER BY k) AS rn FROM one),
+f AS (SELECT 0::bigint AS rn, []::bigint[] AS led, NULL::bigint AS k, NULL::bigint AS boss UNION ALL
+ SELECT o.rn, CASE WHEN b.boss IS NULL THEN list_append(f.led, o.k) ELSE f.led END, o.k, b.boss FROM f JOIN o ON o.rn = f.rn + 1
+ LEFT JOIN LATERAL (SELECT min(n.left_id) AS boss FROM pairs n WHERE n.right_id = o.k AND n.distance > 0 AND list_contains(f.led, n.left_id)) b ON true)
+SELECT p.doc_id AS id, CASE WHEN p.doc_id <> one.k THEN coalesce(f.boss, one.k) ELSE f.boss END AS duplicate_of FROM p LEFT JOIN one ON one.h = p.simhash LEFT JOIN f ON f.k = one.k""")
 def dup5(spark, d):
     p = prints(spark, d)
     return dedup.leaders(p, dedup.near_pairs(p))
@@ -253,10 +268,12 @@ def dup7(spark, d):
     return dedup.strip_template(docs, dedup.boilerplate(docs, min_pages=5, least_bytes=40, share=0.05))
 
 
-@query("chg1_change_status", "SELECT conv_id, turn, CASE WHEN rn = 1 THEN 'new' WHEN prev = h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT conv_id, turn, md5(role) AS h, lag(md5(role)) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) t")
+@query("chg1_change_status", f"""WITH s AS ({simhash_sql("conversations", "conv_id, turn")}),
+t AS (SELECT c.conv_id, c.turn, md5(c.text) AS h, s.simhash, lag(md5(c.text)) OVER w AS prev, lag(s.simhash) OVER w AS old, row_number() OVER w AS rn FROM conversations c JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn WINDOW w AS (PARTITION BY c.conv_id ORDER BY c.turn))
+SELECT conv_id, turn, CASE WHEN rn = 1 THEN 'new' WHEN prev = h THEN 'unchanged' ELSE 'changed' END AS change, CASE WHEN rn > 1 AND prev <> h THEN 1 - bit_count(xor(simhash, old)) / 64.0::double END AS similarity FROM t""")
 def chg1(spark, d):
-    v = read(spark, d, "conversations").select("conv_id", "turn", F.md5("role").alias("h"))
-    return dedup.changes(v, "conv_id", "turn", "h").select("conv_id", "turn", "change")
+    v = read(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("h"), H.simhash64("text").alias("simhash"))
+    return dedup.changes(v, "conv_id", "turn", "h", "simhash").select("conv_id", "turn", "change", "similarity")
 
 
 @query("chg4_incremental_plan", "SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'new' WHEN d.n_chars % 7 = 0 THEN 'undated' WHEN d.n_chars > 1000 * l.quality + 500 THEN 'changed' ELSE 'unchanged' END AS reason FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -297,7 +314,8 @@ def rk3(spark, d):
     docs = read(spark, d, "documents")
     a = retrieval.bm25(docs, TERMS, group="lang").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.round("score", 6)), "doc_id")).alias("rank"))
     b = docs.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    return retrieval.fuse(a.unionByName(b).filter("rank <= 50"), "lang", "doc_id", "rank").withColumn("score", F.round("score", 9))
+    a, b = a.filter("rank <= 50"), b.filter("rank <= 50")  # under the union, so that each task keeps its own 50
+    return retrieval.fuse(a.unionByName(b), "lang", "doc_id", "rank").withColumn("score", F.round("score", 9))
 
 
 @query("ag7_document_frequency", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({LOW}, '[a-z0-9]+')) AS term FROM documents) t GROUP BY term HAVING count(*) >= 5")

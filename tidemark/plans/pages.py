@@ -104,10 +104,10 @@ def snk2(spark, d):
     return export.csv_ready(read(spark, d, "documents").select("doc_id", cell.alias("cell")))
 
 
-@query("snk5_llms_index", f"SELECT {DOMAIN} AS site, CASE WHEN s = '' OR contains(s, '.') THEN 'Pages' ELSE upper(substring(s, 1, 1)) || substring(s, 2) END AS section, count(*) AS size FROM (SELECT url, regexp_extract({PATH}, '^/([^/]*)/', 1) AS s FROM pages) t GROUP BY 1, 2")
+@query("snk5_llms_index", f"SELECT {DOMAIN} AS site, CASE WHEN s = '' OR contains(s, '.') THEN 'Pages' ELSE upper(substring(s, 1, 1)) || substring(s, 2) END AS section, count(*) AS size, string_agg('- [Page ' || page_id || '](' || url || ')', chr(10) ORDER BY url, page_id) AS lines FROM (SELECT page_id, url, regexp_extract({PATH}, '^/([^/]*)/', 1) AS s FROM pages) t GROUP BY 1, 2")
 def snk5(spark, d):
-    p = read(spark, d, "pages").select("url", U.domain(F.col("url")).alias("site"), F.lit("Page").alias("title"))
-    return export.llms_index(p, "site", "url", "title").select("site", "section", "size")
+    p = read(spark, d, "pages").select("page_id", "url", U.domain(F.col("url")).alias("site"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"))
+    return export.llms_index(p, "site", "url", "title", "page_id")
 
 
 @query("snk6_llms_full", f"SELECT doc_id, source FROM (SELECT doc_id, source, sum({ESTIMATE.format(x='text')}) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM documents) t WHERE spent <= 20000")
@@ -120,19 +120,21 @@ def st_batch(spark, d):
     return S.tumbling(read(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("st_tumbling_stream")
+@query("st_tumbling_stream", SQL["st_tumbling_batch"])
 def st_tumbling(spark, d):
-    return S.drain(S.tumbling(S.stream(spark, d)), "complete")
+    return S.drain(S.tumbling(S.stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("st_sliding_stream")
+@query("st_sliding_stream", "SELECT time_bucket(INTERVAL 30 MINUTE, ts::timestamp) - s * INTERVAL 30 MINUTE AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) t(s) GROUP BY 1, 2")
 def st_sliding(spark, d):
-    return S.drain(S.sliding(S.stream(spark, d)), "complete")
+    return S.drain(S.sliding(S.stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("st_session_stream")
+@query("st_session_stream", """SELECT user_id, min(tt) AS start, max(tt) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (SELECT user_id, tt, sum(brk) OVER (PARTITION BY user_id ORDER BY tt ROWS UNBOUNDED PRECEDING) AS run
+ FROM (SELECT user_id, ts::timestamp AS tt, CASE WHEN ts::timestamp <= lag(ts::timestamp) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events) a) b GROUP BY user_id, run""")
 def st_sessions(spark, d):
-    return S.drain(S.sessions(S.stream(spark, d)), "complete")
+    out = S.drain(S.sessions(S.stream(spark, d)), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("set3_stream_dedup", "SELECT event_id, user_id FROM events")
@@ -140,6 +142,10 @@ def st_dedup(spark, d):
     return S.drain(S.deduplicated(S.stream(spark, d)).select("event_id", "user_id"))
 
 
-@query("st1_admission")
+@query("st1_admission", """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT)) AS rn FROM events),
+r AS (SELECT user_id, 0::bigint AS rn, []::bigint[] AS kept, 0::bigint AS admitted, 0::bigint AS held FROM (SELECT DISTINCT user_id FROM events) u UNION ALL
+ SELECT x.user_id, x.rn, CASE WHEN len(k) < 12 THEN list_append(k, s) ELSE k END, admitted + CASE WHEN len(k) < 12 THEN 1 ELSE 0 END, held + CASE WHEN len(k) < 12 THEN 0 ELSE 1 END
+ FROM (SELECT e.user_id, e.rn, e.s, list_filter(r.kept, lambda t: t > e.s - 3600) AS k, r.admitted, r.held FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) x)
+SELECT user_id, max(admitted) AS admitted, max(held) AS held FROM r GROUP BY user_id""")
 def st1(spark, d):
-    return S.drain(S.admission(S.stream(spark, d)), "update")
+    return S.newest(S.drain(S.admission(S.stream(spark, d)), "update"), "user_id")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.scratch import shared_dir
+
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a file stream, event time in ``at``, ten minutes late at most."""
@@ -21,11 +23,11 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return the sink's rows; sink and offsets in the shared folder.
 
-    In complete mode each epoch holds the whole result, windows still open included, and the last one counts.
+    In complete mode each epoch holds the whole result, windows still open included, and the last one counts. In
+    update mode rows carry their ``epoch``, and :func:`newest` keeps the last of each key.
     """
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-streams").rstrip("/")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
     last = "*"
 
     def put(batch: DataFrame, epoch: int) -> None:
@@ -36,9 +38,18 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     rows = f"{path}/rows/epoch={last}" if mode == "complete" else f"{path}/rows"
+    if mode == "update":
+        return spark.read.schema(df.schema.add("epoch", "long")).option("basePath", f"{path}/rows").parquet(rows)
     return spark.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(rows).select(*df.columns)
 
 
+def newest(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key: what its last epoch said."""
+    rest = [c for c in rows.columns if c not in (key, "epoch")]
+    last = F.max_by(F.struct(*rest), "epoch").alias("last")
+    return rows.groupBy(key).agg(last).select(key, "last.*")
+
+
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
     w = F.window("at", width)
     return events.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -58,9 +69,15 @@ def deduplicated(events: DataFrame) -> DataFrame:
 
 
 def admission(events: DataFrame, limit: int = 12, window_s: int = 3600) -> DataFrame:
-    """Per user the count of admitted and held visits: at most ``limit`` admitted in any trailing window."""
+    """Per user the count of admitted and held visits: at most ``limit`` admitted in any trailing window.
+
+    The state of a user is at most ``limit`` times and two counts. A user without events for a day is forgotten.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept, admitted, held = (list(state.get[0]), *state.get[1:]) if state.exists else ([], 0, 0)
         for at in sorted(pd.concat(frames)["s"]):
             kept = [t for t in kept if t > at - window_s]
@@ -70,7 +87,8 @@ def admission(events: DataFrame, limit: int = 12, window_s: int = 3600) -> DataF
             else:
                 held += 1
         state.update((kept, admitted, held))
+        state.setTimeoutTimestamp(max(max(kept, default=0) * 1000 + 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "admitted": [admitted], "held": [held]})
 
-    rows = events.select("user_id", F.unix_seconds("at").alias("s"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, admitted bigint, held bigint", "kept array<bigint>, admitted bigint, held bigint", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select("user_id", "at", F.unix_seconds("at").alias("s"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, admitted bigint, held bigint", "kept array<bigint>, admitted bigint, held bigint", "update", GroupStateTimeout.EventTimeTimeout)
