@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import content, logs, pages
+from tidemark.plans import content, logs, more, pages
 
-QUERIES = {**logs.QUERIES, **content.QUERIES, **pages.QUERIES}
-SQL = {**logs.SQL, **content.SQL, **pages.SQL}
+QUERIES = {**logs.QUERIES, **content.QUERIES, **pages.QUERIES, **more.QUERIES}
+SQL = {**logs.SQL, **content.SQL, **pages.SQL, **more.SQL}

@@ -101,3 +101,12 @@ def page_kind(status: Column, text: Column) -> Column:
             says = says | F.contains(low, F.lit(p))
         out = out.when(short & says, kind)
     return out.when(F.length(F.trim(low)) == 0, "empty").otherwise("none")
+
+
+def structured_verdict(x: Column) -> Column:
+    """empty, ok, truncated (brackets still open) or malformed JSON. The parser stops behind the first value, so brackets
+    outside strings must also be as many closed as opened."""
+    bare = F.regexp_replace(x, r'"(?:[^"\\]|\\.)*"', "")
+    opened, closed = F.regexp_count(bare, F.lit(r"[{\[]")), F.regexp_count(bare, F.lit(r"[}\]]"))
+    valid = F.try_parse_json(x).isNotNull() & (opened == closed)
+    return F.when(F.trim(x) == "", "empty").when(valid, "ok").when(opened > closed, "truncated").otherwise("malformed")

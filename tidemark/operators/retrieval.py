@@ -134,3 +134,16 @@ def frontier_score(relevance: Column, source: Column, parent: Column, depth: Col
     prior = F.coalesce(priors[source], F.lit(0.4))
     fresh = F.coalesce(0.4 * F.exp(-age_days / 90.0), F.lit(0.0))
     return 1.2 * relevance + 0.6 * prior + 0.4 * parent - 0.25 * depth - 0.08 * segments + fresh
+
+
+def iou(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1: Column, bx2: Column, by2: Column) -> Column:
+    """Overlap of two boxes by their union; 0 if they do not meet."""
+    w, h = F.least(ax2, bx2) - F.greatest(ax1, bx1), F.least(ay2, by2) - F.greatest(ay1, by1)
+    inter = (F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))).cast("double")
+    union = (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter
+    return F.when(union > 0, inter / union).otherwise(0.0)
+
+
+def histogram_distance(a: Column, b: Column) -> Column:
+    """Sum of absolute differences of two histograms of three channels, each of sum 1, by 6: 0 alike, 1 apart."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v) / 6

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import hashing as H
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import dedup, quality, retrieval
+from tidemark.operators import dedup, ledgers, quality, retrieval
 from tidemark.scratch import written
 
 QUERIES: dict = {}
@@ -357,23 +357,18 @@ def rk9(spark, d):
 
 @query("mth6_ewma", "WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT user_id, rn, value AS s FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, 0.7 * r.s + 0.3 * e.value FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) SELECT user_id, round(arg_max(s, rn), 6) AS ewma FROM r GROUP BY user_id")
 def mth6(spark, d):
-    seq = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    fold = F.aggregate(seq, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["value"]).otherwise(0.7 * a + 0.3 * x["value"]))
-    return read(spark, d, "events").groupBy("user_id").agg(fold.alias("ewma")).withColumn("ewma", F.round("ewma", 6))
+    return ledgers.ewma(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value").withColumn("ewma", F.round("ewma", 6))
 
 
-@query("ag19_session_health")
+@query("ag19_session_health", """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CASE WHEN event_type = 'error' THEN -35 WHEN event_type = 'view' THEN -10 ELSE 3 END AS delta, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS rn FROM events),
+r AS (SELECT user_id, rn, s, least(100.0, greatest(0.0, 100.0 + delta))::double AS h FROM e WHERE rn = 1 UNION ALL
+ SELECT e.user_id, e.rn, e.s, least(100.0, greatest(0.0, least(100.0, h + floor((e.s - r.s) / 600.0)) + delta))::double FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, round(arg_max(h, rn), 6) AS health, arg_max(h, rn) >= 40 AS usable FROM r GROUP BY user_id""")
 def ag19(spark, d):
-    """100 at the start; +3 a success, -35 a block, +1 for each idle ten minutes; within 0 and 100."""
-    seq = F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_type") == "error").alias("bad"))))
-    start = F.struct(F.lit(100.0).alias("h"), F.lit(None).cast("bigint").alias("at"))
-
-    def step(a, x):
-        idle = F.coalesce(F.floor((x["at"] - a["at"]) / 600), F.lit(0))
-        h = F.least(F.lit(100.0), a["h"] + idle)
-        return F.struct(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.when(x["bad"], h - 35).otherwise(h + 3))).cast("double").alias("h"), x["at"].alias("at"))
-
-    out = read(spark, d, "events").groupBy("user_id").agg(F.aggregate(seq, start, step, lambda a: a["h"]).alias("health"))
+    """100 at the start; +3 a success, -10 a limit (here a view), -35 a block (an error), +1 for each idle ten minutes."""
+    e = read(spark, d, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    delta = F.when(F.col("event_type") == "error", -35).when(F.col("event_type") == "view", -10).otherwise(3)
+    out = ledgers.session_health(e, "user_id", "s", "event_id", delta)
     return out.select("user_id", F.round("health", 6).alias("health"), (F.col("health") >= 40).alias("usable"))
 
 
