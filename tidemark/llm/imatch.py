@@ -93,8 +93,8 @@ def as_text(print_: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(print_["whole"]), 16, "0"), F.array_join(F.transform(print_["subsets"], digits), "")))
 
 
-def print_of(listed: Column, chars: Column) -> Column:
-    """struct<whole,subsets> of a text's distinct terms, array<struct<term,kept>> (kept null: not in the lexicon)."""
+def print_of(listed: Column, other: Column) -> Column:
+    """struct<whole,subsets> of a text's distinct lexicon terms, array<struct<term,kept>>; ``other`` if there are none."""
     def hashed(xs: Column) -> Column:
         return F.xxhash64(F.transform(xs, lambda x: x["term"]))
 
@@ -104,14 +104,11 @@ def print_of(listed: Column, chars: Column) -> Column:
 
     def of(v: Column) -> Column:
         subsets = [thinned(v["few"] if width < 32 else v["band"], k) for k, width in enumerate(WIDTHS)]
-        whole = F.when(F.size(v["band"]) > 0, hashed(v["band"])).when(F.size(v["all"]) > 0, hashed(v["all"])).otherwise(chars)
-        return F.struct(whole.alias("whole"), F.array(*subsets).alias("subsets"))
+        return F.struct(F.when(F.size(v["band"]) > 0, hashed(v["band"])).otherwise(other).alias("whole"), F.array(*subsets).alias("subsets"))
 
     sparse = sum(1 << k for k, width in enumerate(WIDTHS) if width < 32)
-    every = F.array_sort(listed)
-    step1 = F.transform(F.array(every), lambda xs: F.struct(xs.alias("all"), F.filter(xs, lambda x: x["kept"].isNotNull()).alias("band")))
-    step2 = F.transform(step1, lambda v: F.struct(v["all"].alias("all"), v["band"].alias("band"), F.filter(v["band"], lambda x: x["kept"].bitwiseAND(F.lit(sparse)) != 0).alias("few")))
-    return F.get(F.transform(step2, of), F.lit(0))
+    both = F.transform(F.array(F.array_sort(listed)), lambda xs: F.struct(xs.alias("band"), F.filter(xs, lambda x: x["kept"].bitwiseAND(F.lit(sparse)) != 0).alias("few")))
+    return F.get(F.transform(both, of), F.lit(0))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf_low: float = 1.6, idf_high: float = 6.9) -> DataFrame:
@@ -131,13 +128,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the next row's print is this range's next print, except at the end of a range
     by_role = (F.col("t"), F.col("edited"), F.when(F.col("last"), F.col("next_t")))
     texts = F.array(*[F.struct(F.lit(r).alias("role"), x.alias("x")) for r, x in enumerate(by_role)])
-    row = F.struct("id", "n_chars", "sha").alias("row")
-    per = rows.select("bucket", "pos", row, F.explode(F.filter(texts, lambda s: s["x"].isNotNull())).alias("s"))
-    per = per.select("bucket", "pos", "row", F.col("s.role").alias("role"), F.xxhash64("s.x").alias("chars"), F.explode_outer(terms(F.col("s.x"))).alias("term"))
-    hit = per.join(lexicon, "term", "left")
-    term = F.when(F.col("term").isNotNull(), F.struct("term", "kept"))
-    folded = hit.groupBy("bucket", "pos", "role").agg(F.first("row").alias("row"), F.first("chars").alias("chars"), F.collect_list(term).alias("listed"))
-    folded = folded.select("bucket", "pos", "role", "row", print_of(F.col("listed"), F.col("chars")).alias("p"))
+    per = rows.select("bucket", "pos", F.struct("id", "n_chars", "sha").alias("row"), F.explode(F.filter(texts, lambda s: s["x"].isNotNull())).alias("s"))
+    per = per.select("bucket", "pos", "row", F.col("s.role").alias("role"), F.xxhash64("s.x").alias("chars"), terms(F.col("s.x")).alias("ts"))
+    # what belongs to the text travels with its first term; terms outside the lexicon go no further
+    other = F.when(F.size("ts") > 0, F.xxhash64(F.array_sort("ts"))).otherwise(F.col("chars"))
+    per = per.select("bucket", "pos", "role", "row", other.alias("other"), F.posexplode_outer("ts").alias("at", "term"))
+    per = per.select("bucket", "pos", "role", "term", F.when(F.coalesce("at", F.lit(0)) == 0, F.struct("row", "other")).alias("head"))
+    hit = per.join(lexicon, "term", "left").filter("kept is not null or head is not null")
+    term = F.when(F.col("kept").isNotNull(), F.struct("term", "kept"))
+    folded = hit.groupBy("bucket", "pos", "role").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list(term).alias("listed"))
+    folded = folded.select("bucket", "pos", "role", "head.row", print_of(F.col("listed"), F.col("head.other")).alias("p"))
     out = folded.groupBy("bucket", "pos").agg(F.first("row").alias("row"), *[F.max(F.when(F.col("role") == r, F.col("p"))).alias(a) for r, a in ((0, "own"), (1, "edited"), (2, "end"))])
     w = Window.partitionBy("bucket").orderBy("pos")
     out = out.withColumn("next", F.coalesce("end", F.lead("own").over(w)))
