@@ -91,10 +91,10 @@ def tk1(spark, d):
     return blocks.best_blocks(ls, TERMS, 3, "doc_id", "pos", "line").withColumn("score", F.round("score", 6))
 
 
-@query("rk2_literal_lines", "SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) x WHERE contains(line, 'user@') OR contains(line, 'api_key=')")
+@query("rk2_literal_lines", "SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) x WHERE contains(line, 'mail3.example.com') OR contains(line, 'api_key=')")
 def rk2(spark, d):
-    terms = T.literal_terms(F.lit("where is 'user@' or api_key= used"))
-    found = F.col("line").contains("user@") | F.exists(terms, lambda t: F.contains("line", t))
+    terms = T.literal_terms(F.lit("where is 'mail3.example.com' or api_key= used"))
+    found = F.exists(terms, lambda t: F.contains("line", t))
     return blocks.lines(read(spark, d, "documents"), "doc_id", "text").filter(found).select("doc_id", "pos", "line")
 
 
