@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, pick, small_batches, tidy, trim
+from .common import hot_keys, join_hot, materialize, pick, small_batches, tidy, trim
 from .decontaminate import slices
 
 WORD = re.compile(r"\w+")
@@ -323,16 +323,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     label = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "cc-labels")
+    hot = hot_keys(both, "b")
     while True:
-        low = join_hot(both, label.select(F.col("v").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
+        low = join_hot(both, label.select(F.col("v").alias("b"), "root"), "b", "a", hot=hot).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
         new = label.join(low, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         new = materialize(new, "cc-step")
+        if new.filter("root <> was").isEmpty():  # neighbours agree everywhere
+            return new.select("v", "root")
         up = new.select(F.col("v").alias("root"), F.col("root").alias("over"))
-        new = materialize(join_hot(new, up, "root", "v", "left").select("v", F.least("root", F.coalesce("over", "root")).alias("root"), "was"), "cc-labels")
-        changed = not new.filter("root <> was").isEmpty()
-        label = new.select("v", "root")
-        if not changed:
-            return label
+        label = materialize(join_hot(new, up, "root", "v", "left").select("v", F.least("root", F.coalesce("over", "root")).alias("root")), "cc-labels")
 
 
 def rooted(th: DataFrame, label: DataFrame) -> DataFrame:

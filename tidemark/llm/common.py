@@ -137,17 +137,22 @@ def ordered_bucket(value: Column, bounds: list[int], hot: list[int], fine: Colum
 HOT_ROWS = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, tie: str, how: str = "inner", spread: int = 32, keys: DataFrame | None = None) -> DataFrame:
+def hot_keys(keys: DataFrame, key: str) -> DataFrame:
+    """Keys of so many rows, written: at most four times the shuffle partitions of them."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(HOT_ROWS, keys.count() // (4 * parts))
+    return materialize(keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key), "hot-keys")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, tie: str, how: str = "inner", spread: int = 32, keys: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """``left.join(right, key, how)`` where ``right`` has one row a key and ``left`` may hold one key very often.
-    ``keys``: a frame with the keys of ``left`` that is cheaper to read.
+    ``keys``: a frame with the keys of ``left`` that is cheaper to read. ``hot``: its :func:`hot_keys`, where known.
 
-    Hot keys number at most four times the shuffle partitions, so the list of them is broadcast; their rows on the
-    left are dealt to ``spread`` tasks by a hash of ``tie``, and on the right are copied to each of those.
+    Hot keys are few, so the list of them is broadcast; their rows on the left are dealt to ``spread`` tasks by a hash
+    of ``tie``, and on the right are copied to each of those.
     """
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = left if keys is None else keys
-    least = max(HOT_ROWS, keys.count() // (4 * parts))
-    hot = materialize(keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key), "hot-keys")
+    if hot is None:
+        hot = hot_keys(left if keys is None else keys, key)
     if hot.isEmpty():
         return left.join(right, key, how)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
