@@ -715,6 +715,15 @@ def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
     test_classes_equal_brute_force(spark)
 
 
+def test_components_of_chains_stars_and_hot_vertices(spark):
+    from tidemark.llm.bagminhash import components
+
+    edges = [(i, i + 1) for i in range(30)] + [(500, 1000 + i) for i in range(1500)] + [(40, 41), (42, 41), (43, 44)]
+    got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(31)} | {i: 500 for i in [500, *range(1000, 2500)]} | {40: 40, 41: 40, 42: 40, 43: 43, 44: 43}
+    assert got == want
+
+
 def test_unlike_texts_share_no_class(spark, monkeypatch):
     rng = random.Random(12)
     one, two, three, four = (" ".join(rng.choices([f"w{i}" for i in range(800)], k=100)) for _ in range(4))
