@@ -141,3 +141,24 @@ def read_cursor(x: Column) -> Column:
     parts = F.split(x, r"\.")
     number = lambda i: F.conv(parts[i], 16, 10).try_cast("long")
     return F.when(x.rlike(r"^[0-9a-f]{1,15}\.[0-9a-f]{1,15}\.[0-9a-f]{1,15}$"), F.struct(number(0).alias("block"), number(1).alias("offset"), number(2).alias("digest")))
+
+
+#: Scripts written without spaces: kana, Han, Hangul.
+IDEOGRAPH = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]"
+
+
+def script_words(x: Column) -> Column:
+    """Count of words between spaces, where one that holds ideographs counts as so many."""
+    runs = F.regexp_extract_all(x, F.lit(r"(\S+)"), F.lit(1))
+    return F.when(x.rlike(IDEOGRAPH), F.aggregate(runs, F.lit(0), lambda n, r: n + F.greatest(F.regexp_count(r, F.lit(IDEOGRAPH)), F.lit(1)))).otherwise(F.size(runs))
+
+
+def shorten(q: Column, stop: list[str]) -> Column:
+    """A query cut to its quoted phrases and its first content words, four of them or two beside phrases; null where that
+    is no shorter."""
+    parts = F.split(q, '"')
+    phrases = F.transform(F.filter(parts, lambda p, i: (i % 2 == 1) & (F.trim(p) != "")), lambda p: F.concat(F.lit('"'), F.trim(p), F.lit('"')))
+    rest = F.regexp_extract_all(F.array_join(F.filter(parts, lambda p, i: (i % 2 == 0) | (F.trim(p) == "")), " "), F.lit(r"(\S+)"), F.lit(1))
+    content = F.filter(rest, lambda w: F.exists(words(fold(w)), lambda x: ~x.isin(stop)))
+    short = F.array_join(F.concat(phrases, F.slice(content, F.lit(1), F.when(F.size(phrases) == 0, 4).otherwise(2))), " ")
+    return F.when((short != "") & (F.regexp_count(short, F.lit(r"\S+")) < F.regexp_count(q, F.lit(r"\S+"))), short)

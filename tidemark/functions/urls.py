@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,3 +142,53 @@ def origin_policy(url: Column, block: list[str], allow: list[str]) -> Column:
         return out
 
     return F.when(under(block), "blocked").when(private_host(h), "private").when(F.lit(bool(allow)) & ~under(allow), "not_listed").otherwise("ok")
+
+
+# Hosts and paths, and parameters, that carry a referral.
+AFFILIATE_ENDPOINTS = [
+    "awin1.com", "anrdoezrs.net", "dpbolvw.net", "jdoqocy.com", "kqzyfj.com", "tkqlhce.com", "tqlkg.com", "hop.clickbank.net", "rover.ebay.com", "ebay.us", "flexlinks.com", "fxo.co",
+    "refersion.com", "shareasale.com", "go.redirectingat.com", "shop-links.co", "go.skimresources.com",
+]
+AFFILIATE_PARAMS = ["aff_id=", "affiliate_id=", "aff_platform=", "utm_medium=affiliate", "irclickid=", "ranmid=", "siteid="]
+# Marks of a search engine's own links.
+AD_MARKS = ["duckduckgo.com/y.js", "duckduckgo.com/duckduckgo-help-pages", "bing.com/aclick", "ad_domain="]
+AD_START = "https://duckduckgo.com/?"
+
+
+def _any_of(x: Column, marks: list[str]) -> Column:
+    return x.rlike("|".join(re.escape(m) for m in marks))
+
+
+def is_affiliate(url: Column) -> Column:
+    """Whether a link carries a referral: a known endpoint or parameter, or a tag on the retailer's host."""
+    low = F.lower(url)
+    return _any_of(low, AFFILIATE_ENDPOINTS + AFFILIATE_PARAMS) | (F.contains(low, F.lit("amazon.")) & low.rlike("[?&]tag="))
+
+
+def is_ad(url: Column) -> Column:
+    """Whether a link of a result page is the engine's own advertising."""
+    return _any_of(url, AD_MARKS) | url.startswith(AD_START)
+
+
+def block_patterns(rules: DataFrame, domain_col: str, most: int) -> DataFrame:
+    """(place, pattern): two browser patterns for each of the ``most`` broadest domains: fewest labels, then shortest,
+    then by name. ``most`` is what a browser takes."""
+    labels = F.length(domain_col) - F.length(F.replace(domain_col, F.lit("."), F.lit("")))
+    d = F.col(domain_col)
+    top = rules.select(d).distinct().orderBy(labels, F.length(d), d).limit(most)
+    both = F.array(F.concat(F.lit("*://"), d, F.lit("/*")), F.concat(F.lit("*://*."), d, F.lit("/*")))
+    return top.select(d, F.posexplode(both).alias("place", "pattern"))
+
+
+def path_prefixes(p: Column) -> Column:
+    """Every directory of a path, from ``/`` to the path itself without a last slash."""
+    parts = F.filter(F.split(p, "/"), lambda x: x != "")
+    return F.concat(F.array(F.lit("/")), F.transform(parts, lambda x, i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))))
+
+
+def alt_svc(header: Column) -> Column:
+    """struct<port, max_age> of the first HTTP/3 alternative, drafts too; null for none or ``clear``.
+    Without a port it is 443, without an age a day."""
+    found = F.regexp_extract(header, r"(?i)(?:^|,)\s*(h3(?:-[^=,;]*)?=[^,]*)", 1)
+    port, age = F.regexp_extract(found, r'^[^;]*:([0-9]{1,5})"?\s*(?:;|$)', 1), F.regexp_extract(found, r";\s*ma=\s*([0-9]+)", 1)
+    return F.when(found != "", F.struct(F.coalesce(port.try_cast("int"), F.lit(443)).alias("port"), F.coalesce(age.try_cast("long"), F.lit(86400)).cast("long").alias("max_age")))

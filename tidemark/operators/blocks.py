@@ -87,3 +87,34 @@ def best_blocks(blocks: DataFrame, terms: list[str], keep: int, key: str, order:
     rank = F.row_number().over(page.orderBy(F.desc("score"), order))
     rows = rows.withColumn("_rank", rank).withColumn("_best", F.max("score").over(page))
     return rows.filter((F.col("_rank") <= keep) | (F.col("_best") == 0) | (F.col("_n") <= keep)).select(key, order, "score")
+
+
+def is_content(words: Column, linked: Column, before: Column, before_linked: Column, after: Column) -> Column:
+    """Whether a block is content by the published shallow-text tree: its own words and link density and its neighbours'."""
+    plain, linky = (words > 16) | (after > 15) | (before > 4), (words > 40) | (after > 17)
+    return (linked <= 0.333333) & F.when(before_linked <= 0.555556, plain).otherwise(linky)
+
+
+def judged_blocks(pages: DataFrame, key: str, blocks: str) -> DataFrame:
+    """(key, blocks): array<struct<text,linked,words,content>> from array<struct<text,linked>>. A page's blocks are one
+    array, so neighbours are looked up without a shuffle; blocks without words go first; past either end is nothing."""
+    counted = F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), b["linked"].cast("double").alias("linked"), T.script_words(b["text"]).alias("words")))
+    rows = pages.select(key, F.filter(counted, lambda b: b["words"] > 0).alias("_b"))
+
+    def judge(b: Column, i: Column) -> Column:
+        prev, after = F.when(i > 0, F.get("_b", i - 1)), F.get("_b", i + 1)
+        content = is_content(b["words"], b["linked"], F.coalesce(prev["words"], F.lit(0)), F.coalesce(prev["linked"], F.lit(0.0)), F.coalesce(after["words"], F.lit(0)))
+        return F.struct(b["text"].alias("text"), b["linked"].alias("linked"), b["words"].alias("words"), content.alias("content"))
+
+    return rows.select(key, F.transform("_b", judge).alias("blocks"))
+
+
+def main_text(pages: DataFrame, key: str, blocks: str, least: int = 400) -> DataFrame:
+    """(key, main): the content blocks, one a line; all blocks where under ``least`` characters are left of them and they
+    are none, or less than a third of a page of at most ten times ``least``."""
+    b = judged_blocks(pages, key, blocks)
+    kept = F.array_join(F.transform(F.filter("blocks", lambda x: x["content"]), lambda x: x["text"]), "\n")
+    full = F.array_join(F.transform("blocks", lambda x: x["text"]), "\n")
+    both = b.select(key, kept.alias("kept"), full.alias("full"))
+    poor = (F.length("kept") < least) & ((F.length("kept") == 0) | ((F.length("full") >= 3 * F.length("kept")) & (F.length("full") <= 10 * least)))
+    return both.select(key, F.when(poor, F.col("full")).otherwise(F.col("kept")).alias("main"))

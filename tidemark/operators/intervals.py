@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _slots(low: Column, high: Column, width: int) -> Column:
@@ -50,3 +51,48 @@ def apart(ranked: DataFrame, key: str, rank: str, at: str, least: int, keep: int
 
     taken = ranked.groupBy(key).agg(F.aggregate(listed, zero, step).alias("t"))
     return taken.select(key, F.posexplode("t").alias("place", at)).withColumn("place", F.col("place") + 1)
+
+
+def passages(cues: DataFrame, keys: list[str], start: str, end: str, text: str, tie: str, window: int) -> DataFrame:
+    """(keys, start, end, n, text): cues in order, cut where one starts ``window`` or more after its passage does. ``keys``
+    name a chapter: a passage never crosses one, and one chapter's cues are folded together."""
+    item = F.struct(start, tie, end, text)
+    listed = F.array_sort(F.collect_list(item))
+    none = F.filter(F.transform(listed, lambda x: F.struct(x[start].alias("a"), x[end].alias("b"), F.array(x[text]).alias("t"))), lambda x: F.lit(False))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x[end]).alias("b"), F.concat(last["t"], F.array(x[text])).alias("t"))
+        own = F.struct(x[start].alias("a"), x[end].alias("b"), F.array(x[text]).alias("t"))
+        return F.when((F.size(acc) > 0) & (x[start] - F.try_element_at(acc, F.lit(-1))["a"] < window), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(own)))
+
+    out = cues.groupBy(*keys).agg(F.aggregate(listed, none, step).alias("p")).select(*keys, F.explode("p").alias("p"))
+    return out.select(*keys, F.col("p.a").alias(start), F.col("p.b").alias(end), F.size("p.t").alias("n"), F.array_join("p.t", " ").alias(text))
+
+
+def fresh_lines(cues: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, order, text): rolling captions without the lines that each cue repeats from the end of the one before; cues
+    with nothing new are left out."""
+    lines = F.split(text, "\n")
+    rows = cues.select(key, order, lines.alias("_now"), F.lag(lines).over(Window.partitionBy(key).orderBy(order)).alias("_was"))
+    was = F.coalesce("_was", F.array().cast("array<string>"))
+    tries = F.sequence(F.lit(0), F.least(F.size("_now"), F.size(was)))
+    same = F.filter(tries, lambda n: F.slice(was, F.size(was) - n + 1, n) == F.slice("_now", F.lit(1), n))
+    at = F.array_max(same)
+    out = rows.select(key, order, F.array_join(F.slice("_now", at + 1, F.size("_now")), "\n").alias(text))
+    return out.filter(F.col(text) != "")
+
+
+def strongest_boxes(boxes: DataFrame, key: str, box: str, score: str, limit: float) -> DataFrame:
+    """(key, box): down the boxes of one picture by score, then left to right, then top down, each that overlaps none
+    taken before by more than ``limit``. ``box`` is a struct of id, x1, y1, x2, y2."""
+    from tidemark.operators.retrieval import iou
+
+    b = F.col(box)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), (b["x1"] + b["x2"]).alias("cx"), (b["y1"] + b["y2"]).alias("cy"), b.alias("b")))), lambda x: x["b"])
+
+    def over(a: Column, x: Column) -> Column:
+        return iou(*[a[c] for c in ("x1", "y1", "x2", "y2")], *[x[c] for c in ("x1", "y1", "x2", "y2")]) > limit
+
+    taken = F.aggregate(listed, F.slice(listed, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: over(a, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return boxes.groupBy(key).agg(taken.alias("t")).select(key, F.explode("t").alias(box))

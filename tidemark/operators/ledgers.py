@@ -77,3 +77,27 @@ def upsert(versions: DataFrame, key: str, at: str, digest: str, keep: int = 20)
     rows = versions.withColumn("_prev", F.lag(digest).over(w)).filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(digest))).drop("_prev")
     back = Window.partitionBy(key).orderBy(F.desc(at))
     return rows.withColumn("_n", F.row_number().over(back)).filter(F.col("_n") <= keep).select(key, at, digest, (F.col("_n") == 1).alias("current"))
+
+
+def growth(rounds: DataFrame, key: str, order: str, height: str, text: str, most: int = 40, quiet: int = 2) -> DataFrame:
+    """(key, rounds, tried): when a page that is scrolled has settled. After ``quiet`` rounds without a new greatest height
+    or text a "load more" is tried once, then the watch stops; at the latest at round ``most``, so no more rows of a key
+    are read. ``rounds`` is null where it has not stopped."""
+    w = Window.partitionBy(key).orderBy(order)
+    rows = rounds.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    grew = (F.col(height) > F.coalesce(F.max(height).over(before), F.lit(0))) | (F.col(text) > F.coalesce(F.max(text).over(before), F.lit(0)))
+    rows = rows.withColumn("_g", grew)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_g"))), lambda x: x["_g"])
+
+    def state(n: Column, q: Column, tried: Column, stop: Column) -> Column:
+        return F.struct(n.alias("n"), q.alias("q"), tried.alias("tried"), stop.alias("stop"))
+
+    def step(s: Column, g: Column) -> Column:
+        n, q = s["n"] + 1, F.when(g, 0).otherwise(s["q"] + 1)
+        settled = (n < most) & (q >= quiet)
+        again = settled & ~s["tried"]
+        return F.when(s["stop"], s).otherwise(state(n, F.when(again, 0).otherwise(q), s["tried"] | again, (n >= most) | (settled & s["tried"])))
+
+    out = rows.groupBy(key).agg(F.aggregate(listed, state(F.lit(0), F.lit(0), F.lit(False), F.lit(False)), step).alias("s"))
+    return out.select(key, F.when(F.col("s.stop"), F.col("s.n")).alias("rounds"), F.col("s.tried").alias("tried"))

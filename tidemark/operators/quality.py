@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
+from tidemark.functions import urls as U
 
 # Thresholds of the published heuristics.
 MIN_WORDS, MIN_CHARS = 50, 300
@@ -56,14 +57,14 @@ def assess(docs: DataFrame, text: str = "text", html_bytes: str | None = None) -
 
 
 def optimisation(anchors: Column, affiliate: Column, headings: Column, echo: Column, n_words: Column) -> Column:
-    """struct<level,traits>: signs of pages written for engines; two traits make it high, one some."""
+    """struct<level,traits>: signs of pages written for engines; two traits make it high."""
     dense = n_words >= 200
     traits = F.array_compact(F.array(
         F.when(dense & (affiliate >= 3) & (affiliate * 1000.0 / F.greatest(n_words, F.lit(1)) > 5), "affiliate_heavy"),
-        F.when((headings >= 3) & (echo > 0.95), "headings_echo"),
+        F.when((headings >= 3) & (echo > 0.95), "headings_echo_the_body"),
         F.when(dense & (anchors * 100.0 / F.greatest(n_words, F.lit(1)) > 4), "link_dense"),
     ))
-    return F.struct(F.when(F.size(traits) >= 2, "high").when(F.size(traits) == 1, "some").otherwise("low").alias("level"), traits.alias("traits"))
+    return F.struct(F.when(F.size(traits) >= 2, "high").otherwise("ordinary").alias("level"), traits.alias("traits"))
 
 
 def percentile_bands(rows: DataFrame, group: str, value: str, bins: int = 20) -> DataFrame:
@@ -110,3 +111,14 @@ def structured_verdict(x: Column) -> Column:
     opened, closed = F.regexp_count(bare, F.lit(r"[{\[]")), F.regexp_count(bare, F.lit(r"[}\]]"))
     valid = F.try_parse_json(x).isNotNull() & (opened == closed)
     return F.when(F.trim(x) == "", "empty").when(valid, "ok").when(opened > closed, "truncated").otherwise("malformed")
+
+
+def response_verdict(status: Column, text_len: Column, asked: Column, landed: Column, wall: Column, elapsed_ms: Column, typical_ms: Column) -> Column:
+    """ok, rate_limited or blocked: what a response means for the session that asked. ``asked`` and ``landed`` are
+    paths; a deep one that lands on the root, and a success of under 200 characters, are blocks; so slow an answer
+    that it is 8 times the usual and over 5 s asks for a pause."""
+    slow = (typical_ms > 0) & (elapsed_ms > typical_ms * 8) & (elapsed_ms > 5000)
+    return (
+        F.when(wall | status.isin(401, 403, 407), "blocked").when((status == 429) | status.between(500, 599), "rate_limited")
+        .when(status.between(200, 299) & (text_len < 200), "blocked").when(U.is_deep(asked) & U.is_root(landed), "blocked").when(slow, "rate_limited").otherwise("ok")
+    )

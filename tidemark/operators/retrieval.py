@@ -147,3 +147,13 @@ def iou(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1: Co
 def histogram_distance(a: Column, b: Column) -> Column:
     """Sum of absolute differences of two histograms of three channels, each of sum 1, by 6: 0 alike, 1 apart."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v) / 6
+
+
+def one_word_answers(results: DataFrame, query: str, terms: str, shown: str) -> DataFrame:
+    """(query, word): result lists that answer one word of a query: of three results or more to three terms or more, none
+    holds two terms, all that hold one hold the same, and those are at least 70%."""
+    held = F.filter(terms, lambda t: F.contains(F.lower(shown), t))
+    rows = results.filter(F.size(terms) >= 3).select(query, held.alias("h"))
+    one = F.when(F.size("h") == 1, F.get("h", F.lit(0)))
+    g = rows.groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("h")).alias("most"), F.min(one).alias("low"), F.max(one).alias("high"), F.count(one).alias("hits"))
+    return g.filter("n >= 3 and most = 1 and low = high and hits * 10 >= n * 7").select(query, F.col("low").alias("word"))

@@ -6,6 +6,7 @@ rankings, table rows, site statistics) is expressed over the struct's columns.
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -27,10 +28,80 @@ SPACE = re.compile(r"\s+")
 PARTS = (
     "struct<title:string,text:string,main_text:string,markdown:string,lang:string,canonical:string,meta:map<string,string>,json_ld:array<string>,feeds:array<string>,"
     "links:array<struct<url:string,text:string,nofollow:boolean>>,media:array<struct<src:string,alt:string>>,headings:array<struct<level:int,text:string>>,"
-    "tables:array<array<array<string>>>,paragraphs:int>"
+    "tables:array<struct<caption:string,header:array<string>,rows:array<array<string>>>>,paragraphs:int,blocks:array<struct<text:string,linked:double>>>"
 )
 
 
+def _span(value: str | None, most: int) -> int:
+    return max(1, min(most, int(value))) if value and value.isdecimal() else 1
+
+
+class _Table:
+    """Cells of one table as they come: [text parts, is header, columns, rows]."""
+
+    def __init__(self, role: str):
+        self.role, self.rows, self.head, self.caption, self.nested = role, [], None, None, False
+
+    def data(self) -> dict | None:
+        """{caption, header, rows}, spans filled in; None where the table lays out a page.
+
+        Layout: another table inside, a presentational role, one column, a single row without header cells, or
+        unlabelled cells of over 200 bytes on average. The header is the last row of ``thead``, else a first row of
+        header cells only. Rows and columns without text go, and columns that repeat an earlier one.
+        """
+        at = {}
+        for r, cells in enumerate(self.rows):
+            c = 0
+            for parts, _, wide, high in cells:
+                while (r, c) in at:
+                    c += 1
+                text = SPACE.sub(" ", "".join(parts)).strip()
+                at.update({(y, x): text for y in range(r, min(r + high, len(self.rows))) for x in range(c, c + wide)})
+                c += wide
+        width = 1 + max((x for _, x in at), default=-1)
+        labelled = self.role in ("table", "grid") or self.caption is not None or any(cell[1] for r in self.rows for cell in r)
+        single = len(self.rows) < 2 and not any(cell[1] for r in self.rows for cell in r)
+        prose = not labelled and sum(len(t.encode()) for t in at.values()) > 200 * len(at)
+        if self.nested or self.role in ("presentation", "none") or width < 2 or single or prose:
+            return None
+        grid = [[at.get((r, c), "") for c in range(width)] for r in range(len(self.rows))]
+        head = self.head
+        if head is None and self.rows[0] and all(cell[1] for cell in self.rows[0]):
+            head = 0
+        header = [""] * width if head is None else grid.pop(head)
+        grid = [row for row in grid if any(row)]
+        columns = list(dict.fromkeys((h, *col) for h, col in zip(header, zip(*grid), strict=True) if any(col))) if grid else []
+        if not columns:
+            return None
+        return {"caption": self.caption, "header": [c[0] for c in columns], "rows": [list(r) for r in zip(*(c[1:] for c in columns), strict=True)]}
+
+
+#: Bounds of what is read of a page's linked data.
+LD_BLOBS, LD_BYTES = 20, 256 * 1024
+
+
+def _ld_items(blob: str) -> list[str]:
+    """The objects of a JSON-LD blob as JSON: lists and ``@graph`` unwrapped; what stands beside
+    a ``@graph`` comes after it, without its ``@`` keys but ``@type``."""
+    if len(blob) > LD_BYTES:
+        return []
+    try:
+        todo = [json.loads(blob)]
+    except ValueError:
+        return []
+    out = []
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, list):
+            todo = x + todo
+        elif isinstance(x, dict) and "@graph" in x:
+            beside = {k: v for k, v in x.items() if not k.startswith("@") or k == "@type"}
+            todo = [x["@graph"], *([beside] if beside else []), *todo]
+        elif isinstance(x, dict):
+            out.append(json.dumps(x, ensure_ascii=False))
+    return out[:LD_BLOBS]
+
+
 class _Page(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
@@ -40,7 +111,9 @@ class _Page(HTMLParser):
         self.meta: dict[str, str] = {}
         self.lang = self.canonical = None
         self.paragraphs = self.skip = self.hidden = self.chrome = 0
-        self.anchor = self.heading = self.cell = self.ld = None
+        self.anchor = self.heading = self.cell = self.ld = self.caption = None
+        self.open_tables: list[_Table] = []
+        self.blocks, self.block, self.linked = [], [], 0
         self.in_title = False
 
     def _url(self, href: str | None) -> str | None:
@@ -57,6 +130,12 @@ class _Page(HTMLParser):
         for out in (self.text, self.main, self.md):
             out.append("\n")
 
+    def _end_block(self) -> None:
+        text = SPACE.sub(" ", "".join(self.block)).strip()
+        if text:
+            self.blocks.append((text, min(1.0, self.linked / len(text))))
+        self.block, self.linked = [], 0
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "html":
@@ -76,6 +155,8 @@ class _Page(HTMLParser):
                 if self.stack[i][0] == tag:
                     self.handle_endtag(tag)
                     break
+                if self.stack[i][0] in ("table", "ul", "ol"):
+                    break
         if tag == "img" and not self.skip:
             src = self._url(a.get("src") or a.get("data-src"))
             if src:
@@ -84,6 +165,8 @@ class _Page(HTMLParser):
                     self.md.append(f"![{a['alt']}]({src})")
         if tag in BLOCK or tag == "br":
             self._break()
+        if tag in BLOCK:
+            self._end_block()
         if tag in VOID:
             return
         gone = "hidden" in a or a.get("aria-hidden") == "true" or bool(HIDDEN.search(a.get("style", "")))
@@ -105,13 +188,23 @@ class _Page(HTMLParser):
         if tag in ("b", "strong"):
             self.md.append("**")
         if tag == "table":
-            self.tables.append([])
-        if tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        if tag in ("td", "th") and self.tables:
-            if not self.tables[-1]:
-                self.tables[-1].append([])
-            self.cell = []
+            for outer in self.open_tables[-1:]:
+                outer.nested = True
+            self.open_tables.append(_Table(a.get("role", "").lower()))
+            self.cell = None
+        if self.open_tables:
+            t = self.open_tables[-1]
+            if tag == "caption":
+                self.caption = []
+            if tag == "tr":
+                t.rows.append([])
+                if any(x == "thead" for x, _ in self.stack):
+                    t.head = len(t.rows) - 1
+            if tag in ("td", "th"):
+                if not t.rows:
+                    t.rows.append([])
+                self.cell = []
+                t.rows[-1].append([self.cell, tag == "th", _span(a.get("colspan"), 32), _span(a.get("rowspan"), 64)])
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -136,14 +229,21 @@ class _Page(HTMLParser):
                 self.heading = None
             if t in ("b", "strong"):
                 self.md.append("**")
-            if t in ("td", "th") and self.cell is not None and self.tables and self.tables[-1]:
-                self.tables[-1][-1].append(SPACE.sub(" ", "".join(self.cell)).strip())
+            if t in ("td", "th"):
                 self.cell = None
+            if t == "caption" and self.caption is not None and self.open_tables:
+                self.open_tables[-1].caption = SPACE.sub(" ", "".join(self.caption)).strip() or None
+                self.caption = None
+            if t == "table" and self.open_tables:
+                data = self.open_tables.pop().data()
+                if data:
+                    self.tables.append(data)
             if t == "script" and self.ld is not None:
-                self.json_ld.append("".join(self.ld).strip())
+                self.json_ld += _ld_items("".join(self.ld))
                 self.ld = None
             if t in BLOCK:
                 self._break()
+                self._end_block()
 
     def handle_data(self, data):
         if self.ld is not None:
@@ -158,7 +258,9 @@ class _Page(HTMLParser):
         self.md.append(flat)
         if not self.chrome:
             self.main.append(flat)
-        for sink in (self.anchor and self.anchor[2], self.heading and self.heading[1], self.cell):
+        self.block.append(flat)
+        self.linked += len(flat.strip()) if self.anchor is not None else 0
+        for sink in (self.anchor and self.anchor[2], self.heading and self.heading[1], self.cell, self.caption):
             if sink is not None:
                 sink.append(data)
 
@@ -174,12 +276,13 @@ def page_parts(html: str | None, url: str | None) -> dict:
     p.close()
     while p.stack:
         p.handle_endtag(p.stack[-1][0])
+    p._end_block()
     title = SPACE.sub(" ", p.title or "").strip() or None
-    grids = [[r for r in t if any(r)] for t in p.tables]
     return {
-        "title": title, "text": _tidy(p.text), "main_text": _tidy(p.main), "markdown": _tidy(p.md), "lang": p.lang, "canonical": p.canonical, "meta": p.meta, "json_ld": p.json_ld,
+        "title": title, "text": _tidy(p.text), "main_text": _tidy(p.main), "markdown": _tidy(p.md), "lang": p.lang, "canonical": p.canonical, "meta": p.meta, "json_ld": p.json_ld[:LD_BLOBS],
         "feeds": p.feeds, "links": [dict(zip(("url", "text", "nofollow"), x, strict=True)) for x in p.links], "media": [dict(zip(("src", "alt"), x, strict=True)) for x in p.media],
-        "headings": [dict(zip(("level", "text"), x, strict=True)) for x in p.headings], "tables": [g for g in grids if len(g) > 1 and max(map(len, g)) > 1], "paragraphs": p.paragraphs,
+        "headings": [dict(zip(("level", "text"), x, strict=True)) for x in p.headings], "tables": p.tables, "paragraphs": p.paragraphs,
+        "blocks": [dict(zip(("text", "linked"), x, strict=True)) for x in p.blocks],
     }
 
 
@@ -208,16 +311,16 @@ def first_of(parts: str, *keys: str) -> Column:
 
 def metadata(parsed: DataFrame) -> DataFrame:
     """JSON-LD before OpenGraph before plain tags."""
-    ld = F.get(F.col("parts.json_ld"), F.lit(0))
 
-    def from_ld(*paths: str) -> list[Column]:
-        return [F.get_json_object(ld, p) for p in paths]
+    def from_ld(*paths: str) -> Column:
+        """The first item that has any of them."""
+        return F.get(F.array_compact(F.transform("parts.json_ld", lambda x: F.coalesce(*[F.get_json_object(x, p) for p in paths]))), F.lit(0))
 
     return parsed.select(
-        "id", F.coalesce(*from_ld("$.headline", "$.name"), first_of("parts", "og:title"), F.col("parts.title"), F.get(F.col("parts.headings"), F.lit(0))["text"]).alias("title"),
-        F.coalesce(*from_ld("$.description"), first_of("parts", "og:description", "description")).alias("description"),
-        F.coalesce(*from_ld("$.author.name", "$.author"), first_of("parts", "article:author", "author")).alias("author"),
-        F.coalesce(*from_ld("$.datePublished", "$.dateCreated"), first_of("parts", "article:published_time")).alias("published"),
+        "id", F.coalesce(from_ld("$.headline", "$.name"), first_of("parts", "og:title"), F.col("parts.title"), F.get(F.col("parts.headings"), F.lit(0))["text"]).alias("title"),
+        F.coalesce(from_ld("$.description"), first_of("parts", "og:description", "description")).alias("description"),
+        F.coalesce(from_ld("$.author.name", "$.author"), first_of("parts", "article:author", "author")).alias("author"),
+        F.coalesce(from_ld("$.datePublished", "$.dateCreated"), first_of("parts", "article:published_time")).alias("published"),
         F.coalesce("parts.canonical", first_of("parts", "og:url")).alias("canonical"), F.coalesce("parts.lang", first_of("parts", "og:locale")).alias("lang"),
     )
 
@@ -231,14 +334,40 @@ def link_edges(parsed: DataFrame) -> DataFrame:
 
 
 def table_rows(parsed: DataFrame) -> DataFrame:
-    """(id, table, row, cells): data tables as rows, the first row being the header."""
+    """(id, table, row, cells): data tables as rows, row 0 being the header, empty where there is none."""
+    t = parsed.select("id", F.posexplode("parts.tables").alias("table", "grid"))
+    every = F.concat(F.array("grid.header"), "grid.rows")
+    return t.select("id", (F.col("table") + 1).alias("table"), F.posexplode(every).alias("row", "cells"))
+
+
+def table_records(parsed: DataFrame) -> DataFrame:
+    """(id, table, row, record): each data row as a map from header name, ``col_{n}`` where it has none. Of columns of
+    one name the last stays."""
+    t = parsed.select("id", F.posexplode("parts.tables").alias("table", "grid"))
+    names = F.transform("grid.header", lambda h, i: F.when(h == "", F.concat(F.lit("col_"), i + 1)).otherwise(h))
+    rows = t.select("id", (F.col("table") + 1).alias("table"), names.alias("names"), F.posexplode("grid.rows").alias("row", "cells"))
+    last = F.filter(F.arrays_zip("names", "cells"), lambda x, i: F.array_position(F.slice("names", i + 2, F.greatest(F.size("names") - i - 1, F.lit(0))), x["names"]) == 0)
+    return rows.select("id", "table", (F.col("row") + 1).alias("row"), F.map_from_entries(last).alias("record"))
+
+
+def table_markdown(parsed: DataFrame) -> DataFrame:
+    """(id, table, markdown): pipe tables with the caption in bold above; pipes inside cells are escaped."""
+
+    def line(cells: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+
     t = parsed.select("id", F.posexplode("parts.tables").alias("table", "grid"))
-    return t.select("id", (F.col("table") + 1).alias("table"), F.posexplode("grid").alias("row", "cells"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size("grid.header")))
+    head = F.when(F.col("grid.caption").isNotNull(), F.array(F.concat(F.lit("**"), "grid.caption", F.lit("**")), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(head, F.array(line(F.col("grid.header")), rule), F.transform("grid.rows", line))
+    return t.select("id", (F.col("table") + 1).alias("table"), F.array_join(lines, "\n").alias("markdown"))
 
 
 def signals(parsed: DataFrame) -> DataFrame:
     """Structural counts of a page, and how far its headings repeat its title."""
+    from tidemark.functions import urls as U
+
     words = F.array_distinct(F.split(F.lower(F.coalesce("parts.title", F.lit(""))), r"\W+"))
     said = F.array_distinct(F.split(F.lower(F.array_join(F.transform("parts.headings", lambda h: h["text"]), " ")), r"\W+"))
     echo = F.size(F.array_intersect(words, said)) / F.greatest(F.size(words), F.lit(1))
-    return parsed.select("id", F.size("parts.links").alias("anchors"), F.size("parts.media").alias("images"), F.size("parts.headings").alias("headings"), "parts.paragraphs", F.round(echo, 6).alias("heading_echo"))
+    return parsed.select("id", F.size("parts.links").alias("anchors"), F.size(F.filter("parts.links", lambda x: U.is_affiliate(x["url"]))).alias("affiliate"), F.size("parts.media").alias("images"), F.size("parts.headings").alias("headings"), "parts.paragraphs", F.round(echo, 6).alias("heading_echo"))
