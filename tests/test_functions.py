@@ -149,7 +149,7 @@ def test_html_parts():
     )
     assert p["title"] == "A b" and "secret" not in p["text"] and "Nav" not in p["main_text"] and p["paragraphs"] == 2
     assert [x["url"] for x in p["links"]] == ["http://e.com/n", "http://e.com/d/x"] and p["links"][1]["nofollow"]
-    assert p["tables"] == [[["k", "v"], ["1", "2"]]] and "# Head" in p["markdown"] and "**two**" in p["markdown"]
+    assert p["tables"] == [{"caption": None, "header": ["k", "v"], "rows": [["1", "2"]]}] and "# Head" in p["markdown"] and "**two**" in p["markdown"]
     assert html.page_parts(None, None)["text"] == ""
     html.page_parts("<a><p>" * 5000, "http://e.com")
 
