@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import paths as P
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import blocks, intervals, ledgers, retrieval
-from tidemark.sources import html
+from tidemark.sources import html, manifests
 
 
 def cells(markup):
@@ -115,3 +116,26 @@ def test_one_word_answers(spark):
     rows = [("a", t) for t in ("Red shoes", "red hat", "red", "none")] + [("b", t) for t in ("red", "red", "red big")] + [("c", t) for t in ("red", "old", "red")] + [("d", "red")] * 2
     df = spark.createDataFrame(rows, "query string, shown string").withColumn("terms", F.array(F.lit("red"), F.lit("big"), F.lit("old")))
     assert [tuple(r) for r in retrieval.one_word_answers(df, "query", "terms", "shown").collect()] == [("a", "red")]
+
+
+@pytest.mark.parametrize("path, want", [
+    ("$", '{"a":[{"b":1},{"b":[2,3]},5],"c":{"d e":null,"f":7}}'), ("a.b", "[1,[2,3],null]"), ("$.a[1].b[-1]", "3"), ("a[1:].b", "[[2,3],null]"), ("a[-9:-2]", '[{"b":1}]'), ("a[7]", None), ('c["f"]', "7"), ("c['d e']", None),
+    ("c.*", "[null,7]"), ("{c.f, a[0].b}", '{"a[0].b":1,"c.f":7}'), ("a{b}", '[{"b":1},{"b":[2,3]},null]'), ("a[*].b", "[1,[2,3],null]"), ("a.b.x", "[null,[null,null],null]"), ("c.f.g", None), ("nope", None), ("a[2:1]", "[]"),
+])
+def test_json_project(spark, path, want):
+    doc = '{"a":[{"b":1},{"b":[2,3]},5],"c":{"d e":null,"f":7}}'
+    got = spark.createDataFrame([(doc,), ("{",), (None,)], "x string").select(P.json_project(F.col("x"), path)).collect()
+    assert [r[0] for r in got] == [want, None, None]
+
+
+@pytest.mark.parametrize("path", ["a b", "a[", "{}", "{a", "a..b", "a]", "a[1:x]"])
+def test_json_path_errors(path):
+    with pytest.raises(ValueError):
+        P.parse(path)
+
+
+def test_hls_protection_and_gaps(spark):
+    body = '#EXTM3U\n#EXT-X-KEY:METHOD=NONE\n#EXT-X-KEY:METHOD=SAMPLE-AES,URI="k",KEYFORMAT="com.x"\n#EXTINF:2,\n\n#EXT-X-BYTERANGE:1\na.ts\nstray.ts\n#EXTINF:3.5,title\nb.ts'
+    df = spark.createDataFrame([(1, body), (2, ""), (3, None)], "id int, body string")
+    assert [tuple(r) for r in manifests.hls_segments(df, "id", "body").orderBy("place").collect()] == [(1, 0, "a.ts", 0.0, 2.0), (1, 1, "b.ts", 2.0, 3.5)]
+    assert [r[0] or None for r in df.orderBy("id").select(manifests.hls_protection(F.col("body"))).collect()] == ["SAMPLE-AES com.x", None, None]

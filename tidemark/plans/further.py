@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
+from tidemark.functions import paths as P
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import blocks, intervals, ledgers, quality, retrieval
 from tidemark.plans.content import DOMAIN, PATH, read, simhash_sql
 from tidemark.plans.more import _E, events
-from tidemark.sources import html
+from tidemark.sources import html, manifests
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -228,3 +229,33 @@ def rk6(spark, d):
 def flt5(spark, d):
     w = events(spark, d).groupBy("user_id").agg(F.max("s").alias("s"))
     return w.select("user_id", (1706659200 - (F.col("s") + 3600 * (1 + F.col("user_id") % 24))).alias("overdue_s")).filter("overdue_s >= 0")
+
+
+# JSON and manifests -----------------------------------------------------------------------------------------
+
+
+@query("jsn1_json_select", """SELECT event_id, printf('[%d,%d,null]', k, event_id) AS keys, printf('%d', event_id) AS "last", CASE WHEN event_id % 2 = 0 THEN printf('[%d]', k) END AS part, printf('{"items[0].k":%d,"n.x":"v"}', k) AS pick, '["v",[1]]' AS "values"
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) e""")
+def jsn1_select(spark, d):
+    name = F.when(F.col("event_id") % 2 == 0, "items").otherwise("other")
+    doc = F.format_string('{"items":[%s,{"k":%d},{"z":[]}],"n":{"x":"v","y":[1]},"%s":[%s,2]}', F.col("props"), F.col("event_id"), F.lit("rows"), F.col("props"))
+    e = read(spark, d, "events").select("event_id", doc.alias("x"), F.when(name == "items", doc).otherwise("{").alias("y"))
+    x = F.col("x")
+    return e.select(
+        "event_id", P.json_project(x, "$.items.k").alias("keys"), P.json_project(x, "items[-2]['k']").alias("last"), P.json_project(F.col("y"), "$.items[0:1].k").alias("part"),
+        P.json_project(x, "{items[0].k, n.x}").alias("pick"), P.json_project(x, "$.n.*").alias("values"),
+    )
+
+
+@query("src15_hls_segments", "SELECT conv_id, place::integer AS place, 's' || turn || '.ts' AS uri, (4.5 * place)::double AS start, 4.5::double AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM (SELECT DISTINCT conv_id, turn FROM conversations) c) x")
+def src15_segments(spark, d):
+    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("turn")).alias("t"))
+    lines = F.transform("t", lambda t: F.concat(F.lit("#EXTINF:4.5,x\r\n#EXT-X-NOTE\r\ns"), t.cast("string"), F.lit(".ts\r\n")))
+    body = F.concat(F.lit("#EXTM3U\r\n"), F.array_join(lines, ""), F.lit("#EXT-X-ENDLIST"))
+    return manifests.hls_segments(turns.select("conv_id", body.alias("body")), "conv_id", "body")
+
+
+@query("src15_hls_subtitles", "SELECT doc_id, lang AS language, source || ', all' AS name, doc_id || '.m3u8' AS uri FROM documents")
+def src15_subtitles(spark, d):
+    media = F.format_string('#EXTM3U\n#EXT-X-MEDIA:TYPE=AUDIO,LANGUAGE="x",URI="a"\n#EXT-X-MEDIA:TYPE=SUBTITLES,GROUP-ID="s",LANGUAGE="%s",NAME="%s, all",URI="%d.m3u8"\n', "lang", "source", "doc_id")
+    return manifests.hls_subtitles(read(spark, d, "documents").select("doc_id", media.alias("body")), "doc_id", "body")
