@@ -78,8 +78,13 @@ def _json(x: Column) -> Column:
 
 
 def _apply(v: Column, steps: list[tuple], nested: int = NESTED) -> Column:
+    """The value after all steps. Each step names its input once, as a variable, so that work stays linear in the steps."""
     if not steps:
         return v
+    return F.get(F.transform(F.array(v), lambda x: _step(x, steps, nested)), F.lit(0))
+
+
+def _step(v: Column, steps: list[tuple], nested: int) -> Column:
     (kind, *arg), rest = steps[0], steps[1:]
     shape = F.schema_of_variant(v)
     is_list, is_map = shape.startswith("ARRAY"), shape.startswith("OBJECT")

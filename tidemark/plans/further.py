@@ -35,7 +35,9 @@ def order_pages(spark, d):
     empty column, and a list of links in a layout table around it."""
     line = F.concat(F.lit("<td>"), F.col("l_linenumber"), F.lit("</td><td>"), F.col("l_linestatus"), F.lit("</td><td>"), F.col("l_returnflag"), F.lit("</td><td> </td></tr>"))
     head = '<table role="presentation"><tr><td><a href="/a">a</a></td><td><a href="/b">b</a></td></tr></table><table><caption>Lines</caption><thead><tr><th>order</th><th>no</th><th colspan="2">ship</th><th>note</th></tr></thead><tbody>'
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    # dealt by number, so that the parse is not coalesced into few tasks; the grouping needs no further shuffle
+    dealt = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag").repartition(spark.sparkContext.defaultParallelism, "l_orderkey")
+    rows = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     opened = F.transform("lines", lambda h, i: F.concat(F.when(i == 0, '<tr><td rowspan="64">@</td>').otherwise("<tr>"), h))
     rows = rows.select("l_orderkey", F.array_join(opened, "").alias("rows"))
     page = F.concat(F.lit(head), F.replace("rows", F.lit("@"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))), F.lit("</tbody></table>"))
