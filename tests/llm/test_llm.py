@@ -798,3 +798,25 @@ def test_pipeline_stages(spark):
         counts.append(docs.count())
     assert n >= counts[0] >= counts[1] > counts[2] and counts[3] == counts[4]
     assert counts[4] == corpus_pipeline.run(spark, SF).count()
+
+
+def test_mix_rows_do_not_grow_with_the_shards(spark, monkeypatch):
+    """Written tables and draws are as wide at 256 shards as at 8, and each block falls into the leaf that holds it."""
+    rows = [(i, "w " * (30 + i % 40), f"s{i % 3}") for i in range(300)]
+    written, plain = {}, source_mix.materialize
+
+    def watched(df, name):
+        if name == "mix-docs":
+            written.setdefault(name, []).append(df.columns)
+        return plain(df, name)
+
+    monkeypatch.setattr(source_mix, "materialize", watched)
+    drawn = {}
+    for shards in (8, 256):
+        _, draws = source_mix.plan_mix(table(spark, rows), [1, 2, 3], shards=shards)
+        drawn[shards] = draws.collect()
+        per = source_mix.source_targets(table(spark, rows).select("source", F.regexp_count("t", F.lit("w")).cast("long").alias("size")), [1, 2, 3], 64)
+        assert not any("array" in kind for _, kind in draws.dtypes) and per is not None
+    assert written["mix-docs"][0] == written["mix-docs"][1]
+    what = [sorted((r.order_key, r.source, r.offset, r.epoch, r.words) for r in drawn[k]) for k in (8, 256)]
+    assert what[0] == what[1] and {r.shard for r in drawn[256]} <= set(range(256)) and len({r.shard for r in drawn[256]}) > 200

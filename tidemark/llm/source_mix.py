@@ -8,7 +8,8 @@ source's index range (swap-or-not, a bijection on any range), and each shard dra
 disjoint interval of the permuted order; a quota above one pass continues with a new permutation. Within its shard
 a block stands where a random key sorts it. The mix is written shard by shard in that order.
 
-The number of shards follows the words of the mix (``SHARD_WORDS``), so a shard fits one task at any scale. Sources
+The number of shards follows the words of the mix (``SHARD_WORDS``), so a shard fits one task at any scale; drawn blocks find
+their shard by a join with the leaves, whose rows are sources x shards, so no row grows with the shards. Sources
 are a list that an operator weighs, ``MAX_SOURCES`` at most; more are an error.
 
 Null text has size 0: no block holds it, and only the form in whole documents keeps it, once. A null source is a
@@ -141,8 +142,9 @@ def source_targets(sizes: DataFrame, weights: list[float], block: int) -> DataFr
     return per.withColumn("quota", quota).select("source", "rank", "source_size", "target", "block", "n_blocks", "quota")
 
 
-def shard_intervals(per_source: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Per source rank, the ``shards`` upper ends of the shards' intervals of its permuted blocks."""
+def leaves(per_source: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(rank, shard, first, end): the interval of a source's permuted blocks that each shard draws, empty ones left out.
+    One row for each source and shard; the tree is split level by level, each written."""
     if shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     quotas = F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"])
@@ -152,12 +154,33 @@ def shard_intervals(per_source: DataFrame, shards: int, seed: int) -> DataFrame:
         right = F.zip_with("q", "left", lambda a, b: a - b)
         child = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q"))))
         nodes = materialize(nodes.select(child.alias("c")).select("c.node", "c.q"), "mix-nodes")
-    leaf = nodes.select("node", F.posexplode("q").alias("rank", "n"))
-    ends = F.sum("n").over(Window.partitionBy("rank").orderBy("node"))
-    listed = leaf.withColumn("end", ends).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("node", "end"))).alias("e"))
+    leaf = nodes.select((F.col("node") - shards).alias("shard"), F.posexplode("q").alias("rank", "n"))
+    leaf = leaf.withColumn("end", F.sum("n").over(Window.partitionBy("rank").orderBy("shard")))
+    return leaf.select("rank", F.col("shard").cast("int").alias("shard"), (F.col("end") - F.col("n")).alias("first"), "end", "n")
+
+
+def shard_intervals(per_source: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Per source rank, the ``shards`` upper ends of the shards' intervals of its permuted blocks, as a report."""
+    listed = leaves(per_source, shards, seed).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "end"))).alias("e"))
     return listed.select("rank", F.transform("e", lambda x: x["end"]).alias("ends"))
 
 
+def in_shards(draws: DataFrame, per_source: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``draws`` (rank, quota, at, ...) with the shard whose leaf holds ``at``.
+
+    A source's permuted order is cut into as many equal bins as there are shards; a leaf of average length reaches into two.
+    Draws and leaves meet by bin, so a drawn row costs the same however many shards there are, and a bin holds an average
+    shard's share of its source.
+    """
+    def of(at: Column) -> Column:
+        return F.floor(at * F.lit(shards) / F.col("quota")).cast("long")
+
+    leaf = leaves(per_source, shards, seed).filter("n > 0").join(F.broadcast(per_source.select("rank", "quota")), "rank")  # MAX_SOURCES rows at most
+    leaf = leaf.select("rank", "shard", "first", "end", F.explode(F.sequence(of(F.col("first")), of(F.col("end") - 1))).alias("bin"))
+    met = draws.withColumn("bin", of(F.col("at"))).join(leaf, ["rank", "bin"])
+    return met.filter((F.col("first") <= F.col("at")) & (F.col("at") < F.col("end"))).drop("bin", "first", "end")
+
+
 def permuted(index: Column, n: Column, *key: Column) -> Column:
     """A keyed permutation of [0, n): swap-or-not rounds folded over the round numbers."""
 
@@ -191,25 +214,24 @@ def plan_mix(docs: DataFrame, weights: list[float], id_col="doc_id", text_col="t
         raise ValueError(f"more than {MAX_SOURCES} sources: weigh groups of them")
     words = of_all["words"] or 0
     shards = shards or max(LEAST_SHARDS, 1 << math.ceil(math.log2(max(1, words / SHARD_WORDS))))
-    plan = F.broadcast(per.join(shard_intervals(per, shards, seed), "rank"))  # MAX_SOURCES rows at most
+    plan = F.broadcast(per)  # MAX_SOURCES rows at most
     placed = materialize(
         placed.alias("d").join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.id", "d.source", "d.size", "d.h", "d.offset", "s.rank", "s.source_size", "s.target", "s.block", "s.n_blocks", "s.quota", "s.ends"),
+        .select("d.id", "d.source", "d.size", "d.h", "d.offset", "s.rank", "s.source_size", "s.target", "s.block", "s.n_blocks", "s.quota"),
         "mix-docs",
     )
-    some = placed.filter((F.col("size") > 0) & (F.col("quota") > 0)).select("source", "rank", "size", "offset", "block", "n_blocks", "quota", "ends")
+    some = placed.filter((F.col("size") > 0) & (F.col("quota") > 0)).select("source", "rank", "size", "offset", "block", "n_blocks", "quota")
     some = some.repartition(max(parts, words // SHARD_WORDS))  # cutting multiplies rows: not in as few tasks as their bytes need
     first, last = F.floor(F.col("offset") / F.col("block")), F.floor((F.col("offset") + F.col("size") - 1) / F.col("block"))
     cut = some.withColumn("b", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     begin, end = F.greatest("offset", F.col("b") * F.col("block")), F.least(F.col("offset") + F.col("size"), (F.col("b") + 1) * F.col("block"))
-    cut = cut.select("source", "rank", "offset", "quota", "n_blocks", "ends", "b", (end - begin).alias("words"), (begin == F.col("offset")).alias("first"))
+    cut = cut.select("source", "rank", "offset", "quota", "n_blocks", "b", (end - begin).alias("words"), (begin == F.col("offset")).alias("begins"))
     passes = F.floor((F.col("quota") - 1) / F.col("n_blocks")).cast("long")
     cut = cut.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), passes)))
     at = F.col("epoch") * F.col("n_blocks") + permuted(F.col("b"), F.col("n_blocks"), F.lit(seed), F.col("rank"), F.col("epoch"))
-    draws = cut.withColumn("at", at).filter(F.col("at") < F.col("quota"))
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("at")))
+    draws = in_shards(cut.withColumn("at", at).filter(F.col("at") < F.col("quota")), per, shards, seed)
     key = F.xxhash64(F.lit(seed), F.col("rank"), F.col("at"), F.lit(0))
-    draws = draws.select(shard.alias("shard"), key.alias("order_key"), "source", "offset", "epoch", "words", "first")
+    draws = draws.select("shard", key.alias("order_key"), "source", "offset", "epoch", "words", F.col("begins").alias("first"))
     return placed.select("id", "h", "source", "size", "offset", "source_size", "target"), draws
 
 
