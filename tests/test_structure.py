@@ -1,0 +1,337 @@
+"""Node rows, statistics, pruning, candidates, the vote, selectors, schemas and healing against plain loops."""
+
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import schema, structure
+from tidemark.sources import nodes
+
+PROSE = "The ferry left at noon, full of people, crates, and two goats that would not sit down. "
+
+
+def page(*parts):
+    return f"<html><head><title>T</title><script>if (a < b) x = '</p>';</script></head><body>{''.join(parts)}</body></html>"
+
+
+PAGES = {
+    1: page('<nav><ul>', *[f'<li><a href="/{k}">Link number {k}</a></li>' for k in range(9)], '</ul></nav><div class="story">', f"<p>{PROSE * 3}</p>" * 4, '</div><div class="related"><a href="/r">Read on</a></div>'),
+    2: page('<div class="promo"><pre>x = 1</pre></div>', '<div class="widget"><table><tr><th>a<th>b<tr><td>1<td>2</table></div>', f"<article><p>{PROSE * 4}</p><p>Short.</p></article>", "<aside>by the way</aside>"),
+    3: page('<section><div><div><h2><a href="/h">A heading that is a link</a></h2></div></div>', f"<p>{PROSE * 3}</p><p>{PROSE}</p></section>", '<div class="menu"><div><h3><a href="/m">Menu heading</a></h3></div></div>', "<ul><li><a href=/1>one</a></ul>" * 3),
+    4: "plain text, no markup, <b>but bold",
+    5: "",
+    6: None,
+    7: page("<div>" * 120, PROSE * 3, "</div>" * 120),
+    8: page(*[f'<div class="post"><h3>Part {k}</h3><p>{PROSE * (2 + k % 2)}</p></div>' for k in range(6)], '<div class="share"><a href="/s">Share</a></div>', f"<p>{PROSE * 2}</p><p>An end.</p><p>no sentence</p>"),
+    9: page('<div id="wrap"><div id="in">', f"<p>{PROSE * 5}</p>" * 3, "</div></div>", '<footer role="navigation"><p>', PROSE, "</p></footer>"),
+    10: page("<header><nav>", *[f'<a href="/{k}">Section {k}</a> ' for k in range(30)], "</nav></header>"),
+    11: page("<div class=comment>", f"<p>{PROSE * 2}</p>" * 2, "</div><div class='article-body comment'>", f"<p>{PROSE * 3}</p>" * 3, "</div>", "<p>日本語の文章がここにあります。日本語の文章がここにあります。</p>"),
+}
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return nodes.node_rows(spark.createDataFrame(list(PAGES.items()), "page_id int, html string")).withColumnRenamed("page_id", "id").cache()
+
+
+class Tree:
+    """The plain-loop reading of one page: nodes with children, stats by recursion over intervals."""
+
+    def __init__(self, found):
+        keys = ["enter", "leave", "depth", "parent", "up", "tag", "attrs", "text", "elements", "parts"]
+        self.all = [dict(zip(keys, n, strict=True)) for n in found]
+        self.els = [n for n in self.all if n["tag"]]
+        for e in self.els:
+            own = [n for n in self.all if e["enter"] <= n["enter"] and n["leave"] <= e["leave"]]
+            tags = [n["tag"] for n in own]
+            said = [(n, n["text"].strip().encode()) for n in own if not n["tag"]]
+            linked = lambda n: any(a["tag"] == "a" and a["enter"] < n["enter"] < a["leave"] for a in self.els)
+            e |= {
+                "bytes": sum(len(b) for _, b in said), "links": sum(len(b) for n, b in said if linked(n)), "tags": sum(t is not None for t in tags), "blocks": sum(t in structure.PARAGRAPHS for t in tags),
+                "commas": sum(b.count(b",") for _, b in said), "pre": any(t in ("pre", "code") for t in tags), "table": "table" in tags,
+            }
+            e["linked"] = e["links"] / max(1, e["bytes"])
+            e["ident"] = (e["attrs"].get("class", "") + " " + e["attrs"].get("id", "")).strip()
+
+    def kids(self, e):
+        return [n for n in self.all if n["parent"] == e["enter"]]
+
+    def over(self, n):
+        return sorted((e for e in self.els if e["enter"] < n["enter"] and e["leave"] > n["leave"]), key=lambda e: -e["enter"])
+
+
+def bonus(e):
+    if re.search(rf"(?i)(^|[-_ ])({structure.FURNITURE})([-_ ]|$)", e["ident"]):
+        return -1
+    return 1 if re.search(f"(?i)({structure.CONTENT_NAMES})", e["ident"]) else 0
+
+
+def prune_loop(t):
+    whole = max((e["bytes"] for e in t.els), default=0)
+    if not whole:
+        return set(), whole, False
+    role = lambda e: e["attrs"].get("role") in ("navigation", "menu", "menubar")
+    lone = set()
+    for e in sorted(t.els, key=lambda e: -e["depth"]):
+        kids = [k for k in t.kids(e) if k["tag"] or k["text"].strip()]
+        chain = e["tag"] == "div" and bonus(e) >= 0 and not role(e) and len(kids) == 1 and kids[0]["enter"] in lone
+        if (e["tag"] in structure.HEADINGS and e["blocks"] == 1) or chain:
+            lone.add(e["enter"])
+    keep = set()
+    for e in t.els:
+        if e["tag"] in ("article", "section", "div", "li", "main") and bonus(e) >= 0 and not role(e) and e["blocks"] >= 2 and e["bytes"] - e["links"] >= 200 and e["linked"] <= 0.5:
+            for k in t.kids(e):
+                if k["enter"] in lone:
+                    keep |= {n["enter"] for n in t.els if k["enter"] <= n["enter"] and n["leave"] <= k["leave"] and n["enter"] in lone}
+    chrome = sum(e["bytes"] for e in t.els if e["tag"] in structure.CHROME_TAGS and not any(a["tag"] in structure.CHROME_TAGS for a in t.over(e)))
+    drop, gone = [], 0
+    for e in t.els:
+        if e["tag"] not in structure.CANDIDATE_TAGS or e["pre"] or e["table"] or e["enter"] in keep or any(d["enter"] < e["enter"] < d["leave"] for d in drop):
+            continue
+        b, share = bonus(e), e["bytes"] / whole
+        score = 0.45 * (1 - e["linked"]) + 0.3 * min(e["bytes"] / e["tags"] / 10, 1) + 0.15 * min(e["commas"] / 5, 1) + 0.1 * b
+        if (e["bytes"] < 25 and not e["blocks"]) or (e["linked"] > 0.5 and e["bytes"] < 200) or (e["linked"] > 0.8 and share < 0.4) or (score < 0.35 and share < 0.2) or (b < 0 and share < 0.25):
+            drop.append(e)
+            gone += e["bytes"]
+    if whole - gone < max(200, whole // 10):
+        drop, gone = [], 0
+    return {d["enter"] for d in drop}, whole - gone, whole - chrome >= 30
+
+
+def choose_loop(t):
+    scores, stripped = {}, set()
+    for e in t.els:
+        named = e["ident"]
+        unlikely = e["attrs"].get("role") in structure.UNLIKELY_ROLES or (e["tag"] not in ("body", "a") and re.search(f"(?i){structure.UNLIKELY}", named) and not re.search(f"(?i){structure.MAYBE}", named))
+        if unlikely or any(a["enter"] in stripped for a in t.over(e)):
+            stripped.add(e["enter"])
+            continue
+        if e["tag"] not in structure.SCORED_TAGS or e["bytes"] < 25:
+            continue
+        points = 1 + e["commas"] + min(e["bytes"] // 100, 3)
+        for k, a in enumerate(t.over(e)[:5]):
+            if a["enter"] not in scores:
+                w = sum(25 * bool(re.search(f"(?i){structure.GOOD}", v)) - 25 * bool(re.search(f"(?i){structure.BAD}", v)) for v in (a["attrs"].get("class", ""), a["attrs"].get("id", "")) if v)
+                scores[a["enter"]] = structure.BASE_SCORES.get(a["tag"], 0) + w
+            scores[a["enter"]] += points / (1, 2, 6, 9, 12)[k]
+    by = {e["enter"]: e for e in t.els}
+    ranked = sorted(((s * (1 - by[i]["linked"]), -i) for i, s in scores.items()), reverse=True)[:5]
+    if not ranked or ranked[0][0] <= 0:
+        return None
+    score, top = ranked[0][0], by[-ranked[0][1]]
+    rivals = [{a["enter"] for a in t.over(by[-i])} for s, i in ranked[1:] if s / score >= 0.75]
+    if len(rivals) >= 3:
+        top = next((a for a in t.over(top) if sum(a["enter"] in r for r in rivals) >= 3), top)
+    while t.over(top) and t.over(top)[0]["elements"] == 1:
+        top = t.over(top)[0]
+    if not t.over(top):
+        return top["enter"], score, set()
+    parent, drop = t.over(top)[0], set()
+    for k in t.kids(parent):
+        if not k["tag"] or k is top:
+            continue
+        more = score * 0.2 if top["attrs"].get("class") and k["attrs"].get("class") == top["attrs"]["class"] else 0
+        said = "".join(n["text"] for n in t.all if not n["tag"] and k["enter"] < n["enter"] < k["leave"])
+        prose = k["tag"] == "p" and ((k["bytes"] > 80 and k["linked"] < 0.25) or (0 < k["bytes"] < 80 and not k["links"] and bool(re.search(r"\.( |\Z)", said))))
+        if not ((k["enter"] in scores and scores[k["enter"]] + more >= max(score * 0.2, 10)) or prose):
+            drop.add(k["enter"])
+    return parent["enter"], score, drop
+
+
+def units_loop(t):
+    out = []
+    for e in t.els:
+        if e["tag"] not in structure.BLOCK_TAGS:
+            continue
+        own = "".join(n["text"] for n in t.kids(e) if not n["tag"])
+        if not own.strip():
+            own = ""
+            for n in t.all:
+                if e["enter"] < n["enter"] < e["leave"]:
+                    if n["tag"] in structure.BLOCK_TAGS:
+                        break
+                    own += n["text"] or ""
+        words = sum(max(1, len(re.findall("[぀-ヿ㐀-䶿一-鿿]", w))) for w in own.split())
+        if words:
+            out.append((e, words))
+    kept = []
+    for i, (e, words) in enumerate(out):
+        before, was = (out[i - 1][1], out[i - 1][0]["linked"]) if i else (0, 0)
+        after = out[i + 1][1] if i + 1 < len(out) else 0
+        ok = e["linked"] <= 0.333333 and ((words > 16 or after > 15 or before > 4) if was <= 0.555556 else (words > 40 or after > 17))
+        kept.append((e, words, ok))
+    return kept
+
+
+def test_nodes_are_a_tree(rows):
+    for i, html in PAGES.items():
+        found = nodes.page_nodes(html)
+        got = sorted(tuple(r)[1:] for r in rows.filter(F.col("id") == i).collect())
+        assert [g[:4] for g in got] == [tuple(n[:4]) for n in found]
+        for n in found:
+            inside = [m for m in found if m[3] == n[0]]
+            assert all(n[0] < m[0] <= m[1] < n[1] for m in inside)
+            assert n[8] == sum(m[5] is not None for m in inside)
+    assert nodes.page_nodes("") == nodes.page_nodes(None) == []
+    tags = [n[5] for n in nodes.page_nodes("<table><tr><td>1<td>2<tr><td>3</table><p>a<b>x<p>y</b>z")]
+    assert tags == ["html", "body", "table", "tbody", "tr", "td", None, "td", None, "tr", "td", None, "p", None, "b", None, "p", "b", None, None]
+
+
+def test_statistics(rows):
+    got = {(r.id, r.enter): r for r in structure.node_stats(rows).collect()}
+    n = 0
+    for i, html in PAGES.items():
+        for e in Tree(nodes.page_nodes(html)).els:
+            r = got[i, e["enter"]]
+            assert (r.text, r.link_text, r.tags, r.blocks, r.commas, r.has_pre, r.has_table) == tuple(e[k] for k in ("bytes", "links", "tags", "blocks", "commas", "pre", "table"))
+            n += 1
+    assert n == len(got)
+
+
+def test_density_pruning(rows):
+    got = structure.density_pruned(rows).collect()
+    for i, html in PAGES.items():
+        drop, kept, skip = prune_loop(Tree(nodes.page_nodes(html)))
+        own = [r for r in got if r.id == i]
+        assert {r.enter for r in own if r.dropped} == drop, i
+        assert all((r.kept_text, r.skip_chrome) == (kept, skip) for r in own)
+    texts = {i: prune_loop(Tree(nodes.page_nodes(h)))[0] for i, h in PAGES.items()}
+    assert texts[1] and texts[3] and not texts[10]  # a page of links alone is left as it is
+    chain = [n for n in Tree(nodes.page_nodes(PAGES[3])).els if n["tag"] in ("h2", "h3")]
+    assert not any(d == h["enter"] for d in texts[3] for h in chain[:1])
+
+
+@pytest.mark.parametrize("strip", [True])
+def test_content_root(rows, strip):
+    stats = structure.node_stats(rows)
+    got = {r.id: (r.root, round(r.score, 6), {m.enter for m in r.dropped}) for r in structure.content_root(rows, stats, strip).collect()}
+    want = {}
+    for i, html in PAGES.items():
+        found = choose_loop(Tree(nodes.page_nodes(html)))
+        if found:
+            want[i] = (found[0], round(found[1], 6), found[2])
+    assert got == want and len(want) > 5
+
+
+@pytest.mark.parametrize("majority", [False, True])
+def test_vote(rows, majority):
+    got = {(r.id, r.enter): (r.words, r.votes, r.voters, r.dropped, round(r.agreement, 6)) for r in structure.voted(rows, majority).collect()}
+    want = {}
+    for i, html in PAGES.items():
+        t = Tree(nodes.page_nodes(html))
+        units = units_loop(t)
+        ballots = [{e["enter"] for e, _, ok in units if not ok}]
+        choice, (drop, _, _) = choose_loop(t), prune_loop(t)
+        by = {e["enter"]: e for e in t.els}
+        under = lambda e, tops: any(by[d]["enter"] <= e["enter"] <= by[d]["leave"] for d in tops)
+        if choice:
+            root = by[choice[0]]
+            ballots.append({e["enter"] for e, _, _ in units if not root["enter"] <= e["enter"] <= root["leave"] or under(e, choice[2])})
+        if drop:
+            ballots.append({e["enter"] for e, _, _ in units if under(e, drop)})
+        votes = {e["enter"]: sum(e["enter"] in b for b in ballots) for e, _, _ in units}
+        some, every = sum(v > 0 for v in votes.values()), sum(v == len(ballots) for v in votes.values())
+        need = math.ceil(len(ballots) / 3) * 2 if majority else len(ballots)
+        for e, words, _ in units:
+            want[i, e["enter"]] = (words, votes[e["enter"]], len(ballots), votes[e["enter"]] >= need, round(every / some if some else 1.0, 6))
+    assert got == want and len({v[2] for v in want.values()}) > 1
+
+
+SELECTED = page('<div class="a x" id="one"><p>1<span>s</span></p><p class="b">2</p><div class="a"><p>3</p></div></div><p data-k="v w" lang="en-GB">4</p><ul><li>5<li class="b">6<li>7</ul>')
+
+
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [
+        ("p", "1s 2 3 4"), ("div.a p", "1s 2 3"), ("div.a > p", "1s 2 3"), ("#one > p", "1s 2"), (".a .a p", "3"), (".b", "2 6"), ("p + p", "2"), ("p ~ div", "3"), ("[data-k]", "4"),
+        ("[data-k~=w]", "4"), ("[lang|='en']", "4"), ('[lang^="en"]', "4"), ("[lang$=GB]", "4"), ("[lang*=-]", "4"), ("li:first-child", "5"), ("li:nth-child(2)", "6"), ("li:last-child", "7"),
+        ("p:nth-of-type(2)", "2"), ("ul > li.b, #one span", "s 6"), ("*.x", "1s23"), ("body div div", "3"), ("h6", ""), ("[lang='']", ""), ("li + li + li", "7"),
+    ],
+)
+def test_selectors(spark, selector, want):
+    found = nodes.node_rows(spark.createDataFrame([(1, SELECTED)], "id int, html string"), "id").cache()
+    hits = schema.marked(schema.sibling_places(found), selector, "m").filter("m").select("id", "enter", "leave")
+    said = schema.texts_of(found, hits).collect()
+    assert " ".join(r.said for r in sorted(said, key=lambda r: r.enter)) == want
+
+
+def test_selectors_refuse():
+    with pytest.raises(ValueError, match="not a selector"):
+        schema._compound("p::before")
+
+
+def test_holders_of_nested_records(spark):
+    bases = [(0, 99), (2, 40), (3, 20), (21, 30), (50, 60)]
+    points = [k for k in range(100) if k not in {x for b in bases for x in b}] + [2, 3]
+    got = schema.holders(spark.createDataFrame([(7, *b) for b in bases], "id int, enter int, leave int"), spark.createDataFrame([(7, p, f"p{p}") for p in points], "id int, enter int, note string")).collect()
+    assert sorted((r.at, r.enter) for r in got) == sorted((a, p) for p in points for a, b in bases if a < p < b) and all(r.note == f"p{r.enter}" for r in got)
+
+
+def test_extract_edges(spark):
+    """Records without a match, defaults, records in records, patterns with and without groups, numbers in both notations."""
+    html = page(
+        '<div class="r"><b>1.234,5</b><i>code AB-12</i><a href="x?q=1">go</a><div class="r"><b>7</b></div></div>', '<div class="r">none<em> a <u>&lt;b&gt;</u>\n c</em></div>', '<div class="r"><b>not a number</b><a>no address</a><i>x</i></div>',
+    )
+    pages = spark.createDataFrame([(1, html, "https://e.test/d/p"), (2, "", None), (3, None, None)], "id int, html string, url string")
+    f = schema.Field
+    fields = [
+        f("n", "b", "number"), f("code", "i", regex="([A-Z]+)-"), f("whole", "i", regex="[A-Z]+-"), f("link", "a", "attribute", attribute="href", absolute=True), f("all", "b", "list"), f("has", "a", "exists"),
+        f("d", "i", regex="zzz", default="-"), f("inner", "em", "html"), f("sub", "div.r", "nested", fields=[f("v", "b"), f("w", "q")]), f("self", None, "nested", fields=[f("k", "b")]), f("said", "em"),
+    ]
+    got = schema.extract(nodes.node_rows(pages, "id"), ".r", fields, pages).orderBy("id", "item").collect()
+    assert [(r.id, r["item"]) for r in got] == [(1, 0), (1, 1), (1, 2), (1, 3)]
+    a, b, c, d = got
+    assert (a.n, a.code, a.whole, a.link, a.all, a.has, a.d) == (1234.5, "AB", "AB-", "https://e.test/d/x?q=1", ["1.234,5", "7"], True, "-")
+    assert [(x.v, x.w) for x in a["sub"]] == [("7", None)] and a["self"].k == "1.234,5" and (b.n, b.all, b.has, b["sub"]) == (7.0, ["7"], False, [])
+    assert (c.n, c.said, c.inner) == (None, "a <b> c", " a <u>&lt;b&gt;</u>\n c".strip()) and (d.n, d.link, d.has) == (None, None, True)
+
+
+def test_induction_refuses_ambiguity(spark):
+    item = lambda c, k: f'<div class="{c}"><h3>Title number {k}</h3><p>{PROSE}</p></div>'
+    pages = {
+        1: page(*[item("entry", k) for k in range(4)], *[item("teaser", k) for k in range(4)]),  # two sets alike: no answer
+        2: page(*[item("entry", k) for k in range(2)]),  # two are a pair
+        3: page(*[f"<div><h3>Title number {k}</h3></div>" for k in range(9)]),  # nothing to name it by
+        4: page(*[item("entry active c-9", k) for k in range(5)], *['<span class="tag">tag</span>'] * 9),
+        5: "",
+    }
+    got = schema.induce(nodes.node_rows(spark.createDataFrame(list(pages.items()), "id int, html string"), "id")).collect()
+    assert [(r.id, r.base_selector, r.matched, r.margin) for r in got] == [(4, "div.entry", 5, 1.0)]
+    assert [(f.name, f.selector, f.kind, f.attribute) for f in got[0].fields] == [("title", "h3", "text", None), ("text", "p", "text", None)]
+
+
+def test_healing_equals_all_pairs(spark):
+    rng = random.Random(3)
+    tags, classes = ["div", "span", "p", "h2", "h3", "a", "li"], ["price", "name", "now", "old", "big"]
+
+    def made(n):
+        out = []
+        for _ in range(n):
+            own = " ".join(rng.sample(classes, rng.randint(0, 2)))
+            ident = f' id="i{rng.randint(0, 9)}"' if rng.random() < 0.3 else ""
+            text = rng.choice(["12.50", "a few words here", "", "x" * 40])
+            tag = rng.choice(tags)
+            out.append(f"<{tag}{ident}{f' class={chr(34)}{own}{chr(34)}' if own else ''}>{text}</{tag}>" if rng.random() < 0.7 else f"<div>{''.join(made(2))}</div>")
+        return out
+
+    old = spark.createDataFrame([(k, page(*made(6))) for k in range(12)], "id int, html string")
+    new = spark.createDataFrame([(k, page(*made(8))) for k in range(12)], "id int, html string")
+    rows = nodes.node_rows(new, "id").cache()
+    before = schema.prints(nodes.node_rows(old, "id")).withColumn("slot", F.col("enter")).drop("enter").cache()
+    got = {(r.id, r.slot): (r.enter, round(r.score, 9)) for r in schema.heal(before, rows).collect()}
+    a, b = before.alias("a"), schema.prints(rows).alias("b")
+    shape = F.coalesce(F.concat(F.lit("#"), F.col("b.name")), F.concat_ws(".", "b.tag", "b.classes"))
+    pairs = a.join(b, F.col("a.id") == F.col("b.id")).select("a.id", "a.slot", "b.enter", schema.similarity("a", "b").alias("s"), shape.alias("shape")).collect()
+    per = {}
+    for r in pairs:
+        per.setdefault((r.id, r.slot), []).append(r)
+    want = {}
+    for k, found in per.items():
+        found.sort(key=lambda r: (-r.s, r.enter))
+        lead = found[0].s - max((r.s for r in found if r["shape"] != found[0]["shape"]), default=0.0)
+        if found[0].s >= 0.6 and lead >= 0.15:
+            want[k] = (found[0].enter, round(found[0].s, 9))
+    assert got == want and len(want) > 5

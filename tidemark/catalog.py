@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import content, further, logs, more, pages
+from tidemark.plans import content, further, logs, more, pages, structure
 
-QUERIES = {**logs.QUERIES, **content.QUERIES, **pages.QUERIES, **more.QUERIES, **further.QUERIES}
-SQL = {**logs.SQL, **content.SQL, **pages.SQL, **more.SQL, **further.SQL}
+QUERIES = {**logs.QUERIES, **content.QUERIES, **pages.QUERIES, **more.QUERIES, **further.QUERIES, **structure.QUERIES}
+SQL = {**logs.SQL, **content.SQL, **pages.SQL, **more.SQL, **further.SQL, **structure.SQL}
