@@ -820,3 +820,28 @@ def test_mix_rows_do_not_grow_with_the_shards(spark, monkeypatch):
     assert written["mix-docs"][0] == written["mix-docs"][1]
     what = [sorted((r.order_key, r.source, r.offset, r.epoch, r.words) for r in drawn[k]) for k in (8, 256)]
     assert what[0] == what[1] and {r.shard for r in drawn[256]} <= set(range(256)) and len({r.shard for r in drawn[256]}) > 200
+
+
+def test_toxic_sample_has_one_row_an_id(spark):
+    """An id that repeats with other texts, or labelled twice, gives one row: what is learnt from is bounded by rows."""
+    rows = [(1, f"text number {k} of the first", "a") for k in range(50)] + [(1, None, "a"), (2, None, "a"), (2, None, "b"), (3, "three", "a"), (None, "none", "a")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample_bags(table(spark, rows), labels, "doc_id", "text", "toxic", lambda k: F.lit(True), 10).collect()
+    assert sorted((r.k, r.y) for r in got) == [(1, 1), (2, 0), (3, 0)]
+
+
+def test_large_sites_join_as_small_ones(spark, monkeypatch):
+    """Beyond the broadcast bound the joins deal a host's rows to several tasks: same scores."""
+    monkeypatch.setattr("tidemark.llm.common.HOT_ROWS", 20)
+    rng = random.Random(5)
+    rows = [(k if k % 50 else None, " ".join(rng.choice(["good", "words", "!!", "###"]) for _ in range(rng.randint(0, 30))), rng.choice(["big", "big", "big", "s1", "s2", None])) for k in range(400)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(k, k % 3 % 2) for k in range(0, 400, 2)], "doc_id bigint, quality int")
+    sites = spark.createDataFrame([(k, "big" if k % 4 else "h2", "p") for k in range(1, 300, 3)], "id bigint, host string, path string")
+
+    def scores():
+        out = site_quality.site_scores(docs, labels, sites=sites).collect()
+        return sorted((str(r.id), round(r.own, 9), round(r.host_rate, 9), round(r.path_rate, 9), round(r.score, 9)) for r in out)
+
+    small = scores()
+    monkeypatch.setattr(site_quality, "BROADCAST_SITES", 0)
+    assert scores() == small and len(small) == 400

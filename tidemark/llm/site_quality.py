@@ -21,7 +21,7 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import join_hot, materialize, pick
 from .toxicity import held_out
 from .url_rules import url_host, url_path
 
@@ -76,14 +76,18 @@ def shrunk(counts: DataFrame, parent: Column, out: str) -> DataFrame:
     return joined.withColumn(out, rate).drop("_parent", "_k")
 
 
-def site_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host_col="source", path_col="lang", label_col="quality", learn=None, max_sample: int = 20_000) -> DataFrame:
+def site_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host_col="source", path_col="lang", label_col="quality", learn=None, max_sample: int = 20_000, sites: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, own (document evidence), host_rate, path_rate, score. ``max_sample`` bounds the rows
-    that the document model learns from."""
+    that the document model learns from. ``sites`` (id, host, path: a row an id) goes before the rows' own columns."""
     y = labels.select(labels[id_col].alias("id"), (labels[label_col] > 0).cast("int").alias("y")).filter("y is not null and id is not null")
     y = y.filter((learn or (lambda k: F.lit(True)))(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     rows = pick(docs, id=id_col, t=text_col, host=host_col, path=path_col)
     rows = rows.select("id", "host", "path", shape(F.coalesce("t", F.lit(""))).alias("s"))
     rows = materialize(rows.select("id", "host", "path", "s.*"), "site-shapes")
+    if sites is not None:  # texts are no longer here; null ids have no site and meet no join
+        met = join_hot(rows.filter("id is not null"), sites.select("id", F.col("host").alias("_h"), F.col("path").alias("_p")), "id", FEATURES[0], "left")
+        met = met.withColumns({"host": F.coalesce("_h", "host"), "path": F.coalesce("_p", "path")}).select(rows.columns)
+        rows = materialize(met.unionAll(rows.filter("id is null")), "site-rows")
     known = materialize(rows.join(y, "id"), "site-known")
 
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_sample)
@@ -103,30 +107,39 @@ def site_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="t
     paths = materialize(shrunk(paths, F.col("host_rate"), "path_rate").select("host", "path", "host_rate", "path_rate"), "site-paths")
     hosts = materialize(paths.groupBy("host").agg(F.first("host_rate").alias("host_rate")), "site-hosts")
     small = paths.count() <= BROADCAST_SITES
-    near = F.broadcast if small else (lambda d: d)
-    s, p, h = scored.alias("s"), near(paths).alias("p"), near(hosts).alias("h")
-    out = s.join(h, F.col("s.host").eqNullSafe(F.col("h.host")), "left").join(p, F.col("s.host").eqNullSafe(F.col("p.host")) & F.col("s.path").eqNullSafe(F.col("p.path")), "left")
+    if small:
+        s, p, h = scored.alias("s"), F.broadcast(paths).alias("p"), F.broadcast(hosts).alias("h")
+        out = s.join(h, F.col("s.host").eqNullSafe(F.col("h.host")), "left").join(p, F.col("s.host").eqNullSafe(F.col("p.host")) & F.col("s.path").eqNullSafe(F.col("p.path")), "left")
+    else:  # a large site's rows are dealt to several tasks
+        of_host, of_path = F.to_json(F.array("host")), F.to_json(F.array("host", "path"))
+        keyed = materialize(scored.select("id", "own", of_host.alias("hk"), of_path.alias("pk")), "site-scored")
+        out = join_hot(keyed, hosts.select(of_host.alias("hk"), F.struct("host_rate").alias("h")), "hk", "id", "left")
+        out = join_hot(out, paths.select(of_path.alias("pk"), F.struct("path_rate").alias("p")), "pk", "id", "left", keys=keyed).alias("s")
     host_rate = F.coalesce("h.host_rate", rate)
     path_rate = F.coalesce("p.path_rate", host_rate)
     score = 1 / (1 + F.exp(-(logit(F.col("s.own")) + logit(path_rate) - logit(rate))))
     return out.select("s.id", "s.own", host_rate.alias("host_rate"), path_rate.alias("path_rate"), score.alias("score"))
 
 
-def with_sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds host and path of the page whose URL ends in the document's number: the least such URL, path its first
-    folder. Documents without a page have the source for host and the language for path."""
+def page_sites(pages: DataFrame) -> DataFrame:
+    """(id, host, path) of the documents whose number ends a page's URL: of the least such URL, path its first folder."""
     path = url_path(pages["url"])
     number = F.try_to_number(F.regexp_extract(path, r"([0-9]{1,18})(?:\.[a-z]+)?/?$", 1), F.lit("9" * 18)).cast("long")
-    sites = pages.select(number.alias("_n"), F.struct(pages["url"].alias("url"), url_host(pages["url"]).alias("host"), F.regexp_extract(path, r"^/([^/]*)/", 1).alias("path")).alias("_p"))
-    sites = sites.filter("_n is not null").groupBy("_n").agg(F.min("_p").alias("_p"))
-    out = docs.join(sites, docs["doc_id"] == sites["_n"], "left")
-    return out.select(docs["doc_id"], docs["text"], F.coalesce("_p.host", docs["source"]).alias("host"), F.coalesce("_p.path", docs["lang"]).alias("path"))
+    sites = pages.select(number.alias("id"), F.struct(pages["url"].alias("url"), url_host(pages["url"]).alias("host"), F.regexp_extract(path, r"^/([^/]*)/", 1).alias("path")).alias("p"))
+    return sites.filter("id is not null").groupBy("id").agg(F.min("p").alias("p")).select("id", "p.host", "p.path")
+
+
+def with_sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, host, path) of each document: its page's, else its source and language."""
+    own = docs.select(docs["doc_id"], docs["source"], docs["lang"])
+    out = own.join(page_sites(pages).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("host", "source").alias("host"), F.coalesce("path", "lang").alias("path"))
 
 
 def op6_site_quality(spark, sf_dir: str) -> DataFrame:
-    """All documents by the site of their page; null texts are empty, an empty table gives no rows."""
+    """All documents by the site of their page, else by source and language; null texts are empty, an empty table gives no rows."""
     docs, labels, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels", "pages"))
-    out = site_scores(with_sites(docs, pages), labels, host_col="host", path_col="path", learn=lambda k: ~held_out(k))
+    out = site_scores(docs, labels, learn=lambda k: ~held_out(k), sites=page_sites(pages))
     return out.select(
         F.col("id").alias("doc_id"), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), F.round("own", 9).alias("doc_score"),
         "host_rate", "path_rate", "score", (F.col("score") >= 0.5).cast("int").alias("keep"),

@@ -58,11 +58,12 @@ def featurise(text: str, memo: _Memo) -> list[np.ndarray]:
 
 def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, max_per_class: int) -> DataFrame:
     """(k, y, f, e) of the training sample: features of all sentences in a row, and where each sentence ends. The bound
-    is on documents of each label."""
+    is on rows of each label: of rows that repeat an id the one of least text hash."""
     y = labels.select(labels[id_col].alias("k"), labels[label_col].cast("int").alias("y")).filter("y is not null and k is not null")
     y = y.filter(learn(F.col("k"))).groupBy("k").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("k"))
     chosen = y.filter("y = 1").orderBy("h", "k").limit(max_per_class).unionAll(y.filter("y = 0").orderBy("h", "k").limit(max_per_class))
     rows = pick(docs, k=id_col, t=text_col).join(F.broadcast(chosen.select("k", "y")), "k")  # 2 * max_per_class ids at most
+    rows = rows.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))  # of rows that repeat an id one, found before the shuffle
 
     def features(batches):
         import pandas as pd
