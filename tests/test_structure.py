@@ -335,3 +335,63 @@ def test_healing_equals_all_pairs(spark):
         if found[0].s >= 0.6 and lead >= 0.15:
             want[k] = (found[0].enter, round(found[0].s, 9))
     assert got == want and len(want) > 5
+
+
+# Pages of tokens and passages by jumps ----------------------------------------------------------------------
+
+
+def test_page_numbers_are_the_greedy_ones(spark):
+    from tidemark.operators import blocks
+
+    rng = random.Random(6)
+    texts = {k: [rng.choice([0, 1, 2, 5, 9, 30]) for _ in range(rng.randint(1, 60))] for k in range(40)}
+    rows = [(k, i, c) for k, costs in texts.items() for i, c in enumerate(costs)]
+    got = {(r.id, r.pos): r.page for r in blocks.page_numbers(spark.createDataFrame(rows, "id int, pos int, cost bigint"), "id", "pos", "cost", 12).collect()}
+    for k, costs in texts.items():
+        used = page = 0
+        for i, c in enumerate(costs):
+            if i and used + c > 12 and any(got[k, j] == page for j in range(i)):
+                used, page = 0, page + 1
+            used += c
+            assert got[k, i] == page
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    from tidemark.operators import blocks
+
+    took = {}
+    for n in (2_000, 20_000, 40_000):
+        docs = spark.createDataFrame([(1, "a line of some words\n" * n)], "id int, text string")
+        began = time.time()
+        pages = blocks.verbatim_pages(docs, "id", "text", 60).orderBy("page").collect()
+        took[n] = time.time() - began
+        assert "".join(r.text for r in pages) == "a line of some words\n" * n and [r.page for r in pages] == list(range(n // 10))
+    assert took[40_000] < 3 * took[20_000] + 1
+
+
+def test_passages_at_the_window(spark):
+    from tidemark.operators import intervals
+
+    rng = random.Random(7)
+    cues = [(v, 0, float(s), float(s + 1), f"t{k}", k) for v in range(5) for k, s in enumerate(sorted(rng.choice([0, 1, 2, 2.5, 3, 5, 8, 10, 12.5, 13, 20, 22.5, 30]) for _ in range(25)))]
+    got = intervals.passages(spark.createDataFrame(cues, "v int, c int, s double, e double, t string, k int"), ["v", "c"], "s", "e", "t", "k", 10).collect()
+    want = []
+    for v in range(5):
+        own = []
+        for _, _, s, e, t, _ in (c for c in cues if c[0] == v):
+            if own and s - own[-1][1] < 10:
+                own[-1][2], own[-1][3] = max(own[-1][2], e), [*own[-1][3], t]
+            else:
+                own.append([v, s, e, [t]])
+        want += [(v, a, b, len(t), " ".join(t)) for v, a, b, t in own]
+    assert sorted((r.v, r.s, r.e, r.n, r.t) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("mark", ["amzn.to", "s.click.aliexpress.com", "awin1.com", "ebay.us", "go.skimresources.com"])
+def test_every_referral_endpoint(spark, mark):
+    from tidemark.functions import urls
+
+    df = spark.createDataFrame([(f"https://{mark}/abc",), ("https://plain.test/abc",)], "u string")
+    assert [r[0] for r in df.select(urls.is_affiliate(F.col("u"))).collect()] == [True, False]

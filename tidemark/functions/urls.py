@@ -146,7 +146,7 @@ def origin_policy(url: Column, block: list[str], allow: list[str]) -> Column:
 
 # Hosts and paths, and parameters, that carry a referral.
 AFFILIATE_ENDPOINTS = [
-    "awin1.com", "anrdoezrs.net", "dpbolvw.net", "jdoqocy.com", "kqzyfj.com", "tkqlhce.com", "tqlkg.com", "hop.clickbank.net", "rover.ebay.com", "ebay.us", "flexlinks.com", "fxo.co",
+    "amzn.to", "s.click.aliexpress.com", "awin1.com", "anrdoezrs.net", "dpbolvw.net", "jdoqocy.com", "kqzyfj.com", "tkqlhce.com", "tqlkg.com", "hop.clickbank.net", "rover.ebay.com", "ebay.us", "flexlinks.com", "fxo.co",
     "refersion.com", "shareasale.com", "go.redirectingat.com", "shop-links.co", "go.skimresources.com",
 ]
 AFFILIATE_PARAMS = ["aff_id=", "affiliate_id=", "aff_platform=", "utm_medium=affiliate", "irclickid=", "ranmid=", "siteid="]

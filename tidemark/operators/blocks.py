@@ -42,25 +42,50 @@ def heading_path(blocks: DataFrame, key: str, order: str, text: str) -> DataFram
     return rows.withColumn("path", F.array_join(F.array_compact(F.array(*kept)), " > ")).drop("_level", "_title")
 
 
-def page_numbers(costs: Column, budget: int) -> Column:
-    """Page of each block, in order, from 0: a block that no longer fits opens the next page; one of its own may exceed."""
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("page"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, cost: Column) -> Column:
-        fits = (acc["used"] == 0) | (acc["used"] + cost <= budget)
-        page = F.when(fits, acc["page"]).otherwise(acc["page"] + 1)
-        return F.struct(F.when(fits, acc["used"] + cost).otherwise(cost).cast("bigint").alias("used"), page.alias("page"), F.concat(acc["out"], F.array(page)).alias("out"))
-
-    return F.aggregate(costs, start, step, lambda a: a["out"])
+def numbered_by_jumps(rows: DataFrame, key: str, pos: str, follows: str, out: str) -> DataFrame:
+    """Adds ``out``: which stretch a row is in, from 0, where the stretch of row ``pos`` (0, 1, ...) ends before row
+    ``follows``.
+
+    The starts are what is reached from row 0 by the jumps. They are found by doubling: jumps of 1, 2, 4, ... stretches are
+    applied to all starts so far, so a text takes the logarithm of its stretches in passes over its jumps.
+    """
+    end = F.col("n")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(pos, follows))), lambda x: x[follows].cast("int"))
+    per = rows.groupBy(key).agg(listed.alias("jumps"), F.count(F.lit(1)).cast("int").alias("n")).withColumn("jumps", F.concat("jumps", F.array("n")))
+    first = F.struct(F.col("jumps").alias("j"), F.array(F.lit(0)).alias("r"))
+
+    def twice(acc: Column, _: Column) -> Column:
+        reached = F.filter(F.transform(acc["r"], lambda x: F.get(acc["j"], x)), lambda x: x < end)
+        return F.struct(F.transform(acc["j"], lambda x: F.get(acc["j"], x)).alias("j"), F.concat(acc["r"], reached).alias("r"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(end + 1)).cast("int"))
+    starts = per.select(key, F.explode(F.aggregate(rounds, first, twice, lambda a: a["r"])).alias(pos), F.lit(1).alias("_start"))
+    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(starts, [key, pos], "left").withColumn(out, (F.sum(F.coalesce("_start", F.lit(0))).over(w) - 1).cast("int")).drop("_start")
+
+
+def page_numbers(blocks: DataFrame, key: str, pos: str, cost: str, budget: int) -> DataFrame:
+    """Adds ``page`` to blocks ``pos`` = 0, 1, ...: one that no longer fits opens the next page; one of its own may exceed.
+
+    A page from block i ends before the last block whose running cost is within the budget of i's, found in the sums.
+    """
+    w = Window.partitionBy(key).orderBy(pos)
+    before = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    own = blocks.select(key, pos, before.alias("_sum"), cost)
+    end = own.groupBy(key).agg((F.max(pos) + 1).cast(own.schema[pos].dataType).alias(pos), F.max(F.col("_sum") + F.col(cost)).alias("_sum"))
+    every = own.select(key, pos, "_sum").unionByName(end)
+    within = Window.partitionBy(key).orderBy("_sum").rangeBetween(Window.currentRow, budget)
+    last = F.max(pos).over(Window.partitionBy(key))
+    jumps = every.withColumn("_to", F.greatest(F.max(pos).over(within), F.col(pos) + 1)).withColumn("_last", last).filter(F.col(pos) < F.col("_last")).select(key, pos, "_to")
+    return numbered_by_jumps(blocks.join(jumps, [key, pos]), key, pos, "_to", "page").drop("_to")
 
 
 def verbatim_pages(docs: DataFrame, key: str, text: str, budget: int) -> DataFrame:
     """(key, page, text): whole lines up to ``budget`` estimated tokens a page; the pages joined are the text, byte for
-    byte. A text is folded in its own row, as every page break depends on the one before."""
-    parts = F.split(F.col(text), r"(?<=\n)")
-    rows = docs.select(key, F.filter(parts, lambda x: x != "").alias("ls"))
-    rows = rows.withColumn("pages", page_numbers(F.transform("ls", T.token_estimate), budget))
-    each = rows.select(key, F.posexplode(F.arrays_zip("ls", "pages")).alias("pos", "x")).select(key, "pos", F.col("x.pages").alias("page"), F.col("x.ls").alias("line"))
+    byte."""
+    parts = F.filter(F.split(F.col(text), r"(?<=\n)"), lambda x: x != "")
+    rows = docs.select(key, F.posexplode(parts).alias("pos", "line")).withColumn("cost", T.token_estimate(F.col("line")))
+    each = page_numbers(rows, key, "pos", "cost", budget)
     return each.groupBy(key, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("text"))
 
 

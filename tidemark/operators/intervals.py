@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.blocks import numbered_by_jumps
+
 
 def _slots(low: Column, high: Column, width: int) -> Column:
     """Numbers of the slots of ``width`` that [low, high] touches."""
@@ -55,19 +57,16 @@ def apart(ranked: DataFrame, key: str, rank: str, at: str, least: int, keep: int
 
 def passages(cues: DataFrame, keys: list[str], start: str, end: str, text: str, tie: str, window: int) -> DataFrame:
     """(keys, start, end, n, text): cues in order, cut where one starts ``window`` or more after its passage does. ``keys``
-    name a chapter: a passage never crosses one, and one chapter's cues are folded together."""
-    item = F.struct(start, tie, end, text)
-    listed = F.array_sort(F.collect_list(item))
-    none = F.filter(F.transform(listed, lambda x: F.struct(x[start].alias("a"), x[end].alias("b"), F.array(x[text]).alias("t"))), lambda x: F.lit(False))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x[end]).alias("b"), F.concat(last["t"], F.array(x[text])).alias("t"))
-        own = F.struct(x[start].alias("a"), x[end].alias("b"), F.array(x[text]).alias("t"))
-        return F.when((F.size(acc) > 0) & (x[start] - F.try_element_at(acc, F.lit(-1))["a"] < window), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(own)))
-
-    out = cues.groupBy(*keys).agg(F.aggregate(listed, none, step).alias("p")).select(*keys, F.explode("p").alias("p"))
-    return out.select(*keys, F.col("p.a").alias(start), F.col("p.b").alias(end), F.size("p.t").alias("n"), F.array_join("p.t", " ").alias(text))
+    name a chapter: a passage never crosses one. Where a passage ends is looked up in the starts, and passages follow by
+    doubled jumps, so a chapter of any length takes time in proportion."""
+    w = Window.partitionBy(*keys).orderBy(start, tie, end, text)
+    rows = cues.select(F.struct(*keys).alias("_key"), *keys, start, end, text, (F.row_number().over(w) - 1).alias("_pos"))
+    by_start = Window.partitionBy("_key").orderBy(start)
+    within, just_out = F.max("_pos").over(by_start.rangeBetween(Window.currentRow, window)), F.count(F.lit(1)).over(by_start.rangeBetween(window, window))
+    rows = numbered_by_jumps(rows.withColumn("_to", (within - just_out + 1).cast("int")), "_key", "_pos", "_to", "_passage")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", text))), lambda x: x[text]), " ")
+    out = rows.groupBy(*keys, "_passage").agg(F.min(start).alias("_a"), F.max(end).alias("_b"), F.count(F.lit(1)).cast("int").alias("n"), said.alias("_t"))
+    return out.select(*keys, F.col("_a").alias(start), F.col("_b").alias(end), "n", F.col("_t").alias(text))
 
 
 def fresh_lines(cues: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -204,13 +204,13 @@ def cr10(spark, d):
 # Search -----------------------------------------------------------------------------------------------------
 
 
-@query("str6_shorten", """WITH q AS (SELECT doc_id, regexp_extract_all(substring(text, 1, 400), '[a-z]+') AS w FROM documents),
+@query("str6_shorten", """WITH q AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents),
 s AS (SELECT doc_id, w[1:7] AS w, CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(34) || array_to_string(w[8:9], ' ') || chr(34) END AS phrase FROM q WHERE len(w) >= 9),
 c AS (SELECT doc_id, phrase, list_filter(w, lambda x: x NOT IN ('er', 'en', 'de')) AS c FROM s),
 r AS (SELECT doc_id, trim(phrase || ' ' || array_to_string(c[1:CASE WHEN phrase = '' THEN 4 ELSE 2 END], ' ')) AS short FROM c)
 SELECT doc_id, CASE WHEN short <> '' THEN short END AS short FROM r""")
 def str6(spark, d):
-    w = F.regexp_extract_all(F.substring("text", 1, 400), F.lit("([a-z]+)"), F.lit(1))
+    w = F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))
     docs = read(spark, d, "documents").select("doc_id", w.alias("w")).filter(F.size("w") >= 9)
     phrase = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit(' "'), F.array_join(F.slice("w", 8, 2), " "), F.lit('"')))
     return docs.select("doc_id", T.shorten(F.concat(F.array_join(F.slice("w", 1, 7), " "), phrase), ["er", "en", "de"]).alias("short"))

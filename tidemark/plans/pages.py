@@ -122,18 +122,18 @@ def st_batch(spark, d):
 
 @query("st_tumbling_stream", SQL["st_tumbling_batch"])
 def st_tumbling(spark, d):
-    return S.drain(S.tumbling(S.stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return S.newest(S.drain(S.tumbling(S.stream(spark, d)), "update"), "start", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("st_sliding_stream", "SELECT time_bucket(INTERVAL 30 MINUTE, ts::timestamp) - s * INTERVAL 30 MINUTE AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) t(s) GROUP BY 1, 2")
 def st_sliding(spark, d):
-    return S.drain(S.sliding(S.stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return S.newest(S.drain(S.sliding(S.stream(spark, d)), "update"), "start", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("st_session_stream", """SELECT user_id, min(tt) AS start, max(tt) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (SELECT user_id, tt, sum(brk) OVER (PARTITION BY user_id ORDER BY tt ROWS UNBOUNDED PRECEDING) AS run
  FROM (SELECT user_id, ts::timestamp AS tt, CASE WHEN ts::timestamp <= lag(ts::timestamp) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events) a) b GROUP BY user_id, run""")
 def st_sessions(spark, d):
-    out = S.drain(S.sessions(S.stream(spark, d)), "complete")
+    out = S.drain(S.sessions(S.ticked(spark, d))).filter("user_id is not null")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 

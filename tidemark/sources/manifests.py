@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A segment: its duration, further tags, its address.
 SEGMENT = r"(?m)^#EXTINF:\s*([0-9.]+)[^\n]*\n(?:\s*(?:#[^\n]*)?\n)*([^#\s][^\n]*?)\s*$"
@@ -20,9 +21,9 @@ def hls_segments(playlists: DataFrame, key: str, body: str) -> DataFrame:
     text = F.replace(body, F.lit("\r"), F.lit(""))
     spans = F.transform(F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(1)), lambda s: F.coalesce(s.try_cast("double"), F.lit(0.0)))
     rows = playlists.select(key, spans.alias("s"), F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(2)).alias("u"))
-    rows = rows.select(key, "s", F.posexplode("u").alias("place", "uri"))
-    start = F.aggregate(F.slice("s", F.lit(1), F.col("place")), F.lit(0.0), lambda a, x: a + x)
-    return rows.select(key, "place", "uri", start.alias("start"), F.get("s", F.col("place")).alias("seconds"))
+    rows = rows.select(key, F.posexplode(F.arrays_zip("s", "u")).alias("place", "x")).select(key, "place", F.col("x.u").alias("uri"), F.col("x.s").alias("seconds"))
+    before = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(key, "place", "uri", F.coalesce(F.sum("seconds").over(before), F.lit(0.0)).alias("start"), "seconds")
 
 
 def hls_subtitles(playlists: DataFrame, key: str, body: str) -> DataFrame:

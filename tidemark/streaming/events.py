@@ -20,34 +20,46 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "10 minutes")
 
 
+def ticked(spark: SparkSession, sf_dir: str, after: str = "1 day") -> DataFrame:
+    """:func:`stream` with one row more, of no user and no type, so long after the last event that every window before it
+    closes: what append mode would hold back at the end of a table comes out."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = f"{shared_dir(spark)}/tidemark/tick-{uuid.uuid4().hex}"
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).cast(events.schema["ts"].dataType).alias("ts"))
+    last.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns]).write.parquet(path)
+    tick = spark.readStream.schema(events.schema).parquet(path)
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.unionByName(tick).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "10 minutes")
+
+
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return the sink's rows; sink and offsets in the shared folder.
 
-    In complete mode each epoch holds the whole result, windows still open included, and the last one counts. In
-    update mode rows carry their ``epoch``, and :func:`newest` keeps the last of each key.
+    In update mode rows carry their ``epoch``, and :func:`newest` keeps the last of each key. In complete mode each epoch
+    holds the whole result and the last one counts; nothing leaves the state, so it is for small results.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
-    last = "*"
+    last = 0
 
     def put(batch: DataFrame, epoch: int) -> None:
         nonlocal last
-        last = str(epoch)
+        last = epoch
         batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    rows = f"{path}/rows/epoch={last}" if mode == "complete" else f"{path}/rows"
-    if mode == "update":
-        return spark.read.schema(df.schema.add("epoch", "long")).option("basePath", f"{path}/rows").parquet(rows)
-    return spark.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(rows).select(*df.columns)
+    rows = spark.read.schema(df.schema.add("epoch", "long")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.filter(F.col("epoch") == last)
+    return rows if mode == "update" else rows.drop("epoch")
 
 
-def newest(rows: DataFrame, key: str) -> DataFrame:
+def newest(rows: DataFrame, *keys: str) -> DataFrame:
     """One row a key: what its last epoch said."""
-    rest = [c for c in rows.columns if c not in (key, "epoch")]
+    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
     last = F.max_by(F.struct(*rest), "epoch").alias("last")
-    return rows.groupBy(key).agg(last).select(key, "last.*")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
