@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_audit, quote_link
+from . import filter_audit, parts, quote_link
 from .bagminhash import op9_bagminhash
 from .decontaminate import op8_decontaminate
 from .filter_audit import op12_filter_audit
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
     "op13_simhash_golay": op13_simhash_golay,
+    **parts.QUERIES,
 }
 
-SQL: dict[str, str] = {"op10_quote_link": quote_link.SQL, "op12_filter_audit": filter_audit.SQL}
+SQL: dict[str, str] = {"op10_quote_link": quote_link.SQL, "op12_filter_audit": filter_audit.SQL, **parts.SQL}
