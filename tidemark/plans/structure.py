@@ -101,7 +101,37 @@ def hx5(spark, d):
     return s.select(F.col("id").alias("page_id"), "place", "tag", F.round("score", 6).alias("score"), "dropped", "kept_text", "skip_chrome")
 
 
-@query("hx7_content_root")
+# Of the pages' class names none is on the lists of the candidates, so names weigh nothing there.
+_ROOT = _PRUNE + r""", kids AS (
+  SELECT page_id, above[-1].n AS n, count(*) AS kids FROM st WHERE len(above) > 0 GROUP BY ALL
+), said_by AS (
+  SELECT page_id, u.a.n AS n, sum(u.p / [1.0, 2.0, 6.0, 9.0, 12.0][u.k]) AS got
+  FROM (SELECT page_id, list_reverse(above)[1:5] AS near, 1 + commas + least(text // 100, 3) AS p FROM st WHERE tag IN ('section', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'td', 'pre') AND text >= 25) x,
+    unnest(list_transform(range(1, len(near) + 1), lambda k: {'a': near[k], 'k': k, 'p': p})) u(u) GROUP BY ALL
+), raws AS (
+  SELECT page_id, n, tag, class, above, got + CASE WHEN tag = 'div' THEN 5 WHEN tag IN ('ul', 'li') THEN -3 WHEN tag = 'h1' THEN -5 ELSE 0 END AS raw, linked FROM said_by JOIN scored USING (page_id, n)
+), ranked AS (
+  SELECT *, raw * (1 - linked) AS value, row_number() OVER (PARTITION BY page_id ORDER BY raw * (1 - linked) DESC, n) AS r FROM raws
+), tops1 AS (
+  SELECT t.page_id, t.n, t.value AS score, t.above, list(q.above) FILTER (q.r BETWEEN 2 AND 5 AND q.value / t.value >= 0.75) AS rivals FROM ranked t JOIN ranked q USING (page_id) WHERE t.r = 1 AND t.value > 0 GROUP BY ALL
+), held AS (
+  SELECT t.page_id, t.score, t.n AS top, s.n, coalesce(kids, 0) AS kids, s.class, len(list_filter(coalesce(t.rivals, []), lambda v: list_contains(list_transform(v, lambda x: x.n), s.n))) >= 3 AND s.n < t.n AS shared
+  FROM tops1 t JOIN st s ON s.page_id = t.page_id AND (s.n = t.n OR list_contains(list_transform(t.above, lambda x: x.n), s.n)) LEFT JOIN kids k ON k.page_id = s.page_id AND k.n = s.n
+), began AS (
+  SELECT *, coalesce(max(n) FILTER (shared) OVER (PARTITION BY page_id), top) AS began FROM held
+), wide AS (
+  SELECT *, max(n) FILTER (n < began AND kids <> 1) OVER (PARTITION BY page_id) AS parent FROM began WHERE n <= began
+), won AS (
+  SELECT page_id, score, parent, min(n) AS won, arg_min(class, n) AS won_class FROM wide WHERE parent IS NULL OR n > parent GROUP BY ALL
+), mates AS (
+  SELECT w.page_id, s.n, s.tag, coalesce(r.raw + CASE WHEN w.won_class <> '' AND s.class = w.won_class THEN 0.2 * w.score ELSE 0 END, 0) >= greatest(0.2 * w.score, 10) AS scored,
+    s.tag = 'p' AND (s.text > 80 AND s.linked < 0.25 OR s.text > 0 AND s.text < 80 AND s.link_text = 0 AND regexp_matches((SELECT string_agg(txt, '' ORDER BY k) FROM said x WHERE x.page_id = s.page_id AND list_contains(list_transform(x.path, lambda y: y.n), s.n)), '\.( |$)')) AS prose
+  FROM won w JOIN scored s ON s.page_id = w.page_id AND s.above[-1].n = w.parent AND s.n <> w.won LEFT JOIN raws r ON r.page_id = s.page_id AND r.n = s.n
+), gone AS (SELECT page_id, list(n) AS gone FROM mates WHERE NOT (scored OR coalesce(prose, false)) GROUP BY page_id),
+root AS (SELECT w.page_id, coalesce(parent, won) AS root, score, coalesce(gone, []) AS gone FROM won w LEFT JOIN gone USING (page_id))"""
+
+
+@query("hx7_content_root", f"WITH {_ROOT} SELECT r.page_id, s.tag, round(score, 6) AS score, len(gone)::INT AS dropped FROM root r JOIN st s ON s.page_id = r.page_id AND s.n = r.root")
 def hx7(spark, d):
     rows = page_nodes(spark, d)
     stats = written(structure.node_stats(rows), "node-stats")
@@ -110,7 +140,19 @@ def hx7(spark, d):
     return root.join(tags, (F.col("r.id") == F.col("page")) & (F.col("r.root") == F.col("at"))).select(F.col("r.id").alias("page_id"), "tag", F.round("score", 6).alias("score"), F.size("dropped").alias("dropped"))
 
 
-@query("hx9_vote")
+_VOTE = _ROOT + r""", blk AS (SELECT * FROM scored WHERE tag IN ('p', 'div', 'article', 'nav', 'footer', 'h1', 'li', 'ul')),
+own_text AS (SELECT page_id, path[-1].n AS n, string_agg(txt, '' ORDER BY k) AS own FROM said GROUP BY ALL),
+first_text AS (SELECT page_id, n, string_agg(txt, '' ORDER BY k) AS first FROM (SELECT s.page_id, s.k, s.txt, s.path, max(b.n) AS n FROM said s JOIN blk b ON b.page_id = s.page_id AND b.n <= s.k GROUP BY ALL) x WHERE list_contains(list_transform(path, lambda y: y.n), n) GROUP BY ALL),
+unit AS (SELECT * FROM (SELECT b.*, len(regexp_extract_all(CASE WHEN trim(coalesce(own, '')) = '' THEN coalesce(first, '') ELSE own END, '\S+')) AS words FROM blk b LEFT JOIN own_text USING (page_id, n) LEFT JOIN first_text USING (page_id, n)) x WHERE words > 0),
+near AS (SELECT *, lag(words, 1, 0) OVER o AS before, lag(linked, 1, 0.0) OVER o AS was, lead(words, 1, 0) OVER o AS after, row_number() OVER o AS unit FROM unit WINDOW o AS (PARTITION BY page_id ORDER BY n)),
+pruned AS (SELECT page_id, list(n) AS pruned FROM pr WHERE dropped GROUP BY page_id),
+says AS (SELECT n.*, CASE WHEN r.root IS NOT NULL THEN NOT list_contains(line, r.root) OR list_has_any(line, r.gone) END AS a,
+    NOT (linked <= 0.333333 AND CASE WHEN was <= 0.555556 THEN words > 16 OR after > 15 OR before > 4 ELSE words > 40 OR after > 17 END) AS b, CASE WHEN p.pruned IS NOT NULL THEN list_has_any(line, p.pruned) END AS c
+  FROM (SELECT *, list_transform(above, lambda x: x.n) || [n] AS line FROM near) n LEFT JOIN root r USING (page_id) LEFT JOIN pruned p USING (page_id)),
+counted AS (SELECT *, coalesce(a, false)::INT + b::INT + coalesce(c, false)::INT AS votes, (a IS NOT NULL)::INT + 1 + (c IS NOT NULL)::INT AS voters FROM says)"""
+
+
+@query("hx9_vote", f"WITH {_VOTE} SELECT page_id, unit::INT AS unit, tag, words, votes, voters, votes >= voters AS dropped, round(coalesce(count(*) FILTER (votes = voters) OVER w / nullif(count(*) FILTER (votes > 0) OVER w, 0), 1.0), 6) AS agreement FROM counted WINDOW w AS (PARTITION BY page_id)")
 def hx9_vote(spark, d):
     v = structure.voted(page_nodes(spark, d))
     place = F.row_number().over(Window.partitionBy("id").orderBy("enter"))
