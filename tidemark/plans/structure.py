@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import schema, structure
+from tidemark.operators import schema, structure, take
 from tidemark.plans.content import read
 from tidemark.scratch import written
 from tidemark.sources import nodes
@@ -237,3 +237,13 @@ def hx17(spark, d):
     found = schema.heal(written(before.withColumn("slot", slot).filter("slot is not null").drop("enter"), "heal-remembered"), after)
     said = schema.texts_of(after, found.join(after.select("id", "enter", "leave"), ["id", "enter"]))
     return found.join(said, ["id", "enter"]).select("id", "slot", "said", F.round("score", 6).alias("score"))
+
+
+# Pages of tokens --------------------------------------------------------------------------------------------
+
+@query("bd3_page_take")
+def bd3(spark, d):
+    lines = F.transform(F.split(F.regexp_replace("text", r"[\x{2E81}-\x{10FFFF}]", ""), "\n"), F.trim)
+    blocks = read(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"), F.posexplode(F.filter(lines, lambda x: x != "")).alias("block", "text"))
+    pages = take.take(blocks.withColumn("path", F.lit("")), "doc_id", 400)
+    return pages.select("doc_id", "page", "block", "offset", "blocks", F.md5("content").alias("digest"))
