@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import moments
 from tidemark.sources import dash
 
@@ -70,3 +72,24 @@ def test_storyboards(spark):
     assert set(got) == {1, 2, 8}
     assert got[1] == [(k, float(k), "https://a.test/0/M0?v=1&sigh=sig", k % 2 / 2, k // 2 / 2, 0.5, 0.5) for k in range(4)]
     assert [g[:3] for g in got[2]] == [(k, 10.0 * k, "https://a.test/p0") for k in range(9)] and got[8][2][:4] == (2, 0.8, "t?sigh=z", 0.0) and len(got[8]) == 3
+
+
+def test_flat_rows_of_pages(spark):
+    from tidemark.operators import export
+
+    kind = "id int, url string, items array<string>, tables array<struct<header:array<string>,rows:array<array<string>>>>"
+    rows = [
+        (1, "https://e.test/a", ['{"name": "x", "n": 1}', '{"url": "own", "z": [1]}', "{}"], [(["h", " ", "h"], [["1", "2", "3", "4"]]), ([], [["a"], []])]), (2, None, None, None), (3, None, ['{"q": null}'], []),
+    ]
+    flat = export.flat_rows(spark.createDataFrame(rows, kind), "id", "url", "items", "tables").cache()
+    got = {(r.id, r.place): r.record for r in flat.collect()}
+    assert got == {
+        (1, 0): '{"url":"https://e.test/a","name": "x", "n": 1}', (1, 1): '{"url": "own", "z": [1]}', (1, 2): '{"url":"https://e.test/a"}', (1, 3): '{"url":"https://e.test/a","table":"1","col2":"2","h":"3","col4":"4"}',
+        (1, 4): '{"url":"https://e.test/a","table":"2","col1":"a"}', (1, 5): '{"url":"https://e.test/a","table":"2"}', (3, 0): '{"url":null,"q": null}',
+    }
+    lines = [r.line for r in export.csv_lines(flat, ["id", "place"], "record").orderBy(F.col("id").asc_nulls_first(), "place").collect()]
+    assert lines[0] == "url,name,n,z,table,col2,h,col4,col1,q" and lines[1] == "https://e.test/a,x,1,,,,,,," and lines[2] == "own,,,[1],,,,,," and {x.count(",") for x in lines} == {9}
+    none = spark.createDataFrame([], "k int, r string")
+    assert export.csv_lines(none, ["k"], "r").collect() == []
+    odd = spark.createDataFrame([(1, "{\"it's\": 1, \"a.b\": \"x\\ny\", \"q\\\"q\": 2}"), (2, "broken"), (3, None), (4, "[1]")], "k int, r string")
+    assert [r.line for r in export.csv_lines(odd, ["k"], "r").orderBy(F.col("k").asc_nulls_first()).collect()] == ['it\'s,a.b,"q""q"', '1,"x\ny",2', ",,", ",,", ",,"]

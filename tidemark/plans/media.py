@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import moments
+from tidemark.operators import export, moments
 from tidemark.plans.content import read
 from tidemark.sources import dash
 
@@ -63,3 +63,21 @@ def src16(spark, d):
     spec = F.concat(F.lit("https://i.test/sb/"), "id", F.lit("/$L/$N.jpg|48#27#100#10#10#0#default#x|160#90#"), "n", F.lit("#3#2#"), every, F.lit("#M$M#s"), "id")
     frames = dash.storyboard(n.select("id", spec.alias("spec"), F.lit(60.0).alias("seconds")), "id", "spec", "seconds")
     return frames.select("id", "place", F.round("t", 6).alias("t"), "sheet", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Exports ----------------------------------------------------------------------------------------------------
+
+
+@query("snk4_ragged_csv", """WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN ['id', 'kind', 'x'] WHEN 'error' THEN ['id', 'note'] WHEN 'purchase' THEN ['id', 'deep', 'kind'] ELSE ['kind', 'two words'] END AS ks,
+ [event_id::VARCHAR, CASE WHEN event_type IN ('click', 'purchase') THEN '"' || event_type || ', all"' ELSE event_type END, (event_id % 7)::VARCHAR, CASE WHEN event_id % 2 = 0 THEN '''=SUM(A1)' ELSE '-5' END, '"{""a"":' || event_id || '}"', 'said'] AS vs FROM events),
+k AS (SELECT name FROM (SELECT event_id, unnest(ks) AS name, generate_subscripts(ks, 1) AS p FROM r) x GROUP BY name ORDER BY min(event_id * 10 + p)), h AS (SELECT list(name) AS hs FROM k)
+SELECT NULL::BIGINT AS event_id, array_to_string(hs, ',') AS line FROM h UNION ALL
+SELECT event_id, array_to_string(list_transform(hs, lambda n: CASE WHEN list_contains(ks, n) THEN vs[list_position(['id', 'kind', 'x', 'note', 'deep', 'two words'], n)] ELSE '' END), ',') FROM r, h""")
+def snk4(spark, d):
+    e = read(spark, d, "events")
+    i, t = F.col("event_id"), F.col("event_type")
+    named = F.concat(t, F.lit(", all"))
+    note = F.when(i % 2 == 0, "=SUM(A1)").otherwise("-5")
+    record = F.when(t == "click", F.to_json(F.struct(i.alias("id"), named.alias("kind"), (i % 7).alias("x")))).when(t == "error", F.to_json(F.struct(i.alias("id"), note.alias("note"))))
+    record = record.when(t == "purchase", F.to_json(F.struct(i.alias("id"), F.struct(i.alias("a")).alias("deep"), named.alias("kind")))).otherwise(F.to_json(F.struct(t.alias("kind"), F.lit("said").alias("two words"))))
+    return export.csv_lines(e.select("event_id", record.alias("r")), ["event_id"], "r")
