@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import addresses
 from tidemark.operators import export, moments
 from tidemark.plans.content import read
 from tidemark.sources import dash
@@ -81,3 +82,24 @@ def snk4(spark, d):
     record = F.when(t == "click", F.to_json(F.struct(i.alias("id"), named.alias("kind"), (i % 7).alias("x")))).when(t == "error", F.to_json(F.struct(i.alias("id"), note.alias("note"))))
     record = record.when(t == "purchase", F.to_json(F.struct(i.alias("id"), F.struct(i.alias("a")).alias("deep"), named.alias("kind")))).otherwise(F.to_json(F.struct(t.alias("kind"), F.lit("said").alias("two words"))))
     return export.csv_lines(e.select("event_id", record.alias("r")), ["event_id"], "r")
+
+
+# Addresses --------------------------------------------------------------------------------------------------
+
+
+@query("str8_own_address", """WITH d AS (SELECT doc_id, '203.0.113.' || (doc_id % 250) AS ip, substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ip END AS own, md5(t || ' Your IP: ' || CASE WHEN doc_id % 3 = 0 THEN '[own IP]' ELSE '10.0.0.1' END || '. Server 198.51.100.7; again ' || CASE WHEN doc_id % 3 = 0 THEN '[own IP]' ELSE ip END || '.') AS digest FROM d""")
+def str8(spark, d):
+    """Texts that name an address as the visitor's and another as a server's; what was labelled is masked throughout."""
+    ip = F.concat(F.lit("203.0.113."), (F.col("doc_id") % 250).cast("string"))
+    shown = F.when(F.col("doc_id") % 3 == 0, ip).otherwise("10.0.0.1")
+    text = F.concat(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(" Your IP: "), shown, F.lit(". Server 198.51.100.7; again "), ip, F.lit("."))
+    docs = read(spark, d, "documents").filter("text is not null").select("doc_id", text.alias("t")).withColumn("mine", addresses.labelled(F.col("t")))
+    return docs.select("doc_id", F.get("mine", F.lit(0)).alias("own"), F.md5(addresses.masked(F.col("t"), F.col("mine"))).alias("digest"))
+
+
+@query("mx11_masked_json", """SELECT event_id, '{"page_url": "http://192.0.2.1/x", "text": ["[own IP]", {"n": ' || event_id || ', "Curl": {"deep": "192.0.2.1"}, "said": "by [own IP], 192.0.2.10"}]}' AS record FROM events""")
+def mx11(spark, d):
+    record = F.concat(F.lit('{"page_url": "http://192.0.2.1/x", "text": ["192.0.2.1", {"n": '), F.col("event_id").cast("string"), F.lit(', "Curl": {"deep": "192.0.2.1"}, "said": "by 192.0.2.1, 192.0.2.10"}]}'))
+    rows = read(spark, d, "events").select("event_id", record.alias("record"), F.array(F.lit("192.0.2.1")).alias("own"))
+    return addresses.masked_json(rows, "event_id", "record", "own")
