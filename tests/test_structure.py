@@ -395,3 +395,15 @@ def test_every_referral_endpoint(spark, mark):
 
     df = spark.createDataFrame([(f"https://{mark}/abc",), ("https://plain.test/abc",)], "u string")
     assert [r[0] for r in df.select(urls.is_affiliate(F.col("u"))).collect()] == [True, False]
+
+
+def test_linked_data_beyond_the_bounds_is_told():
+    from tidemark.sources import html
+
+    blob = lambda x: f'<script type="application/ld+json">{x}</script>'
+    small = html.page_parts(blob('{"a": 1}'), None)
+    assert (small["json_ld"], small["json_ld_truncated"]) == (['{"a": 1}'], False)
+    many = html.page_parts(blob("[" + ",".join(['{"a": 1}'] * 25) + "]"), None)
+    assert (len(many["json_ld"]), many["json_ld_truncated"]) == (20, True)
+    large = html.page_parts(blob('{"a": "' + "x" * 300_000 + '"}') + blob('{"b": 2}'), None)
+    assert (large["json_ld"], large["json_ld_truncated"]) == (['{"b": 2}'], True)

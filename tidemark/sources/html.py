@@ -26,7 +26,7 @@ INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
 SPACE = re.compile(r"\s+")
 
 PARTS = (
-    "struct<title:string,text:string,main_text:string,markdown:string,lang:string,canonical:string,meta:map<string,string>,json_ld:array<string>,feeds:array<string>,"
+    "struct<title:string,text:string,main_text:string,markdown:string,lang:string,canonical:string,meta:map<string,string>,json_ld:array<string>,json_ld_truncated:boolean,feeds:array<string>,"
     "links:array<struct<url:string,text:string,nofollow:boolean>>,media:array<struct<src:string,alt:string>>,headings:array<struct<level:int,text:string>>,"
     "tables:array<struct<caption:string,header:array<string>,rows:array<array<string>>>>,paragraphs:int,blocks:array<struct<text:string,linked:double>>>"
 )
@@ -76,7 +76,7 @@ class _Table:
         return {"caption": self.caption, "header": [c[0] for c in columns], "rows": [list(r) for r in zip(*(c[1:] for c in columns), strict=True)]}
 
 
-#: Bounds of what is read of a page's linked data.
+#: Bounds of what is read of a page's linked data; ``json_ld_truncated`` says that there was more.
 LD_BLOBS, LD_BYTES = 20, 256 * 1024
 
 
@@ -99,7 +99,7 @@ def _ld_items(blob: str) -> list[str]:
             todo = [x["@graph"], *([beside] if beside else []), *todo]
         elif isinstance(x, dict):
             out.append(json.dumps(x, ensure_ascii=False))
-    return out[:LD_BLOBS]
+    return out
 
 
 class _Page(HTMLParser):
@@ -114,7 +114,7 @@ class _Page(HTMLParser):
         self.anchor = self.heading = self.cell = self.ld = self.caption = None
         self.open_tables: list[_Table] = []
         self.blocks, self.block, self.linked = [], [], 0
-        self.in_title = False
+        self.in_title = self.ld_cut = False
 
     def _url(self, href: str | None) -> str | None:
         href = (href or "").strip()
@@ -239,7 +239,9 @@ class _Page(HTMLParser):
                 if data:
                     self.tables.append(data)
             if t == "script" and self.ld is not None:
-                self.json_ld += _ld_items("".join(self.ld))
+                blob = "".join(self.ld)
+                self.json_ld += _ld_items(blob)
+                self.ld_cut |= len(blob) > LD_BYTES or len(self.json_ld) > LD_BLOBS
                 self.ld = None
             if t in BLOCK:
                 self._break()
@@ -279,7 +281,7 @@ def page_parts(html: str | None, url: str | None) -> dict:
     p._end_block()
     title = SPACE.sub(" ", p.title or "").strip() or None
     return {
-        "title": title, "text": _tidy(p.text), "main_text": _tidy(p.main), "markdown": _tidy(p.md), "lang": p.lang, "canonical": p.canonical, "meta": p.meta, "json_ld": p.json_ld[:LD_BLOBS],
+        "title": title, "text": _tidy(p.text), "main_text": _tidy(p.main), "markdown": _tidy(p.md), "lang": p.lang, "canonical": p.canonical, "meta": p.meta, "json_ld": p.json_ld[:LD_BLOBS], "json_ld_truncated": p.ld_cut,
         "feeds": p.feeds, "links": [dict(zip(("url", "text", "nofollow"), x, strict=True)) for x in p.links], "media": [dict(zip(("src", "alt"), x, strict=True)) for x in p.media],
         "headings": [dict(zip(("level", "text"), x, strict=True)) for x in p.headings], "tables": p.tables, "paragraphs": p.paragraphs,
         "blocks": [dict(zip(("text", "linked"), x, strict=True)) for x in p.blocks],
