@@ -21,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame written and read back: computed once, short lineage, survives lost executors."""
+    """The frame written and read back: computed once, short lineage, survives lost executors.
+
+    Joins with it are merges: its size on disk, packed by column, says little of its rows, and Spark would collect
+    millions of them on the driver to broadcast them.
+    """
     path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
