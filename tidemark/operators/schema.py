@@ -118,7 +118,7 @@ def texts_of(nodes: DataFrame, elements: DataFrame, out: str = "said") -> DataFr
     texts = nodes.filter("tag is null").select("id", "enter", "text")
     inner = holders(elements.select("id", "enter", "leave").distinct(), texts)
     parts = F.array_sort(F.collect_list(F.struct("enter", "text")))
-    return inner.groupBy("id", "at").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias(out)).withColumnRenamed("at", "enter")
+    return inner.groupBy("id", "at").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias(out)).withColumnRenamed("at", "enter").hint("merge")
 
 
 def collapsed(x: Column) -> Column:
@@ -143,7 +143,7 @@ def markup_of(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     pieces = pieces.join(shut.withColumn("_own", F.lit(True)).distinct(), ["id", "enter"], "left").filter("_own is null").drop("_own")
     inner = holders(elements.select("id", "enter", "leave").distinct(), pieces)
     parts = F.array_sort(F.collect_list(F.struct("enter", "text")))
-    return inner.groupBy("id", "at").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("html")).withColumnRenamed("at", "enter")
+    return inner.groupBy("id", "at").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("html")).withColumnRenamed("at", "enter").hint("merge")
 
 
 # Extraction -------------------------------------------------------------------------------------------------
@@ -358,7 +358,7 @@ def prints(nodes: DataFrame) -> DataFrame:
     tags = own.select("id", F.col("enter").alias("up1"), F.col("tag").alias("t"))
     line = own.select("id", "enter", F.posexplode("up").alias("k", "up1"))
     named = line.join(tags, ["id", "up1"]).groupBy("id", "enter").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("l"))
-    named = named.select("id", "enter", F.transform("l", lambda x: x["t"]).alias("above"))
+    named = named.select("id", "enter", F.transform("l", lambda x: x["t"]).alias("above")).hint("merge")  # as many rows as elements: not for the driver
     out = own.join(texts, ["id", "enter"], "left").join(named, ["id", "enter"], "left")
     classes = F.array_sort(F.array_distinct(F.filter(_classes(), lambda c: c != "")))
     keys = F.array_sort(F.filter(F.map_keys("attrs"), lambda k: ~k.isin("id", "class")))
@@ -411,8 +411,8 @@ def heal(remembered: DataFrame, nodes: DataFrame) -> DataFrame:
     left = old.select("a.id", "a.slot", F.explode(F.array_distinct(_features("a"))).alias("f"))
     right = new.select("b.id", "b.enter", F.explode(F.array_distinct(_features("b"))).alias("f"))
     pairs = left.join(right, ["id", "f"]).select("id", "slot", "enter").distinct()
-    full = pairs.join(remembered.select("id", "slot", F.struct(*[c for c in remembered.columns if c not in ("id", "slot", "enter")]).alias("a")), ["id", "slot"])
-    full = full.join(seen.select("id", "enter", F.struct(*[c for c in seen.columns if c not in ("id", "enter")]).alias("b")), ["id", "enter"])
+    full = pairs.hint("merge").join(remembered.select("id", "slot", F.struct(*[c for c in remembered.columns if c not in ("id", "slot", "enter")]).alias("a")), ["id", "slot"])
+    full = full.hint("merge").join(seen.select("id", "enter", F.struct(*[c for c in seen.columns if c not in ("id", "enter")]).alias("b")), ["id", "enter"])
     scored = full.select("id", "slot", "enter", similarity("a", "b").alias("score"), F.coalesce(F.concat(F.lit("#"), F.col("b.name")), _selector(F.col("b.tag"), F.col("b.classes"))).alias("shape"))
     per = Window.partitionBy("id", "slot")
     best = F.first("shape").over(per.orderBy(F.desc("score"), "enter"))
