@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # What pages write before a visitor's own address, how near, and what stands for it.
 LABELS = [
@@ -16,6 +18,7 @@ MASK = "[own IP]"
 NO_SLASH, NO_QUOTE = "\ufdd0", "\ufdd1"
 #: An address is not part of a longer run; a full stop behind it ends a sentence.
 V4 = r"(?<![0-9.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
+_CUT, _BLANK = re.compile(r'"[^"]*"|[\[\]{},:]|[^"\[\]{},:]+'), re.compile(r"[ \t\n\x0b\f\r]+")
 V6 = r"(?<![0-9a-fA-F:])[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7}"
 
 
@@ -82,28 +85,48 @@ def masked(text: Column, own: Column) -> Column:
     return F.array_join(F.transform(pieces(text), shown), "")
 
 
+def json_pieces(text: str, urls: bool) -> list[tuple[str, bool]]:
+    """A JSON text cut into pieces, in order, and whether each is a string to mask: a value that no name shields."""
+    cut, levels, depth = _CUT.findall(text), [], 0
+    for t in cut:
+        depth += t in ("[", "{")
+        levels.append(depth)  # a closing mark belongs to what it closes
+        depth -= t in ("]", "}")
+    ends, after, until = {}, None, [None] * len(cut)
+    names = [False] * len(cut)
+    for p in range(len(cut) - 1, -1, -1):
+        t = cut[p]
+        names[p], until[p] = after == ":", ends.get(levels[p], -1)
+        if t in (",", "]", "}"):
+            ends[levels[p]] = p
+        after = after if _BLANK.fullmatch(t) else t
+    out, said, shielded = [], "", -1
+    for p, t in enumerate(cut):
+        if t == ":" and not urls and said.lower().endswith('url"'):
+            shielded = max(shielded, until[p])
+        mask = t.startswith('"') and not names[p] and shielded < p
+        if out and not mask and not out[-1][1]:
+            out[-1][0].append(t)
+        else:
+            out.append(([t], mask))
+        said = said if _BLANK.fullmatch(t) else t
+    return [("".join(ts), mask) for ts, mask in out]
+
+
 def masked_json(rows: DataFrame, key: str, value: str, own: str, urls: bool = False) -> DataFrame:
     """(key, value): JSON texts with the addresses in ``own`` (an array of keys, by row) masked in every string that is a value, but not in
-    what stands under a name that ends in ``url``, unless ``urls``. ``key`` is unique.
+    what stands under a name that ends in ``url``, unless ``urls``.
 
     The text is cut into strings, marks and what stands between. A name shields until the next comma or closing mark of its
-    own level, and levels are running sums, so nothing recurses and a text takes time in proportion.
+    own level, so nothing recurses and a text takes time in proportion. A row stays in its task: nothing is shuffled.
     """
+
+    @F.pandas_udf("array<struct<t:string,m:boolean>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else [{"t": t, "m": m} for t, m in json_pieces(x, urls)])
+
     # escapes become two noncharacters meanwhile, so that a string is what stands between two quotes
     plain = F.replace(F.replace(value, F.lit("\\\\"), F.lit(NO_SLASH)), F.lit('\\"'), F.lit(NO_QUOTE))
-    cut = F.regexp_extract_all(plain, F.lit(r'("[^"]*"|[\[\]{},:]|[^"\[\]{},:]+)'), F.lit(1))
-    t = rows.select(key, own, F.posexplode(cut).alias("_p", "_t"))
-    w = Window.partitionBy(key).orderBy("_p")
-    depth = F.sum(F.when(F.col("_t").isin("[", "{"), 1).when(F.col("_t").isin("]", "}"), -1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumn("_level", depth + F.when(F.col("_t").isin("]", "}"), 1).otherwise(0))  # a closing mark belongs to what it closes
-    said = F.last(F.when(~F.col("_t").rlike(r"^\s+$"), F.col("_t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy(key, "_level").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
-    end = F.last(F.when(F.col("_t").isin(",", "]", "}"), F.col("_p")), ignorenulls=True).over(back)
-    shields = (F.col("_t") == ":") & F.lower(F.coalesce(said, F.lit(""))).endswith('url"') & F.lit(not urls)
-    after = F.last(F.when(~F.col("_t").rlike(r"^\s+$"), F.col("_t")), ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("_said", shields).withColumn("_end", end).withColumn("_name", F.coalesce(after == ":", F.lit(False)))
-    until = F.max(F.when(F.col("_said"), F.col("_end"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hidden = F.when(F.col("_t").startswith('"') & ~F.col("_name") & (F.coalesce("_until", F.lit(-1)) < F.col("_p")), masked(F.col("_t"), F.col(own))).otherwise(F.col("_t"))
-    done = t.withColumn("_until", until).select(key, F.struct("_p", hidden.alias("_t")).alias("_x")).groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias("_l"))
-    whole = F.array_join(F.transform("_l", lambda x: x["_t"]), "")
+    done = rows.select(key, own, cut(plain).alias("_l")).filter("size(_l) > 0")
+    whole = F.array_join(F.transform("_l", lambda x: F.when(x["m"], masked(x["t"], F.col(own))).otherwise(x["t"])), "")
     return done.select(key, F.replace(F.replace(whole, F.lit(NO_QUOTE), F.lit('\\"')), F.lit(NO_SLASH), F.lit("\\\\")).alias(value))
