@@ -59,14 +59,19 @@ def _compound(text: str) -> Column:
 
 def sibling_places(nodes: DataFrame) -> DataFrame:
     """Element rows with their place among siblings, from either end, and among those of their tag."""
-    w = Window.partitionBy("id", "parent")
-    return nodes.filter("tag is not null").withColumns({
+    return _placed(nodes.filter("tag is not null"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """As :func:`sibling_places`; text rows stay and count for nothing."""
+    w = Window.partitionBy("id", "parent", F.col("tag").isNull())
+    return rows.withColumns({
         "_nth": F.row_number().over(w.orderBy("enter")), "_left": F.row_number().over(w.orderBy(F.desc("enter"))), "_kind_nth": F.row_number().over(Window.partitionBy("id", "parent", "tag").orderBy("enter")),
     })
 
 
 def marked(elements: DataFrame, selector: str, out: str) -> DataFrame:
-    """``elements`` with ``out``: whether the selector matches."""
+    """``elements`` with ``out``: whether the selector matches. Text rows among them match nothing and are no siblings."""
     done = []
     for k, one in enumerate(re.split(f",{_OUT}", selector)):
         steps = _STEP.split(one.strip())
@@ -74,7 +79,7 @@ def marked(elements: DataFrame, selector: str, out: str) -> DataFrame:
         elements = elements.withColumn(name, _compound(steps[0]))
         for how, step in zip(steps[1::2], steps[2::2], strict=True):
             before = Window.unboundedPreceding, -1
-            mates = Window.partitionBy("id", "parent").orderBy("enter")
+            mates = Window.partitionBy("id", "parent", F.col("tag").isNull()).orderBy("enter")
             if how is None:
                 ok = F.coalesce(F.max(F.when(F.col(name), F.col("leave"))).over(in_page("enter").rowsBetween(*before)), F.lit(-1)) > F.col("enter")
             elif how == ">":  # the parent's flag reaches its children with them
@@ -182,77 +187,138 @@ def joined_url(base: Column, link: Column) -> Column:
 
 
 def _value(f: Field) -> Column:
-    """What a matched element gives: null where the pattern doesn't match or the attribute is missing."""
-    raw = {"attribute": F.col("attrs")[f.attribute or ""], "html": F.coalesce("html", F.lit(""))}.get(f.kind, collapsed(F.col("said")))
+    """What a matched element ``x`` gives: null where the pattern doesn't match or the attribute is missing."""
+    raw = F.col("x.attrs")[f.attribute or ""] if f.kind == "attribute" else F.coalesce("x.html", F.lit("")) if f.kind == "html" else collapsed(F.col("x.said"))
     if f.absolute:
-        raw = joined_url(F.col("url"), raw)
+        raw = joined_url(F.col("x.url"), raw)
     if f.regex:
         group = 1 if re.compile(f.regex).groups else 0
         raw = F.when(raw.rlike(f.regex), F.regexp_extract(raw, f.regex, group))
     return F.trim(raw)
 
 
+def _selectors(fields: list[Field], name: str) -> list[tuple[str, str]]:
+    """(flag, selector) of the fields that have one, nested ones too. The flag of field k of ``name`` is ``name`` with ``nk``."""
+    return [x for k, f in enumerate(fields) for x in [*([(f"{name}n{k}", f.selector)] if f.selector else []), *_selectors(f.fields, f"{name}n{k}")]]
+
+
+def _asked(fields: list[Field], name: str, base: str, *kinds: str) -> list[str]:
+    """The flags of the elements that fields of these kinds read, ``base`` being the record's own."""
+    out = []
+    for k, f in enumerate(fields):
+        flag = f"{name}n{k}" if f.selector else base
+        out += ([flag] if f.kind in kinds else []) + _asked(f.fields, f"{name}n{k}", flag, *kinds)
+    return list(dict.fromkeys(out))
+
+
+def _attributes(fields: list[Field]) -> list[str]:
+    return [x for f in fields for x in [*([f.attribute or ""] if f.kind == "attribute" else []), *_attributes(f.fields)]]
+
+
+def _any(flags: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, map(F.col, flags), F.lit(False))
+
+
 def extract(nodes: DataFrame, base: str, fields: list[Field], urls: DataFrame | None = None) -> DataFrame:
     """(id, item, a column for each field): one row for each match of the base selector, in page order.
 
     Text, html, attribute and number take the first match inside the record, else the default; list takes all; nested gives
     an array of records of its own fields; a field without a selector reads the record itself. ``urls`` (id, url) resolves
     ``absolute`` links.
+
+    The node rows are shuffled once, by page. Selectors, texts and records are windows and groups within pages; what an
+    element gets (its text, its records) is gathered in a group that the element's own row heads, so nothing is joined.
+    """
+    asked = _selectors(fields, "_f")
+    rows = nodes.select("id", "enter", "leave", "parent", "tag", "attrs", "text").repartition("id")
+    if any(":" in re.sub(r"\[[^\]]*\]", "", x) for x in [base, *[x for _, x in asked]]):
+        rows = _placed(rows)
+    rows = marked(rows, base, "_base")
+    for flag, selector in asked:
+        rows = marked(rows, selector, flag)
+    flags = ["_base", *[flag for flag, _ in asked]]
+    held = F.max(F.when(F.col("_base"), F.col("leave"))).over(in_page("enter").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_held", held).filter((F.col("_held") > F.col("enter")) & (F.col("tag").isNull() | _any(flags)))
+    found = _spoken(rows, flags, _any(_asked(fields, "_f", "_base", "text", "number", "list")), _attributes(fields))
+    coded = _asked(fields, "_f", "_base", "html")
+    if coded:
+        found = found.join(markup_of(nodes, found.filter(_any(coded)).select("id", "enter", "leave")), ["id", "enter"], "left")
+    if urls is not None:
+        found = found.join(urls.select("id", "url"), "id", "left")
+    else:
+        found = found.withColumn("url", F.lit(None).cast("string"))
+    records = _records(found, "_base", "_f", fields, [])
+    return records.withColumn("item", F.row_number().over(in_page("enter")) - 1).select("id", "item", *[F.col(f"_f_r.{f.name}").alias(f.name) for f in fields])
+
+
+def _spoken(rows: DataFrame, flags: list[str], spoken: Column, wanted: list[str]) -> DataFrame:
+    """The element rows with ``said``, the text below those that are ``spoken``, in order and not yet collapsed.
+
+    As in :func:`holders`, a text lies in as many of them as were opened less closed before it.
     """
-    elements = written(marked(sibling_places(nodes), base, "_base").select("id", "enter", "leave", "parent", "tag", "attrs", "_nth", "_left", "_kind_nth", "_base"), "schema-elements")
-    bases = elements.filter("_base").select("id", "enter", "leave", "attrs")
-    rows = _records(nodes, elements, bases, fields, urls)
-    item = F.row_number().over(in_page("enter")) - 1
-    return rows.withColumn("item", item).select("id", "item", *[f.name for f in fields])
+    rows = rows.withColumn("attrs", F.map_filter("attrs", lambda k, _: k.isin(*wanted)))
+    at, text, own = F.col("enter"), F.col("tag").isNull(), F.struct("leave", "attrs", *flags)
+    opens, shuts = F.struct(at.alias("pos"), F.lit(1).alias("turn")), F.struct(F.col("leave").alias("pos"), F.lit(-1).alias("turn"))
+    here = F.struct(at.alias("pos"), F.when(text, 0).otherwise(2).alias("turn"))
+    tour = rows.select("id", F.explode(F.when(spoken, F.array(opens, shuts)).otherwise(F.array(here))).alias("e"), F.when(~text, own).alias("head"), "text").select("id", "e.*", "head", "text")
+    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tour = tour.withColumn("open", F.sum(F.when(F.abs("turn") == 1, F.col("turn")).otherwise(0)).over(w)).filter("turn > 0 or turn = 0 and open > 0")
+    level = F.when(F.col("turn") == 0, F.sequence(F.lit(1).cast("long"), F.col("open"))).otherwise(F.array(F.when(F.col("turn") == 1, F.col("open")).otherwise(0)))
+    tour = tour.withColumn("level", F.explode(level))
+    of_level = Window.partitionBy("id", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tour = tour.withColumn("at", F.last(F.when(F.col("turn") > 0, F.col("pos")), ignorenulls=True).over(of_level))
+    parts = F.array_sort(F.collect_list(F.when(F.col("turn") == 0, F.struct("pos", "text"))))
+    per = tour.groupBy("id", "at").agg(F.first(F.when(F.col("turn") > 0, F.col("head")), ignorenulls=True).alias("head"), F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("said"))
+    return per.select("id", F.col("at").alias("enter"), "head.*", "said")
 
 
-def _records(nodes: DataFrame, elements: DataFrame, bases: DataFrame, fields: list[Field], urls: DataFrame | None) -> DataFrame:
-    flags = elements
-    asked = {}
+def _records(found: DataFrame, base: str, name: str, fields: list[Field], outer: list[str]) -> DataFrame:
+    """A struct of the fields, ``name`` with ``_r``, for the rows where ``base`` is set; beside it the rows that have one of
+    the flags ``outer`` go on."""
     for k, f in enumerate(fields):
-        if f.selector:
-            flags, asked[k] = marked(flags, f.selector, f"_f{k}"), f"_f{k}"
-    hits = holders(bases, flags.select("id", "enter", "leave", "attrs", F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(F.col(c), k) for k, c in asked.items()])).alias("ks")).filter("size(ks) > 0"))
-    hits = hits.withColumn("k", F.explode("ks")).drop("ks")
-    own = [k for k, f in enumerate(fields) if not f.selector]
-    if own:
-        mine = bases.select("id", F.col("enter").alias("at"), "enter", "leave", "attrs", F.explode(F.array(*map(F.lit, own))).alias("k"))
-        hits = hits.unionByName(mine)
-    hits = written(hits, "schema-hits")
-    spoken = [k for k, f in enumerate(fields) if f.kind in ("text", "number", "list")]
-    said = texts_of(nodes, hits.filter(F.col("k").isin(spoken))) if spoken else None
-    full = hits.join(said, ["id", "enter"], "left") if said is not None else hits.withColumn("said", F.lit(None).cast("string"))
-    coded = [k for k, f in enumerate(fields) if f.kind == "html"]
-    full = full.join(markup_of(nodes, hits.filter(F.col("k").isin(coded))), ["id", "enter"], "left") if coded else full.withColumn("html", F.lit(None).cast("string"))
-    full = full.join(urls.select("id", "url"), "id", "left") if urls is not None else full.withColumn("url", F.lit(None).cast("string"))
+        if f.kind == "nested":
+            inner = f"{name}n{k}" if f.selector else base
+            found = _records(found, inner, f"{name}n{k}", f.fields, [*outer, base, *[f"{name}n{j}" for j, g in enumerate(fields) if g.selector]])
+    chosen = [f"{name}n{k}" for k, f in enumerate(fields) if f.selector]
+
+    def event(pos: str, turn: int) -> Column:
+        return F.struct(F.col(pos).alias("pos"), F.lit(turn).alias("turn"))
+
+    # a base that is a hit too does not hold itself: hits come first
+    head = F.when(F.col(base), event("enter", 1)).when(_any(outer), event("enter", 2))
+    events = F.array_compact(F.array(F.when(_any(chosen), event("enter", 0)), head, F.when(F.col(base), event("leave", -1))))
+    tour = found.select("id", F.explode(events).alias("e"), F.struct(*[c for c in found.columns if c != "id"]).alias("x")).select("id", "e.*", F.when(F.col("e.turn") >= 0, F.col("x")).alias("x"))
+    w = Window.partitionBy("id").orderBy("pos", F.abs("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tour = tour.withColumn("open", F.sum(F.when(F.abs("turn") == 1, F.col("turn")).otherwise(0)).over(w)).filter("turn > 0 or turn = 0 and open > 0")
+    level = F.when(F.col("turn") == 0, F.sequence(F.lit(1).cast("long"), F.col("open"))).otherwise(F.array(F.when(F.col("turn") == 1, F.col("open")).otherwise(0)))
+    tour = tour.withColumn("level", F.explode(level))
+    of_level = Window.partitionBy("id", "level").orderBy("pos", F.abs("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tour = tour.withColumn("at", F.last(F.when(F.col("turn") > 0, F.col("pos")), ignorenulls=True).over(of_level))
     picks = []
     for k, f in enumerate(fields):
-        here = F.col("k") == k
+        here = (F.col("turn") == 0) & F.col(f"x.{name}n{k}") if f.selector else F.col("turn") == 1
         if f.kind == "exists":
-            picks.append(F.max(here).alias(f.name))
-        elif f.kind == "list":
-            every = F.array_sort(F.collect_list(F.when(here, F.struct("enter", _value(f).alias("v")))))
-            picks.append(F.transform(every, lambda x: x["v"]).alias(f.name))
-        elif f.kind != "nested":
-            picks.append(F.min_by(F.struct(_value(f).alias("v")), F.when(here, F.col("enter"))).getField("v").alias(f.name))
-    per = full.groupBy("id", "at").agg(*picks, F.count(F.lit(1)).alias("_n"))
-    out = bases.select("id", "enter").join(per.withColumnRenamed("at", "enter"), ["id", "enter"], "left")
+            one = F.max(here)
+        elif f.kind in ("list", "nested"):
+            v = _value(f) if f.kind == "list" else F.col(f"x.{name}n{k}_r")
+            one = F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("pos", v.alias("v")))), lambda a, b: a["pos"] - b["pos"]), lambda x: x["v"])
+        else:
+            one = F.min_by(F.when(here, F.struct(_value(f).alias("v"))), F.when(here, F.col("pos"))).getField("v")
+        picks.append(one.alias(f"_v{k}"))
+    heads = [F.first(F.when(F.col("turn") > 0, F.col("x")), ignorenulls=True).alias("head")] if outer else []
+    per = tour.select("id", "at", "pos", "turn", "x").groupBy("id", "at").agg(*heads, *picks)
+    made = []
     for k, f in enumerate(fields):
+        v = F.col(f"_v{k}")
         if f.kind == "nested":
-            inner = hits.filter(F.col("k") == k)
-            made = _records(nodes, elements, inner.select("id", "enter", "leave", "attrs").dropDuplicates(["id", "enter"]), f.fields, urls)
-            names = [s.name for s in f.fields]
-            listed = inner.select("id", "at", "enter").join(made, ["id", "enter"]).groupBy("id", "at").agg(F.array_sort(F.collect_list(F.struct("enter", F.struct(*names).alias("r")))).alias("l"))
-            out = out.join(listed.select("id", F.col("at").alias("enter"), F.transform("l", lambda x: x["r"]).alias(f.name)), ["id", "enter"], "left")
-            out = out.withColumn(f.name, F.coalesce(f.name, F.array()) if f.selector else F.get(f.name, F.lit(0)))
-        elif f.kind == "list":
-            out = out.withColumn(f.name, F.coalesce(f.name, F.array().cast("array<string>")))
+            v = v if f.selector else F.get(v, F.lit(0))
         elif f.kind == "exists":
-            out = out.withColumn(f.name, F.coalesce(f.name, F.lit(False)))
-        else:
-            v = T.parse_number(F.col(f.name)) if f.kind == "number" else F.col(f.name)
-            out = out.withColumn(f.name, v if f.default is None else F.coalesce(v, F.lit(f.default)))
-    return out
+            v = F.coalesce(v, F.lit(False))
+        elif f.kind != "list":
+            v = T.parse_number(v) if f.kind == "number" else v
+            v = v if f.default is None else F.coalesce(v, F.lit(f.default))
+        made.append(v.alias(f.name))
+    return per.select("id", *(["head.*"] if outer else [F.col("at").alias("enter")]), F.struct(*made).alias(f"{name}_r"))
 
 
 # Induction --------------------------------------------------------------------------------------------------
