@@ -2,6 +2,7 @@
 
 import re
 
+from tidemark import catalog
 from tidemark.operators import schema
 from tidemark.sources import nodes
 
@@ -20,3 +21,8 @@ def test_records_move_the_nodes_once(spark):
     assert len(re.findall("Exchange", plan)) == 1 and "Join" not in plan and "Scan parquet" not in plan
     rows = [(r.item, r.id, r.state, [tuple(x) for x in r.lines]) for r in got.orderBy("item").collect()]
     assert rows == [(0, None, "a", [(1.0, False, "1"), (2.0, True, "2 x")]), (1, "q", None, [])]
+
+
+def test_page_take_shuffles_nothing(spark):
+    plan = plan_of(catalog.QUERIES["bd3_page_take"](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in plan and "Exchange" not in plan and "FlatMapGroups" not in plan

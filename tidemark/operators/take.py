@@ -1,6 +1,6 @@
 """Texts handed out in pages of bounded tokens, cut at blocks, with cursors that resume anywhere.
 
-Blocks, their costs and heading paths are rows that Spark makes; a text's rows then meet in one task, a bounded group, where
+Blocks, their costs and heading paths are rows that Spark makes; a text's blocks then meet in one row, a bounded group, where
 each page is found by a search in the running costs. A page looks at the blocks that it returns and at no others.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ WIDE = 0x2E80
 
 def tokens(s: str) -> int:
     """As :func:`tidemark.functions.text.token_estimate`."""
-    wide = sum(ord(c) > WIDE for c in s)
+    wide = 0 if s.isascii() else sum(ord(c) > WIDE for c in s)
     return -(-(len(s) - wide) // 4) + wide + wide // 4
 
 
@@ -126,6 +125,9 @@ class Text:
 
 PAGE = "page int, block int, offset int, content string, tokens bigint, next_block int, next_offset int, blocks int, stale boolean"
 
+#: Characters of pages that make a batch.
+BATCH = 4 << 20
+
 
 def take(blocks: DataFrame, key: str, budget: int, overlap: int = 0, cursors: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Pages of texts given as blocks (key, block, text, path, digest): a row a page, ``next_block`` null after the last.
@@ -133,26 +135,53 @@ def take(blocks: DataFrame, key: str, budget: int, overlap: int = 0, cursors: Da
     ``cursors`` (key, block, offset, digest) says where a text goes on; one whose digest is no longer the text's starts
     over and is called stale. Without, all texts start at their beginning. ``most``: so many pages of each.
     """
-    kind = blocks.schema[key].dataType.simpleString()
-    start = blocks.select(key).distinct().select(key, F.lit(0).alias("_at"), F.lit(0).alias("_off"), F.lit(None).cast("string").alias("_was")) if cursors is None else (
-        cursors.select(key, F.col("block").cast("int").alias("_at"), F.col("offset").cast("int").alias("_off"), F.col("digest").cast("string").alias("_was"))
-    )
-    rows = blocks.select(key, "block", "text", "path", F.col("digest").cast("string").alias("digest"), T.token_estimate(F.col("text")).alias("_cost")).join(start, key)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        first = pdf.iloc[0]
-        stale = first["_was"] is not None and first["_was"] != first["digest"]
-        at, off = (0, 0) if stale else (int(first["_at"]), int(first["_off"]))
-        text, out = Text(pdf["text"].tolist(), pdf["_cost"].tolist(), pdf["path"].fillna("").tolist()), []
-        for k, (b, o, page, nb, no, got) in enumerate(text.pages(at, off, budget, overlap)):
-            over = nb >= len(text.blocks)
-            out.append((first[key], k, b, o, page, tokens(page), None if over else nb, None if over else no, got, stale))
-            if most and k + 1 >= most:
-                break
-        return pd.DataFrame(out, columns=[key, *[c.split()[0] for c in PAGE.split(", ")]]).astype({"next_block": "Int32", "next_offset": "Int32"})
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {PAGE}")
+    one = F.struct("block", "text", "path", F.col("digest").cast("string").alias("digest"))
+    per = blocks.select(key, one.alias("b")).groupBy(key).agg(F.array_sort(F.collect_list("b"), lambda x, y: x["block"] - y["block"]).alias("b"))
+    texts = per.select(key, F.transform("b", lambda x: x["text"]).alias("texts"), F.transform("b", lambda x: x["path"]).alias("paths"), F.get("b", F.lit(0))["digest"].alias("digest"))
+    return take_listed(texts, key, budget, overlap, cursors, most)
+
+
+def take_listed(texts: DataFrame, key: str, budget: int, overlap: int = 0, cursors: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """As :func:`take`, of texts as rows (key, texts and paths: an entry a block, digest). Nothing is shuffled for them;
+    ``paths`` may be null."""
+    kind = texts.schema[key].dataType.simpleString()
+    cost = F.transform("texts", T.token_estimate)
+    rows = texts.filter(F.size("texts") > 0).select(key, "texts", cost.alias("costs"), "paths", F.col("digest").cast("string").alias("digest"))
+    if cursors is None:
+        rows = rows.withColumns({"_at": F.lit(0), "_off": F.lit(0), "_was": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(cursors.select(key, F.col("block").cast("int").alias("_at"), F.col("offset").cast("int").alias("_off"), F.col("digest").cast("string").alias("_was")), key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        names = [key, *[c.split()[0] for c in PAGE.split(", ")]]
+
+        def made(batch, out):
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(columns[1:], types, strict=True)]], names=names)
+
+        for batch in batches:
+            out, size = [], 0
+            for row in zip(*batch.columns, strict=True):
+                i, texts, costs, paths, digest, at, off, was = (x.as_py() for x in row)
+                stale = was is not None and was != digest
+                at, off = (0, 0) if stale else (at, off)
+                text = Text(texts, costs, [p or "" for p in paths] if paths else [""] * len(texts))
+                for k, (b, o, page, nb, no, got) in enumerate(text.pages(at, off, budget, overlap)):
+                    over = nb >= len(text.blocks)
+                    out.append((i, k, b, o, page, tokens(page), None if over else nb, None if over else no, got, stale))
+                    size += len(page) + 100
+                    if size > BATCH:
+                        yield made(batch, out)
+                        out, size = [], 0
+                    if most and k + 1 >= most:
+                        break
+            if out:
+                yield made(batch, out)
+
+    return rows.mapInArrow(run, f"{key} {kind}, {PAGE}")
 
 
 def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
