@@ -1,10 +1,12 @@
 """What the third review's projections were about: how often queries move their rows, and what a row costs."""
 
+import random
 import re
 
 from tidemark import catalog
 from tidemark.operators import schema
-from tidemark.sources import nodes
+from tidemark.plans import further
+from tidemark.sources import html, nodes
 
 
 def plan_of(df) -> str:
@@ -26,3 +28,36 @@ def test_records_move_the_nodes_once(spark):
 def test_page_take_shuffles_nothing(spark):
     plan = plan_of(catalog.QUERIES["bd3_page_take"](spark, "/root/testdata/sf0.001"))
     assert "MapInArrow" in plan and "Exchange" not in plan and "FlatMapGroups" not in plan
+
+
+ODD = ["<table>", "</table>", "<tr>", "<tr hidden>", "<td>", "</td>", "<td>a b</td>", "<td> &amp; &lt</td>", "<th colspan=2>", '<th colspan="2">h</th>', '<td rowspan="3">r</td>', "<td hidden>n</td>", "<caption>", "</caption>", "<thead>", "</thead>", "<tbody>", "<ul>", "<li>", "<p>", "x", " ", "<b>y</b>",
+       "<br/>", "<script>a<b></script>", "<style>p{}</style>", "<title>t &amp</title>", "<head>", "</head>", "<!-- c -->", "<!DOCTYPE html>", "<A HREF='q'>L</A>", "1 < 2", "<td>z</TD >", '<div style="display: none">', "</div>", "<template>", "</template>"]
+
+
+def test_plain_markup_reads_as_the_parser_reads_it(monkeypatch):
+    """Pages drawn from pieces, regular and not: the same nodes, parts and tables with the short cut and without."""
+    pages = []
+    for seed in range(1500):
+        draw = random.Random(seed)
+        few = draw.sample(ODD, 12)
+        pages.append("<table>" * (seed % 2) + "".join(draw.choice(few) for _ in range(30)))
+    fast = [(nodes.page_nodes(p), html.page_parts(p, "http://a.test/"), html.page_tables(p)) for p in pages]
+    taken = []
+
+    def whole(parser, markup):
+        taken.append(markup)
+        parser.feed(markup)
+        parser.close()
+
+    monkeypatch.setattr(nodes, "fed", whole)
+    monkeypatch.setattr(html, "fed", whole)
+    for p, (found, parts, tables) in zip(pages, fast, strict=True):
+        assert found == nodes.page_nodes(p) and parts == html.page_parts(p, "http://a.test/") and tables["tables"] == parts["tables"], p
+    assert len(taken) == 2 * len(pages) and sum(bool(f[1]["tables"]) for f in fast) > 100
+
+
+def test_order_tables_read_only_tables(spark):
+    plan = plan_of(catalog.QUERIES["hx14_table_records"](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in plan
+    kind = further.order_pages(spark, "/root/testdata/sf0.001").schema["parts"].dataType
+    assert kind.names == ["tables"]

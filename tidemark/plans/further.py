@@ -41,7 +41,7 @@ def order_pages(spark, d):
     opened = F.transform("lines", lambda h, i: F.concat(F.when(i == 0, '<tr><td rowspan="64">@</td>').otherwise("<tr>"), h))
     rows = rows.select("l_orderkey", F.array_join(opened, "").alias("rows"))
     page = F.concat(F.lit(head), F.replace("rows", F.lit("@"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))), F.lit("</tbody></table>"))
-    return html.parse_pages(rows.select("l_orderkey", F.lit("http://shop.test/").alias("url"), page.alias("html")), "l_orderkey")
+    return html.parse_pages(rows.select("l_orderkey", F.lit("http://shop.test/").alias("url"), page.alias("html")), "l_orderkey", only_tables=True)
 
 
 _LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber::varchar || '<' || l_linestatus || l_returnflag) AS n FROM lineitem)"
