@@ -73,7 +73,9 @@ SELECT doc_id, place::integer - 1 AS place, linked <= 0.333333 AND CASE WHEN was
 def hx8(spark, d):
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), (F.length(x) % 10 / 10).alias("linked")))
     judged = blocks.judged_blocks(read(spark, d, "documents").select("doc_id", lines.alias("b")), "doc_id", "b")
-    return judged.select("doc_id", F.posexplode("blocks").alias("place", "x")).select("doc_id", "place", F.col("x.content").alias("content"))
+    # outer, so that no filter on the blocks' number is inferred: it would be moved below them and judge them anew for each
+    each = judged.select("doc_id", F.posexplode_outer("blocks").alias("place", "x")).filter("place is not null")
+    return each.select("doc_id", "place", F.col("x.content").alias("content"))
 
 
 @query("hx9_main_text")
