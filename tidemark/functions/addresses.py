@@ -16,10 +16,11 @@ LABELS = [
 REACH = 48
 MASK = "[own IP]"
 NO_SLASH, NO_QUOTE = "\ufdd0", "\ufdd1"
-#: An address is not part of a longer run; a full stop behind it ends a sentence.
-V4 = r"(?<![0-9.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
+#: An address is not part of a longer run; a full stop behind it ends a sentence. What it begins with is looked for first, so
+#: that most signs of a text are passed over at one look.
+V4 = r"(?=\d)(?<![0-9.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 _CUT, _BLANK = re.compile(r'"[^"]*"|[\[\]{},:]|[^"\[\]{},:]+'), re.compile(r"[ \t\n\x0b\f\r]+")
-V6 = r"(?<![0-9a-fA-F:])[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7}"
+V6 = r"(?=[0-9a-fA-F]{0,4}+:)(?<![0-9a-fA-F:])[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7}"
 
 
 def pieces(text: Column) -> Column:
@@ -63,6 +64,11 @@ def _let(value: Column, body) -> Column:
 def labelled(text: Column) -> Column:
     """The public addresses, as keys in order, that a label stands before: within 48 characters and behind the address
     before it, so that a label counts for one address."""
+    return labelled_in(pieces(text))
+
+
+def labelled_in(cut: Column) -> Column:
+    """As :func:`labelled`, of the :func:`pieces` of a text."""
     def found(parts: Column) -> Column:
         def named(x: Column, i: Column) -> Column:
             # back to the last address; what only looks like one is text, of two characters at least
@@ -73,16 +79,21 @@ def labelled(text: Column) -> Column:
 
         return F.array_distinct(F.array_compact(F.transform(parts, named)))
 
-    return _let(F.transform(pieces(text), lambda p: F.struct(p["gap"].alias("gap"), p["found"].alias("found"), address_key(p["found"]).alias("key"))), found)
+    return _let(F.transform(cut, lambda p: F.struct(p["gap"].alias("gap"), p["found"].alias("found"), address_key(p["found"]).alias("key"))), found)
 
 
 def masked(text: Column, own: Column) -> Column:
     """The text with each address whose key is in ``own`` replaced."""
+    return masked_in(pieces(text), own)
+
+
+def masked_in(cut: Column, own: Column) -> Column:
+    """As :func:`masked`, of the :func:`pieces` of a text."""
     def shown(p: Column) -> Column:
         hide = F.coalesce(F.array_contains(own, address_key(p["found"])), F.lit(False))
         return F.concat(p["gap"], F.when(hide, MASK).otherwise(F.coalesce(p["found"], F.lit(""))))
 
-    return F.array_join(F.transform(pieces(text), shown), "")
+    return F.array_join(F.transform(cut, shown), "")
 
 
 def json_pieces(text: str, urls: bool) -> list[tuple[str, bool]]:

@@ -94,8 +94,8 @@ def str8(spark, d):
     ip = F.concat(F.lit("203.0.113."), (F.col("doc_id") % 250).cast("string"))
     shown = F.when(F.col("doc_id") % 3 == 0, ip).otherwise("10.0.0.1")
     text = F.concat(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(" Your IP: "), shown, F.lit(". Server 198.51.100.7; again "), ip, F.lit("."))
-    docs = read(spark, d, "documents").filter("text is not null").select("doc_id", text.alias("t")).withColumn("mine", addresses.labelled(F.col("t")))
-    return docs.select("doc_id", F.get("mine", F.lit(0)).alias("own"), F.md5(addresses.masked(F.col("t"), F.col("mine"))).alias("digest"))
+    docs = read(spark, d, "documents").filter("text is not null").select("doc_id", text.alias("t")).select("doc_id", addresses.pieces(F.col("t")).alias("cut")).withColumn("mine", addresses.labelled_in(F.col("cut")))
+    return docs.select("doc_id", F.get("mine", F.lit(0)).alias("own"), F.md5(addresses.masked_in(F.col("cut"), F.col("mine"))).alias("digest"))
 
 
 @query("mx11_masked_json", """SELECT event_id, '{"page_url": "http://192.0.2.1/x", "text": ["[own IP]", {"n": ' || event_id || ', "Curl": {"deep": "192.0.2.1"}, "said": "by [own IP], 192.0.2.10"}]}' AS record FROM events""")
