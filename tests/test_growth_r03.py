@@ -2,8 +2,12 @@
 
 import random
 import re
+import tracemalloc
+
+import pandas as pd
 
 from tidemark import catalog
+from tidemark.functions import hashing
 from tidemark.operators import schema
 from tidemark.plans import further
 from tidemark.sources import html, nodes
@@ -72,3 +76,13 @@ def test_blocks_are_judged_once(spark):
 def test_addresses_are_cut_once(spark):
     plan = catalog.QUERIES["str8_own_address"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_simhash_needs_memory_for_few_texts_at_a_time():
+    texts = pd.Series([" ".join(f"w{i * k % 997}" for i in range(600)) for k in range(1, 1200)])
+    tracemalloc.start()
+    got = hashing.simhash64.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert got.tolist()[:3] == [hashing.simhash_many([t])[0] for t in texts[:3]]

@@ -68,7 +68,7 @@ def simhash_many(texts: list[str]) -> np.ndarray:
 
 
 #: Characters of text that one numpy pass takes.
-CHUNK = 2_000_000
+CHUNK = 250_000
 
 
 @F.pandas_udf(LongType())
