@@ -8,7 +8,7 @@ import pandas as pd
 
 from tidemark import catalog
 from tidemark.functions import hashing
-from tidemark.operators import schema
+from tidemark.operators import schema, structure
 from tidemark.plans import further
 from tidemark.sources import html, nodes
 
@@ -86,3 +86,11 @@ def test_simhash_needs_memory_for_few_texts_at_a_time():
     tracemalloc.stop()
     assert peak < 60_000_000
     assert got.tolist()[:3] == [hashing.simhash_many([t])[0] for t in texts[:3]]
+
+
+def test_vote_counts_a_page_once(spark, monkeypatch):
+    calls, count = [], structure.node_stats
+    monkeypatch.setattr(structure, "node_stats", lambda rows: calls.append(rows) or count(rows))
+    pages = spark.createDataFrame([(1, "<p>some words</p>")], "id int, html string")
+    structure.voted(nodes.node_rows(pages, "id"))
+    assert len(calls) == 1

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.scratch import written
+
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 PARAGRAPHS = ["p", *HEADINGS, "li", "blockquote"]
 TRIM = r"^\s+|\s+$"
@@ -136,13 +138,14 @@ def record_headings(stats: DataFrame, thread: bool) -> DataFrame:
     return s.drop("wrap", "lone", "record", "end", "chain").join(records, ["id", "holder"], "left").withColumn("record_heading", F.coalesce("record_heading", F.lit(False))).drop("holder")
 
 
-def density_pruned(nodes: DataFrame, min_text: int = 25, max_link_density: float = 0.5, min_score: float = 0.35, thread: bool = False) -> DataFrame:
+def density_pruned(nodes: DataFrame, min_text: int = 25, max_link_density: float = 0.5, min_score: float = 0.35, thread: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """Element rows with ``score``, ``dropped`` (the outermost of what goes) and, by page, ``kept_text`` and ``skip_chrome``.
 
     Code, data tables, headings of records, ``main``, ``article``, ``body`` and ``html`` stay. Where under 200 bytes or a
     tenth of the page would be left, nothing goes. ``skip_chrome``: over 30 bytes stand outside of navigation and the like.
+    ``stats``: those of the nodes, if they are there already.
     """
-    s = record_headings(page_text(node_stats(nodes)).withColumn("bonus", class_bonus(thread)), thread)
+    s = record_headings(page_text(node_stats(nodes) if stats is None else stats).withColumn("bonus", class_bonus(thread)), thread)
     share, linked = F.col("text") / F.greatest("page_text", F.lit(1)), link_density()
     score = 0.45 * (1 - linked) + 0.30 * F.least(F.col("text") / F.greatest("tags", F.lit(1)) / 10, F.lit(1.0)) + 0.15 * F.least(F.col("commas") / 5, F.lit(1.0)) + 0.10 * F.col("bonus")
     s = s.withColumn("score", score)
@@ -276,7 +279,7 @@ def voted(nodes: DataFrame, majority: bool = False, candidates: bool = True, sha
     and density pruning what it drops; a voter without an answer for a page has no voice there. A unit goes if all say so,
     or two thirds with ``majority``. ``agreement``: of the units that any voter condemned, the share that all did.
     """
-    stats = node_stats(nodes)
+    stats = written(node_stats(nodes), "vote-stats")  # three voters and the units read them
     units = text_units(nodes, stats)
     none = F.lit(None).cast("boolean")
     by_root, by_density = none, none
@@ -286,7 +289,7 @@ def voted(nodes: DataFrame, majority: bool = False, candidates: bool = True, sha
         outside = (F.col("enter") < F.col("root")) | (F.col("enter") > F.col("root_leave")) | F.exists("mates", lambda m: (m["enter"] <= F.col("enter")) & (m["leave"] >= F.col("enter")))
         by_root = F.when(F.col("root").isNotNull(), outside)
     if density:
-        gone = density_pruned(nodes).filter("dropped").groupBy("id").agg(F.collect_list(F.struct("enter", "leave")).alias("pruned"))
+        gone = density_pruned(nodes, stats=stats).filter("dropped").groupBy("id").agg(F.collect_list(F.struct("enter", "leave")).alias("pruned"))
         units = units.join(gone, "id", "left")
         by_density = F.when(F.col("pruned").isNotNull(), F.exists("pruned", lambda m: (m["enter"] <= F.col("enter")) & (m["leave"] >= F.col("enter"))))
     says = F.array(by_root, ~F.col("content") if shallow else none, by_density)
