@@ -8,6 +8,7 @@ import pandas as pd
 
 from tidemark import catalog
 from tidemark.functions import hashing
+from tidemark.llm import registry as llm_registry
 from tidemark.operators import schema, structure
 from tidemark.plans import further
 from tidemark.sources import html, nodes
@@ -94,3 +95,11 @@ def test_vote_counts_a_page_once(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "<p>some words</p>")], "id int, html string")
     structure.voted(nodes.node_rows(pages, "id"))
     assert len(calls) == 1
+
+
+def test_edits_make_no_terms(spark):
+    """Lengths and digests of edited texts come before terms do; ranges go to as many tasks as were asked for."""
+    df = llm_registry.QUERIES["edits_of_op2"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "collect_list" not in plan
+    assert df.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -59,7 +59,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, pos, id, t, next_t, last): each row with the text that follows it in id order.
 
     Ids are cut into contiguous ranges, each sorted by itself. The first row of a range (and those equal to it)
-    also goes to the range before it, behind that one's rows; it is all that crosses ranges.
+    also goes to the range before it, behind that one's rows; it is all that crosses ranges. Ranges are dealt to as many
+    tasks, which Spark does not merge by their packed size: a task holds a few ranges at a time, with all their terms.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, id=id_col, t=text_col).withColumn("t", F.coalesce("t", F.lit(""))).withColumn("h", F.xxhash64("t"))
@@ -72,11 +73,21 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.join(F.broadcast(first), "bucket")
     places = F.array(F.struct("bucket", F.lit(False).alias("tail")), F.when(leads, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail"))))
     rows = rows.select("id", "t", "h", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")).select("p.bucket", "p.tail", "id", "h", "t")
+    rows = rows.repartition(4 * parts, "bucket")
     w = Window.partitionBy("bucket").orderBy("tail", "id", "h", "t")
     rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("next_t", F.lead("t").over(w)).withColumn("last", F.lead("tail").over(w))
     return rows.filter("not tail").select("bucket", "pos", "id", "t", "next_t", "last")
 
 
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, pos, id, n_chars, t, next_t, last, edited, sha): :func:`with_next` with the edited texts and their digests."""
+    n = F.length("t")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("next_t"), F.lit(1), half))
+    rows = with_next(docs, id_col, text_col).select("bucket", "pos", "id", n.cast("long").alias("n_chars"), "t", "next_t", "last", edited.alias("edited"))
+    return rows.withColumn("sha", F.sha2("edited", 256))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of agreeing lexicons among those where either text has terms; 1 if the whole hashes agree."""
     pairs = F.arrays_zip(a["subsets"].alias("x"), b["subsets"].alias("y"))
@@ -119,12 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lexicon = band_lexicon(docs, text_col, idf_low, idf_high)
     if lexicon.count() <= BROADCAST_TERMS:
         lexicon = F.broadcast(lexicon)
-    rows = with_next(docs, id_col, text_col)
-    n = F.length("t")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("next_t"), F.lit(1), half))
-    rows = rows.select("bucket", "pos", "id", n.cast("long").alias("n_chars"), "t", "next_t", "last", edited.alias("edited"))
-    rows = rows.withColumn("sha", F.sha2("edited", 256))
+    rows = edits(docs, id_col, text_col)
     # the next row's print is this range's next print, except at the end of a range
     by_role = (F.col("t"), F.col("edited"), F.when(F.col("last"), F.col("next_t")))
     texts = F.array(*[F.struct(F.lit(r).alias("role"), x.alias("x")) for r, x in enumerate(by_role)])

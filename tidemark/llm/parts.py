@@ -1,20 +1,20 @@
-"""What of some operators SQL can express, column by column, as queries of their own: the operators' results narrowed to it."""
+"""What of some operators SQL can express, column by column, as queries of their own: the operators' results narrowed to it,
+or the operator's own step where that makes them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import quote_link
-from .imatch import op2_imatch
+from . import imatch, quote_link
 from .secret_scan import op4_secret_scan
 from .source_mix import op7_source_mix
 from .url_rules import op5_url_rules
 
 
 def edits_of_op2(spark, sf_dir: str) -> DataFrame:
-    """Lengths and edited texts of the fingerprint query."""
-    return op2_imatch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+    """Lengths and edited texts of the fingerprint query, by its step that makes them: no terms are made or gathered."""
+    return imatch.edits(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"))
 
 
 def base_of_op4(spark, sf_dir: str) -> DataFrame:
