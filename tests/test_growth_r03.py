@@ -5,9 +5,11 @@ import re
 import tracemalloc
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import hashing
+from tidemark.functions import paths as paths_of
 from tidemark.llm import registry as llm_registry
 from tidemark.operators import schema, structure
 from tidemark.plans import further
@@ -103,3 +105,19 @@ def test_edits_make_no_terms(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "collect_list" not in plan
     assert df.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_json_is_parsed_once(spark):
+    """Paths share one parse and tell shapes without the schema of a value; the rows of one row group go to many tasks."""
+    df = catalog.QUERIES["jsn1_json_select"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2 and "schemaOfVariant" not in plan
+    assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_json_keys_of_any_spelling(spark):
+    doc = '{"a.b":1,"x[0]":2,"":3," s":4,"q?":5,"e":[],"f":[[],[{"k":null}]],"g":"t","n":null}'
+    paths = {"['a.b']": "1", '["q?"]': "5", '[" s"]': "4", "['']": "3", "e.k": "[]", "e[0]": None, "e[-1]": None, "f.k": "[[],[null]]", "f{k}": '[[],[{"k":null}]]', "g.k": None, "g{k}": None, "n.k": None, "g.*": None, "e.*": "[]", "g[0:1]": None, "x": None}
+    df = spark.createDataFrame([(doc,)], "x string")
+    got = df.select(*[paths_of.json_project(F.col("x"), p).alias(f"c{i}") for i, p in enumerate(paths)]).first()
+    assert list(got) == list(paths.values())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,41 +74,62 @@ def _pick(p: str, i: int) -> tuple[list[tuple[str, list]], int]:
     return fields, i
 
 
+#: Keys that a VARIANT path can spell; others are looked up in the object as a map.
+_PLAIN = re.compile(r"[^\s.\[][^.\[]*")
+
+
 def _json(x: Column) -> Column:
     return F.call_function("to_variant_object", x)
 
 
+def _as(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``x`` as a variable: evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _apply(v: Column, steps: list[tuple], nested: int = NESTED) -> Column:
     """The value after all steps. Each step names its input once, as a variable, so that work stays linear in the steps."""
     if not steps:
         return v
-    return F.get(F.transform(F.array(v), lambda x: _step(x, steps, nested)), F.lit(0))
+    return _as(v, lambda x: _step(x, steps, nested))
 
 
 def _step(v: Column, steps: list[tuple], nested: int) -> Column:
+    """The shape of a value is told by what can be had of it, not by its schema, which is made of all that it holds."""
     (kind, *arg), rest = steps[0], steps[1:]
-    shape = F.schema_of_variant(v)
-    is_list, is_map = shape.startswith("ARRAY"), shape.startswith("OBJECT")
-    items = F.when(is_list, v.try_cast("array<variant>"))
+    items, entries = v.try_cast("array<variant>"), v.try_cast("map<string,variant>")
 
     def each(arr: Column, todo: list[tuple], deep: int = NESTED) -> Column:
         return _json(F.transform(arr, lambda x: _apply(x, todo, deep)))
 
     if kind in ("key", "pick"):
         if kind == "key":
-            found = _apply(F.when(is_map, F.try_element_at(v.try_cast("map<string,variant>"), F.lit(arg[0]))), rest)
+            here = F.try_variant_get(v, f"$.{arg[0]}", "variant") if _PLAIN.fullmatch(arg[0]) else F.try_element_at(entries, F.lit(arg[0]))
         else:
-            found = _apply(F.when(is_map, _json(F.struct(*[_apply(v, s).alias(name) for name, s in arg[0]]))), rest)
-        return F.when(is_list, each(items, steps, nested - 1)).otherwise(found) if nested else found
+            here = F.when(entries.isNotNull(), _json(F.struct(*[_apply(v, s).alias(name) for name, s in arg[0]])))
+        if not nested:
+            return _apply(here, rest)
+        return _as(here, lambda x: F.when(x.isNotNull(), _apply(x, rest)).otherwise(_as(items, lambda y: F.when(y.isNotNull(), each(y, steps, nested - 1)))))
     if kind == "at":
-        n = arg[0] + 1 if arg[0] >= 0 else arg[0]
-        return _apply(F.try_element_at(items, F.lit(n)), rest)
+        if arg[0] < 0:
+            return _apply(F.try_element_at(items, F.lit(arg[0])), rest)
+        return _apply(F.try_variant_get(v, f"$[{arg[0]}]", "variant"), rest)
     if kind == "all":
-        return each(F.when(is_map, F.map_values(v.try_cast("map<string,variant>"))).otherwise(items), rest)
-    size = F.size(items)
-    low, high = (F.lit(d) if e is None else (F.least(F.lit(e), size) if e >= 0 else F.greatest(size + e, F.lit(0))) for e, d in zip(arg, (0, None), strict=True))
-    high = size if arg[1] is None else high
-    return each(F.slice(items, low + 1, F.greatest(high - low, F.lit(0))), rest)
+        return each(F.coalesce(items, F.map_values(entries)), rest)
+
+    def cut(arr: Column) -> Column:
+        size = F.size(arr)
+        low, high = (F.lit(d) if e is None else (F.least(F.lit(e), size) if e >= 0 else F.greatest(size + e, F.lit(0))) for e, d in zip(arg, (0, None), strict=True))
+        high = size if arg[1] is None else high
+        return each(F.slice(arr, low + 1, F.greatest(high - low, F.lit(0))), rest)
+
+    return _as(items, cut)
+
+
+def variant_project(v: Column, path: str) -> Column:
+    """:func:`json_project` of a VARIANT, so that several paths read one parse."""
+    out = F.to_json(_apply(v, parse(path)))
+    return F.get(F.filter(F.array(out), lambda o: o != "null"), F.lit(0))
 
 
 def json_project(x: Column, path: str) -> Column:
@@ -115,5 +137,4 @@ def json_project(x: Column, path: str) -> Column:
 
     A key or a pick on an array is taken from each of its items, where a missing one is null.
     """
-    out = F.to_json(_apply(F.try_parse_json(x), parse(path)))
-    return F.when(out != "null", out)
+    return variant_project(F.try_parse_json(x), path)

@@ -243,11 +243,13 @@ FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM even
 def jsn1_select(spark, d):
     name = F.when(F.col("event_id") % 2 == 0, "items").otherwise("other")
     doc = F.format_string('{"items":[%s,{"k":%d},{"z":[]}],"n":{"x":"v","y":[1]},"%s":[%s,2]}', F.col("props"), F.col("event_id"), F.lit("rows"), F.col("props"))
-    e = read(spark, d, "events").select("event_id", doc.alias("x"), F.when(name == "items", doc).otherwise("{").alias("y"))
-    x = F.col("x")
+    tasks = 2 * spark.sparkContext.defaultParallelism  # a row group would be one task; many tasks would each set up these expressions
+    events = read(spark, d, "events").select("event_id", "props").repartition(tasks, "event_id")
+    e = events.select("event_id", doc.alias("x"), F.when(name == "items", doc).otherwise("{").alias("y")).withColumn("v", F.try_parse_json("x"))
+    v = F.col("v")
     return e.select(
-        "event_id", P.json_project(x, "$.items.k").alias("keys"), P.json_project(x, "items[-2]['k']").alias("last"), P.json_project(F.col("y"), "$.items[0:1].k").alias("part"),
-        P.json_project(x, "{items[0].k, n.x}").alias("pick"), P.json_project(x, "$.n.*").alias("values"),
+        "event_id", P.variant_project(v, "$.items.k").alias("keys"), P.variant_project(v, "items[-2]['k']").alias("last"), P.json_project(F.col("y"), "$.items[0:1].k").alias("part"),
+        P.variant_project(v, "{items[0].k, n.x}").alias("pick"), P.variant_project(v, "$.n.*").alias("values"),
     )
 
 
