@@ -5,6 +5,7 @@ import re
 import tracemalloc
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark import catalog
@@ -14,6 +15,7 @@ from tidemark.llm import registry as llm_registry
 from tidemark.operators import schema, structure
 from tidemark.plans import further
 from tidemark.sources import html, nodes
+from tidemark.streaming import state
 
 
 def plan_of(df) -> str:
@@ -121,3 +123,45 @@ def test_json_keys_of_any_spelling(spark):
     df = spark.createDataFrame([(doc,)], "x string")
     got = df.select(*[paths_of.json_project(F.col("x"), p).alias(f"c{i}") for i, p in enumerate(paths)]).first()
     assert list(got) == list(paths.values())
+
+
+class Handle:
+    """A processor's handle that counts the calls which another process would answer."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = args[0]
+            if name == "registerTimer":
+                self.timers.append(args[0])
+            if name == "deleteTimer":
+                self.timers.remove(args[0])
+
+        return call
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+
+def test_state_is_called_seldom():
+    """A key's micro-batch reads and writes one value and moves at most one timer, however many rows and routes it has."""
+    rows = [Row(s=100 * k, tie=k, what=w, route=f"r{k}", feedback="useful", ms=4.0) for k, w in enumerate(["asked", "failed", "asked", "asked"])]
+    memory, handle = state.FailureMemory(), Handle()
+    memory.init(handle)
+    assert [tuple(r) for r in memory.handleInputRows((7,), iter(rows[::-1]), None)] == [(7, 3, 2)]
+    assert handle.calls == 3 and handle.timers == [700_000]
+    later = [Row(s=650, tie=9, what="asked"), Row(s=701, tie=10, what="asked"), Row(s=702, tie=11, what="failed")]
+    handle.calls = 0
+    assert [tuple(r) for r in memory.handleInputRows((7,), iter(later), None)] == [(7, 5, 3)]
+    assert handle.calls == 4 and handle.timers == [1_302_000]
+    assert not list(memory.handleExpiredTimer((7,), None, None)) and handle.value == (None, 5, 3)
+    routes, handle = state.Routes(), Handle()
+    routes.init(handle)
+    out = list(routes.handleInputRows((7,), iter(rows), None))
+    assert handle.calls == 2 and [r.route for r in out[0].routes] == ["r0", "r1", "r2", "r3"]
