@@ -8,6 +8,7 @@ in which record is found by running counts over the tour, whatever the nesting;
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -130,25 +131,17 @@ def collapsed(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\x{85}\x{a0}]+", " "))
 
 
-def markup_of(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """(id, enter, html): the markup inside each element, written out from its tags and texts."""
+def _marks() -> tuple[Column, Column]:
+    """How a node is written out: its start tag or text, and its end tag, if any."""
     from tidemark.sources.nodes import VOID
 
     def escaped(x: Column, quote: bool) -> Column:
-        x = F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit(" "), F.lit("&nbsp;"))
+        x = F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("\u00a0"), F.lit("&nbsp;"))
         return F.replace(x, F.lit('"'), F.lit("&quot;")) if quote else F.replace(F.replace(x, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     named = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escaped(e["value"], True), F.lit('"'))), "")
-    start = F.struct("enter", F.concat(F.lit("<"), "tag", named, F.lit(">")).alias("text"))
-    end = F.struct(F.col("leave").alias("enter"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("text"))
-    plain = F.array(F.struct("enter", escaped(F.col("text"), False).alias("text")))
-    marks = F.when(F.col("tag").isNull(), plain).when(F.col("tag").isin(*sorted(VOID)), F.array(start)).otherwise(F.array(start, end))
-    pieces = nodes.select("id", F.explode(marks).alias("m")).select("id", "m.*")
-    shut = elements.select("id", F.col("leave").alias("enter"))
-    pieces = pieces.join(shut.withColumn("_own", F.lit(True)).distinct(), ["id", "enter"], "left").filter("_own is null").drop("_own")
-    inner = holders(elements.select("id", "enter", "leave").distinct(), pieces)
-    parts = F.array_sort(F.collect_list(F.struct("enter", "text")))
-    return inner.groupBy("id", "at").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("html")).withColumnRenamed("at", "enter").hint("merge")
+    start = F.when(F.col("tag").isNull(), escaped(F.col("text"), False)).otherwise(F.concat(F.lit("<"), "tag", named, F.lit(">")))
+    return start, F.when(~F.col("tag").isin(*sorted(VOID)), F.concat(F.lit("</"), "tag", F.lit(">")))
 
 
 # Extraction -------------------------------------------------------------------------------------------------
@@ -168,33 +161,27 @@ class Field:
     fields: list[Field] = field(default_factory=list)
 
 
-def joined_url(base: Column, link: Column) -> Column:
-    """The link resolved against the page's address."""
+def joined_urls(base: Column, links: Column) -> Column:
+    """The links of each row resolved against its page's address."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def join(bases: pd.Series, links: pd.Series) -> pd.Series:
         from urllib.parse import urljoin
 
         def one(b, u):
             try:
-                return urljoin(b, u.strip()) if b and u is not None else u
+                return urljoin(b, u.strip()) if b else u
             except ValueError:
                 return u
 
-        return pd.Series([one(b, u) for b, u in zip(bases, links, strict=True)], dtype=object)
+        return pd.Series([[one(b, u) for u in row] for b, row in zip(bases, links, strict=True)], dtype=object)
 
-    return join(base, link)
+    return join(base, links)
 
 
-def _value(f: Field) -> Column:
-    """What a matched element ``x`` gives: null where the pattern doesn't match or the attribute is missing."""
-    raw = F.col("x.attrs")[f.attribute or ""] if f.kind == "attribute" else F.coalesce("x.html", F.lit("")) if f.kind == "html" else collapsed(F.col("x.said"))
-    if f.absolute:
-        raw = joined_url(F.col("x.url"), raw)
-    if f.regex:
-        group = 1 if re.compile(f.regex).groups else 0
-        raw = F.when(raw.rlike(f.regex), F.regexp_extract(raw, f.regex, group))
-    return F.trim(raw)
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once however often it is named."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 def _selectors(fields: list[Field], name: str) -> list[tuple[str, str]]:
@@ -202,21 +189,13 @@ def _selectors(fields: list[Field], name: str) -> list[tuple[str, str]]:
     return [x for k, f in enumerate(fields) for x in [*([(f"{name}n{k}", f.selector)] if f.selector else []), *_selectors(f.fields, f"{name}n{k}")]]
 
 
-def _asked(fields: list[Field], name: str, base: str, *kinds: str) -> list[str]:
-    """The flags of the elements that fields of these kinds read, ``base`` being the record's own."""
-    out = []
-    for k, f in enumerate(fields):
-        flag = f"{name}n{k}" if f.selector else base
-        out += ([flag] if f.kind in kinds else []) + _asked(f.fields, f"{name}n{k}", flag, *kinds)
-    return list(dict.fromkeys(out))
+def _all(fields: list[Field]) -> list[Field]:
+    """The fields, nested ones too."""
+    return [x for f in fields for x in [f, *_all(f.fields)]]
 
 
-def _attributes(fields: list[Field]) -> list[str]:
-    return [x for f in fields for x in [*([f.attribute or ""] if f.kind == "attribute" else []), *_attributes(f.fields)]]
-
-
-def _any(flags: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, map(F.col, flags), F.lit(False))
+#: The columns of the node rows that :func:`extract` reads.
+READ = ("enter", "leave", "inside", "parent", "tag", "attrs", "text")
 
 
 def extract(nodes: DataFrame, base: str, fields: list[Field], urls: DataFrame | None = None) -> DataFrame:
@@ -224,101 +203,112 @@ def extract(nodes: DataFrame, base: str, fields: list[Field], urls: DataFrame |
 
     Text, html, attribute and number take the first match inside the record, else the default; list takes all; nested gives
     an array of records of its own fields; a field without a selector reads the record itself. ``urls`` (id, url) resolves
-    ``absolute`` links.
+    ``absolute`` links. Beside a field called id or item the page's own column is ``page_id`` or ``page_item``.
 
-    The node rows are shuffled once, by page. Selectors, texts and records are windows and groups within pages; what an
-    element gets (its text, its records) is gathered in a group that the element's own row heads, so nothing is joined.
+    The node rows are shuffled once, by page. Selectors are windows within pages; then the rows of an outermost record are
+    gathered into one array in page order, where what lies inside an element is the stretch after it. Fields are cut from that.
     """
-    asked = _selectors(fields, "_f")
-    rows = nodes.select("id", "enter", "leave", "parent", "tag", "attrs", "text").repartition("id")
-    if any(":" in re.sub(r"\[[^\]]*\]", "", x) for x in [base, *[x for _, x in asked]]):
+    todo = [("_base", base), *_selectors(fields, "_f")]
+    wanted = sorted({f.attribute or "" for f in _all(fields) if f.kind == "attribute"})
+    rows = nodes.select("id", *READ).repartition("id")
+    if any(":" in re.sub(r"\[[^\]]*\]", "", x) for _, x in todo):
         rows = _placed(rows)
-    rows = marked(rows, base, "_base")
-    for flag, selector in asked:
+    for flag, selector in sorted(todo, key=lambda x: _first_step(x[1])):
         rows = marked(rows, selector, flag)
-    flags = ["_base", *[flag for flag, _ in asked]]
-    held = F.max(F.when(F.col("_base"), F.col("leave"))).over(in_page("enter").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_held", held).filter((F.col("_held") > F.col("enter")) & (F.col("tag").isNull() | _any(flags)))
-    found = _spoken(rows, flags, _any(_asked(fields, "_f", "_base", "text", "number", "list")), _attributes(fields))
-    coded = _asked(fields, "_f", "_base", "html")
-    if coded:
-        found = found.join(markup_of(nodes, found.filter(_any(coded)).select("id", "enter", "leave")), ["id", "enter"], "left")
-    if urls is not None:
-        found = found.join(urls.select("id", "url"), "id", "left")
+    so_far = in_page("enter").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # of the bases opened so far the outermost one around a row closes last: its ``leave`` names the group
+    rows = rows.withColumns({"_row": F.row_number().over(in_page("enter")), "_item": F.sum(F.when(F.col("_base"), 1)).over(so_far) - 1, "_held": F.max(F.when(F.col("_base"), F.col("leave"))).over(so_far)})
+    rows = rows.filter(F.col("_held") > F.col("enter"))
+    columns = [F.col("_row"), F.col("inside"), F.col("text"), F.col("_item"), *[F.col(flag) for flag, _ in todo], *[F.col("attrs")[a].alias(f"_a{k}") for k, a in enumerate(wanted)]]
+    if any(f.kind == "html" for f in _all(fields)):
+        start, end = _marks()
+        columns += [F.struct(F.col("enter").alias("pos"), start.alias("mark")).alias("_start"), F.struct(F.col("leave").alias("pos"), end.alias("mark")).alias("_end")]
+    groups = rows.groupBy("id", "_held").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("n"))
+    each = F.transform(F.filter("n", lambda x: x["_base"]), lambda x: F.struct(x.alias("_x"), _inside(F.col("n"), x).alias("_sub")))
+    records = groups.select("id", F.explode(each).alias("r")).select("id", "r._x", "r._sub")
+    x, sub, at = F.col("_x"), F.col("_sub"), None
+    if any(f.absolute for f in _all(fields)):
+        if urls is not None:
+            records = records.join(urls.select("id", F.col("url").alias("_url")), "id", "left")
+        else:
+            records = records.withColumn("_url", F.lit(None).cast("string"))
+        records = records.withColumn("_links", F.array_distinct(F.array_compact(_links(fields, "_f", wanted, sub, x))))
+        records = records.withColumn("_at", F.map_from_arrays("_links", joined_urls(F.col("_url"), F.col("_links"))))
+        at = F.col("_at")
+    names = [f.name for f in fields]
+    page = [c.alias(f"page_{n}" if n in names else n) for c, n in ((F.col("id"), "id"), (F.col("_x._item").cast("int"), "item"))]
+    return records.select(*page, *[_taken(f, f"_fn{k}", wanted, sub, x, at).alias(f.name) for k, f in enumerate(fields)])
+
+
+def _first_step(selector: str) -> int:
+    """Selectors that begin with siblings are marked first and those of ancestors last: these need the page order, which
+    stays for what follows."""
+    how = [_STEP.split(one.strip())[1:2] for one in re.split(f",{_OUT}", selector)]
+    return min(2 if h in ([], [None]) else 1 if h == [">"] else 0 for h in how)
+
+
+def _inside(nodes: Column, x: Column) -> Column:
+    """What lies inside node ``x`` of ``nodes``: the rows of a stretch of a page, none left out."""
+    return F.slice(nodes, x["_row"] - F.get(nodes, F.lit(0))["_row"] + 2, x["inside"])
+
+
+def _raw(f: Field, wanted: list[str], own: Column, x: Column) -> Column:
+    """What the node ``x`` with ``own`` inside it gives, before links are resolved."""
+    if f.kind == "attribute":
+        return x[f"_a{wanted.index(f.attribute or '')}"]
+    if f.kind == "html":
+        marks = F.filter(F.flatten(F.transform(own, lambda n: F.array(n["_start"], n["_end"]))), lambda m: m["mark"].isNotNull())
+        return F.array_join(F.array_sort(marks)["mark"], "")
+    return collapsed(F.array_join(own["text"], ""))
+
+
+def _read(f: Field, wanted: list[str], own: Column, x: Column, at: Column | None) -> Column:
+    """The value of a matched node: null where the pattern doesn't match or the attribute is missing."""
+    raw = _raw(f, wanted, own, x)
+    if f.absolute:
+        raw = _let(raw, lambda v: at[v])
+    if f.regex:
+        group = 1 if re.compile(f.regex).groups else 0
+        raw = _let(raw, lambda v: F.when(v.rlike(f.regex), F.regexp_extract(v, f.regex, group)))
+    return F.trim(raw)
+
+
+def _hits(flag: str, sub: Column) -> Column:
+    return F.filter(sub, lambda n: n[flag])
+
+
+def _taken(f: Field, flag: str, wanted: list[str], sub: Column, x: Column, at: Column | None) -> Column:
+    """The field of the record ``x`` with ``sub`` inside it."""
+    if f.kind == "exists":
+        return F.exists(sub, lambda n: n[flag]) if f.selector else F.lit(True)
+    if f.kind == "nested":
+
+        def one(own: Column, h: Column) -> Column:
+            return F.struct(*[_taken(g, f"{flag}n{k}", wanted, own, h, at).alias(g.name) for k, g in enumerate(f.fields)])
     else:
-        found = found.withColumn("url", F.lit(None).cast("string"))
-    records = _records(found, "_base", "_f", fields, [])
-    return records.withColumn("item", F.row_number().over(in_page("enter")) - 1).select("id", "item", *[F.col(f"_f_r.{f.name}").alias(f.name) for f in fields])
 
+        def one(own: Column, h: Column) -> Column:
+            return _read(f, wanted, own, h, at)
 
-def _spoken(rows: DataFrame, flags: list[str], spoken: Column, wanted: list[str]) -> DataFrame:
-    """The element rows with ``said``, the text below those that are ``spoken``, in order and not yet collapsed.
+    if f.kind in ("list", "nested"):
+        if f.selector:
+            return F.transform(_hits(flag, sub), lambda h: _let(_inside(sub, h), lambda own: one(own, h)))
+        return F.array(one(sub, x)) if f.kind == "list" else one(sub, x)
+    v = F.get(F.transform(F.slice(_hits(flag, sub), 1, 1), lambda h: one(_inside(sub, h), h)), F.lit(0)) if f.selector else one(sub, x)
+    v = _let(v, T.parse_number) if f.kind == "number" else v
+    return v if f.default is None else F.coalesce(v, F.lit(f.default))
 
-    As in :func:`holders`, a text lies in as many of them as were opened less closed before it.
-    """
-    rows = rows.withColumn("attrs", F.map_filter("attrs", lambda k, _: k.isin(*wanted)))
-    at, text, own = F.col("enter"), F.col("tag").isNull(), F.struct("leave", "attrs", *flags)
-    opens, shuts = F.struct(at.alias("pos"), F.lit(1).alias("turn")), F.struct(F.col("leave").alias("pos"), F.lit(-1).alias("turn"))
-    here = F.struct(at.alias("pos"), F.when(text, 0).otherwise(2).alias("turn"))
-    tour = rows.select("id", F.explode(F.when(spoken, F.array(opens, shuts)).otherwise(F.array(here))).alias("e"), F.when(~text, own).alias("head"), "text").select("id", "e.*", "head", "text")
-    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tour = tour.withColumn("open", F.sum(F.when(F.abs("turn") == 1, F.col("turn")).otherwise(0)).over(w)).filter("turn > 0 or turn = 0 and open > 0")
-    level = F.when(F.col("turn") == 0, F.sequence(F.lit(1).cast("long"), F.col("open"))).otherwise(F.array(F.when(F.col("turn") == 1, F.col("open")).otherwise(0)))
-    tour = tour.withColumn("level", F.explode(level))
-    of_level = Window.partitionBy("id", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tour = tour.withColumn("at", F.last(F.when(F.col("turn") > 0, F.col("pos")), ignorenulls=True).over(of_level))
-    parts = F.array_sort(F.collect_list(F.when(F.col("turn") == 0, F.struct("pos", "text"))))
-    per = tour.groupBy("id", "at").agg(F.first(F.when(F.col("turn") > 0, F.col("head")), ignorenulls=True).alias("head"), F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("said"))
-    return per.select("id", F.col("at").alias("enter"), "head.*", "said")
-
-
-def _records(found: DataFrame, base: str, name: str, fields: list[Field], outer: list[str]) -> DataFrame:
-    """A struct of the fields, ``name`` with ``_r``, for the rows where ``base`` is set; beside it the rows that have one of
-    the flags ``outer`` go on."""
-    for k, f in enumerate(fields):
-        if f.kind == "nested":
-            inner = f"{name}n{k}" if f.selector else base
-            found = _records(found, inner, f"{name}n{k}", f.fields, [*outer, base, *[f"{name}n{j}" for j, g in enumerate(fields) if g.selector]])
-    chosen = [f"{name}n{k}" for k, f in enumerate(fields) if f.selector]
-
-    def event(pos: str, turn: int) -> Column:
-        return F.struct(F.col(pos).alias("pos"), F.lit(turn).alias("turn"))
-
-    # a base that is a hit too does not hold itself: hits come first
-    head = F.when(F.col(base), event("enter", 1)).when(_any(outer), event("enter", 2))
-    events = F.array_compact(F.array(F.when(_any(chosen), event("enter", 0)), head, F.when(F.col(base), event("leave", -1))))
-    tour = found.select("id", F.explode(events).alias("e"), F.struct(*[c for c in found.columns if c != "id"]).alias("x")).select("id", "e.*", F.when(F.col("e.turn") >= 0, F.col("x")).alias("x"))
-    w = Window.partitionBy("id").orderBy("pos", F.abs("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tour = tour.withColumn("open", F.sum(F.when(F.abs("turn") == 1, F.col("turn")).otherwise(0)).over(w)).filter("turn > 0 or turn = 0 and open > 0")
-    level = F.when(F.col("turn") == 0, F.sequence(F.lit(1).cast("long"), F.col("open"))).otherwise(F.array(F.when(F.col("turn") == 1, F.col("open")).otherwise(0)))
-    tour = tour.withColumn("level", F.explode(level))
-    of_level = Window.partitionBy("id", "level").orderBy("pos", F.abs("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tour = tour.withColumn("at", F.last(F.when(F.col("turn") > 0, F.col("pos")), ignorenulls=True).over(of_level))
-    picks = []
-    for k, f in enumerate(fields):
-        here = (F.col("turn") == 0) & F.col(f"x.{name}n{k}") if f.selector else F.col("turn") == 1
-        if f.kind == "exists":
-            one = F.max(here)
-        elif f.kind in ("list", "nested"):
-            v = _value(f) if f.kind == "list" else F.col(f"x.{name}n{k}_r")
-            one = F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("pos", v.alias("v")))), lambda a, b: a["pos"] - b["pos"]), lambda x: x["v"])
-        else:
-            one = F.min_by(F.when(here, F.struct(_value(f).alias("v"))), F.when(here, F.col("pos"))).getField("v")
-        picks.append(one.alias(f"_v{k}"))
-    heads = [F.first(F.when(F.col("turn") > 0, F.col("x")), ignorenulls=True).alias("head")] if outer else []
-    per = tour.select("id", "at", "pos", "turn", "x").groupBy("id", "at").agg(*heads, *picks)
-    made = []
-    for k, f in enumerate(fields):
-        v = F.col(f"_v{k}")
-        if f.kind == "nested":
-            v = v if f.selector else F.get(v, F.lit(0))
-        elif f.kind == "exists":
-            v = F.coalesce(v, F.lit(False))
-        elif f.kind != "list":
-            v = T.parse_number(v) if f.kind == "number" else v
-            v = v if f.default is None else F.coalesce(v, F.lit(f.default))
-        made.append(v.alias(f.name))
-    return per.select("id", *(["head.*"] if outer else [F.col("at").alias("enter")]), F.struct(*made).alias(f"{name}_r"))
+
+def _links(fields: list[Field], name: str, wanted: list[str], sub: Column, x: Column) -> Column:
+    """All that ``absolute`` fields of the record read, nested ones too."""
+    def of(f: Field, flag: str) -> Column:
+        def one(own: Column, h: Column) -> Column:
+            return _links(f.fields, flag, wanted, own, h) if f.kind == "nested" else F.array(_raw(f, wanted, own, h))
+
+        return F.flatten(F.transform(_hits(flag, sub), lambda h: _let(_inside(sub, h), lambda own: one(own, h)))) if f.selector else one(sub, x)
+
+    found = [of(f, f"{name}n{k}") for k, f in enumerate(fields) if f.absolute or any(g.absolute for g in _all(f.fields))]
+    return F.concat(*found)
 
 
 # Induction --------------------------------------------------------------------------------------------------
