@@ -52,7 +52,15 @@ def token_estimate(x: Column) -> Column:
 
 def parse_number(x: Column) -> Column:
     """A number written with either separator: the last one is the decimal, a lone comma only before 1-2 digits."""
-    t = F.regexp_replace(x, r"[^0-9.,-]", "")
+    return signs_number(number_signs(x))
+
+
+def number_signs(x: Column) -> Column:
+    return F.regexp_replace(x, r"[^0-9.,-]", "")
+
+
+def signs_number(t: Column) -> Column:
+    """:func:`parse_number` of the signs that numbers are written with; the signs are named many times."""
     comma, dot = F.length(t) - F.locate(",", F.reverse(t)) + 1, F.length(t) - F.locate(".", F.reverse(t)) + 1
     has_comma, has_dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
     european = has_comma & F.when(has_dot, comma > dot).otherwise(t.rlike(r"^[^,]*,[0-9]{1,2}$"))

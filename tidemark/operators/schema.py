@@ -131,8 +131,8 @@ def collapsed(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\x{85}\x{a0}]+", " "))
 
 
-def _marks() -> tuple[Column, Column]:
-    """How a node is written out: its start tag or text, and its end tag, if any."""
+def _marks() -> tuple[Column, Column, Column]:
+    """How a node is written out: its start tag, its text, and its end tag, each if any."""
     from tidemark.sources.nodes import VOID
 
     def escaped(x: Column, quote: bool) -> Column:
@@ -140,8 +140,8 @@ def _marks() -> tuple[Column, Column]:
         return F.replace(x, F.lit('"'), F.lit("&quot;")) if quote else F.replace(F.replace(x, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     named = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escaped(e["value"], True), F.lit('"'))), "")
-    start = F.when(F.col("tag").isNull(), escaped(F.col("text"), False)).otherwise(F.concat(F.lit("<"), "tag", named, F.lit(">")))
-    return start, F.when(~F.col("tag").isin(*sorted(VOID)), F.concat(F.lit("</"), "tag", F.lit(">")))
+    start = F.when(F.col("tag").isNotNull(), F.concat(F.lit("<"), "tag", named, F.lit(">")))
+    return start, escaped(F.col("text"), False), F.when(~F.col("tag").isin(*sorted(VOID)), F.concat(F.lit("</"), "tag", F.lit(">")))
 
 
 # Extraction -------------------------------------------------------------------------------------------------
@@ -207,6 +207,7 @@ def extract(nodes: DataFrame, base: str, fields: list[Field], urls: DataFrame |
 
     The node rows are shuffled once, by page. Selectors are windows within pages; then the rows of an outermost record are
     gathered into one array in page order, where what lies inside an element is the stretch after it. Fields are cut from that.
+    ``nodes`` may be ``folded``, which makes fewer rows of the same records.
     """
     todo = [("_base", base), *_selectors(fields, "_f")]
     wanted = sorted({f.attribute or "" for f in _all(fields) if f.kind == "attribute"})
@@ -221,8 +222,8 @@ def extract(nodes: DataFrame, base: str, fields: list[Field], urls: DataFrame |
     rows = rows.filter(F.col("_held") > F.col("enter"))
     columns = [F.col("_row"), F.col("inside"), F.col("text"), F.col("_item"), *[F.col(flag) for flag, _ in todo], *[F.col("attrs")[a].alias(f"_a{k}") for k, a in enumerate(wanted)]]
     if any(f.kind == "html" for f in _all(fields)):
-        start, end = _marks()
-        columns += [F.struct(F.col("enter").alias("pos"), start.alias("mark")).alias("_start"), F.struct(F.col("leave").alias("pos"), end.alias("mark")).alias("_end")]
+        start, said, end = _marks()
+        columns += [said.alias("_said"), F.struct(F.col("enter").alias("pos"), F.concat_ws("", start, said).alias("mark")).alias("_start"), F.struct(F.col("leave").alias("pos"), end.alias("mark")).alias("_end")]
     groups = rows.groupBy("id", "_held").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("n"))
     each = F.transform(F.filter("n", lambda x: x["_base"]), lambda x: F.struct(x.alias("_x"), _inside(F.col("n"), x).alias("_sub")))
     records = groups.select("id", F.explode(each).alias("r")).select("id", "r._x", "r._sub")
@@ -258,8 +259,8 @@ def _raw(f: Field, wanted: list[str], own: Column, x: Column) -> Column:
         return x[f"_a{wanted.index(f.attribute or '')}"]
     if f.kind == "html":
         marks = F.filter(F.flatten(F.transform(own, lambda n: F.array(n["_start"], n["_end"]))), lambda m: m["mark"].isNotNull())
-        return F.array_join(F.array_sort(marks)["mark"], "")
-    return collapsed(F.array_join(own["text"], ""))
+        return F.array_join(F.concat(F.array(x["_said"]), F.array_sort(marks)["mark"]), "")
+    return collapsed(F.array_join(F.concat(F.array(x["text"]), own["text"]), ""))
 
 
 def _read(f: Field, wanted: list[str], own: Column, x: Column, at: Column | None) -> Column:
@@ -295,7 +296,7 @@ def _taken(f: Field, flag: str, wanted: list[str], sub: Column, x: Column, at: C
             return F.transform(_hits(flag, sub), lambda h: _let(_inside(sub, h), lambda own: one(own, h)))
         return F.array(one(sub, x)) if f.kind == "list" else one(sub, x)
     v = F.get(F.transform(F.slice(_hits(flag, sub), 1, 1), lambda h: one(_inside(sub, h), h)), F.lit(0)) if f.selector else one(sub, x)
-    v = _let(v, T.parse_number) if f.kind == "number" else v
+    v = _let(T.number_signs(v), T.signs_number) if f.kind == "number" else v
     return v if f.default is None else F.coalesce(v, F.lit(f.default))
 
 
